@@ -1,13 +1,17 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, language_id, mixing, packing, quality_rules, secret_scan, token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
         chat_format.op2_chat_format,
+        secret_scan.op3_secret_scan,
         quality_rules.op4_quality_rules,
+        packing.op5_packing,
+        token_store.op7_token_store,
         mixing.op8_mixing,
+        language_id.op10_language_id,
     )
 }
 
