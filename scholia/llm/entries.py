@@ -1,6 +1,6 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import chat_format, language_id, mixing, packing, quality_rules, secret_scan, token_store
+from . import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, token_store
 
 QUERIES = {
     f.__name__: f
@@ -9,8 +9,10 @@ QUERIES = {
         secret_scan.op3_secret_scan,
         quality_rules.op4_quality_rules,
         packing.op5_packing,
+        embedding_dedup.op6_embedding_dedup,
         token_store.op7_token_store,
         mixing.op8_mixing,
+        simhash.op9_simhash,
         language_id.op10_language_id,
     )
 }
