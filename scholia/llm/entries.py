@@ -1,10 +1,11 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, token_store
+from . import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
+        substring_dedup.op1_substring_dedup,
         chat_format.op2_chat_format,
         secret_scan.op3_secret_scan,
         quality_rules.op4_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
