@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import mixing, quality_rules
+from scholia.llm import mixing, packing, quality_rules, secret_scan, simhash
 from scholia.llm.common import read, staged
 
 STAGES = [
     ("quality_rules", quality_rules.quality_stage),
+    ("simhash", simhash.simhash_stage),
+    ("secret_scan", secret_scan.secrets_stage),
     ("mixing", mixing.mixing_stage),
+    ("packing", packing.packing_stage),
 ]
 
+#: SimHash and packing have no SQL form
 ORACLE_SQL = None
 
 
