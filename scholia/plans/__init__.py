@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import learning, review  # noqa: F401
+from . import exercises, ingest, learning, review  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
