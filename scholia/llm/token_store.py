@@ -70,7 +70,7 @@ def _chunked(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        code, press = coder(vocabulary), zstandard.ZstdCompressor(level=3)
+        code, press = coder(vocabulary), zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
-The tokenizer's rules never join characters across white space, so a text's ids are its words' ids in order. Each
-distinct word is encoded by the library once per worker and cache life; the cache is emptied when it is full.
+The tokenizer lowers letters, and its rules never join characters across white space or letters with marks, so a text's
+ids are the ids of its words' parts in order. Each distinct part is encoded by the library once per worker and cache
+life; the cache is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -12,16 +13,32 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 400_000
+JOINED = 1000
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
 class _Cache(dict):
+    """Word to number. ASCII letters count alike in either case, as the tokenizer lowers them; letters with one mark
+    behind them are put together from both. Words to encode wait in ``waiting``, pairs in ``pairs``."""
+
     def __init__(self):
         super().__init__()
-        self.waiting: list[bytes] = []
+        self.n = 0
+        self.waiting: list[tuple[int, bytes]] = []
+        self.pairs: list[tuple[int, int, int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        self.waiting.append(word)
+        low = word.lower()
+        if low != word and b"<" not in word:
+            self[word] = i = self[low]
+            return i
+        pair = (self[word[:-1]], self[word[-1:]]) if word[-1:] in MARKS and word[:-1].isalpha() else None
+        self[word] = i = self.n
+        self.n += 1
+        if pair:
+            self.pairs.append((i, *pair))
+        else:
+            self.waiting.append((i, word))
         return i
 
 
@@ -41,20 +58,34 @@ class Coder:
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self) -> None:
-        new, self.cache.waiting = self.cache.waiting, []
-        base = len(self.cache) - len(new)
-        got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        while base + len(new) > len(self.first):
+        new, pairs = self.cache.waiting, self.cache.pairs
+        self.cache.waiting, self.cache.pairs = [], []
+        while self.cache.n > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(n.sum()))
+        for at in range(0, len(new), JOINED):  # many words in one call; a token's place tells its word
+            part = [w.decode() for _, w in new[at : at + JOINED]]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            got = self.tok.encode(" ".join(part), add_special_tokens=False)
+            of = np.searchsorted(starts, np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), "right") - 1
+            self._keep([i for i, _ in new[at : at + JOINED]], np.bincount(of, minlength=len(part)), np.array(got.ids, np.uint32))
+        if pairs:
+            i, a, b = np.array(pairs).T
+            at = np.stack([a, b], 1).ravel()
+            self._keep(i, self.size[a] + self.size[b], self._of(at))
+
+    def _keep(self, index, n: np.ndarray, flat: np.ndarray) -> None:
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.size[base : base + len(new)] = n
-        self.first[base : base + len(new)] = self.n_ids + np.cumsum(n) - n
+        self.size[index] = n
+        self.first[index] = self.n_ids + np.cumsum(n) - n
         self.n_ids += len(flat)
 
+    def _of(self, p: np.ndarray) -> np.ndarray:
+        """Ids of the words numbered ``p``, one after another."""
+        n = self.size[p]
+        return self.ids[np.repeat(self.first[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and each text's first place in them (one place more than texts)."""
         if len(self.cache) > CACHE_WORDS:
@@ -64,14 +95,11 @@ class Coder:
             ws = t.encode().split() if t else []
             p = np.fromiter(map(self.cache.__getitem__, ws), np.int64, len(ws))
             places.append(p)
-        if self.cache.waiting:
+        if self.cache.waiting or self.cache.pairs:
             self._learn()
         out = []
         for p in places:
-            n = self.size[p]
-            total = int(n.sum())
-            at = np.repeat(self.first[p] - (np.cumsum(n) - n), n) + np.arange(total)
-            ids = self.ids[at]
+            ids = self._of(p)
             if end is not None:
                 ids = np.append(ids, np.uint32(end))
             out.append(ids)
