@@ -11,13 +11,23 @@ from scholia.sources.study import with_study
 
 from .registry import query
 
-ROLE_SQL = (
-    "list_min([" + ", ".join(
-        f"{{'s': -({' + '.join(f'len(regexp_extract_all(t, '(?im){p}'))' for p in roles.PATTERNS[r])}"
-        + (" + CASE WHEN (" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in roles.MATH_MARKS) + f") >= 3 OR (regexp_matches(t, '{roles.EQUATION}') AND length(t) < 1200) THEN 1 ELSE 0 END" if r == "formula" else "")
-        + (" + CASE WHEN len(regexp_extract_all(t, '(?im)" + roles.PATTERNS["theorem"][0] + "')) > 0 AND (" + " + ".join(f"len(regexp_extract_all(t, '(?im){p}'))" for p in roles.PATTERNS["proof"]) + ") > 0 THEN 1 ELSE 0 END" if r == "theorem" else "")
-        + f"), 'i': {i}, 'r': '{r}'}}" for i, r in enumerate(roles.PRIORITY)) + "])"
-)
+
+
+def _hits_sql(role: str) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all(t, '(?im){p}'))" for p in roles.PATTERNS[role]) + ")"
+
+
+def _role_sql() -> str:
+    marks = " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in roles.MATH_MARKS)
+    extra = {
+        "formula": f" + CASE WHEN ({marks}) >= 3 OR (regexp_matches(t, '{roles.EQUATION}') AND length(t) < 1200) THEN 1 ELSE 0 END",
+        "theorem": f" + CASE WHEN {_hits_sql('theorem')} > 0 AND {_hits_sql('proof')} > 0 THEN 1 ELSE 0 END",
+    }
+    scored = (f"{{'s': -({_hits_sql(r)}{extra.get(r, '')}), 'i': {i}, 'r': '{r}'}}" for i, r in enumerate(roles.PRIORITY))
+    return f"list_min([{', '.join(scored)}])"
+
+
+ROLE_SQL = _role_sql()
 WITH_ROLES = with_study("chunks", "sections") + f", classified AS (SELECT *, CASE WHEN b.s < 0 THEN b.r ELSE 'reference' END AS own_role FROM (SELECT *, {ROLE_SQL} AS b FROM (SELECT *, trim(content) AS t FROM chunks)))"
 PLACE_ROLE = "['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1]"
 
