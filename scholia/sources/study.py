@@ -59,7 +59,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part depends on the next part of its order."""
-    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source_id"), nxt.alias("target_id"), F.col("l_orderkey").alias("evidence"))
     return d.where("target_id is not null and source_id <> target_id").select("source_id", F.lit("depends_on").alias("relation"), "target_id", "evidence")
 
@@ -134,7 +134,7 @@ STUDY_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT word, count(DISTINCT chapter) AS n FROM words6 GROUP BY word ORDER BY n DESC, word LIMIT {N_CONCEPTS})"""),
     "occurrences": (("words6", "concepts"), """SELECT DISTINCT concept_id, canonical_name, book_id, chapter, chunk_id, chunk_index, page_idx, ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] AS role
         FROM words6 JOIN concepts ON word = canonical_name"""),
-    "relations": ((), """SELECT source_id, 'depends_on' AS relation, target_id, evidence FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target_id, l_orderkey AS evidence FROM lineitem)
+    "relations": ((), """SELECT source_id, 'depends_on' AS relation, target_id, evidence FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target_id, l_orderkey AS evidence FROM lineitem)
         WHERE target_id IS NOT NULL AND source_id <> target_id"""),
     "exercises": ((), "SELECT doc_id AS exercise_id, source AS book_id, text AS question_text, doc_id AS created_sec, ['new', 'practicing', 'needs_review', 'mastered'][doc_id % 4 + 1] AS status, [lang] AS tags FROM documents"),
     "reviews": ((), f"SELECT user_id, k % 10 AS card_id, ts, day, event_id, floor(value)::INT % 6 AS quality FROM {_EVENTS} WHERE event_type = 'purchase'"),
