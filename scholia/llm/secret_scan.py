@@ -3,12 +3,13 @@
 Method. Three patterns give the base spans. Two first-order character models are trained: one on the values that the
 base spans label as secrets, one on all other identifier-like words of the same documents. Any run of
 ``[A-Za-z0-9+/_=-]`` of MIN_RUN or more characters that meets no base span is added as kind ``random`` when its
-log-likelihood ratio, summed over character pairs, exceeds MARGIN. The models are counted by Spark over at most about
+log-likelihood ratio, summed over character pairs, exceeds MARGIN. Rare pairs lean on single characters, and the random
+model half on an even alphabet, since secrets come in more forms than the labelled ones. The models are counted by Spark over at most about
 TRAIN_DOCS documents, drawn by a hash of the id; what reaches the driver is one number for each pair of characters.
 
 Places of matches come from Spark functions alone: the text split by a pattern, and the matches, add up to offsets.
 
-Defined results: a null text is empty and has no span; without labelled secrets the random model is uniform; repeated
+Defined results: a null text is empty and has no span; without labelled secrets the random model is nearly uniform; repeated
 rows are scanned each; an empty table gives an empty result.
 """
 
@@ -34,7 +35,7 @@ MARGIN = 10.0
 TRAIN_DOCS = 20_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
-SMOOTHING = 0.5
+SMOOTHING, EASE = 0.5, 20.0
 MASK = "[SECRET]"
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
@@ -92,11 +93,14 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs:
     for row in counts.collect():  # at most 2 * SIDE * SIDE rows
         seen[row.random][row.pair] = float(row.n)
 
-    def log_p(c: list[float], pair: int) -> float:
-        row = c[pair // SIDE * SIDE :][:SIDE]
-        return math.log((c[pair] + SMOOTHING) / (sum(row) + SMOOTHING * SIDE))
+    def log_p(c: list[float], even: float) -> list[float]:
+        """Logarithms for all pairs: counts, eased towards single characters, and these by ``even`` towards all alike."""
+        total = sum(c)
+        alone = [(1 - even) * (sum(c[b::SIDE]) + SMOOTHING) / (total + SMOOTHING * SIDE) + even / SIDE for b in range(SIDE)]
+        first = [sum(c[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
+        return [math.log((c[p] + EASE * alone[p % SIDE]) / (first[p // SIDE] + EASE)) for p in range(SIDE * SIDE)]
 
-    return [round(log_p(seen[1], p) - log_p(seen[0], p), 6) for p in range(SIDE * SIDE)]
+    return [round(r - o, 6) for r, o in zip(log_p(seen[1], 0.5), log_p(seen[0], 0.0))]
 
 
 def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
