@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and Markov models of random strings and of ordinary identifiers.
 
 Method. Three patterns give the base spans. Two first-order character models are trained: one on the values that the
-base spans label as secrets, one on all other identifier-like words of the same documents. Any run of
+base spans label as secrets, one on the other identifier-like words of the same documents, those of letters alone or met REGULAR times. Any run of
 ``[A-Za-z0-9+/_=-]`` of MIN_RUN or more characters that meets no base span is added as kind ``random`` when its
 log-likelihood ratio, summed over character pairs, exceeds MARGIN. Rare pairs lean on single characters, and the random
 model half on an even alphabet, since secrets come in more forms than the labelled ones. The models are counted by Spark over at most about
@@ -36,6 +36,7 @@ TRAIN_DOCS = 20_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 SMOOTHING, EASE = 0.5, 20.0
+REGULAR = 3
 MASK = "[SECRET]"
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
@@ -87,6 +88,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs:
     secret = some.select("t", F.explode(base_spans(F.col("t"))).alias("s")).select("s", F.substring("t", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int")).alias("hit")).select(value.alias("word"))
     secret = secret.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     plain = some.select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(secret.select("word"), "word", "left_anti")
+    plain = plain.where(F.col("word").rlike("^[A-Za-z_/-]+$") | (F.col("n") >= REGULAR))  # a lone string of digits and letters has no label
     both = secret.select(F.lit(1).alias("random"), "word", "n").union(plain.select(F.lit(0), "word", "n"))
     counts = both.select("random", "n", F.explode(_pairs(F.col("word"))).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
     seen = [[0.0] * SIDE * SIDE for _ in range(2)]
