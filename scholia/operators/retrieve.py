@@ -68,31 +68,40 @@ def vector_search_by_chapter(queries: DataFrame, vectors: DataFrame, k: int = 5,
     return _best_chapters(d, "order", k, top_n)
 
 
+QUERY_BLOCK = 5_000
+
+
 def vector_topk_fast(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, vec_id, distance): matrix products over Arrow batches, a partial top k each, then one merge.
+    """(query_id, vec_id, distance, rank): matrix products over Arrow batches, a partial top k each, then one merge.
 
-    The queries are sent to every task, so their number is checked: at most 10,000.
+    The queries go to the tasks in blocks of about QUERY_BLOCK, dealt by a hash, one pass over the vectors for each block.
     """
-    rows = queries.select("query_id", "q").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("split the query set: at most 10,000 queries a run")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    part = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").collect()
+        if rows:
+            part = part.union(vectors.select("vec_id", "embedding").mapInPandas(_nearest(rows, k), "query_id long, vec_id long, distance double"))
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(rows: list, k: int):
     ids = np.array([r["query_id"] for r in rows])
-    q = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r["q"] for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b) or not len(ids):
+            if not len(b):
                 continue
             x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            d = 1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
             n = min(k, d.shape[1])
-            at = np.argpartition(d, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": b["vec_id"].to_numpy()[at.ravel()], "distance": np.round(np.take_along_axis(d, at, 1).ravel(), 6)})
+            order = np.lexsort((np.broadcast_to(b["vec_id"].to_numpy(), d.shape), d), axis=1)[:, :n]
+            yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": b["vec_id"].to_numpy()[order.ravel()], "distance": np.take_along_axis(d, order, 1).ravel()})
 
-    part = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return run
 
 
 def expand_neighbors(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:

@@ -29,6 +29,7 @@ def kg1_normalise_name(spark, sf_dir):
 
 @query()
 def kg2_cluster_concepts(spark, sf_dir):
+    """A chunk's first word stands for the name that its annotation proposes."""
     w = _words(spark, sf_dir).where("pos = 0").select("book_id", F.lower("word").alias("name"), (F.col("chapter").cast("long") * 1000 + F.col("chunk_index")).alias("pos"))
     return op.cluster_concepts(w)
 
@@ -48,11 +49,11 @@ def kg4_build_occurrences(spark, sf_dir):
     return op.build_occurrences(_words(spark, sf_dir).select("chunk_id", F.col("word").alias("name"), t.alias("content_type")), study.concepts(spark, sf_dir))
 
 
-@query(WORDS_SQL + """, o AS (SELECT concept_id, count(*) AS n, list_sort(list_distinct(list(role))) AS roles FROM occurrences WHERE length(concept_id) < 4 GROUP BY ALL)
+@query(WORDS_SQL + """, o AS (SELECT concept_id, count(*) AS n, list_sort(list_distinct(list(role))) AS roles FROM occurrences GROUP BY ALL)
 SELECT c.concept_id, coalesce(n, 0) AS n, coalesce(array_to_string(roles, ','), '') AS roles, CASE WHEN coalesce(n, 0) >= 3 AND list_contains(roles, 'definition') THEN 0.9 WHEN coalesce(n, 0) >= 2 THEN 0.7 WHEN coalesce(n, 0) = 1 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM concepts c LEFT JOIN o USING (concept_id)""")
 def kg5_merge_concepts(spark, sf_dir):
     c, o, _ = _all(spark, sf_dir)
-    return op.merge_concepts(c, o.where("length(concept_id) < 4")).select("concept_id", "n", F.array_join("roles", ",").alias("roles"), "confidence")
+    return op.merge_concepts(c, o).select("concept_id", "n", F.array_join("roles", ",").alias("roles"), "confidence")
 
 
 REL_SQL = ", r AS (SELECT DISTINCT word AS source, CASE WHEN pos % 7 = 0 THEN 'noise' ELSE 'depends_on' END AS relation, lead(word) OVER (PARTITION BY chunk_id ORDER BY pos) AS target, chunk_id AS evidence FROM w)"
@@ -175,11 +176,11 @@ def kg19_mine_definitions(spark, sf_dir):
     return op.mine_definitions(c, ch, "(is|ist|est)", "[.,;]")
 
 
-@query(WORDS_SQL + """, f AS (SELECT concept_id, min(book_id) AS book_id, min_by(chapter, (book_id, chapter)) AS chapter FROM occurrences WHERE length(concept_id) < 4 GROUP BY concept_id), p AS (SELECT concept_id, coalesce(book_id, '未分类') AS book_id, coalesce(chapter, '未分类') AS chapter FROM concepts LEFT JOIN f USING (concept_id))
+@query(WORDS_SQL + """, f AS (SELECT concept_id, min(book_id) AS book_id, min_by(chapter, (book_id, chapter)) AS chapter FROM occurrences GROUP BY concept_id), p AS (SELECT concept_id, coalesce(book_id, '未分类') AS book_id, coalesce(chapter, '未分类') AS chapter FROM concepts LEFT JOIN f USING (concept_id))
 SELECT 'root' AS parent, book_id AS child, 1 AS level FROM p UNION SELECT book_id, book_id || '/' || chapter, 2 FROM p UNION SELECT book_id || '/' || chapter, concept_id, 3 FROM p""")
 def kg20_concept_tree(spark, sf_dir):
     c, o, _ = _all(spark, sf_dir)
-    first = o.where("length(concept_id) < 4").groupBy("concept_id").agg(F.min("book_id").alias("book_id"), F.min_by("chapter", F.struct("book_id", "chapter")).alias("chapter"))
+    first = o.groupBy("concept_id").agg(F.min("book_id").alias("book_id"), F.min_by("chapter", F.struct("book_id", "chapter")).alias("chapter"))
     return op.concept_tree(c, first)
 
 

@@ -48,7 +48,7 @@ def rt3_bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "chunk_id", "rank", "score")
 
 
-VEC_SQL = """WITH e AS (SELECT vec_id, embedding, label AS chapter, label / 10.0::DOUBLE AS rag_priority FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < 400),
+VEC_SQL = """WITH e AS (SELECT vec_id, embedding, label AS chapter, label / 10.0::DOUBLE AS rag_priority FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT query_id, vec_id, chapter, rag_priority, round(1 - list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS distance FROM e, q)"""
 BEST_SQL = """, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chapter ORDER BY o, vec_id) AS in_chapter, min(o) OVER (PARTITION BY query_id, chapter) AS best FROM x), r AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best, chapter) AS chapter_rank FROM b)
 SELECT query_id, chapter, vec_id, distance, o AS ordered_by, chapter_rank, in_chapter FROM r WHERE in_chapter <= 5 AND chapter_rank <= 3"""
@@ -56,7 +56,7 @@ SELECT query_id, chapter, vec_id, distance, o AS ordered_by, chapter_rank, in_ch
 
 def _vectors(spark, sf_dir):
     e = study.table(spark, sf_dir, "embeddings").withColumn("book_id", F.lit("all"))
-    q = e.where("vec_id % 20 = 0 and vec_id < 400").select(F.col("vec_id").alias("query_id"), "book_id", F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "book_id", F.col("embedding").alias("q"))
     return q, e.select("book_id", "vec_id", "embedding", F.col("label").alias("chapter"), (F.col("label") / 10.0).alias("rag_priority"))
 
 
