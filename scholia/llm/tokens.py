@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
 The tokenizer lowers letters, and its rules never join characters across white space or letters with marks, so a text's
-ids are the ids of its words' parts in order. Each distinct part is encoded by the library once per worker and cache
-life; the cache is emptied when it is full.
+ids are the ids of its words' parts in order. Each distinct part is encoded by the library once per worker while it stays
+in the cache; a full cache keeps the words it met first.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import os
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+CACHE_KEPT = 150_000
 JOINED = 1000
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 
@@ -57,6 +58,17 @@ class Coder:
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _trim(self) -> None:
+        """Keeps the words met first, which are mostly the frequent ones."""
+        n = min(CACHE_KEPT, self.cache.n)
+        ids, size = self._of(np.arange(n)), self.size[:n].copy()
+        kept = {w: i for w, i in self.cache.items() if i < n}
+        self._clear()
+        self.cache.update(kept)
+        self.cache.n = n
+        self.first, self.size = (np.resize(x, max(len(x), 2 * n)) for x in (self.first, self.size))
+        self._keep(np.arange(n), size, ids)
+
     def _learn(self) -> None:
         new, pairs = self.cache.waiting, self.cache.pairs
         self.cache.waiting, self.cache.pairs = [], []
@@ -89,7 +101,7 @@ class Coder:
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and each text's first place in them (one place more than texts)."""
         if len(self.cache) > CACHE_WORDS:
-            self._clear()
+            self._trim()
         places, sizes = [], []
         for t in texts:
             ws = t.encode().split() if t else []
