@@ -145,11 +145,12 @@ def pending_chunks(chunks: DataFrame, done: DataFrame, least: int = 40) -> DataF
 
 def link_concepts(texts: DataFrame, concepts: DataFrame, base: float = 0.78, most: int = 20, top: int = 8, radius: int = 80) -> DataFrame:
     """Mentions of concepts in texts (text_id, text): the longest name found, its confidence and the text around it."""
-    a = concepts.select("concept_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("term")).where(F.length("term") >= 2)
-    d = texts.withColumn("low", F.lower("text"))
-    d = d.join(F.broadcast(a) if a.count() <= 100_000 else a, F.contains("low", F.lower("term")))
-    g = d.groupBy("text_id", "concept_id", "canonical_name").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"), F.first("text").alias("text"))
+    a = concepts.select("concept_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("term")).where(F.length("term") >= 2).withColumn("low_term", F.lower("term"))
+    d = texts.select("text_id", F.lower("text").alias("low"))
+    d = d.join(F.broadcast(a) if a.count() <= 100_000 else a, F.contains("low", "low_term"))
+    g = d.groupBy("text_id", "concept_id", "canonical_name").agg(F.max(F.struct(F.length("term"), "term"))["term"].alias("term"))
     g = g.withColumn("n", F.row_number().over(Window.partitionBy("text_id").orderBy("concept_id"))).where(F.col("n") <= most)
+    g = g.join(texts.select("text_id", "text"), "text_id")
     g = g.withColumn("confidence", F.round(F.least(F.lit(1.0), F.lit(base) + F.least(F.lit(0.12), F.length("term") / 80)), 6))
     at = F.position(F.lower("term"), F.lower("text"))
     start = F.greatest(F.lit(1), at - radius)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as ft
 from scholia.operators import evaluate as ev
 from scholia.operators import retrieve as op
-from scholia.sources import study
+from scholia.sources import study, tables
 from scholia.sources.study import with_study
 
 from .registry import query
@@ -28,7 +28,17 @@ def _queries(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    return op.bm25_search(_queries(spark, sf_dir), *op.build_postings(study.chunks(spark, sf_dir)))
+    return op.bm25_search(_queries(spark, sf_dir), *_index(spark, sf_dir))
+
+
+def _index(spark, sf_dir):
+    """The lexical index, written once: each search reads it instead of the texts."""
+    written = []
+    for name, d in zip(("postings", "book-stats"), op.build_postings(study.chunks(spark, sf_dir))):
+        path = tables.scratch(spark, name)
+        d.write.parquet(path)
+        written.append(spark.read.schema(d.schema).parquet(path))
+    return written
 
 
 @query(f"SELECT doc_id, len(ts) AS n, len(list_distinct(ts)) AS distinct_n, coalesce(array_to_string(ts[1:5], ' '), '') AS head FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS ts FROM documents)")

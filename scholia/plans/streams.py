@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from scholia.sources import study, tables
@@ -15,22 +12,11 @@ from .registry import query
 from .review import CARDS_SQL
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that executors share; local sessions without one use a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-scholia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT page_id % 50 AS book, count(*) AS items, sum(length(trim(text)))::BIGINT AS chars FROM (" + study.STUDY_SQL["pages_items"][1] + ") WHERE trim(text) <> '' GROUP BY 1")
 def io1_read_ocr_content(spark, sf_dir):
     """Page items written as one JSON array a book, then read as OCR content."""
     i = study.pages_items(spark, sf_dir).where(F.trim("text") != "").withColumn("book", F.col("page_id") % 50)
-    path = scratch(spark, "ocr-content")
+    path = tables.scratch(spark, "ocr-content")
     listed = F.array_sort(F.collect_list(F.struct("page_id", "pos", "type", "text")))
     js = i.groupBy("book").agg(F.to_json(F.transform(listed, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"), x["pos"].alias("page_idx")))).alias("value"))
     js.repartition("book").write.partitionBy("book").text(path)
@@ -43,7 +29,7 @@ def io2_read_ocr_middle(spark, sf_dir):
     """Documents as page trees (a line a span), flattened again."""
     d = study.table(spark, sf_dir, "documents")
     tree = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("page_idx"), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("text").alias("type"), F.array(F.struct(F.array(F.struct(x.alias("content"))).alias("spans"))).alias("lines"))).alias("para_blocks"))).alias("pdf_info")))
-    path = scratch(spark, "ocr-middle")
+    path = tables.scratch(spark, "ocr-middle")
     d.select("source", tree.alias("value")).write.partitionBy("source").text(path)
     m = spark.read.schema("value string, source string").text(path).select("source", F.from_json("value", tables.MIDDLE).alias("m"))
     b = m.select("source", F.explode(F.flatten(F.transform("m.pdf_info", lambda p: p["para_blocks"]))).alias("b"))
@@ -53,28 +39,28 @@ def io2_read_ocr_middle(spark, sf_dir):
 
 @query(with_study("chunks") + " SELECT chunk_id, book_id, CASE chunk_index % 2 WHEN 0 THEN 'derivation' ELSE 'reference' END AS role, -1 AS page_idx, 1.0::DOUBLE AS rag_priority, length(content) AS chars FROM chunks")
 def io3_read_chunk_jsonl(spark, sf_dir):
-    c, path = study.chunks(spark, sf_dir), scratch(spark, "chunk-lines")
+    c, path = study.chunks(spark, sf_dir), tables.scratch(spark, "chunk-lines")
     c.select("chunk_id", F.col("content").alias("text"), F.when(F.col("chunk_index") % 2 == 0, "formula").otherwise("text").alias("role"), "book_id").write.json(path)
     return tables.read_chunk_jsonl(spark, path).select("chunk_id", "book_id", "role", "page_idx", "rag_priority", F.length("text").alias("chars"))
 
 
 @query("SELECT count(*) AS lines, sum(length(x))::BIGINT AS chars FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents) WHERE x <> ''")
 def io4_read_markdown(spark, sf_dir):
-    path = scratch(spark, "markdown")
+    path = tables.scratch(spark, "markdown")
     study.table(spark, sf_dir, "documents").select(F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value")).write.text(path)
     return tables.read_markdown(spark, path).where("text <> ''").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(with_study("chunks") + " SELECT chunk_id, book_id, length(content) AS chars FROM chunks WHERE book_id = 'src5'")
 def io5_write_read_table(spark, sf_dir):
-    path = scratch(spark, "chunks")
+    path = tables.scratch(spark, "chunks")
     tables.write_table(study.chunks(spark, sf_dir), path, "book_id")
     return tables.read_table(spark, path).where("book_id = 'src5'").select("chunk_id", "book_id", F.length("content").alias("chars"))
 
 
 def _event_stream(spark, sf_dir):
     schema = study.table(spark, sf_dir, "events").schema
-    path = scratch(spark, "events")
+    path = tables.scratch(spark, "events")
     study.table(spark, sf_dir, "events").write.parquet(path)
     s = spark.readStream.schema(schema).parquet(path)
     return s.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
@@ -84,16 +70,16 @@ def _event_stream(spark, sf_dir):
 def st1_stream_events(spark, sf_dir):
     """The events twice over, as a stream: each id comes out once."""
     e = _event_stream(spark, sf_dir)
-    path = scratch(spark, "log")
-    st.run_to_table(st.stream_events(e.union(e), "60 days").select("id", "user_id", "event_type"), path, scratch(spark, "state"))
+    path = tables.scratch(spark, "log")
+    st.run_to_table(st.stream_events(e.union(e), "60 days").select("id", "user_id", "event_type"), path, tables.scratch(spark, "state"))
     return spark.read.schema("id long, user_id long, event_type string").parquet(path)
 
 
 @query("SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL HAVING ts::DATE < (SELECT max(ts)::DATE - 1 FROM events)".replace("GROUP BY ALL HAVING ts::DATE <", "WHERE ts::DATE <") + " GROUP BY ALL")
 def st2_stream_daily_counts(spark, sf_dir):
     """Days that the watermark, a day behind the newest event, has passed."""
-    path = scratch(spark, "days")
-    st.run_to_table(st.stream_daily_counts(_event_stream(spark, sf_dir)), path, scratch(spark, "state"))
+    path = tables.scratch(spark, "days")
+    st.run_to_table(st.stream_daily_counts(_event_stream(spark, sf_dir)), path, tables.scratch(spark, "state"))
     return spark.read.schema("day date, event_type string, n long").parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
@@ -102,12 +88,12 @@ def st3_stream_reviews(spark, sf_dir):
     """Review state from the stream of purchases, the last row of each card."""
     e = _event_stream(spark, sf_dir).where("event_type = 'purchase'")
     r = e.select("user_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("card_id"), F.col("id").alias("seq"), (F.floor("value") % 6).cast("int").alias("quality"))
-    path = scratch(spark, "cards")
+    path = tables.scratch(spark, "cards")
 
     def keep(batch, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
 
-    q = st.stream_reviews(r).writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
+    q = st.stream_reviews(r).writeStream.outputMode("update").option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
     d = spark.read.schema(f"{st.OUT}, batch int").parquet(path)
     last = d.groupBy("user_id", "card_id").agg(F.max_by(F.struct("easiness", "interval", "repetitions"), "batch").alias("s"))
