@@ -172,3 +172,16 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+OP6_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}
+), r AS (
+  SELECT vec_id AS v, vec_id AS m FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v
+)
+SELECT v AS vec_id, coalesce(n, 0)::BIGINT AS n_links, min(m) AS component_id, v = min(m) AS kept FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a = v GROUP BY v, n
+"""

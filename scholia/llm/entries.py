@@ -22,5 +22,6 @@ SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
