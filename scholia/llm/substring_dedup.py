@@ -34,7 +34,7 @@ from .recompression import mixed, rounds, window_symbols
 WIDTH = 13
 ROUNDS = 5
 SAMPLE_DOCS = 4000
-LISTED = 0.002
+LISTED = 0.005
 BATCH_CHARS = 3_000_000
 STRETCH = 63
 PLACE_BITS = 6
