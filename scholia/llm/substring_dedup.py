@@ -32,7 +32,7 @@ from .common import WORD, read, staged
 from .recompression import mixed, rounds, window_symbols
 
 WIDTH = 13
-ROUNDS = 5
+ROUNDS = 4
 SAMPLE_DOCS = 4000
 LISTED = 0.005
 BATCH_CHARS = 3_000_000
