@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,84 @@ def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: in
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+SCORES = 2_000_000
+WEIGHTS = 2_000_000
+
+
+def bm25_search_all(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "word") -> DataFrame:
+    """Best ``k`` chunks of each query (query_id, text) over the chunks of every book, those without a name included.
+
+    Blocks of QUERY_BLOCK queries go over the chunks, and over blocks of books where their words' weights are more than
+    WEIGHTS. A task scores its chunks against the block's queries and gives each query's best; all books are ranked together.
+    """
+    sc = queries.sparkSession.sparkContext
+    q = queries.select("query_id", F.explode(ft.tokens(F.col("text"), mode)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    t = chunks.select("book_id", "chapter", "chunk_id", "chunk_index", ft.tokens(F.col("content"), mode).alias("ts"))
+    stats = t.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    n_books = stats.count()
+    out = "query_id long, book_id string, chapter string, chunk_id string, chunk_index int, s double"
+    found = queries.sparkSession.createDataFrame([], out)
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for i in range(query_blocks):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)) == i).toPandas()
+        if not len(rows):
+            continue
+        ids, at = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+        names, term = np.unique(rows["term"].to_numpy(str), return_inverse=True)
+        o = np.argsort(term, kind="stable")
+        asked = (ids, pa.array(names.tolist()), np.searchsorted(term[o], np.arange(len(names) + 1)), at[o], rows["qtf"].to_numpy(float)[o])
+        vocabulary = F.broadcast(queries.sparkSession.createDataFrame([(x, j) for j, x in enumerate(names.tolist())], "term string, no int"))  # words of one block of queries
+        book_blocks = max(1, -(-n_books * len(names) // WEIGHTS))
+        for j in range(book_blocks):
+            mine = F.pmod(F.xxhash64("book_id"), F.lit(book_blocks)) == j
+            df = t.where(mine).select("book_id", F.explode(F.array_distinct("ts")).alias("term")).join(vocabulary, "term").groupBy("book_id", "no").agg(F.count(F.lit(1)).alias("df"))
+            books = {r["book_id"]: (b, r["n"], max(r["avgdl"], 1.0)) for b, r in enumerate(stats.where(mine).collect())}
+            idf = np.zeros((len(books), len(names)))
+            d = df.toPandas()
+            own = [books[None if pd.isna(x) else x] for x in d["book_id"]]
+            n, m = np.array([x[1] for x in own], float), d["df"].to_numpy(float)
+            idf[np.array([x[0] for x in own], int), d["no"].to_numpy(int)] = np.log(1 + (n - m + 0.5) / (m + 0.5))
+            sent = sc.broadcast((*asked, {x: v[0] for x, v in books.items()}, idf, np.array([v[2] for v in books.values()])))
+            found = found.union(t.where(mine).mapInArrow(_best_of(sent, k), out))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chapter"), F.desc("chunk_index"))
+    return found.withColumn("score", F.round("s", 6)).where("score > 0").drop("s").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best_of(sent, k: int):
+    """Chunks that may be among a query's best ``k``: at least as good, to six digits, as the k-th of the rows so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, begin, query, qtf, books, idf, avgdl = sent.value
+        least = np.zeros(len(ids))
+        step = max(1, SCORES // len(ids))
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                b = whole.slice(first, step)
+                dl = pc.fill_null(pc.list_value_length(b["ts"]), 0).to_numpy(zero_copy_only=False)
+                t = pc.fill_null(pc.index_in(b["ts"].flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(b.num_rows), dl)[t >= 0]
+                key, tf = np.unique(row * len(names) + t[t >= 0], return_counts=True)
+                row, t = key // len(names), key % len(names)
+                book = np.array([books[x] for x in b["book_id"].to_pylist()], int)[row]
+                part = idf[book, t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl[book]))
+                n = begin[t + 1] - begin[t]
+                each = np.repeat(begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                s = np.bincount(np.repeat(row, n) * len(ids) + query[each], np.repeat(part, n) * qtf[each], b.num_rows * len(ids)).astype(float).reshape(b.num_rows, len(ids))
+                if b.num_rows >= k:
+                    least = np.maximum(least, np.partition(s, b.num_rows - k, axis=0)[b.num_rows - k])
+                r, c = np.nonzero((s > 0) & (s >= least - 2e-6))
+                kept = b.select(["book_id", "chapter", "chunk_id", "chunk_index"]).take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[c]), *kept.columns, pa.array(s[r, c])], ["query_id", *kept.schema.names, "s"])
+
+    return run
+
+
+def gold_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks of any book that hold a query's whole text."""
+    q = queries.select("query_id", F.col("text").alias("passage"))
+    return chunks.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains("content", "passage")).select("query_id", "chunk_id")
+
+
 def _distance(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.round(1 - dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b))), 6)

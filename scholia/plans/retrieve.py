@@ -58,6 +58,28 @@ def rt3_bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "chunk_id", "rank", "score")
 
 
+# each benchmark passage is asked of every book
+BM25_ALL_SQL = with_study("chunks") + f""", q AS (SELECT item_id AS query_id, text FROM benchmark),
+t AS (SELECT book_id, chapter, chunk_id, chunk_index, {TOKENS_SQL.format('content')} AS ts FROM chunks), stats AS (SELECT book_id, count(*) AS n, avg(len(ts)) AS avgdl FROM t GROUP BY book_id),
+post AS (SELECT book_id, term, chapter, chunk_id, chunk_index, dl, count(*) AS tf FROM (SELECT book_id, chapter, chunk_id, chunk_index, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
+df AS (SELECT book_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM q) GROUP BY ALL),
+s AS (SELECT query_id, p.book_id, p.chapter, chunk_id, chunk_index, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))), 6) AS score
+  FROM qt JOIN df USING (term) JOIN stats ON stats.book_id IS NOT DISTINCT FROM df.book_id JOIN post p ON p.book_id IS NOT DISTINCT FROM df.book_id AND p.term = qt.term GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter DESC, chunk_index DESC) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
+
+
+@query(BM25_ALL_SQL + " SELECT query_id, chunk_id, rank, score FROM bm")
+def rt3_bm25_search_all(spark, sf_dir):
+    """Over all books; ``rt3_bm25_search`` is held to one book a question by its SQL."""
+    return op.bm25_search_all(study.queries(spark, sf_dir), study.chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank", "score")
+
+
+@query(BM25_ALL_SQL + " SELECT query_id, chunk_id FROM q JOIN chunks c ON contains(c.content, q.text)")
+def ev2_gold_all(spark, sf_dir):
+    """Gold of all books by the whole passage."""
+    return op.gold_chunks(study.queries(spark, sf_dir), study.chunks(spark, sf_dir))
+
+
 VEC_SQL = """WITH e AS (SELECT vec_id, embedding, label AS chapter, label / 10.0::DOUBLE AS rag_priority FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT query_id, vec_id, chapter, rag_priority, round(1 - list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS distance FROM e, q)"""
 BEST_SQL = """, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chapter ORDER BY o, vec_id) AS in_chapter, min(o) OVER (PARTITION BY query_id, chapter) AS best FROM x), r AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best, chapter) AS chapter_rank FROM b)
