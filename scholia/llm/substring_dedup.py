@@ -38,6 +38,7 @@ LISTED = 0.005
 BATCH_CHARS = 3_000_000
 STRETCH = 63
 PLACE_BITS = 6
+MOST_IDS = 100_000
 
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
@@ -184,7 +185,7 @@ def frequent(docs: DataFrame) -> Frequent:
 
 
 def _reveal(sent):
-    """Rows (key, kind, doc_id, place): kind 0 a symbol's stretch, 1 the same of a frequent symbol, 2 a frequent window."""
+    """Rows (key, kind, doc_id, row, place): kind 0 a symbol's stretch, 1 the same of a frequent symbol, 2 a frequent window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
@@ -192,7 +193,7 @@ def _reveal(sent):
             names, begin, doc, starts = _parsed(b)
             if not len(starts):
                 continue
-            ids = b["doc_id"].to_numpy()
+            ids, own = b["doc_id"].to_numpy(), b["row"].to_numpy()
             symbol = window_symbols(rounds(names, doc, ROUNDS), WIDTH)
             first, n = _stretches(symbol, doc, starts)
             d = ids[doc[first]]
@@ -212,9 +213,10 @@ def _reveal(sent):
                     pa.array(np.concatenate([key.view(np.int64), number[o]])),
                     pa.array(np.concatenate([often.astype(np.int32), np.full(len(o), 2, np.int32)])),
                     pa.array(np.concatenate([d, ids[doc[starts[o]]]])),
+                    pa.array(np.concatenate([own[doc[first]], np.zeros(len(o), np.int64)])),
                     pa.array(np.concatenate([place, np.zeros(len(o), np.int64)])),
                 ],
-                ["key", "kind", "doc_id", "place"],
+                ["key", "kind", "doc_id", "row", "place"],
             )
 
     return run
@@ -237,11 +239,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[at[:-1]] = True
         doc = np.where(kind == 2, np.repeat(low, size), doc)
         keep = np.flatnonzero(keep | (first & (kind == 2)))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), *(pa.array(t[c].to_numpy()[keep]) for c in ("kind", "key", "place"))], ["doc_id", "kind", "key", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), *(pa.array(t[c].to_numpy()[keep]) for c in ("row", "kind", "key", "place"))], ["doc_id", "row", "kind", "key", "place"])
 
 
 def _asked(sent, hot):
-    """Rows (key, doc_id, place, windows) of a document's stretches: its windows' hashes, by symbol or second hash."""
+    """Rows (key, doc_id, row, place, windows) of a document's stretches: its windows' hashes, by symbol or second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
@@ -255,14 +257,14 @@ def _asked(sent, hot):
                 kind, key, place = (flat.field(i).to_numpy() for i in range(3))
                 at = np.repeat(begin, per) + (place >> PLACE_BITS)
                 n = place & ((1 << PLACE_BITS) - 1)
-                ids = np.repeat(b["doc_id"].to_numpy(), per)
+                ids, own = np.repeat(b["doc_id"].to_numpy(), per), np.repeat(b["row"].to_numpy(), per)
                 one = kind == 1
                 # stretches of frequent symbols go window by window, frequent windows not at all
                 wide = np.repeat(at[one], n[one]) + np.arange(int(n[one].sum())) - np.repeat(np.cumsum(n[one]) - n[one], n[one])
-                wide_ids, wide_place = np.repeat(ids[one], n[one]), wide - np.repeat(np.repeat(begin, per)[one], n[one])
+                wide_ids, wide_own, wide_place = np.repeat(ids[one], n[one]), np.repeat(own[one], n[one]), wide - np.repeat(np.repeat(begin, per)[one], n[one])
                 if len(wide):
                     rest = f.number(names, w)[wide] < 0
-                    wide, wide_ids, wide_place = wide[rest], wide_ids[rest], wide_place[rest]
+                    wide, wide_ids, wide_own, wide_place = wide[rest], wide_ids[rest], wide_own[rest], wide_place[rest]
                 raw = w.tobytes()
                 at, n = at[~one], n[~one]
                 packed = [raw[8 * a : 8 * (a + k)] for a, k in zip(at.tolist(), n.tolist())] + [raw[8 * a : 8 * a + 8] for a in wide.tolist()]
@@ -270,24 +272,25 @@ def _asked(sent, hot):
                     [
                         pa.array(np.concatenate([key[~one], second_hashes(names, wide).view(np.int64)]) if len(wide) else key[~one]),
                         pa.array(np.concatenate([ids[~one], wide_ids])),
+                        pa.array(np.concatenate([own[~one], wide_own])),
                         pa.array(np.concatenate([place[~one] >> PLACE_BITS, wide_place])),
                         pa.array(packed, pa.binary()),
                     ],
-                    ["key", "doc_id", "place", "windows"],
+                    ["key", "doc_id", "row", "place", "windows"],
                 )
 
     return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: (doc_id, place, n) of stretches of windows that a smaller document has."""
+    """Of rows sorted by key: (doc_id, row, place, n) of stretches of windows that a smaller document has."""
     for t, at in whole_groups(batches, ["key"], 50_000):
         raw = t["windows"].to_pylist()
         n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
         w = np.frombuffer(b"".join(raw), np.uint64)
         row = np.repeat(np.arange(len(raw)), n)
         group = np.repeat(np.repeat(np.arange(len(at) - 1), np.diff(at)), n)
-        doc, place = t["doc_id"].to_numpy(), t["place"].to_numpy()
+        doc, own, place = t["doc_id"].to_numpy(), t["row"].to_numpy(), t["place"].to_numpy()
         d = doc[row]
         o = np.lexsort((d, w, group))
         new = np.append(True, (w[o][1:] != w[o][:-1]) | (group[o][1:] != group[o][:-1])) if len(o) else np.zeros(0, bool)
@@ -300,7 +303,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = k[start]
             size = np.diff(np.append(np.flatnonzero(start), len(k)))
             nth = s - (np.cumsum(n) - n)[row[s]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[s]]), pa.array(place[row[s]] + nth), pa.array(size)], ["doc_id", "place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[s]]), pa.array(own[row[s]]), pa.array(place[row[s]] + nth), pa.array(size)], ["doc_id", "row", "place", "n"])
 
 
 def _dropped(sent, hot_sent):
@@ -342,26 +345,36 @@ def _dropped(sent, hot_sent):
     return run
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """Beside doc_id a row key: a hash of the text where unequal texts have one id, else 0, which takes hardly any room."""
+    of = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several"))
+    several = staged(several, "repeated-ids")
+    small = several.count() <= MOST_IDS
+    docs = docs.join(F.broadcast(several) if small else several, "doc_id", "left")
+    return docs.select("doc_id", "text", F.when(F.col("several"), of).otherwise(F.lit(0)).cast("long").alias("row"))
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the remaining words joined by one space. Takes doc_id and text."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     known = docs.where("doc_id is not null and text is not null")
     f = frequent(known)
     sent = sc.broadcast(f)
-    rows = known.mapInArrow(_reveal(sent), "key long, kind int, doc_id long, place long")
+    rows = known.mapInArrow(_reveal(sent), "key long, kind int, doc_id long, row long, place long")
     rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    found = staged(rows.mapInArrow(_shared, "doc_id long, kind int, key long, place long"), "substrings")
+    found = staged(rows.mapInArrow(_shared, "doc_id long, row long, kind int, key long, place long"), "substrings")
     least = np.full(len(f.windows), np.iinfo(np.int64).max)
     for r in found.where("kind = 2").groupBy("key").agg(F.min("doc_id").alias("d")).collect():  # one row a listed window
         least[r["key"]] = r["d"]
     hot = sc.broadcast(least)
-    lists = found.where("kind < 2").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "place")).alias("found"))
-    asked = known.join(lists, "doc_id").mapInArrow(_asked(sent, hot), "key long, doc_id long, place long, windows binary")
+    lists = found.where("kind < 2").groupBy("doc_id", "row").agg(F.collect_list(F.struct("kind", "key", "place")).alias("found"))
+    asked = known.join(lists, ["doc_id", "row"]).mapInArrow(_asked(sent, hot), "key long, doc_id long, row long, place long, windows binary")
     asked = asked.repartition("key").sortWithinPartitions("key")
-    again = asked.mapInArrow(_verified, "doc_id long, place long, n long")
-    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("again"))
-    both = docs.join(again, "doc_id", "left").select("doc_id", "text", "again")
+    again = asked.mapInArrow(_verified, "doc_id long, row long, place long, n long")
+    again = again.groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "n")).alias("again"))
+    both = docs.join(again, ["doc_id", "row"], "left").select("doc_id", "text", "again")
     return both.mapInArrow(_dropped(sent, hot), "doc_id long, n_words long, n_removed long, kept string")
 
 
