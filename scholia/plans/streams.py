@@ -11,15 +11,17 @@ from scholia.streaming import reviews as st
 from .registry import query
 from .review import CARDS_SQL
 
+PAGES_A_FILE = 100
+
 
 @query("SELECT page_id % 50 AS book, count(*) AS items, sum(length(trim(text)))::BIGINT AS chars FROM (" + study.STUDY_SQL["pages_items"][1] + ") WHERE trim(text) <> '' GROUP BY 1")
 def io1_read_ocr_content(spark, sf_dir):
-    """Page items written as one JSON array a book, then read as OCR content."""
-    i = study.pages_items(spark, sf_dir).where(F.trim("text") != "").withColumn("book", F.col("page_id") % 50)
+    """Page items written as JSON arrays, one a run of at most PAGES_A_FILE pages of a book, then read as OCR content."""
+    i = study.pages_items(spark, sf_dir).where(F.trim("text") != "").withColumn("book", F.col("page_id") % 50).withColumn("run", F.floor(F.col("page_id") / (50 * PAGES_A_FILE)))
     path = tables.scratch(spark, "ocr-content")
     listed = F.array_sort(F.collect_list(F.struct("page_id", "pos", "type", "text")))
-    js = i.groupBy("book").agg(F.to_json(F.transform(listed, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"), x["pos"].alias("page_idx")))).alias("value"))
-    js.repartition("book").write.partitionBy("book").text(path)
+    js = i.groupBy("book", "run").agg(F.to_json(F.transform(listed, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"), x["pos"].alias("page_idx")))).alias("value"))
+    js.repartition("book", "run").write.partitionBy("book", "run").text(path)
     d = tables.read_ocr_content(spark, path)
     return d.groupBy("book").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars"))
 
