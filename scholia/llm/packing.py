@@ -1,8 +1,8 @@
 """Best-fit packing by length patterns.
 
 Method. Documents longer than a sequence are cut; the lengths of all pieces make a histogram of at most ``size`` numbers.
-Patterns of two or three lengths that fill a sequence exactly are enumerated, their repeat counts are fitted to the
-histogram by non-negative least squares, rounded and limited to what is there. What is left is packed best fit, longest
+Patterns of two or three lengths that fill a sequence exactly are enumerated (of the triples with one longest length at most
+PER_LENGTH, spread evenly over the middle lengths), their repeat counts are fitted to the histogram by non-negative least squares, rounded and limited to what is there. What is left is packed best fit, longest
 first, on the histogram. The plan is a short table: runs of pieces of one length, by rank, and where they go. Pieces
 get ranks within their length by salted counts, so a common length is no big task, and look their place up.
 
@@ -24,42 +24,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, staged
-from .tokens import VOCABULARY, coder
+from .tokens import VOCABULARY, batches_by_size, coder
 
 SIZE = 4096
 END_ID = 1
-BATCH_DOCS = 256
+#: Patterns tried for each longest length: with 4,096 lengths there are some 2.8 million triples, and the fit needs but a spread of
+#: them. It bounds the plan, not the pieces: what no pattern takes is packed best fit.
 PER_LENGTH = 24
 ROUNDS = 150
 ROWS_PER_SALT = 50_000
 LEAST_SALTS = 64
-PIECE = "row_key long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
+PIECE = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(vocabulary: str, end_id: int, size: int):
+def _cut(vocabulary: str, end_id: int, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(vocabulary)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_DOCS):
-                b = whole.slice(at, BATCH_DOCS)
-                ids, starts = code.encode(b["text"].to_pylist(), end_id)
-                raw, rows = ids.astype("<u4").tobytes(), []
-                for k, (key, doc) in enumerate(zip(b["row_key"].to_pylist(), b["doc_id"].to_pylist(), strict=True)):
-                    first, last = int(starts[k]), int(starts[k + 1])
-                    for i, s in enumerate(range(first, last, size)):
-                        part = raw[4 * s : 4 * min(s + size, last)]
-                        rows.append((key, doc, i, s - first, len(part) // 4, part, zlib.crc32(part)))
-                cols = list(zip(*rows)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_key", "doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+            for b in batches_by_size(whole):
+                ids, starts = code.encode(b["text"], end_id)
+                n = np.diff(starts)
+                pieces = -(-n // size)
+                doc = np.repeat(np.arange(len(n)), pieces)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = nth * size
+                length = np.minimum(size, n[doc] - start)
+                raw, first = memoryview(ids.astype("<u4").tobytes()), (4 * (starts[doc] + start)).tolist()
+                parts = [raw[a : a + k] for a, k in zip(first, (4 * length).tolist())]
+                at = pa.array(doc)
+                cols = [b["row_key"].take(at), b["doc_id"].take(at), pa.array(nth.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                names = ["row_key", "doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def cut_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, size: int = SIZE) -> DataFrame:
-    """One row per piece, written once: row_key, doc_id, piece, start, length, ids (little-endian), ids_crc32."""
+def cut_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+    """One row per piece, written once: row_key, doc_id, piece, start, length, ids_crc32 and, where asked for, ids (little-endian)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return staged(rows.mapInArrow(_cut(vocabulary, end_id, size), PIECE), "pieces")
+    return staged(rows.mapInArrow(_cut(vocabulary, end_id, size, with_ids), PIECE + (", ids binary" if with_ids else "")), "pieces")
 
 
 def patterns(hist: np.ndarray) -> np.ndarray:
@@ -187,18 +192,27 @@ def place_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.mapInArrow(look, ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long"))
 
 
-def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its pieces' ids (little-endian, 4 bytes each) in order."""
-    both = placed.select("row_key", "piece", "sequence_id", "offset").join(pieces.select("row_key", "piece", "ids"), ["row_key", "piece"])
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return both.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+def with_ids(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``placed`` with the ids of each piece."""
+    return placed.join(pieces.select("row_key", "piece", "ids"), ["row_key", "piece"])
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """The packed sequences themselves, of placed pieces with ids: sequence_id and its pieces' ids in order."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # pieces of one sequence: at most its length
+    return placed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = cut_pieces(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return place_pieces(pieces.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = cut_pieces(read(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
+    return place_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: its place and its ids; ``sequences`` joins those of one sequence_id.
+
+    Copies of a document have one doc_id and are told apart by row_key. Null texts have the end id only; null ids stay
+    null; other columns of ``docs``, whatever their names, are left behind; an empty table gives no row.
+    """
     pieces = cut_pieces(docs)
-    return place_pieces(pieces.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return with_ids(place_pieces(pieces.drop("ids")), pieces).select("row_key", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")

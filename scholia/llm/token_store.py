@@ -2,17 +2,20 @@
 
 Format. A store is a folder of Parquet tables.
 * ``chunks``: digest (SHA-256 of the chunk's little-endian ids), n_ids, width (bytes per id), payload (zstd).
-* ``recipes``: in ascending doc_id order, row_key, doc_id, start (ids of all documents before), n_tokens, root
-  (Merkle root of the document's chunk digests), chunks (digest, n_ids, ids after it), and block.
-* ``manifest``: block, n_docs, n_tokens, root (Merkle root of its documents' roots).
+* ``recipes``: in ascending doc_id order, row_key, doc_id, nth (documents before), start (ids of all documents before),
+  n_tokens, root (Merkle root of the document's chunk digests), chunks (digest, n_ids, ids after it).
+* ``manifest``: a Merkle tree over all recipes. Level 0 has a row for BLOCK_DOCS documents in a row: number, n_docs, n_tokens,
+  start, and the root of their leaves, which bind a document's place, id, length and root. Each level above has a row for
+  BLOCK_DOCS rows of the one below, up to a single row.
 
 Method. A rolling hash over eight ids cuts each document's stream where content says so, hence equal passages give
 equal chunks wherever they stand; a chunk has LEAST to MOST ids, except a document's last. Equal digests are stored
 once. Reading opens every stored chunk, checks its digest, joins chunk checksums to recipes and adds them up: CRC-32 is
-linear, so a document's checksum is the XOR of its chunks' checksums, each moved past the bytes that follow it.
+linear, so a document's checksum is the XOR of its chunks' checksums, each moved past the bytes that follow it. The manifest is
+worked out again from the recipes and must be the stored one, so a missing, foreign, changed or moved recipe is found.
 
-Defined results: a null text is empty and has the end id only; rows with one doc_id are separate documents, in the
-order of their row keys; an empty table gives an empty store.
+Defined results: a null text is empty and has the end id only; documents without id come first; rows with one doc_id are
+separate documents, in the order of their row keys; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, scratch_path, staged
-from .tokens import VOCABULARY, coder
+from .tokens import VOCABULARY, batches_by_size, coder
 
 END_ID = 2
 LEAST, MOST, MEAN_BITS = 128, 4096, 9
-BATCH_DOCS = 256
+BLOCK_DOCS = 4096
 PART_ROWS = "row_key long, doc_id long, seq int, n_ids int, after long, n_tokens long, digest binary, width int, payload binary, root binary"
 
 
@@ -73,9 +76,8 @@ def _chunked(vocabulary: str, end_id: int):
         code, press = coder(vocabulary), zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_DOCS):
-                b = whole.slice(at, BATCH_DOCS)
-                ids, starts = code.encode(b["text"].to_pylist(), end_id)
+            for b in batches_by_size(whole):
+                ids, starts = code.encode(b["text"], end_id)
                 cuts = cut_places(ids)
                 lo = np.searchsorted(cuts, starts, "right")
                 stored = ids.astype(code.wide)
@@ -101,19 +103,49 @@ def _chunked(vocabulary: str, end_id: int):
 
 
 def running_starts(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """``rows`` with ``start``, the sum of ``size`` over all rows before in ``order``, and ``block``, without one big task.
+    """``rows`` with ``nth``, the rows before in ``order``, and ``start``, the sum of their ``size``, without one big task.
 
-    Rows are dealt by range and written; one sum a partition (as many as partitions) is added up on the driver.
+    Rows are dealt by range and written; two sums a partition (as many as partitions) are added up on the driver.
     """
     spark = rows.sparkSession
-    dealt = staged(rows.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "ordered")
-    sums, total, before = dealt.groupBy("block").agg(F.sum(size).alias("n")).orderBy("block").collect(), 0, []
-    for r in sums:
-        before.append((r["block"], total))
-        total += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(before, "block int, before long"))
-    inner = F.coalesce(F.sum(size).over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("inner", inner).join(offsets, "block").withColumn("start", F.col("inner") + F.col("before")).drop("inner", "before")
+    dealt = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    before, n, total = [], 0, 0
+    for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total")).orderBy("part").collect():
+        before.append((r["part"], n, total))
+        n, total = n + r["n"], total + r["total"]
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, n_before long, before long"))
+    w = Window.partitionBy("part").orderBy(*order)
+    inner = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = dealt.withColumn("inner", inner).withColumn("in_part", F.row_number().over(w) - 1).join(offsets, "part")
+    return d.withColumn("nth", F.col("in_part") + F.col("n_before")).withColumn("start", F.col("inner") + F.col("before")).drop("inner", "in_part", "part", "n_before", "before")
+
+
+MANIFEST = "level int, block long, n_docs long, n_tokens long, start long, root binary"
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        roots = [merkle_root([x["leaf"] for x in xs]) for xs in b["leaves"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in ("level", "block", "n_docs", "n_tokens", "start")), pa.array(roots, pa.binary())], ["level", "block", "n_docs", "n_tokens", "start", "root"])
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """The Merkle tree over recipes: groups of BLOCK_DOCS, level by level, each written once."""
+    told = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "nth", "start", "n_tokens", F.hex("root"))
+    rows = recipes.select(F.lit(-1).alias("level"), F.col("nth").alias("block"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "start", F.unhex(F.sha2(told, 256)).alias("leaf"))
+    levels = []
+    while True:
+        up = rows.groupBy(F.col("level") + 1, F.floor(F.col("block") / BLOCK_DOCS)).agg(
+            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("block", "leaf"))).alias("leaves"))
+        level = staged(up.toDF("level", "block", "n_docs", "n_tokens", "start", "leaves").mapInArrow(_rooted, MANIFEST), "manifest")
+        levels.append(level)
+        if level.count() <= 1:
+            break
+        rows = level.select("level", "block", "n_docs", "n_tokens", "start", F.col("root").alias("leaf"))
+    tree = levels[0]
+    for level in levels[1:]:
+        tree = tree.union(level)
+    return tree
 
 
 def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -126,10 +158,16 @@ def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     recipes = parts.groupBy("row_key", "doc_id", "n_tokens", "root").agg(chunks.alias("chunks"))
     recipes = running_starts(recipes, ["doc_id", "row_key"], "n_tokens")
     recipes.sortWithinPartitions("doc_id", "row_key").write.parquet(f"{path}/recipes")
-    back = docs.sparkSession.read.parquet(f"{path}/recipes")
-    roots = F.udf(lambda xs: merkle_root([bytes(x) for x in xs]), "binary")
-    blocks = back.groupBy("block").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
-    blocks.select("block", "n_docs", "n_tokens", roots(F.col("r.root")).alias("root")).write.parquet(f"{path}/manifest")
+    manifest_of(docs.sparkSession.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless the stored manifest is that of the stored recipes."""
+    own, stored = manifest_of(spark.read.parquet(f"{path}/recipes")), spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    key = ["level", "block"]
+    both = own.withColumn("own", F.struct(*own.columns[2:])).select(*key, "own").join(stored.withColumn("stored", F.struct(*own.columns[2:])).select(*key, "stored"), key, "full_outer")
+    if bad := both.where(~F.col("own").eqNullSafe(F.col("stored"))).count():
+        raise ValueError(f"{bad} rows of the manifest don't match the recipes")
 
 
 # CRC-32 of byte strings as linear maps
@@ -205,7 +243,8 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_checked(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the stored files, each chunk and document verified."""
+    """(doc_id, start, n_tokens, ids_crc32) from the stored files; the manifest, each chunk and each document are verified."""
+    check_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "width", "payload").mapInArrow(_opened, "digest binary, got int, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     uses = recipes.select("row_key", F.explode("chunks").alias("c")).select("row_key", "c.seq", "c.digest", "c.n_ids", "c.after")

@@ -174,10 +174,23 @@ def test_word_cache_gives_the_library_ids():
     texts = [t or "" for _, t, *_ in corpus()] + ["Don't STOP, x.y! <|ENDOFTEXT|> 12,5 É́ İ ΑΣ, \U0001f600. 'S"]
     t = tokenizer()
     c = tokens.Coder()
+    assert c.cached
     for _ in range(2):
         ids, at = c.encode(texts, 2)
         assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
         c._trim()
+        assert len(c.number) <= tokens.CACHE_KEPT
+
+
+def test_other_vocabularies_encode_whole_texts():
+    """A cased vocabulary that joins characters across blanks isn't encoded word by word."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.Coder("byte_bpe_50k.json")
+    texts = ["The Cat  sat,\nDon't", "", "Éa b"]
+    ids, at = c.encode(texts)
+    assert not c.cached and [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_op5_pieces(spark, docs_dir):
@@ -243,21 +256,38 @@ def test_op6_brute_force(spark, tmp_path):
 
 def test_op7_reads_back(spark, docs_dir, tmp_path):
     t = tokenizer()
-    rows = sorted((x for x in corpus() if x[0] is not None), key=lambda x: x[0])
+    rows = sorted(corpus(), key=lambda x: (x[0] is not None, x[0] or 0))
     want, at = [], 0
     for d, x, *_ in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    docs = spark.read.parquet(f"{docs_dir}/documents.parquet").where("doc_id is not null")
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
     path = str(tmp_path / "store")
     token_store.write_store(docs, path)
-    assert sorted(map(tuple, token_store.read_checked(spark, path).collect())) == want
+    assert sorted(map(tuple, token_store.read_checked(spark, path).collect()), key=lambda x: x[1]) == want
     ids = {r.start: r.ids for r in token_store.read_ids(spark, path).collect()}
     assert sum(map(len, ids.values())) == at and ids[0] == t.encode(rows[0][1], add_special_tokens=False).ids + [2]
     n = spark.read.parquet(f"{path}/chunks")
     assert n.count() == n.select("digest").distinct().count()
-    assert spark.read.parquet(f"{path}/manifest").agg({"n_docs": "sum"}).first()[0] == len(rows)
+    assert spark.read.parquet(f"{path}/manifest").where("level = 0").agg({"n_docs": "sum"}).first()[0] == len(rows)
+
+
+def test_op7_manifest_finds_changed_recipes(spark, docs_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_DOCS", 4)
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.read.parquet(f"{docs_dir}/documents.parquet"), path)
+    token_store.check_manifest(spark, path)
+    assert spark.read.parquet(f"{path}/manifest").agg({"level": "max"}).first()[0] >= 2
+    good = spark.read.parquet(f"{path}/recipes").collect()
+    schema = spark.read.parquet(f"{path}/recipes").schema
+    a, b = good[3].asDict(), good[7].asDict()
+    a["doc_id"], b["doc_id"] = b["doc_id"], a["doc_id"]
+    moved = [*good[:3], tuple(a[c] for c in schema.names), *good[4:7], tuple(b[c] for c in schema.names), *good[8:]]
+    for rows in (good[:-1], good[1:], [*good, good[0]], moved, []):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(ValueError):
+            token_store.check_manifest(spark, path)
 
 
 def test_crc_adds_up():

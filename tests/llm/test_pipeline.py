@@ -1,8 +1,10 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+from scholia.llm import packing
 from scholia.llm.common import connected_components
 
 from .test_operators import DOCS, corpus
@@ -46,6 +48,10 @@ def test_empty(spark):
 def test_run(spark, sf_dir):
     r = corpus_pipeline.run(spark, sf_dir)
     assert r.count() > 0 and r.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 4096
+    assert r.groupBy("row_key", "piece").count().where("count > 1").count() == 0
+    whole = {x.sequence_id: x.ids for x in packing.sequences(r).collect()}
+    for x in r.select("sequence_id", "offset", "length", "ids", "ids_crc32").collect():
+        assert bytes(whole[x.sequence_id])[4 * x.offset : 4 * (x.offset + x.length)] == bytes(x.ids) and zlib.crc32(x.ids) == x.ids_crc32
 
 
 def test_components(spark):
