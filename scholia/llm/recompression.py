@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-ENOUGH = 3
+ENOUGH = 4
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 

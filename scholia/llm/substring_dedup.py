@@ -1,19 +1,26 @@
 """Substring dedup: words covered by a window that also starts in a document with a smaller id are removed.
 
 Method, in three passes over the texts.
-1. Documents are parsed by recompression (see ``recompression``). Each window of WIDTH words has one symbol, equal for
-   equal windows, and stretches of windows with one symbol make a row (symbol, document, stretch). Symbols that only
-   one document has reveal that their windows don't repeat. The rest, a small part, go on.
-2. For these stretches the hashes of their windows are joined by symbol; symbol and hash, 128 bits, verify equality.
-   A window repeats if the least document that has it comes before.
+1. Documents are parsed by recompression (see ``recompression``). A long symbol, one of level LONG with WIDTH words or more,
+   stands for its whole stretch of words: if a smaller document has it too, by its name and a second hash of its words (128
+   bits), all windows in the stretch repeat, and no more is asked about them. Besides, each window of WIDTH words has one
+   shorter symbol, equal for equal windows, and stretches of windows with one such symbol make a row (symbol, document,
+   stretch). Symbols that only one document has reveal that their windows don't repeat. The rest, a small part, go on.
+2. For these stretches, apart from windows in known long repeats, the hashes of their windows are joined by symbol; symbol
+   and hash, 128 bits, verify equality. A window repeats if the least document that has it comes before. The least document
+   of a window is never left out, as its long symbols have no smaller document.
 3. Documents with repeated windows drop the words they cover.
 
 Symbols and windows that very many documents hold would make large groups. They are found in a sample of the documents,
 lists bounded by LISTED over a document's rows; frequent symbols need no test in step 1 and are dealt by window in step
-2, and for frequent windows each batch gives its least document, so a few rows each settle them.
+2, and for frequent windows each task gives its least document, so a few rows each settle them. The lists only choose
+between exact ways. Symbols of GROUP_ROWS rows or more that no list has are dealt by window too, and groups of one window go
+through their task in parts, so no group is held in memory.
+
+Both passes that need the texts beside their findings read one shuffle of the texts.
 
 Defined results: a null text has no words; rows without id neither lose words nor cause losses; rows with one id don't
-affect each other; an empty table gives an empty result.
+affect each other, whether their texts are equal or not; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +34,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import whole_groups
+from .buckets import groups_in_parts
 from .common import WORD, read, staged
 from .recompression import mixed, rounds, window_symbols
 
 WIDTH = 13
-ROUNDS = 4
+ROUNDS = 5
+LONG = 11
+LONG_BITS = 20
+GROUP_ROWS = 50_000
 SAMPLE_DOCS = 4000
 LISTED = 0.005
 BATCH_CHARS = 3_000_000
@@ -85,19 +95,20 @@ def window_hashes(names: np.ndarray, width: int, factor: np.uint64 = _P) -> np.n
 
 
 class Frequent:
-    """Frequent symbols, and frequent windows by both their hashes, each list sorted."""
+    """Frequent symbols, long symbols, and windows by both their hashes, each list sorted."""
 
-    def __init__(self, symbols: np.ndarray, windows: np.ndarray):
-        self.symbols = np.sort(symbols)
+    def __init__(self, symbols: np.ndarray, windows: np.ndarray, longs: np.ndarray):
+        self.symbols, self.longs = np.sort(symbols), np.sort(longs)
         self.windows = windows[np.argsort(windows[:, 0], kind="stable")] if len(windows) else np.zeros((0, 2), np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.windows[:, 0] >> np.uint64(44)).astype(np.int64)] = True
 
-    def has(self, symbols: np.ndarray) -> np.ndarray:
-        if not len(self.symbols):
+    @staticmethod
+    def has(listed: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if not len(listed):
             return np.zeros(len(symbols), bool)
-        k = np.minimum(np.searchsorted(self.symbols, symbols), len(self.symbols) - 1)
-        return self.symbols[k] == symbols
+        k = np.minimum(np.searchsorted(listed, symbols), len(listed) - 1)
+        return listed[k] == symbols
 
     def number(self, names: np.ndarray, w: np.ndarray) -> np.ndarray:
         """For each window hash its number in the list, or -1; the second hash is worked out where the first is listed."""
@@ -114,6 +125,19 @@ class Frequent:
         return out
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(max(n - 1, 0), base, np.uint64)))[:n]
+
+
+def long_symbols(s, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a level's symbols with WIDTH words or more: their index, their name and a second hash of their words."""
+    size = s.end - s.start
+    k = np.flatnonzero((size >= WIDTH) & (size < 1 << LONG_BITS))
+    sums = np.append(np.uint64(0), np.cumsum(mixed(names, 7) * _powers(_Q, len(names))))
+    part = (sums[s.end[k]] - sums[s.start[k]]) * _powers(np.uint64(pow(int(_Q), -1, 1 << 64)), len(names) + 1)[s.start[k]]
+    return k, s.name[k], mixed(part, size[k].astype(np.uint64))
+
+
 def second_hashes(names: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The other hash of the windows from places ``at`` on."""
     h = names[at].copy()
@@ -157,23 +181,25 @@ def _stretches(symbol: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct symbols (kind 0) and windows (kind 1)."""
+    """Each document's distinct symbols (kind 0), windows (kind 1) and long symbols (kind 3)."""
     for b in _batches(batches):
         names, begin, doc, starts = _parsed(b)
         if not len(starts):
             continue
-        symbol = window_symbols(rounds(names, doc, ROUNDS), WIDTH)
+        levels = rounds(names, doc, LONG)
+        symbol = window_symbols(levels[: ROUNDS + 1], WIDTH)
+        at, long_, check = long_symbols(levels[-1], names)
         first, _ = _stretches(symbol, doc, starts)
         w = window_hashes(names, WIDTH)[starts]
         w2 = second_hashes(names, starts)
-        for kind, key, key2, d in ((0, symbol[first], np.zeros(len(first), np.uint64), doc[first]), (1, w, w2, doc[starts])):
+        for kind, key, key2, d in ((0, symbol[first], np.zeros(len(first), np.uint64), doc[first]), (1, w, w2, doc[starts]), (3, long_, check, levels[-1].doc[at])):
             o = np.lexsort((d, key))
             o = o[np.append(True, (key[o][1:] != key[o][:-1]) | (d[o][1:] != d[o][:-1]))]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), kind, np.int32)), pa.array(key[o].view(np.int64)), pa.array(key2[o].view(np.int64))], ["kind", "key", "key2"])
 
 
 def frequent(docs: DataFrame) -> Frequent:
-    """Symbols and windows that at least LISTED of the sampled documents hold (8 documents at least)."""
+    """Symbols, long symbols and windows that at least LISTED of the sampled documents hold (8 documents at least)."""
     n = docs.count()
     deal = max(1, n // SAMPLE_DOCS)
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(deal)) == 0)
@@ -181,43 +207,51 @@ def frequent(docs: DataFrame) -> Frequent:
     rows = some.mapInArrow(_sampled, "kind int, key long, key2 long").groupBy("kind", "key", "key2").count().where(F.col("count") >= least).collect()
     symbols = np.array([r["key"] for r in rows if r["kind"] == 0], np.int64).view(np.uint64)
     windows = np.array([(r["key"], r["key2"]) for r in rows if r["kind"] == 1], np.int64).reshape(-1, 2).view(np.uint64)
-    return Frequent(symbols, windows)
+    return Frequent(symbols, windows, np.array([r["key"] for r in rows if r["kind"] == 3], np.int64).view(np.uint64))
+
+
+FOUND = "key long, kind int, doc_id long, row long, place long, check long"
+
+
+def _rows(key, kind: int, doc, row, place, check=None) -> pa.RecordBatch:
+    n = len(doc)
+    cols = [np.asarray(key).view(np.int64), np.full(n, kind, np.int32), doc, row, place, np.zeros(n, np.int64) if check is None else check.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "kind", "doc_id", "row", "place", "check"])
 
 
 def _reveal(sent):
-    """Rows (key, kind, doc_id, row, place): kind 0 a symbol's stretch, 1 the same of a frequent symbol, 2 a frequent window."""
+    """Rows FOUND: kind 0 a symbol's stretch, 1 the same of a frequent symbol, 2 a frequent window, 3 a long symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
+        none = np.iinfo(np.int64).max
+        least = np.full(len(f.windows), none)
         for b in _batches(batches):
             names, begin, doc, starts = _parsed(b)
             if not len(starts):
                 continue
             ids, own = b["doc_id"].to_numpy(), b["row"].to_numpy()
-            symbol = window_symbols(rounds(names, doc, ROUNDS), WIDTH)
+            levels = rounds(names, doc, LONG)
+            top = levels[-1]
+            at, long_, check = long_symbols(top, names)
+            use = ~f.has(f.longs, long_)  # of frequent long symbols all windows are listed
+            at, d = at[use], top.doc[at[use]]
+            yield _rows(long_[use], 3, ids[d], own[d], (top.start[at] - begin[d]).astype(np.int64) << LONG_BITS | (top.end[at] - top.start[at]), check[use])
+            symbol = window_symbols(levels[: ROUNDS + 1], WIDTH)
             first, n = _stretches(symbol, doc, starts)
-            d = ids[doc[first]]
-            often = f.has(symbol[first])
-            key = np.where(often, mixed(symbol[first], d.view(np.uint64)), symbol[first])
-            place = (first - begin[doc[first]]) << PLACE_BITS | n
-            w = window_hashes(names, WIDTH)[starts]
-            number = np.full(len(starts), -1, np.int64)
-            if len(f.windows):
+            d = doc[first]
+            often = f.has(f.symbols, symbol[first])
+            place = (first - begin[d]) << PLACE_BITS | n
+            for kind, k in ((0, np.flatnonzero(~often)), (1, np.flatnonzero(often))):
+                key = symbol[first[k]]
+                yield _rows(mixed(key, ids[d[k]].view(np.uint64)) if kind else key, kind, ids[d[k]], own[d[k]], place[k])
+            if len(f.windows) and often.any():
                 sure = np.repeat(often, n)
-                number[sure] = f.number(names, _spread(w, starts, len(names)))[starts[sure]] if sure.any() else -1
-            hot = np.flatnonzero(number >= 0)
-            o = hot[np.lexsort((ids[doc[starts[hot]]], number[hot]))]
-            o = o[np.append(True, number[o][1:] != number[o][:-1])] if len(o) else o
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key.view(np.int64), number[o]])),
-                    pa.array(np.concatenate([often.astype(np.int32), np.full(len(o), 2, np.int32)])),
-                    pa.array(np.concatenate([d, ids[doc[starts[o]]]])),
-                    pa.array(np.concatenate([own[doc[first]], np.zeros(len(o), np.int64)])),
-                    pa.array(np.concatenate([place, np.zeros(len(o), np.int64)])),
-                ],
-                ["key", "kind", "doc_id", "row", "place"],
-            )
+                number = f.number(names, _spread(window_hashes(names, WIDTH)[starts], starts, len(names)))[starts[sure]]
+                hot = np.flatnonzero(number >= 0)
+                np.minimum.at(least, number[hot], ids[doc[starts[sure]][hot]])
+        hot = np.flatnonzero(least < none)  # one row a task for each
+        yield _rows(hot, 2, least[hot], np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64))
 
     return run
 
@@ -229,62 +263,91 @@ def _spread(w: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (kind, key): symbols of two documents or more, all of kind 1, and the least of kind 2."""
-    for t, at in whole_groups(batches, ["kind", "key"], 200_000):
-        kind, doc = t["kind"].to_numpy(), t["doc_id"].to_numpy()
+    """Of rows sorted by (key, check, kind, doc_id): stretches of symbols of two documents or more, all of kind 1, the least
+    of kind 2, and long symbols that a smaller document has. Stretches of large groups become kind 1."""
+    low_before = 0
+    for t, at, goes_on, open_ in groups_in_parts(batches, ["key", "check", "kind"], GROUP_ROWS):
+        kind, doc = t["kind"].to_numpy().copy(), t["doc_id"].to_numpy()
         size = np.diff(at)
-        low, high = np.minimum.reduceat(doc, at[:-1]), np.maximum.reduceat(doc, at[:-1])
-        keep = np.repeat(low != high, size) & (kind == 0) | (kind == 1)
+        low, high = doc[at[:-1]].copy(), doc[at[1:] - 1]
+        if goes_on:
+            low[0] = low_before
+        large = np.zeros(len(size), bool)
+        large[:1], large[-1:] = goes_on or (open_ and len(size) == 1), open_ or (goes_on and len(size) == 1)
+        low_before = low[-1]
+        low_row, large = np.repeat(low, size), np.repeat(large, size)
         first = np.zeros(len(doc), bool)
         first[at[:-1]] = True
-        doc = np.where(kind == 2, np.repeat(low, size), doc)
-        keep = np.flatnonzero(keep | (first & (kind == 2)))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), *(pa.array(t[c].to_numpy()[keep]) for c in ("row", "kind", "key", "place"))], ["doc_id", "row", "kind", "key", "place"])
+        keep = (kind == 1) | (kind == 0) & (np.repeat(low != high, size) | large) | (kind == 3) & (doc > low_row) | (kind == 2) & first
+        kind[large & (kind == 0)] = 1
+        keep = np.flatnonzero(keep)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, t["row"].to_numpy(), kind, t["key"].to_numpy(), t["place"].to_numpy())], ["doc_id", "row", "kind", "key", "place"])
+
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of n numbers from first on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-def _asked(sent, hot):
+
+def _asked(sent):
     """Rows (key, doc_id, row, place, windows) of a document's stretches: its windows' hashes, by symbol or second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
-        for whole in batches:
-            for b in _batches(iter([whole.filter(pa.compute.is_valid(whole["found"]))])):
-                names, begin, doc, starts = _parsed(b)
-                w = window_hashes(names, WIDTH)
-                found = b["found"]
-                per = np.diff(found.offsets.to_numpy())
-                flat = found.flatten()
-                kind, key, place = (flat.field(i).to_numpy() for i in range(3))
-                at = np.repeat(begin, per) + (place >> PLACE_BITS)
-                n = place & ((1 << PLACE_BITS) - 1)
-                ids, own = np.repeat(b["doc_id"].to_numpy(), per), np.repeat(b["row"].to_numpy(), per)
-                one = kind == 1
-                # stretches of frequent symbols go window by window, frequent windows not at all
-                wide = np.repeat(at[one], n[one]) + np.arange(int(n[one].sum())) - np.repeat(np.cumsum(n[one]) - n[one], n[one])
-                wide_ids, wide_own, wide_place = np.repeat(ids[one], n[one]), np.repeat(own[one], n[one]), wide - np.repeat(np.repeat(begin, per)[one], n[one])
-                if len(wide):
-                    rest = f.number(names, w)[wide] < 0
-                    wide, wide_ids, wide_own, wide_place = wide[rest], wide_ids[rest], wide_own[rest], wide_place[rest]
-                raw = w.tobytes()
-                at, n = at[~one], n[~one]
-                packed = [raw[8 * a : 8 * (a + k)] for a, k in zip(at.tolist(), n.tolist())] + [raw[8 * a : 8 * a + 8] for a in wide.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([key[~one], second_hashes(names, wide).view(np.int64)]) if len(wide) else key[~one]),
-                        pa.array(np.concatenate([ids[~one], wide_ids])),
-                        pa.array(np.concatenate([own[~one], wide_own])),
-                        pa.array(np.concatenate([place[~one] >> PLACE_BITS, wide_place])),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    ["key", "doc_id", "row", "place", "windows"],
-                )
+        for b in _batches(batches):
+            names, begin, doc, starts = _parsed(b)
+            w = window_hashes(names, WIDTH)
+            found = b["found"]
+            per = np.diff(found.offsets.to_numpy())
+            flat = found.flatten()
+            kind, key, place = (flat.field(i).to_numpy() for i in range(3))
+            of = np.repeat(np.arange(b.num_rows), per)
+            # windows inside known long repeats
+            k = np.flatnonzero(kind == 3)
+            first, size = begin[of[k]] + (place[k] >> LONG_BITS), place[k] & ((1 << LONG_BITS) - 1)
+            known = np.zeros(len(names) + 1, np.int32)
+            np.add.at(known, first, 1)
+            np.add.at(known, first + size - WIDTH + 1, -1)
+            known = np.cumsum(known) > 0
+            k = np.flatnonzero(kind < 2)
+            n = place[k] & ((1 << PLACE_BITS) - 1)
+            at, of_stretch = _ranges(begin[of[k]] + (place[k] >> PLACE_BITS), n), np.repeat(k, n)
+            ask = ~known[at]
+            at, of_stretch = at[ask], of_stretch[ask]
+            # stretches of frequent symbols go window by window, frequent windows not at all
+            one = kind[of_stretch] == 1
+            wide, wide_of = at[one], of[of_stretch[one]]
+            if len(wide):
+                rest = f.number(names, w)[wide] < 0
+                wide, wide_of = wide[rest], wide_of[rest]
+            at, of_stretch = at[~one], of_stretch[~one]
+            new = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (of_stretch[1:] != of_stretch[:-1]))) if len(at) else at
+            n = np.diff(np.append(new, len(at)))
+            at, of_stretch = at[new], of_stretch[new]
+            raw = w.tobytes()
+            packed = [raw[8 * a : 8 * (a + m)] for a, m in zip(at.tolist(), n.tolist())] + [raw[8 * a : 8 * a + 8] for a in wide.tolist()]
+            row = np.concatenate([of[of_stretch], wide_of])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key[of_stretch], second_hashes(names, wide).view(np.int64)]) if len(wide) else key[of_stretch]),
+                    pa.array(b["doc_id"].to_numpy()[row]),
+                    pa.array(b["row"].to_numpy()[row]),
+                    pa.array(np.concatenate([at, wide]) - begin[row]),
+                    pa.array(packed, pa.binary()),
+                ],
+                ["key", "doc_id", "row", "place", "windows"],
+            )
 
     return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: (doc_id, row, place, n) of stretches of windows that a smaller document has."""
-    for t, at in whole_groups(batches, ["key"], 50_000):
+    """Of rows sorted by (key, doc_id): (doc_id, row, place, n) of stretches of windows that a smaller document has.
+
+    Of a group in several parts only its distinct windows and their least documents are kept from part to part.
+    """
+    before_w, before_low = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for t, at, goes_on, open_ in groups_in_parts(batches, ["key"], GROUP_ROWS):
         raw = t["windows"].to_pylist()
         n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
         w = np.frombuffer(b"".join(raw), np.uint64)
@@ -292,12 +355,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.repeat(np.arange(len(at) - 1), np.diff(at)), n)
         doc, own, place = t["doc_id"].to_numpy(), t["row"].to_numpy(), t["place"].to_numpy()
         d = doc[row]
-        o = np.lexsort((d, w, group))
-        new = np.append(True, (w[o][1:] != w[o][:-1]) | (group[o][1:] != group[o][:-1])) if len(o) else np.zeros(0, bool)
-        low = d[o][new][np.cumsum(new) - 1] if len(o) else d
-        again = np.zeros(len(w), bool)
-        again[o] = d[o] > low
-        k = np.flatnonzero(again)
+        more = len(before_w) if goes_on else 0  # what the group's earlier parts had, as rows in front
+        all_w, all_d, all_g = (np.concatenate([x[:more], y]) for x, y in ((before_w, w), (before_low, d), (np.zeros(more, np.int64), group)))
+        o = np.lexsort((all_d, all_w, all_g))
+        new = np.append(True, (all_w[o][1:] != all_w[o][:-1]) | (all_g[o][1:] != all_g[o][:-1])) if len(o) else np.zeros(0, bool)
+        low = all_d[o][new][np.cumsum(new) - 1] if len(o) else all_d
+        again = np.zeros(len(all_w), bool)
+        again[o] = all_d[o] > low
+        if open_:
+            before_w, before_low = all_w[o][new], all_d[o][new]
+        k = np.flatnonzero(again[more:])
         if len(k):
             start = np.append(True, (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]]))
             s = k[start]
@@ -358,23 +425,25 @@ def _with_row(docs: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the remaining words joined by one space. Takes doc_id and text."""
     sc = docs.sparkSession.sparkContext
-    docs = _with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    known = docs.where("doc_id is not null and text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    nameless, known = docs.where("doc_id is null"), _with_row(docs.where("doc_id is not null"))
     f = frequent(known)
     sent = sc.broadcast(f)
-    rows = known.mapInArrow(_reveal(sent), "key long, kind int, doc_id long, row long, place long")
-    rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
+    rows = known.mapInArrow(_reveal(sent), FOUND).repartition("key", "kind").sortWithinPartitions("key", "check", "kind", "doc_id")
     found = staged(rows.mapInArrow(_shared, "doc_id long, row long, kind int, key long, place long"), "substrings")
     least = np.full(len(f.windows), np.iinfo(np.int64).max)
     for r in found.where("kind = 2").groupBy("key").agg(F.min("doc_id").alias("d")).collect():  # one row a listed window
         least[r["key"]] = r["d"]
     hot = sc.broadcast(least)
-    lists = found.where("kind < 2").groupBy("doc_id", "row").agg(F.collect_list(F.struct("kind", "key", "place")).alias("found"))
-    asked = known.join(lists, ["doc_id", "row"]).mapInArrow(_asked(sent, hot), "key long, doc_id long, row long, place long, windows binary")
-    asked = asked.repartition("key").sortWithinPartitions("key")
-    again = asked.mapInArrow(_verified, "doc_id long, row long, place long, n long")
-    again = again.groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "n")).alias("again"))
-    both = docs.join(again, ["doc_id", "row"], "left").select("doc_id", "text", "again")
+    of = ["doc_id", "row"]
+    lists = found.where("kind <> 2").groupBy(*of).agg(F.collect_set(F.struct("kind", "key", "place")).alias("found"))  # equal rows of one id give equal findings
+    asked = known.join(lists, of).mapInArrow(_asked(sent), "key long, doc_id long, row long, place long, windows binary")
+    again = asked.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_verified, "doc_id long, row long, place long, n long")
+    size = F.col("place").bitwiseAND(F.lit((1 << LONG_BITS) - 1))
+    again = again.union(found.where("kind = 3").select(*of, F.shiftright("place", LONG_BITS), size - WIDTH + 1))
+    again = again.groupBy(*of).agg(F.collect_set(F.struct("place", "n")).alias("again"))
+    both = known.join(again, of, "left").select("doc_id", "text", "again")
+    both = both.union(nameless.select("doc_id", "text", F.lit(None).cast(both.schema["again"].dataType)))
     return both.mapInArrow(_dropped(sent, hot), "doc_id long, n_words long, n_removed long, kept string")
 
 

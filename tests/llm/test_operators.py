@@ -381,3 +381,29 @@ def test_op10(spark, docs_dir, sf_dir):
 
 def test_results_carry_plain_values(spark, docs_dir):
     assert json.dumps([r.doc_id for r in entries.QUERIES["op9_simhash"](spark, docs_dir).collect()])
+
+
+@pytest.mark.parametrize("rows", [7, 50, 10_000])
+def test_large_groups_go_in_parts(monkeypatch, rows):
+    """Groups of more than GROUP_ROWS rows give what whole ones give."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "GROUP_ROWS", rows)
+    r = np.random.default_rng(4)
+    asked = sorted((int(k), int(d), 0, 0, r.choice(np.arange(9, dtype=np.uint64), n)) for k, d, n in zip(r.integers(0, 3, 200), r.integers(0, 40, 200), r.integers(1, 5, 200)))
+    t = pa.table({"key": [x[0] for x in asked], "doc_id": [x[1] for x in asked], "row": [x[2] for x in asked], "place": [x[3] for x in asked], "windows": pa.array([x[4].tobytes() for x in asked], pa.binary())})
+    least = {}
+    for k, d, _, _, ws in asked:
+        for w in ws.tolist():
+            least[k, w] = min(d, least.get((k, w), d))
+    want = Counter(d for k, d, _, _, ws in asked for w in ws.tolist() if d > least[k, w])
+    got = Counter()
+    for b in substring_dedup._verified(iter(t.to_batches(16))):
+        for d, n in zip(b["doc_id"].to_pylist(), b["n"].to_pylist()):
+            got[d] += n
+    assert got == want
+    cols = {"key": np.sort(r.integers(0, 4, 300)), "check": np.zeros(300, int), "kind": np.zeros(300, np.int32), "doc_id": r.integers(0, 3, 300), "row": np.zeros(300, int), "place": np.arange(300)}
+    order = np.lexsort((cols["doc_id"], cols["key"]))
+    t = pa.table({c: v[order] for c, v in cols.items()})
+    kept = [p for b in substring_dedup._shared(iter(t.to_batches(16))) for p in b["place"].to_pylist()]
+    assert sorted(kept) == list(range(300))
