@@ -412,21 +412,28 @@ def _dropped(sent, hot_sent):
     return run
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """Beside doc_id a row key: a hash of the text where unequal texts have one id, else 0, which takes hardly any room."""
+def _with_row(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with a row key, and the columns that name a text. Where unequal texts have one id, the key is a hash of the
+    text; it is 0 for all others, which takes hardly any room, and where there is no such id doc_id alone names a text."""
     of = F.xxhash64("text")
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several"))
+    several = docs.groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several"))
     several = staged(several, "repeated-ids")
-    small = several.count() <= MOST_IDS
-    docs = docs.join(F.broadcast(several) if small else several, "doc_id", "left")
-    return docs.select("doc_id", "text", F.when(F.col("several"), of).otherwise(F.lit(0)).cast("long").alias("row"))
+    n = several.count()
+    if not n:
+        return docs.withColumn("row", F.lit(0).cast("long")), ["doc_id"]
+    docs = docs.join(F.broadcast(several) if n <= MOST_IDS else several, "doc_id", "left")
+    return docs.select("doc_id", "text", F.when(F.col("several"), of).otherwise(F.lit(0)).cast("long").alias("row")), ["doc_id", "row"]
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the remaining words joined by one space. Takes doc_id and text."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    nameless, known = docs.where("doc_id is null"), _with_row(docs.where("doc_id is not null"))
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":  # a cast that changes nothing would hide that both joins read alike
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    nameless, (known, of) = docs.where("doc_id is null"), _with_row(docs.where("doc_id is not null"))
+    texts = known.select(*of, "text")  # one shuffle of it serves both joins below
+    row = F.col("row") if "row" in of else F.lit(0).cast("long").alias("row")
     f = frequent(known)
     sent = sc.broadcast(f)
     rows = known.mapInArrow(_reveal(sent), FOUND).repartition("key", "kind").sortWithinPartitions("key", "check", "kind", "doc_id")
@@ -435,14 +442,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     for r in found.where("kind = 2").groupBy("key").agg(F.min("doc_id").alias("d")).collect():  # one row a listed window
         least[r["key"]] = r["d"]
     hot = sc.broadcast(least)
-    of = ["doc_id", "row"]
     lists = found.where("kind <> 2").groupBy(*of).agg(F.collect_set(F.struct("kind", "key", "place")).alias("found"))  # equal rows of one id give equal findings
-    asked = known.join(lists, of).mapInArrow(_asked(sent), "key long, doc_id long, row long, place long, windows binary")
+    asked = texts.join(lists, of).select("doc_id", row, "text", "found").mapInArrow(_asked(sent), "key long, doc_id long, row long, place long, windows binary")
     again = asked.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_verified, "doc_id long, row long, place long, n long")
     size = F.col("place").bitwiseAND(F.lit((1 << LONG_BITS) - 1))
-    again = again.union(found.where("kind = 3").select(*of, F.shiftright("place", LONG_BITS), size - WIDTH + 1))
+    again = again.union(found.where("kind = 3").select("doc_id", "row", F.shiftright("place", LONG_BITS), size - WIDTH + 1))
     again = again.groupBy(*of).agg(F.collect_set(F.struct("place", "n")).alias("again"))
-    both = known.join(again, of, "left").select("doc_id", "text", "again")
+    both = texts.join(again, of, "left").select("doc_id", "text", "again")
     both = both.union(nameless.select("doc_id", "text", F.lit(None).cast(both.schema["again"].dataType)))
     return both.mapInArrow(_dropped(sent, hot), "doc_id long, n_words long, n_removed long, kept string")
 

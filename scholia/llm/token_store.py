@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -175,20 +176,20 @@ def _raw_crc(data: bytes) -> int:
     return zlib.crc32(data, 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
+@cache
 def _shift_tables() -> list[np.ndarray]:
-    """For each k, four tables of 256 entries that move a checksum past 2**k zero bytes."""
+    """For each k, four tables of 256 entries that move a checksum past 2**k zero bytes; made once a worker."""
+    one = np.uint64(1)
     unit = np.zeros(32, np.uint64)
     for b in range(32):  # past one byte: the register's low byte leaves through the checksum of that byte
         v = 1 << b
         unit[b] = (v >> 8) ^ (_raw_crc(bytes([v & 255])))
-    tables = []
+    byte, tables = np.arange(256, dtype=np.uint64), []
     for _ in range(40):
         t = np.zeros((4, 256), np.uint64)
         for q in range(4):
-            for byte in range(256):
-                for b in range(8):
-                    if byte >> b & 1:
-                        t[q, byte] ^= unit[8 * q + b]
+            for b in range(8):
+                t[q] ^= unit[8 * q + b] * (byte >> np.uint64(b) & one)
         tables.append(t)
         unit = _apply(t, unit)
     return tables

@@ -390,7 +390,8 @@ def test_large_groups_go_in_parts(monkeypatch, rows):
 
     monkeypatch.setattr(substring_dedup, "GROUP_ROWS", rows)
     r = np.random.default_rng(4)
-    asked = sorted((int(k), int(d), 0, 0, r.choice(np.arange(9, dtype=np.uint64), n)) for k, d, n in zip(r.integers(0, 3, 200), r.integers(0, 40, 200), r.integers(1, 5, 200)))
+    drawn = [(int(k), int(d), 0, 0, r.choice(np.arange(9, dtype=np.uint64), n)) for k, d, n in zip(r.integers(0, 3, 200), r.integers(0, 40, 200), r.integers(1, 5, 200))]
+    asked = sorted(drawn, key=lambda x: x[:2])
     t = pa.table({"key": [x[0] for x in asked], "doc_id": [x[1] for x in asked], "row": [x[2] for x in asked], "place": [x[3] for x in asked], "windows": pa.array([x[4].tobytes() for x in asked], pa.binary())})
     least = {}
     for k, d, _, _, ws in asked:
