@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import cut, let, read, running, text_blocks
 
 START, TEXT, TURN, END = "<|start|>", "<|text|>", "<|turn|>", "<|end|>\n"
 CODES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\k"))
@@ -56,16 +56,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return F.transform(ts, piece)
 
     def spans(ps: Column) -> Column:
-        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        def placed(ends: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                end = F.get(ends, i) - F.length(p["tail"])
+                return F.struct((end - F.length(p["body"])).cast("long").alias("start"), end.cast("long").alias("end"), p["loss"].alias("loss"))
 
-        def step(a: Column, p: Column) -> Column:
-            start = a["at"] + F.length(p["head"])
-            end = start + F.length(p["body"])
-            span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-            return F.struct((end + F.length(p["tail"])).cast("long").alias("at"), F.when(p["loss"], F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+            return F.transform(F.filter(F.transform(ps, span), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-        return F.aggregate(ps, zero, step, lambda a: a["out"])
+        sizes = F.transform(ps, lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long"))
+        return let(sizes, lambda v: let(running(v, lambda a, b: a + b), placed))
 
     convs = convs.select("conv_id", let(F.col("turns"), lambda ts: let(pieces(ts), lambda ps: F.struct(
         F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
@@ -88,12 +87,13 @@ def read_chats(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    return let(text_blocks(formatted), lambda blocks: F.array_join(F.transform(spans, lambda s: unescape(cut(blocks, s["start"], s["end"]))), ""))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """Adds conversation -7, whose texts are control strings of a common template."""
-    probe = turns.sparkSession.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = turns.sparkSession.range(0, 2, 1, 1).select(F.lit(PROBE_ID).cast("long"), "id", role, F.lit(PROBE_TEXT))
     return turns.select("conv_id", "turn", "role", "text").union(probe)
 
 

@@ -61,6 +61,47 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The array of op(values up to each place), for long values from 0 and a sum or a greatest.
+
+    An array grown by appending is copied at each step; here blocks of some root of the length are grown, so n values take
+    n * sqrt(n) copies of a reference.
+    """
+    none = F.array().cast("array<bigint>")
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+
+    def grown(p: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        step = lambda a, x: F.struct(op(a["at"], x).alias("at"), F.array_append(a["out"], op(a["at"], x)).alias("out"))
+        return F.aggregate(p, zero, step, lambda a: a["out"])
+
+    def joined(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+
+        def step(a: Column, b: Column) -> Column:
+            return F.struct(op(a["at"], F.element_at(b, -1)).alias("at"), F.array_append(a["out"], F.transform(b, lambda v: op(a["at"], v))).alias("out"))
+
+        return F.aggregate(blocks, zero, step, lambda a: F.flatten(a["out"]))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, side), lambda i: grown(F.slice(values, i + 1, side)))
+    return F.when(F.size(values) == 0, none).otherwise(joined(blocks))
+
+
+BLOCK_CHARS = 1024
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK_CHARS characters, from which ``cut`` takes stretches without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (from 0, end exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK_CHARS)
+    near = F.slice(blocks, (first + 1).cast("int"), (F.floor(end / BLOCK_CHARS) - first + 1).cast("int"))
+    return F.substring(F.array_join(near, ""), (start - first * BLOCK_CHARS + 1).cast("int"), (end - start).cast("int"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -74,13 +115,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph with long-valued columns ``a`` and ``b``.
 
     Alternates large-star and small-star steps until the edges stay the same; each node then hangs on
     the smallest node of its component. Every step is a map-side combined minimum and an equi-join
     that Spark may split on skew; no neighbourhood is gathered. Each round is written to the shared
-    folder. Nodes come only from edges; the root itself is included.
+    folder. Rounds grow with the logarithm of the longest path; they go on until nothing changes. Nodes come only from edges; the root itself is included.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -93,9 +134,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = mark(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         # large star: every larger neighbour moves to the least of the closed neighbourhood
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

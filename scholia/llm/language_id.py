@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read, shared_dir
 
 DIM = 2048
 TRAIN_ROWS = 6000
+BROADCAST_LANGS = 10_000
 ROUNDS = 200
 DECAY = 1e-4
 # fixed values: languages by family; any other language is a family of its own
@@ -53,13 +54,14 @@ def features(text: str) -> np.ndarray | None:
 def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear machine for labels -1 and 1: squared hinge, accelerated gradient steps."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1])
-    ahead, rate = w.copy(), 0.2
+    y = y.astype(np.float32)  # one type throughout: else the whole matrix would be converted in every round
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = np.zeros(x.shape[1], np.float32)
+    ahead, rate = w.copy(), np.float32(0.2)
     for k in range(ROUNDS):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (DECAY * ahead - 2 * x.T @ (share * y * slack))
-        ahead, w = new + k / (k + 3) * (new - w), new
+        slack = np.maximum(np.float32(0), 1 - y * (x @ ahead))
+        new = ahead - rate * (np.float32(DECAY) * ahead - 2 * ((share * y * slack) @ x))
+        ahead, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -104,24 +106,23 @@ class Model:
 
 
 def train(docs: DataFrame, text: str, lang: str, key: str, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of the labelled rows of ``docs``; at most about ``train_rows`` feature rows reach the driver."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
+    """A model of the labelled rows of ``docs``; at most 2 * ``train_rows`` feature rows reach the driver, by a hash's order."""
+    shared_dir(docs.sparkSession)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("v"), F.xxhash64(F.col(key), F.lit(11)).alias("h"))
+    counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    each = max(1, train_rows // len(counts))
-    share = F.lit(0.0)
-    for v, n in counts.items():
-        share = F.when(F.col(lang) == v, F.lit(each / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(text).alias("t"), F.col(lang).alias("v"))
+    share = counts.select("v", (F.lit(max(1, train_rows // n_langs)) / F.col("n")).alias("share"))
+    drawn = rows.join(F.broadcast(share) if n_langs <= BROADCAST_LANGS else share, "v").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(v, features(t)) for t, v in zip(b["t"].to_pylist(), b["v"].to_pylist(), strict=True)]
-            got = [(v, f.tobytes()) for v, f in got if f is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.string()), pa.array([f for _, f in got], pa.binary())], ["v", "f"])
+            got = [(h, v, features(t)) for t, v, h in zip(b["t"].to_pylist(), b["v"].to_pylist(), b["h"].to_pylist(), strict=True)]
+            got = [(h, v, f.tobytes()) for h, v, f in got if f is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.binary())], ["h", "v", "f"])
 
-    found = sorted((r["v"], bytes(r["f"])) for r in drawn.mapInArrow(make, "v string, f binary").limit(2 * train_rows).collect())
+    found = sorted((r["v"], bytes(r["f"])) for r in drawn.mapInArrow(make, "h long, v string, f binary").orderBy("h", "v", "f").limit(2 * train_rows).collect())
     if not found:
         return None
     return Model([v for v, _ in found], np.stack([np.frombuffer(f, np.float32) for _, f in found]))
@@ -129,20 +130,21 @@ def train(docs: DataFrame, text: str, lang: str, key: str, train_rows: int = TRA
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs``, lang_pred and score."""
-    kept = docs.select(*keep, F.col(text).alias("__text"))
+    own = fresh(docs, "text")
+    kept = docs.select(*keep, F.col(text).alias(own))
     names = [f.name for f in kept.schema.fields][:-1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             for at in range(0, b.num_rows if model else 0, 2000):
-                got = [(at + i, f) for i, t in enumerate(b["__text"].slice(at, 2000).to_pylist()) if (f := features(t)) is not None]
+                got = [(at + i, f) for i, t in enumerate(b[own].slice(at, 2000).to_pylist()) if (f := features(t)) is not None]
                 if got:
                     rows = [i for i, _ in got]
                     langs[rows], scores[rows] = model.predict(np.stack([f for _, f in got]))
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(list(langs), pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
-    schema = kept.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.drop(own).schema.add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(apply, schema)
 
 

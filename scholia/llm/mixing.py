@@ -10,8 +10,8 @@ larger budgets take supersets of smaller ones, and reruns agree.
 Targets share SHARE times all sizes by weight, but stop at CAP times a source's size; the excess is shared again by
 weight among the rest until none is above. Sources sorted by cap over weight give this in one pass.
 
-Defined results: null text has size 0; the null source is the last one; rows with one id are taken alike; a source
-without words has target 0; an empty table gives an empty result.
+Defined results: null text has size 0; the null source is the last one; rows with one id, or with null ids, are taken
+alike; a source without words has target 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,28 +82,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> tuple[DataFrame, list[str]]:
-    """``docs`` with added columns, whose names are returned: size, source_size, target, copies."""
-    size, at, *rest = (fresh(docs, n) for n in ("size", "place", "source_size", "target", "copies"))
-    sized = docs.withColumn(size, n_words(F.col(text))).withColumn(at, place(F.col(key)))
-    slim = staged(sized.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(at).alias("place")), "mix")
-    limits = thresholds(slim, source_targets(slim).checkpoint())
-    limits = _small(limits.select(F.col("source").alias("_s"), F.col("source_size").alias(rest[0]), F.col("target").alias(rest[1]), "full", "below"))
-    out = sized.join(limits, F.col(source).eqNullSafe(F.col("_s")), "left")
-    out = out.withColumn(rest[2], F.col("full") + F.when(F.col(at) < F.col("below"), 1).otherwise(0))
-    return out.drop("_s", "full", "below", at), [size, *rest]
+def limited(sized: DataFrame, source: str, at: str, limits: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with a source and a place, with added columns, whose names are returned: source_size, target, copies."""
+    key, full, below, source_size, target, copies = (fresh(sized, n) for n in ("mix_source", "mix_full", "mix_below", "source_size", "target", "copies"))
+    limits = _small(limits.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("full").alias(full), F.col("below").alias(below)))
+    out = sized.join(limits, F.col(source).eqNullSafe(F.col(key)), "left").withColumn(copies, F.col(full) + F.when(F.col(at) < F.col(below), 1).otherwise(0))
+    return out.drop(key, full, below), [source_size, target, copies]
+
+
+def _limits(slim: DataFrame) -> DataFrame:
+    return thresholds(slim, source_targets(slim).checkpoint())
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, (size, source_size, target, copies) = mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return out.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).alias("taken"))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    slim = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "mix")  # words are counted once
+    out, (source_size, target, copies) = limited(slim, "source", "place", _limits(slim))
+    return out.select("doc_id", "size", F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col("size") * F.col(copies)).alias("taken"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    out, added = mix(docs)
-    n = fresh(out, "nth")
-    return out.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(added[-1])))).select(*docs.columns)
+    """Each document as many times as the mix takes it.
+
+    Null texts have size 0; rows with null or equal ids are taken alike, which goes for exact copies too; the null source is
+    the last one; columns of any name are kept as they are; an empty table gives an empty one.
+    """
+    at = fresh(docs, "mix_place")
+    placed = docs.withColumn(at, place(F.col("doc_id")))
+    slim = staged(placed.select("source", n_words(F.col("text")).alias("size"), F.col(at).alias("place")), "mix")
+    out, (*_, copies) = limited(placed, "source", at, _limits(slim))
+    nth = fresh(out, "nth")
+    return out.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
 
 def mixing_sql(table: str) -> str:

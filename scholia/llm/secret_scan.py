@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import cut, fresh, let, read, running, text_blocks
 
 # fixed values: patterns and least lengths of the base kinds
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,15 +50,17 @@ def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Colum
         parts = F.split(t, pattern, -1)
         whole, of = (F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in (0, group))
         hits = F.arrays_zip(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("gap"), whole.alias("hit"), of.alias("of"))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return let(hits, placed)
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.cast("long").alias("end"))
-            return F.struct(end.cast("long").alias("at"), F.when(keep(x["of"]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def placed(hits: Column) -> Column:
+        sizes = F.transform(hits, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long"))
 
-        return F.aggregate(hits, zero, step, lambda a: a["out"])
+        def span(x: Column, end: Column) -> Column:
+            return F.struct((end - F.length(x["hit"])).cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), keep(x["of"]).alias("keep"))
+
+        ends = let(sizes, lambda v: running(v, lambda p, q: p + q))
+        all_ = let(ends, lambda es: F.transform(hits, lambda x, i: span(x, F.get(es, i))))
+        return F.transform(F.filter(all_, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
     return F.when(text.rlike(pattern), let(text, found)).otherwise(none)
 
@@ -113,12 +115,16 @@ def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
     return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Column, Column]:
-    """Expressions over ``docs``: its base spans, and all spans. Counts the training documents first."""
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, whose name is returned: all spans, by start, then kind; those of kind < 3 are base spans.
+
+    Counts the training documents first. Each column is read once by the next, outside of lambdas, so none is worked out twice.
+    """
     ratios = train(docs, text, key)
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = base_spans(t)
-    return base, let(base, lambda b: F.sort_array(F.concat(b, random_spans(t, b, ratios))))
+    t, base = F.coalesce(F.col(text), F.lit("")), fresh(docs, "base_spans")
+    spans = fresh(docs, "spans")
+    found = docs.withColumn(base, base_spans(t)).withColumn(spans, let(F.col(base), lambda b: F.sort_array(F.concat(b, random_spans(t, b, ratios)))))
+    return found.drop(base), spans
 
 
 def told(spans: Column) -> Column:
@@ -126,30 +132,32 @@ def told(spans: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    _, spans = scan(docs)
-    found = docs.select("doc_id", let(spans, lambda s: F.struct(s.alias("all"), F.filter(s, lambda x: x["kind"] < 3).alias("base"))).alias("s"))
+    found, spans = scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = found.select("doc_id", let(F.col(spans), lambda s: F.struct(s.alias("all"), F.filter(s, lambda x: x["kind"] < 3).alias("base"))).alias("s"))
     number = lambda k: F.size(F.filter("s.base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", *(number(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(told(F.col("s.base")), 256).alias("base_sha256"), told(F.col("s.all")).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or overlapping spans together, replaced by MASK."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.lit(MASK))).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+    def pieces(blocks: Column, upto: Column) -> Column:
+        last = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(upto, i - 1))
+        opening = F.filter(F.transform(spans, lambda s, i: F.struct(last(i).alias("last"), s["start"].alias("start"))), lambda x: x["start"] >= x["last"])
+        return F.concat(F.array_join(F.transform(opening, lambda x: F.concat(cut(blocks, x["last"], x["start"]), F.lit(MASK))), ""), cut(blocks, F.element_at(upto, -1), F.length(text).cast("long")))
 
-    return F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    upto = let(F.transform(spans, lambda s: s["end"]), lambda v: running(v, F.greatest))
+    return F.when(F.size(spans) == 0, text).otherwise(let(text_blocks(text), lambda blocks: let(upto, lambda u: pieces(blocks, u))))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with their secrets masked; n_chars, where present, follows the text."""
-    _, spans = scan(docs)
-    text = F.col("text")
-    out = docs.withColumn("text", let(spans, lambda s: F.when(F.size(s) > 0, masked(text, s)).otherwise(text)))
+    """The same documents with their secrets masked; n_chars, where present, follows the text.
+
+    Null texts stay null; repeated rows are masked alike; null ids count as one id for the training sample; columns of any
+    name are kept as they are, as none is added; an empty table gives an empty one.
+    """
+    out, spans = scan(docs)
+    out = out.withColumn("text", let(F.col(spans), lambda s: masked(F.col("text"), s)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
