@@ -9,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 1024
 
-
-def in_parts(rows: DataFrame, key: list[str], item: str, part: int = PART) -> DataFrame:
+def in_parts(rows: DataFrame, key: list[str], item: str, part: int) -> DataFrame:
     """Rows of buckets with two rows or more, with ``own``, ``lo`` and ``hi``, dealt and sorted by bucket and part pair.
 
     A bucket of more than ``part`` rows is cut by a hash of ``item``; each of its rows goes to every pair of parts that
-    has its own, so that all pairs of rows meet. A pair of parts has some 2 * ``part`` rows.
+    has its own, so that all pairs of rows meet. A pair of parts has some 2 * ``part`` rows; a bucket of n rows is copied
+    n / ``part`` times, so parts are as large as a task's memory lets them be.
     """
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64(item, F.lit(7)), F.col("parts")).cast("int")

@@ -1,11 +1,12 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 Method. Equal vectors of one label are one class. A class's vector is turned by three rounds of random signs and a fast
-Hadamard transform; the index and sign of its largest coordinate is one hash, and HASHES hashes make its bucket in one
-of TABLES tables. Each class also asks in the bucket that its nearest second choice gives (multiprobe). Classes that meet
+Hadamard transform; the index and sign of its largest coordinate is one hash, and some hashes together make its bucket in one
+of several tables. Each class also asks in the bucket that its nearest second choice gives (multiprobe). Classes that meet
 are verified by their cosine in double precision. A pair may meet in several buckets and counts in the first of them
 alone, which each task works out from the two vectors, so links are counted without a table of pairs; spanning links
-give the components. More hashes to a table are used as labels grow.
+give the components. More hashes to a table are used as labels grow, to keep buckets small, and with them more tables, so that
+pairs at the threshold still meet with a chance of RECALL (see ``tables_for``).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or id,
 have no links and are their own component; vectors of different lengths don't link; repeated rows count as vectors; an
@@ -26,8 +27,11 @@ from .buckets import dealt, in_parts, least_labels, whole_groups
 from .common import connected_components, read
 
 THRESHOLD = 0.93
-TABLES = 12
+LEAST_TABLES = 12
+RECALL = 0.97
 BUCKET = 32
+PART = 4096
+ROWS_AT_ONCE = 512
 SEED = 20
 
 
@@ -43,7 +47,7 @@ def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, hashes: int, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+def codes(x: np.ndarray, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row and table its bucket, and the bucket that its nearest second choice gives."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - x.shape[1])))
@@ -68,23 +72,35 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES) -> tuple[np.ndarray,
     return base, probe
 
 
+def tables_for(dim: int, hashes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Tables in which pairs of vectors at the threshold, the hardest ones, meet with a chance of ``recall``; by trial of drawn pairs."""
+    rng, tried = np.random.default_rng(SEED), 16
+    x, z = rng.normal(size=(2, max(200, (1 << 16) // dim), max(2, dim)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= x * (x * z).sum(1, keepdims=True)
+    y = threshold * x + math.sqrt(1 - threshold * threshold) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    (bx, px), (by, py) = codes(x, hashes, tried), codes(y, hashes, tried)
+    meet = ((bx == by) | (px == by) | (bx == py)).mean()
+    return max(LEAST_TABLES, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - min(meet, 1 - 1e-9)))))
+
+
 def _matrix(b, name: str = "embedding") -> np.ndarray:
     col = b[name]
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def _hashed(hashes: int):
+def _hashed(hashes: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b["dim"].to_numpy()
             for d in np.unique(dims):
                 rows = b.filter(pa.array(dims == d))
-                base, probe = codes(_matrix(rows), hashes)
-                n = rows.num_rows * TABLES
-                node = np.repeat(rows["node"].to_numpy(), TABLES)
-                label = np.repeat(rows["label"].to_numpy(), TABLES)
-                table = np.tile(np.arange(TABLES, dtype=np.int32), rows.num_rows)
+                base, probe = codes(_matrix(rows), hashes, tables)
+                n = rows.num_rows * tables
+                node = np.repeat(rows["node"].to_numpy(), tables)
+                label = np.repeat(rows["label"].to_numpy(), tables)
+                table = np.tile(np.arange(tables, dtype=np.int32), rows.num_rows)
                 both = [np.concatenate([v, v]) for v in (node, label, np.full(n, d, np.int32), table)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(np.concatenate([base.ravel(), probe.ravel()])), pa.array(np.repeat([True, False], n))], ["node", "label", "dim", "tab", "bucket", "base"])
 
@@ -99,7 +115,7 @@ def _first_meeting(base: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.nda
     return t, np.where(same[r, t], base[i, t], np.where(asks[r, t], base[j, t], base[i, t]))
 
 
-def _verified(hashes: int, threshold: float):
+def _verified(hashes: int, tables: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["label", "dim", "tab", "bucket", "lo", "hi"]):
             node, copies, is_base = (t[c].to_numpy() for c in ("node", "copies", "base"))
@@ -116,19 +132,20 @@ def _verified(hashes: int, threshold: float):
                         continue
                     r = np.arange(a - d0, z - d0)
                     ask, told = (r, r) if lo[a] == hi[a] else (r[own[a:z] == lo[a]], r[own[a:z] == hi[a]])
-                    cos = x[ask] @ x[told].T / np.outer(norm[ask], norm[told])
-                    i, j = np.nonzero(cos >= threshold)
-                    i, j = ask[i], told[j]
-                    ok = (is_base[i + d0] | is_base[j + d0]) & ((i < j) if lo[a] == hi[a] else (i != j)) & (node[i + d0] != node[j + d0])
-                    pi.append(i[ok])
-                    pj.append(j[ok])
+                    for s in range(0, len(ask), ROWS_AT_ONCE):  # ROWS_AT_ONCE * PART cosines at a time
+                        some = ask[s : s + ROWS_AT_ONCE]
+                        i, j = np.nonzero(x[some] @ x[told].T / np.outer(norm[some], norm[told]) >= threshold)
+                        i, j = some[i], told[j]
+                        ok = (is_base[i + d0] | is_base[j + d0]) & ((i < j) if lo[a] == hi[a] else (i != j)) & (node[i + d0] != node[j + d0])
+                        pi.append(i[ok])
+                        pj.append(j[ok])
                 i, j = np.concatenate(pi), np.concatenate(pj)
                 if not len(i):
                     continue
                 swap = node[i + d0] > node[j + d0]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 used = np.unique(np.concatenate([i, j]))
-                base, probe = codes(x[used], hashes)
+                base, probe = codes(x[used], hashes, tables)
                 for s in range(0, len(i), 200_000):
                     si, sj = i[s : s + 200_000], j[s : s + 200_000]
                     ft, fb = _first_meeting(base, probe, np.searchsorted(used, si), np.searchsorted(used, sj))
@@ -150,17 +167,19 @@ def usable(embedding: Column) -> Column:
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding, label)."""
+    vectors = vectors.select("vec_id", "embedding", "label")
     good = vectors.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")).checkpoint()
     top = classes.groupBy("label", "dim").count().agg(F.max("count"), F.max("dim")).first()
-    hashes = 1
+    hashes, tables = 1, LEAST_TABLES
     if top[0]:
         hashes = max(1, math.ceil(math.log(max(2, top[0] / BUCKET)) / math.log(2 << max(1, (top[1] - 1).bit_length()))))
-    rows = classes.select("node", "label", "dim", "embedding").mapInArrow(_hashed(hashes), f"node long, label {classes.schema['label'].dataType.simpleString()}, dim int, tab int, bucket long, base boolean")
+        tables = tables_for(top[1], hashes, threshold)  # more dimensions meet less often
+    rows = classes.select("node", "label", "dim", "embedding").mapInArrow(_hashed(hashes, tables), f"node long, label {classes.schema['label'].dataType.simpleString()}, dim int, tab int, bucket long, base boolean")
     key = ["label", "dim", "tab", "bucket"]
-    met = in_parts(rows, key, "node").join(classes.select("node", "copies", "embedding"), "node")
+    met = in_parts(rows, key, "node", PART).join(classes.select("node", "copies", "embedding"), "node")
     met = dealt(met, key).select(*key, "lo", "hi", "own", "node", "base", "copies", "embedding")
-    found = met.mapInArrow(_verified(hashes, threshold), "node long, links long, least long").checkpoint()
+    found = met.mapInArrow(_verified(hashes, tables, threshold), "node long, links long, least long").checkpoint()
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(links, "node", "left").join(parts, "node", "left")

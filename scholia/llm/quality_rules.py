@@ -1,10 +1,13 @@
 """Quality rules with host verdicts: document rules, then failure rates of hosts shrunk by a beta prior.
 
-Method. Each document gets counts that need no other document. A document fails the base rules when it
-has fewer than ``MIN_WORDS`` words, or more than half of its words lie in 3-word windows that occur twice
-or more in it. Failures are summed by host (``source``), the hosts' rates give a beta prior by the method
-of moments, each host's rate is shrunk to the prior's mean, and a host whose shrunk rate is above
-``MAX_HOST_RATE`` is rejected with all its documents.
+Method. Each document gets counts that need no other document. A document fails the base rules when it has fewer than
+``MIN_WORDS`` words, or more than half of its words lie in 3-word windows that occur twice or more in it; RULES adds softer
+rules on symbols, repeated lines and repeated windows. Failures of each rule are summed by host (``source``), the hosts' rates
+give that rule a beta prior by the method of moments, and a host's rate is shrunk to the prior's mean. The host fails a rule
+when its rate is surely high: its posterior mean less SURE posterior deviations lies above a limit that follows from the
+prior, its mean plus FAR prior deviations, kept within RATE_LIMITS. A document is kept if it passes the base rules and its
+host passes all rules; so a host of mostly bad documents takes its good ones with it, and a bad document among good hosts
+costs its host nothing.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows are
 counted and judged each; an empty table gives an empty result.
@@ -19,7 +22,8 @@ from .common import fresh, let, read, staged, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_HOST_RATE = 0.5
+SURE, FAR = 3.0, 3.0
+RATE_LIMITS = (0.25, 0.5)
 PRIOR_LIMITS = (2.0, 1000.0)
 BROADCAST_HOSTS = 20_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -77,62 +81,74 @@ def rule_counts(text: Column) -> Column:
     )
 
 
-def base_failed(counts: str) -> Column:
-    n, rep = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
-    return (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
+#: Rules by which hosts are judged, as conditions that Spark and DuckDB read alike
+BASE_RULE = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
+RULES = {"base": BASE_RULE, "symbols": "10 * n_symbols > n_words", "lines": "n_dup_lines >= 3", "repeats": "10 * n_repeat_words > n_words"}
+
+
+def _posterior(n: str, f: str, m: str, k: str) -> tuple[str, str]:
+    """Mean and limit-adjusted lower end, as SQL, of a rate with ``f`` failures of ``n`` under a prior of mean m and strength k."""
+    mean = f"(({f} + {m} * {k}) / ({n} + {k}))"
+    low = f"({mean} - {SURE} * sqrt({mean} * (1 - {mean}) / ({n} + {k} + 1)))"
+    limit = f"greatest({RATE_LIMITS[0]}, least({RATE_LIMITS[1]}, {m} + {FAR} * sqrt({m} * (1 - {m}) / ({k} + 1))))"
+    return mean, f"({low} <= {limit})"
 
 
-def host_verdicts(flags: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: (host, n_docs, n_failed, shrunk_rate, host_ok). ``failed`` is boolean.
+def host_verdicts(flags: DataFrame, host: str, failed: list[str]) -> DataFrame:
+    """One row per host: host, n_docs, rate_<rule> (shrunk) for each boolean column of ``failed``, and host_ok.
 
-    The prior is Beta(m K, (1 - m) K): m is the overall rate, and K comes from the spread of the hosts' rates
-    beyond what sampling explains, kept within PRIOR_LIMITS.
+    A rule's prior is Beta(m K, (1 - m) K): m is the overall rate, and K comes from the spread of the hosts' rates beyond what
+    sampling explains, kept within PRIOR_LIMITS.
     """
-    by = flags.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col(failed)).alias("n_failed"))
-    r = F.col("n_failed") / F.col("n_docs")
-    totals = by.agg(
-        F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count(F.lit(1)).alias("k"),
-        F.sum(r * r * F.col("n_docs")).alias("rr"),
-    ).select("n", "k", (F.col("f") / F.col("n")).alias("m"), (F.col("rr") / F.col("n")).alias("rr"))
-    m = F.col("m")
-    spread = F.greatest(F.col("rr") - m * m - m * (1 - m) * F.col("k") / F.col("n"), F.lit(1e-9))
-    prior = totals.select("m", F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(PRIOR_LIMITS[0])), F.lit(PRIOR_LIMITS[1])).alias("strength"))
-    shrunk = (F.col("n_failed") + m * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
+    by = flags.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(F.col(c)).alias(f"f_{c}") for c in failed))
+    sums = [F.sum("n_docs").cast("double").alias("all_docs"), F.count(F.lit(1)).alias("hosts")]
+    for c in failed:
+        rate = F.col(f"f_{c}") / F.col("n_docs")
+        sums += [F.sum(f"f_{c}").alias(f"all_{c}"), F.sum(rate * rate * F.col("n_docs")).alias(f"square_{c}")]
+    prior = by.agg(*sums)
+    for c in failed:
+        prior = prior.withColumn(f"m_{c}", F.col(f"all_{c}") / F.col("all_docs"))
+        m = F.col(f"m_{c}")
+        spread = F.greatest(F.col(f"square_{c}") / F.col("all_docs") - m * m - m * (1 - m) * F.col("hosts") / F.col("all_docs"), F.lit(1e-9))
+        prior = prior.withColumn(f"k_{c}", F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(PRIOR_LIMITS[0])), F.lit(PRIOR_LIMITS[1])))
+    prior = prior.select(*(f"{x}_{c}" for c in failed for x in "mk"))
+    told = [_posterior("n_docs", f"f_{c}", f"m_{c}", f"k_{c}") for c in failed]
     # one row on the right side: an aggregate without keys
-    return by.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= max_rate).alias("host_ok"))
+    return by.join(F.broadcast(prior)).select("host", "n_docs", *(F.expr(mean).alias(f"rate_{c}") for (mean, _), c in zip(told, failed)), F.expr(" AND ".join(ok for _, ok in told)).alias("host_ok"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> tuple[DataFrame, str, str, str]:
-    """``docs`` with three added columns, whose names are returned: counts, base_failed, kept.
+def judge(counted: DataFrame, counts: str, host: str) -> tuple[DataFrame, str, str]:
+    """Rows with a struct of counts, with two more columns, whose names are returned: base_failed and kept.
 
-    The rows with their counts are written once; hosts are summed from that table. The few host verdicts are
-    broadcast only after counting them; beyond BROADCAST_HOSTS Spark joins by shuffle and splits hot hosts.
+    The few host verdicts are broadcast only after counting them; beyond BROADCAST_HOSTS Spark joins by shuffle and splits
+    hot hosts.
     """
-    counts, failed, kept = (fresh(docs, n) for n in ("rule_counts", "base_failed", "kept"))
-    judged = staged(docs.withColumn(counts, rule_counts(F.col(text))).withColumn(failed, base_failed(counts)), "quality")
-    verdicts = host_verdicts(judged, host, failed, max_rate).select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok"))
-    verdicts = verdicts.checkpoint()
-    if verdicts.count() <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    out = judged.join(verdicts, judged[host].eqNullSafe(F.col("_host")), "left")
-    return out.withColumn(kept, ~F.col(failed) & F.coalesce("_host_ok", F.lit(True))).drop("_host", "_host_ok"), counts, failed, kept
+    flags = counted.select(F.col(host).alias("host"), f"{counts}.*").select("host", *(F.expr(c).alias(r) for r, c in RULES.items()))
+    verdicts = host_verdicts(flags, "host", list(RULES)).checkpoint()
+    few = verdicts.count() <= BROADCAST_HOSTS
+    failed, kept, key, ok = (fresh(counted, n) for n in ("base_failed", "kept", "judged_host", "host_ok"))
+    verdicts = verdicts.select(F.col("host").alias(key), F.col("host_ok").alias(ok))
+    out = counted.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col(key)), "left")
+    n, rep = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
+    out = out.withColumn(failed, (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n))
+    return out.withColumn(kept, ~F.col(failed) & F.coalesce(ok, F.lit(True))).drop(key, ok), failed, kept
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
-    slim = docs.withColumn("rules", rule_counts(F.col("text"))).select("doc_id", "source", "rules")
-    slim = slim.withColumn("bad", base_failed("rules"))
-    slim = staged(slim, "quality")
-    verdicts = host_verdicts(slim, "source", "bad").select("host", "host_ok").checkpoint()
-    if verdicts.count() <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    out = slim.join(verdicts, slim["source"].eqNullSafe(F.col("host")), "left")
-    return out.select("doc_id", *(F.col(f"rules.{c}").alias(c) for c in METRICS), F.col("bad").alias("base_failed"),
-                      (~F.col("bad") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
+    slim = staged(docs.select("doc_id", "source", rule_counts(F.col("text")).alias("rules")), "quality")
+    out, failed, kept = judge(slim, "rules", "source")
+    return out.select("doc_id", *(F.col(f"rules.{c}").alias(c) for c in METRICS), F.col(failed).alias("base_failed"), F.col(kept).alias("kept"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out, _, _, kept = judge(docs)
+    """The documents that pass, as they are.
+
+    Null texts fail; null hosts are one host; repeated rows are judged each, ties have no effect; columns of any name are
+    kept; an empty table gives an empty one. The rows with their counts are written once, and hosts are summed from that.
+    """
+    counts = fresh(docs, "rule_counts")
+    out, _, kept = judge(staged(docs.withColumn(counts, rule_counts(F.col("text"))), "quality"), counts, "source")
     return out.where(F.col(kept)).select(*docs.columns)
 
 
@@ -155,15 +171,15 @@ WITH w AS (
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w) w
   LEFT JOIN cover ON cover.doc_id = w.doc_id
 ), b AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c
+  SELECT *, {", ".join(f"{c} AS bad_{r}" for r, c in RULES.items())} FROM c
 ), h AS (
-  SELECT source AS host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source
+  SELECT source AS host, count(*) AS n, {", ".join(f"count(*) FILTER (bad_{r}) AS f_{r}" for r in RULES)} FROM b GROUP BY source
 ), t AS (
-  SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS k, sum((f / n) * (f / n) * n) / sum(n) AS rr FROM h
+  SELECT sum(n)::DOUBLE AS n, count(*) AS k, {", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, sum((f_{r} / n) * (f_{r} / n) * n) / sum(n) AS rr_{r}" for r in RULES)} FROM h
 ), p AS (
-  SELECT m, least(greatest(m * (1 - m) / greatest(rr - m * m - m * (1 - m) * k / n, 1e-9) - 1, {PRIOR_LIMITS[0]}), {PRIOR_LIMITS[1]}) AS s FROM t
+  SELECT {", ".join(f"m_{r}, least(greatest(m_{r} * (1 - m_{r}) / greatest(rr_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * k / n, 1e-9) - 1, {PRIOR_LIMITS[0]}), {PRIOR_LIMITS[1]}) AS k_{r}" for r in RULES)} FROM t
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (h.f + p.m * p.s) / (h.n + p.s) <= {MAX_HOST_RATE} AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad_base AS base_failed,
+       NOT bad_base AND {" AND ".join(_posterior("h.n", f"h.f_{r}", f"p.m_{r}", f"p.k_{r}")[1] for r in RULES)} AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.host, p
 """

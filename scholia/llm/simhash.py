@@ -27,6 +27,7 @@ from .common import connected_components, fresh, read, staged
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 BUCKET = 64
+PART = 8192
 BATCH_DOCS = 512
 
 
@@ -168,7 +169,7 @@ def near_components(prints: DataFrame) -> DataFrame:
     choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(block_masks(blocks))))
     rows = classes.select("node", "fp", F.explode(choices).alias("c")).select("node", "fp", "c.choice", "c.bucket")
     key = ["choice", "bucket"]
-    links = dealt(in_parts(rows, key, "node"), key).select("choice", "bucket", "lo", "hi", "own", "node", "fp").mapInArrow(_compared, "a long, b long")
+    links = dealt(in_parts(rows, key, "node", PART), key).select("choice", "bucket", "lo", "hi", "own", "node", "fp").mapInArrow(_compared, "a long, b long")
     parts = connected_components(links)
     named = classes.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select(F.col("fp").alias("_fp"), F.coalesce("component", classes["node"]).alias("component"))
@@ -181,7 +182,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the least doc_id (of its copies any one) stays."""
+    """Of each group of near-duplicates the row with the least doc_id stays; of rows tied in that the first in the table.
+
+    Null texts, like all texts without a word, are one group; rows with null ids come before others; columns of any name are
+    kept as they are; an empty table gives an empty one.
+    """
     row = fresh(docs, "row_key")
     kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "simhash")
     found = near_components(fingerprints(kept, row)).select(F.col("key").alias("_key"), "component")

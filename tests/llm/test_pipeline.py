@@ -25,6 +25,21 @@ def test_stages_keep_columns(spark):
     assert docs.count() > 0
 
 
+CLASHING = "size place mix_place mix_source mix_full mix_below full below _s copies nth target source_size rules rule_counts kept base_failed host host_ok judged_host _host _host_ok n_words base_spans spans row_key row _row _key _id key fp component m found".split()
+
+
+def test_stages_with_every_internal_name(spark):
+    """Columns named like the stages' own ones pass through unchanged."""
+    rows = [(*r, *(f"{c}-{i}" for c in CLASHING)) for i, r in enumerate(corpus())]
+    docs = spark.createDataFrame(rows, DOCS + ", " + ", ".join(f"`{c}` string" for c in CLASHING))
+    known = {tuple(r[-len(CLASHING) :]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert {tuple(r[-len(CLASHING) :]) for r in out.collect()} <= known, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
 def test_decisions_take_effect(spark):
     stages = dict(corpus_pipeline.STAGES)
     docs = extra(spark)
