@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mentions import names_in
+
 # fixed values
 RELATIONS = ("depends_on", "derived_from", "generalizes", "special_case_of", "equivalent_to", "applies_to", "references", "contrasts_with")
 PREREQUISITE = ("depends_on", "derived_from", "references")
@@ -126,8 +128,8 @@ def link_reference_book(links: DataFrame, core: DataFrame, least: float = SIMILA
 def candidate_concepts_per_chunk(chunks: DataFrame, concepts: DataFrame, limit: int = 20, least: int = 80) -> DataFrame:
     """Concepts whose names or aliases stand in a chunk, by their number, then the shorter name."""
     a = concepts.select("concept_id", "canonical_name", F.explode("aliases").alias("alias"))
-    c = chunks.where(F.length("content") >= least).select("chunk_id", "content")
-    d = c.join(F.broadcast(a) if a.count() <= 100_000 else a, F.contains("content", "alias")).groupBy("chunk_id", "concept_id", "canonical_name").agg(F.count(F.lit(1)).alias("score"))
+    found = names_in(chunks.where(F.length("content") >= least), "content", a, "alias", ["chunk_id"])
+    d = found.join(a, found["name"] == a["alias"]).groupBy("chunk_id", "concept_id", "canonical_name").agg(F.count(F.lit(1)).alias("score"))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("score"), F.length("canonical_name"), "canonical_name")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -146,9 +148,8 @@ def pending_chunks(chunks: DataFrame, done: DataFrame, least: int = 40) -> DataF
 def link_concepts(texts: DataFrame, concepts: DataFrame, base: float = 0.78, most: int = 20, top: int = 8, radius: int = 80) -> DataFrame:
     """Mentions of concepts in texts (text_id, text): the longest name found, its confidence and the text around it."""
     a = concepts.select("concept_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("term")).where(F.length("term") >= 2).withColumn("low_term", F.lower("term"))
-    d = texts.select("text_id", F.lower("text").alias("low"))
-    d = d.join(F.broadcast(a) if a.count() <= 100_000 else a, F.contains("low", "low_term"))
-    g = d.groupBy("text_id", "concept_id", "canonical_name").agg(F.max(F.struct(F.length("term"), "term"))["term"].alias("term"))
+    found = names_in(texts.select("text_id", F.lower("text").alias("low")), "low", a, "low_term", ["text_id"])
+    g = found.join(a, found["name"] == a["low_term"]).groupBy("text_id", "concept_id", "canonical_name").agg(F.max(F.struct(F.length("term"), "term"))["term"].alias("term"))
     g = g.withColumn("n", F.row_number().over(Window.partitionBy("text_id").orderBy("concept_id"))).where(F.col("n") <= most)
     g = g.join(texts.select("text_id", "text"), "text_id")
     g = g.withColumn("confidence", F.round(F.least(F.lit(1.0), F.lit(base) + F.least(F.lit(0.12), F.length("term") / 80)), 6))
@@ -202,8 +203,8 @@ def mine_definitions(concepts: DataFrame, chunks: DataFrame, verbs: str = "(是|
     """The first sentence of 11 to 299 characters with the concept's name and a defining verb."""
     s = chunks.select("book_id", "chapter", "chunk_index", F.posexplode(F.transform(F.split("content", seps), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("pos", "s")).where((F.length("s") > 10) & (F.length("s") < 300) & F.col("s").rlike(verbs))
     c = concepts.select("concept_id", "canonical_name")
-    d = s.join(F.broadcast(c) if c.count() <= 100_000 else c, F.contains("s", "canonical_name"))
-    return d.groupBy("concept_id").agg(F.min_by("s", F.struct("book_id", "chapter", "chunk_index", "pos")).alias("definition"))
+    found = names_in(s, "s", c, "canonical_name", ["book_id", "chapter", "chunk_index", "pos", "s"])
+    return found.join(c, found["name"] == c["canonical_name"]).groupBy("concept_id").agg(F.min_by("s", F.struct("book_id", "chapter", "chunk_index", "pos")).alias("definition"))
 
 
 def concept_tree(concepts: DataFrame, placed: DataFrame) -> DataFrame:

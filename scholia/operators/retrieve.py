@@ -10,9 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.functions import text as ft
 
+from .mentions import names_in
+
 K1, B = 1.2, 0.75
 TOC_TITLES = ("(no title)", "目录", "本章学习要点", "习题", "思考题", "参考文献", "附录", "table of contents", "toc")
 TOC_PARTS = ("目录", "本章学习要点", "习题", "table of contents")
@@ -115,26 +118,74 @@ def _best_of(sent, k: int):
 
 def gold_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of the chunks of any book that hold a query's whole text."""
-    q = queries.select("query_id", F.col("text").alias("passage"))
-    return chunks.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains("content", "passage")).select("query_id", "chunk_id")
-
-
-def _distance(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.round(1 - dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b))), 6)
+    found = names_in(chunks, "content", queries, "text", ["chunk_id"])
+    return found.join(queries.select("query_id", F.col("text").alias("name")), "name").select("query_id", "chunk_id")
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, top_n: int = 3, weight: float = 0.03) -> DataFrame:
     """Per book the nearest candidates, then the best chapters by distance less priority, then their best chunks.
 
-    ``queries`` (query_id, book_id, q) are a stated small set; vectors (book_id, chapter, vec_id, embedding, rag_priority).
+    ``queries`` (query_id, book_id, q) are a stated set; vectors (book_id, chapter, vec_id, embedding, rag_priority).
     """
-    d = vectors.join(F.broadcast(queries) if queries.count() <= 10_000 else queries, "book_id").withColumn("distance", _distance("q", "embedding"))
+    most = max(k * top_n * 4, k)
+    d = nearest_of(queries, vectors, most, by_chapter=False)
     cand = Window.partitionBy("query_id", "book_id").orderBy("distance", "vec_id")
-    d = d.withColumn("r", F.row_number().over(cand)).where(F.col("r") <= max(k * top_n * 4, k)).withColumn("adjusted", F.round(F.col("distance") - weight * F.col("rag_priority"), 6))
+    d = d.withColumn("r", F.row_number().over(cand)).where(F.col("r") <= most).withColumn("adjusted", F.round(F.col("distance") - weight * F.col("rag_priority"), 6))
     return _best_chapters(d, "adjusted", k, top_n)
 
 
+def nearest_of(queries: DataFrame, vectors: DataFrame, most: int, by_chapter: bool) -> DataFrame:
+    """Pairs (query_id, book_id, chapter, vec_id, rag_priority, distance) within a book, that hold each query's ``most`` nearest
+    vectors, of the book or of each chapter: a task gives its own nearest, from matrix products of Arrow batches.
+
+    The queries go to the tasks in blocks of about QUERY_BLOCK, dealt by a hash, one pass over the vectors for each block.
+    """
+    fields = ["book_id", "chapter", "vec_id", "rag_priority"]
+    schema = T.StructType([queries.schema["query_id"], *(vectors.schema[c] for c in fields), T.StructField("distance", T.DoubleType())])
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "book_id", "q").collect()
+        if rows:
+            sent = vectors.sparkSession.sparkContext.broadcast(rows)
+            part = vectors.select(*fields, "embedding").mapInArrow(_near_batches(sent, most, by_chapter), schema)
+            out = part if blocks == 1 else out.union(part)
+    return out
+
+
+QUERY_TILE = 256
+
+
+def _near_batches(sent, most: int, by_chapter: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: dict[str, list] = {}
+        for r in sent.value:
+            books.setdefault(r["book_id"], []).append(r)
+        asked = {b: (np.array([r["query_id"] for r in rs]), np.array([r["q"] for r in rs], np.float64)) for b, rs in books.items()}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            vec = b["vec_id"].to_numpy()
+            book = np.array(b["book_id"].to_pylist(), object)
+            group = np.unique(np.array([str(c) for c in b["chapter"].to_pylist()]), return_inverse=True)[1] if by_chapter else np.zeros(b.num_rows, int)
+            kept = b.select(["book_id", "chapter", "vec_id", "rag_priority"])
+            for name, (ids, q) in asked.items():
+                for g in np.unique(group):
+                    own = np.flatnonzero((group == g) & (book == name))
+                    own = own[np.argsort(vec[own], kind="stable")]
+                    for s in range(0, len(ids) if len(own) else 0, QUERY_TILE):
+                        tile = q[s : s + QUERY_TILE]
+                        d = np.round(1 - (tile / np.maximum(np.linalg.norm(tile, axis=1, keepdims=True), 1e-300)) @ x[own].T, 6)
+                        n = min(most, len(own))
+                        edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                        i, j = np.nonzero(d <= edge)  # ties at the edge stay, the window that follows orders them
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + i]), *kept.take(pa.array(own[j])).columns, pa.array(d[i, j])], ["query_id", *kept.schema.names, "distance"])
+
+    return run
+
+
 def _best_chapters(d: DataFrame, by: str, k: int, top_n: int) -> DataFrame:
     inner = Window.partitionBy("query_id", "chapter").orderBy(by, "vec_id")
     d = d.withColumn("in_chapter", F.row_number().over(inner)).withColumn("best", F.min(by).over(Window.partitionBy("query_id", "chapter")))
@@ -144,8 +195,7 @@ def _best_chapters(d: DataFrame, by: str, k: int, top_n: int) -> DataFrame:
 
 def vector_search_by_chapter(queries: DataFrame, vectors: DataFrame, k: int = 5, top_n: int = 3) -> DataFrame:
     """Without a book index: the nearest ``k`` of each chapter, chapters by their nearest."""
-    d = vectors.join(F.broadcast(queries) if queries.count() <= 10_000 else queries, "book_id").withColumn("distance", _distance("q", "embedding")).withColumn("order", F.col("distance"))
-    return _best_chapters(d, "order", k, top_n)
+    return _best_chapters(nearest_of(queries, vectors, k, by_chapter=True).withColumn("order", F.col("distance")), "order", k, top_n)
 
 
 QUERY_BLOCK = 5_000
@@ -175,11 +225,14 @@ def _nearest(rows: list, k: int):
         for b in batches:
             if not len(b):
                 continue
+            b = b.sort_values("vec_id")
             x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            n = min(k, d.shape[1])
-            order = np.lexsort((np.broadcast_to(b["vec_id"].to_numpy(), d.shape), d), axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": b["vec_id"].to_numpy()[order.ravel()], "distance": np.take_along_axis(d, order, 1).ravel()})
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            vec, n = b["vec_id"].to_numpy(), min(k, len(b))
+            for s in range(0, len(ids), QUERY_TILE):
+                d = np.round(1 - q[s : s + QUERY_TILE] @ x.T, 6)
+                i, j = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])  # ties at the edge stay
+                yield pd.DataFrame({"query_id": ids[s + i], "vec_id": vec[j], "distance": d[i, j]})
 
     return run
 
@@ -188,7 +241,9 @@ def expand_neighbors(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Dat
     """Chunks within ``window`` places of a hit in its chapter; direct where one is a hit itself."""
     near = hits.select("query_id", "book_id", "chapter", "rank", F.col("chunk_index").alias("at"), F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index"))
     near = near.groupBy("query_id", "book_id", "chapter", "chunk_index").agg(F.min("rank").alias("rank"), F.bool_or(F.col("at") == F.col("chunk_index")).alias("is_direct_hit"))
-    return near.join(chunks.select("book_id", "chapter", "chunk_index", "chunk_id", "page_idx", "content"), ["book_id", "chapter", "chunk_index"])
+    c = chunks.select(F.col("book_id").alias("own_book"), F.col("chapter").alias("own_chapter"), F.col("chunk_index").alias("own_index"), "chunk_id", "page_idx", "content")
+    same = (near["chapter"] == c["own_chapter"]) & (near["chunk_index"] == c["own_index"]) & near["book_id"].eqNullSafe(c["own_book"])  # books without a name count
+    return near.join(c, same).drop("own_book", "own_chapter", "own_index")
 
 
 def _term_score(q: Column, term: Column, exact: Column) -> Column:
@@ -200,12 +255,19 @@ def _term_score(q: Column, term: Column, exact: Column) -> Column:
     )
 
 
+def _either_way(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """(key, term) of the terms that a row's text contains or that contain it."""
+    inside = names_in(texts, text, terms, term, [key]).select(key, F.col("name").alias(term))
+    around = names_in(terms.select(term).distinct(), term, texts, text, [term])
+    return inside.union(around.join(texts.select(key, F.col(text).alias("name")), "name").select(key, term)).distinct()
+
+
 def concept_search(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
     """Best concepts of each query by name (100) or alias (90), whole or contained either way."""
     terms = F.transform(F.array_union(F.array("canonical_name"), "aliases"), lambda t: F.struct(F.lower(F.trim(t)).alias("term"), F.when(t == F.col("canonical_name"), 100.0).otherwise(90.0).alias("exact")))
     t = concepts.select("concept_id", "canonical_name", F.explode(terms).alias("t")).select("concept_id", "canonical_name", "t.term", "t.exact").where("term <> ''")
     q = queries.select("query_id", F.lower(F.trim("text")).alias("ql")).where("ql <> ''")
-    d = q.join(F.broadcast(t) if t.count() <= 100_000 else t, F.contains("ql", "term") | F.contains("term", "ql"))
+    d = _either_way(q, "query_id", "ql", t, "term").join(q, "query_id").join(t, "term")
     d = d.groupBy("query_id", "concept_id", "canonical_name").agg(F.round(F.max(_term_score(F.col("ql"), F.col("term"), F.col("exact"))), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "canonical_name")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -318,7 +380,7 @@ def keyword_chapters(queries: DataFrame, keywords: DataFrame) -> DataFrame:
     """Chapters by the number of their keywords that the question contains or that contain it."""
     k = keywords.select("chapter", F.lower(F.trim("keyword")).alias("kw")).where(F.length("kw") >= 2).distinct()
     q = queries.select("query_id", F.lower("text").alias("ql"))
-    d = k.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains("ql", "kw") | F.contains("kw", "ql"))
+    d = _either_way(q, "query_id", "ql", k, "kw").join(k, "kw")
     return d.groupBy("query_id", "chapter").agg(F.count(F.lit(1)).alias("score"))
 
 
@@ -327,7 +389,8 @@ def chapters_named(queries: DataFrame, chapters: DataFrame) -> DataFrame:
     n = F.regexp_extract("text", r"第\s*(\d+)\s*章", 1)
     q = queries.select("query_id", "text", F.when(n != "", F.concat(F.lit("第"), n, F.lit("章"))).alias("number"))
     c = chapters.select("chapter", "title")
-    d = c.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains("text", "title") | F.contains("title", "number"))
-    pri = F.when(F.contains("text", "title"), 0).otherwise(1)
-    w = Window.partitionBy("query_id").orderBy(pri, F.desc(F.length("title")), "chapter")
+    named = names_in(q, "text", c, "title", ["query_id"]).select("query_id", F.col("name").alias("title"), F.lit(0).alias("pri"))
+    numbered = names_in(c.select("title").distinct(), "title", q, "number", ["title"]).join(q.select("query_id", F.col("number").alias("name")), "name").select("query_id", "title", F.lit(1).alias("pri"))
+    d = named.union(numbered).join(c, "title")
+    w = Window.partitionBy("query_id").orderBy("pri", F.desc(F.length("title")), "chapter")
     return d.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "chapter", "title")

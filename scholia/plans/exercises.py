@@ -150,11 +150,11 @@ def ex18_mistake_to_exercise(spark, sf_dir):
 
 
 @query(with_study("chunks") + """ SELECT chunk_id, page FROM (SELECT *, page_idx + 1 AS page, row_number() OVER (PARTITION BY book_id, content ORDER BY chapter, chunk_index) AS nth FROM chunks
-  WHERE page_idx BETWEEN 0 AND 2 AND ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] IN ('example', 'exercise')) WHERE nth = 1""")
+  WHERE ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] IN ('example', 'exercise')) WHERE nth = 1""")
 def ex1_extract_textbook_exercises(spark, sf_dir):
     roles = F.array(*map(F.lit, ("definition", "theorem", "example", "exercise", "reference")))
     c = study.chunks(spark, sf_dir).withColumn("role", F.element_at(roles, F.col("chunk_index") % 5 + 1))
-    return op.extract_textbook_exercises(c, "other", 1, 3).select("chunk_id", "page")
+    return op.extract_textbook_exercises(c, "other").select("chunk_id", "page")
 
 
 @query(with_study("chunks") + r" SELECT chunk_id, CASE WHEN chunk_index % 3 = 0 THEN page_idx + 1 WHEN chunk_index % 3 = 1 THEN chapter::INT ELSE chunk_index END AS page FROM chunks")

@@ -135,7 +135,8 @@ def in13_index_health(spark, sf_dir):
     return op.index_health(c, c.where(F.lower("content").rlike("[a-z0-9]")), c.where("chunk_index % 2 = 0"))
 
 
-FPR_SQL = ", p AS (SELECT book_id, chapter, sha1(string_agg(sha1(chunk_id || '|' || content), '' ORDER BY chunk_index)) AS h FROM chunks GROUP BY ALL), fp AS (SELECT book_id, sha1(string_agg(h, '' ORDER BY chapter)) AS fingerprint FROM p GROUP BY book_id)"
+FPR_SQL = """, p AS (SELECT book_id, chapter, sha1(string_agg(sha1(chunk_id || '|' || content), '' ORDER BY chunk_index)) AS h FROM chunks GROUP BY ALL), b AS (SELECT book_id, substr(md5(chapter), 1, 4) AS bucket, sha1(string_agg(h, '' ORDER BY chapter)) AS h FROM p GROUP BY ALL),
+t AS (SELECT book_id, bucket[1:2] AS top, sha1(string_agg(h, '' ORDER BY bucket)) AS h FROM b GROUP BY ALL), fp AS (SELECT book_id, sha1(string_agg(h, '' ORDER BY top)) AS fingerprint FROM t GROUP BY book_id)"""
 
 
 @query(with_study("chunks") + FPR_SQL + " SELECT * FROM fp")

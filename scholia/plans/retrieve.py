@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scholia.functions import latex
 from scholia.functions import text as ft
 from scholia.operators import evaluate as ev
 from scholia.operators import retrieve as op
@@ -13,22 +14,25 @@ from scholia.sources.study import with_study
 from .registry import query
 
 TOKENS_SQL = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_.+-]+')"
-# each benchmark passage is asked of one book
-BM25_SQL = with_study("chunks") + f""", q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS book_id, text FROM benchmark),
-t AS (SELECT book_id, chapter, chunk_id, chunk_index, page_idx, content, {TOKENS_SQL.format('content')} AS ts FROM chunks), stats AS (SELECT book_id, count(*) AS n, avg(len(ts)) AS avgdl FROM t GROUP BY book_id),
+# each benchmark passage is asked of every book
+BM25_SQL = with_study("chunks") + f""", q AS (SELECT item_id AS query_id, text FROM benchmark),
+t AS (SELECT book_id, chapter, chunk_id, chunk_index, {TOKENS_SQL.format('content')} AS ts FROM chunks), stats AS (SELECT book_id, count(*) AS n, avg(len(ts)) AS avgdl FROM t GROUP BY book_id),
 post AS (SELECT book_id, term, chapter, chunk_id, chunk_index, dl, count(*) AS tf FROM (SELECT book_id, chapter, chunk_id, chunk_index, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
-df AS (SELECT book_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT query_id, book_id, term, count(*) AS qtf FROM (SELECT query_id, book_id, unnest({TOKENS_SQL.format('text')}) AS term FROM q) GROUP BY ALL),
+df AS (SELECT book_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, p.book_id, p.chapter, chunk_id, chunk_index, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))), 6) AS score
-  FROM qt JOIN df USING (book_id, term) JOIN stats USING (book_id) JOIN post p ON p.book_id = qt.book_id AND p.term = qt.term GROUP BY ALL),
+  FROM qt JOIN df USING (term) JOIN stats ON stats.book_id IS NOT DISTINCT FROM df.book_id JOIN post p ON p.book_id IS NOT DISTINCT FROM df.book_id AND p.term = qt.term GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter DESC, chunk_index DESC) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
 
 
 def _queries(spark, sf_dir):
-    return study.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("book_id"), "text")
+    return study.queries(spark, sf_dir)
 
 
 def _bm25(spark, sf_dir):
-    return op.bm25_search(_queries(spark, sf_dir), *_index(spark, sf_dir))
+    """The best chunks of all books for each question, written once, as several steps read them."""
+    path, best = tables.scratch(spark, "bm25"), op.bm25_search_all(_queries(spark, sf_dir), study.chunks(spark, sf_dir))
+    best.write.parquet(path)
+    return spark.read.schema(best.schema).parquet(path)
 
 
 def _index(spark, sf_dir):
@@ -58,23 +62,24 @@ def rt3_bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "chunk_id", "rank", "score")
 
 
-# each benchmark passage is asked of every book
-BM25_ALL_SQL = with_study("chunks") + f""", q AS (SELECT item_id AS query_id, text FROM benchmark),
-t AS (SELECT book_id, chapter, chunk_id, chunk_index, {TOKENS_SQL.format('content')} AS ts FROM chunks), stats AS (SELECT book_id, count(*) AS n, avg(len(ts)) AS avgdl FROM t GROUP BY book_id),
-post AS (SELECT book_id, term, chapter, chunk_id, chunk_index, dl, count(*) AS tf FROM (SELECT book_id, chapter, chunk_id, chunk_index, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
-df AS (SELECT book_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM q) GROUP BY ALL),
-s AS (SELECT query_id, p.book_id, p.chapter, chunk_id, chunk_index, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))), 6) AS score
-  FROM qt JOIN df USING (term) JOIN stats ON stats.book_id IS NOT DISTINCT FROM df.book_id JOIN post p ON p.book_id IS NOT DISTINCT FROM df.book_id AND p.term = qt.term GROUP BY ALL),
-bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter DESC, chunk_index DESC) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
 
 
-@query(BM25_ALL_SQL + " SELECT query_id, chunk_id, rank, score FROM bm")
+@query(BM25_SQL + " SELECT query_id, chunk_id, rank, score FROM bm")
 def rt3_bm25_search_all(spark, sf_dir):
-    """Over all books; ``rt3_bm25_search`` is held to one book a question by its SQL."""
     return op.bm25_search_all(study.queries(spark, sf_dir), study.chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank", "score")
 
 
-@query(BM25_ALL_SQL + " SELECT query_id, chunk_id FROM q JOIN chunks c ON contains(c.content, q.text)")
+BOOK_SQL = BM25_SQL + """, asked AS (SELECT DISTINCT query_id, book_id FROM bm WHERE rank = 1), own AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter DESC, chunk_index DESC) AS rank FROM s JOIN asked USING (query_id, book_id) WHERE score > 0)"""
+
+
+@query(BOOK_SQL + " SELECT query_id, chunk_id, rank, score FROM own WHERE rank <= 20")
+def rt3_bm25_in_book(spark, sf_dir):
+    """Each question asked again of the book that answers it best, from the written index."""
+    book = _bm25(spark, sf_dir).where("rank = 1").select("query_id", "book_id")
+    return op.bm25_search(_queries(spark, sf_dir).join(book, "query_id"), *_index(spark, sf_dir)).select("query_id", "chunk_id", "rank", "score")
+
+
+@query(BM25_SQL + " SELECT query_id, chunk_id FROM q JOIN chunks c ON contains(c.content, q.text)")
 def ev2_gold_all(spark, sf_dir):
     """Gold of all books by the whole passage."""
     return op.gold_chunks(study.queries(spark, sf_dir), study.chunks(spark, sf_dir))
@@ -110,7 +115,7 @@ def rt5_vector_search_by_chapter(spark, sf_dir):
 NEAR_SQL = BM25_SQL + """, near AS (SELECT query_id, book_id, chapter, place + o AS chunk_index, min(rank) AS rank, bool_or(o = 0) AS is_direct_hit FROM (SELECT query_id, book_id, chapter, chunk_index AS place, rank FROM bm WHERE rank <= 3), (SELECT unnest([-1, 0, 1]) AS o) GROUP BY ALL)"""
 
 
-@query(NEAR_SQL + " SELECT query_id, chunk_id, n.rank, is_direct_hit FROM near n JOIN chunks c ON c.book_id = n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index")
+@query(NEAR_SQL + " SELECT query_id, chunk_id, n.rank, is_direct_hit FROM near n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index")
 def rt6_expand_neighbors(spark, sf_dir):
     return op.expand_neighbors(_bm25(spark, sf_dir).where("rank <= 3"), study.chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank", "is_direct_hit")
 
@@ -148,7 +153,7 @@ def rt8_rank_concepts(spark, sf_dir):
 CC_SQL = """, o AS (SELECT concept_id, book_id, chapter, chunk_id, chunk_index, role, list_position(['definition', 'theorem', 'property', 'derivation', 'proof', 'example', 'algorithm', 'exercise', 'reference'], role) AS o FROM occurrences WHERE concept_id IN (SELECT concept_id FROM rc)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_id, book_id ORDER BY o, chapter, chunk_index) AS r FROM o) WHERE r <= 3),
 nr AS (SELECT concept_id, book_id, chapter, chunk_index + w AS chunk_index, bool_or(w = 0) AS is_direct_hit FROM (SELECT *, unnest(CASE WHEN role = 'example' THEN range(-3, 4) ELSE range(-1, 2) END) AS w FROM top) GROUP BY ALL),
-cc AS (SELECT n.concept_id, n.book_id, c.chapter, c.chunk_id, c.chunk_index, c.page_idx, c.content, is_direct_hit FROM nr n JOIN chunks c ON c.book_id = n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index)"""
+cc AS (SELECT n.concept_id, n.book_id, c.chapter, c.chunk_id, c.chunk_index, c.page_idx, c.content, is_direct_hit FROM nr n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index)"""
 
 
 def _concept_chunks(spark, sf_dir):
@@ -170,7 +175,7 @@ def rt10_toc_like(spark, sf_dir):
 
 HITS_SQL = """, hits AS (
  SELECT query_id, 2 AS list_no, rank AS position, rank, 'bm25' AS source, b.chunk_id, b.chapter, c.page_idx, c.content AS text, false AS direct FROM bm b JOIN chunks c USING (chunk_id)
- UNION ALL SELECT query_id, 3, 100 + n.rank, NULL, 'neighbor', c.chunk_id, c.chapter, c.page_idx, c.content, false FROM near n JOIN chunks c ON c.book_id = n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index),
+ UNION ALL SELECT query_id, 3, 100 + n.rank, NULL, 'neighbor', c.chunk_id, c.chapter, c.page_idx, c.content, false FROM near n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index),
 h AS (SELECT *, CASE WHEN source = 'bm25' THEN 'bm25' ELSE 'dense' END AS kind, coalesce(rank, position) AS r FROM hits WHERE trim(text) <> ''),
 one AS (SELECT query_id, chunk_id, min_by(chapter, (list_no, position)) AS chapter, min_by(page_idx, (list_no, position)) AS page_idx, min_by(text, (list_no, position)) AS text, min_by(source, (list_no, position)) AS source, bool_or(direct) AS direct, min(r) FILTER (kind = 'dense') AS rd, min(r) FILTER (kind = 'bm25') AS rb FROM h GROUP BY ALL),
 sc AS (SELECT one.*, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9_.+-]+')) AS qt, list_distinct(regexp_extract_all(lower(one.text), '[a-z0-9_.+-]+')) AS tt FROM one JOIN q USING (query_id)),
@@ -193,38 +198,33 @@ def rt11_fuse_and_rerank(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "rank", "chunk_id", "score", "coverage")
 
 
-GATE_SQL = NEAR_SQL + HITS_SQL + r", gate AS (SELECT f.query_id, f.rank, f.chunk_id FROM fused f JOIN q USING (query_id) WHERE f.rank <= 6 AND len(list_filter(regexp_extract_all(left(q.text, 12), '[A-Za-z]+\d*|\d{2,}'), lambda x: NOT contains(lower(f.text), lower(x)))) = 0 AND (direct OR coverage >= 0.2))"
-
-
-def _short(spark, sf_dir):
-    """Only the start of a question must stand in its evidence."""
-    return _queries(spark, sf_dir).withColumn("text", F.substring("text", 1, 12))
+GATE_SQL = NEAR_SQL + HITS_SQL + r", gate AS (SELECT f.query_id, f.rank, f.chunk_id FROM fused f JOIN q USING (query_id) WHERE f.rank <= 6 AND len(list_filter(regexp_extract_all(q.text, '[A-Za-z]+\d*|\d{2,}'), lambda x: NOT contains(lower(f.text), lower(x)))) = 0 AND (direct OR coverage >= 0.2))"
 
 
 @query(GATE_SQL + " SELECT query_id, rank, chunk_id FROM gate")
 def rt12_evidence_gate(spark, sf_dir):
-    return op.evidence_gate(_fused(spark, sf_dir), _short(spark, sf_dir)).select("query_id", "rank", "chunk_id")
+    return op.evidence_gate(_fused(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "rank", "chunk_id")
 
 
 @query(GATE_SQL + " SELECT query_id FROM q WHERE query_id NOT IN (SELECT query_id FROM gate)")
 def rt12_refused(spark, sf_dir):
     q = _queries(spark, sf_dir)
-    return op.refused(q, op.evidence_gate(_fused(spark, sf_dir), _short(spark, sf_dir))).select("query_id")
+    return op.refused(q, op.evidence_gate(_fused(spark, sf_dir), _queries(spark, sf_dir))).select("query_id")
 
 
 def _in(x: str, needles) -> str:
     return "(" + (" + ".join(f"contains({x}, '{n}')::INT" for n in needles) or "0") + ")"
 
 
-ASK = "CASE conv_id % 5 WHEN 0 THEN '什么是' || left(text, 9) WHEN 1 THEN left(text, 9) || '的公式' WHEN 2 THEN '为什么' || left(text, 40) WHEN 3 THEN '证明并计算' || left(text, 5) ELSE left(text, 20) END"
+ASK = "CASE conv_id % 5 WHEN 0 THEN '什么是' || text WHEN 1 THEN text || '的公式' WHEN 2 THEN '为什么' || text WHEN 3 THEN '证明并计算' || text ELSE text END"
 
 
 @query("WITH t AS (SELECT conv_id, turn, " + ASK + " AS text FROM conversations WHERE role = 'user'), q AS (SELECT *, lower(trim(text)) AS q FROM t), s AS (SELECT *, list_min([" + ", ".join(f"{{'s': 2 * {_in('q', anti)} - {_in('q', yes)}, 'i': {i}, 'n': '{n}', 'c': {str(simple).lower()} AND {_in('q', anti)} = 0}}" for i, (n, yes, anti, simple) in enumerate(ft.INTENTS)) + f"""]) AS b FROM q),
 r AS (SELECT *, CASE WHEN q <> '' AND b.s < 0 THEN b.n ELSE 'qa' END AS intent, CASE WHEN q = '' THEN 1.0 WHEN b.s < 0 THEN least(0.95, 0.5 - b.s * 0.15) ELSE 0.3 END AS c, CASE WHEN q = '' THEN true WHEN b.s < 0 THEN b.c AND length(text) <= 35 ELSE false END AS is_simple FROM s)
 SELECT conv_id, turn, intent, round(c, 2)::DOUBLE AS confidence, is_simple, c >= 0.6 AND is_simple AND length(text) <= 35 AND CASE WHEN intent = 'factual_recall' THEN {_in('q', ft.COMPLEX[1:])} ELSE {_in('q', ft.COMPLEX)} END = 0 AS fast_path FROM r""")
 def rt13_classify_intent(spark, sf_dir):
-    k, left = F.col("conv_id") % 5, lambda n: F.substring("text", 1, n)
-    t = F.when(k == 0, F.concat(F.lit("什么是"), left(9))).when(k == 1, F.concat(left(9), F.lit("的公式"))).when(k == 2, F.concat(F.lit("为什么"), left(40))).when(k == 3, F.concat(F.lit("证明并计算"), left(5))).otherwise(left(20))
+    k = F.col("conv_id") % 5
+    t = F.when(k == 0, F.concat(F.lit("什么是"), "text")).when(k == 1, F.concat("text", F.lit("的公式"))).when(k == 2, F.concat(F.lit("为什么"), "text")).when(k == 3, F.concat(F.lit("证明并计算"), "text")).otherwise(F.col("text"))
     return study.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", t.alias("text")).select("conv_id", "turn", ft.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
 
 
@@ -235,41 +235,40 @@ def rt14_rewrite_followups(spark, sf_dir):
     return op.rewrite_followups(study.table(spark, sf_dir, "conversations"), ("dieund", "the")).select("conv_id", "turn", F.md5("rewritten").alias("rewritten"))
 
 
-@query("WITH k AS (SELECT DISTINCT source AS chapter, lower(w) AS kw FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')[1:3]) AS w FROM documents)), q AS (SELECT item_id AS query_id, lower(text) AS ql FROM benchmark) SELECT query_id, chapter, count(*) AS score FROM q JOIN k ON contains(ql, kw) OR contains(kw, ql) GROUP BY ALL")
+@query("WITH k AS (SELECT DISTINCT source AS chapter, lower(w) AS kw FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS w FROM documents)), q AS (SELECT item_id AS query_id, lower(text) AS ql FROM benchmark) SELECT query_id, chapter, count(*) AS score FROM q JOIN k ON contains(ql, kw) OR contains(kw, ql) GROUP BY ALL")
 def rt15_keyword_chapters(spark, sf_dir):
-    k = study.table(spark, sf_dir, "documents").select(F.col("source").alias("chapter"), F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0)), 1, 3)).alias("keyword"))
+    k = study.table(spark, sf_dir, "documents").select(F.col("source").alias("chapter"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0)))).alias("keyword"))
     return op.keyword_chapters(_queries(spark, sf_dir), k)
 
 
-@query(with_study("concepts") + """, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE left(text, 8) || ' 第3章 x' END AS text FROM benchmark), c AS (SELECT concept_id AS chapter, CASE WHEN concept_id = 'c7' THEN '第3章 x' ELSE canonical_name END AS title FROM concepts),
+@query(with_study("concepts") + """, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE text || ' 第3章' END AS text FROM benchmark), c AS (SELECT concept_id AS chapter, CASE WHEN canonical_name[1] = 'q' THEN '第3章 ' || canonical_name ELSE canonical_name END AS title FROM concepts),
 j AS (SELECT query_id, chapter, title, CASE WHEN contains(text, title) THEN 0 ELSE 1 END AS p FROM q JOIN c ON contains(text, title) OR (contains(text, '第3章') AND contains(title, '第3章'))) SELECT query_id, chapter, title FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, length(title) DESC, chapter) AS r FROM j) WHERE r = 1""")
 def rt16_chapters_named(spark, sf_dir):
-    q = _queries(spark, sf_dir).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.substring("text", 1, 8), F.lit(" 第3章 x"))))
-    c = study.concepts(spark, sf_dir).select(F.col("concept_id").alias("chapter"), F.when(F.col("concept_id") == "c7", "第3章 x").otherwise(F.col("canonical_name")).alias("title"))
+    q = _queries(spark, sf_dir).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" 第3章"))))
+    c = study.concepts(spark, sf_dir).select(F.col("concept_id").alias("chapter"), F.when(F.startswith("canonical_name", F.lit("q")), F.concat(F.lit("第3章 "), "canonical_name")).otherwise(F.col("canonical_name")).alias("title"))
     return op.chapters_named(q, c)
 
 
-# evaluation of the lexical run: gold are the chunks of the book that hold the passage's first ten words
-GOLD_SQL = BM25_SQL + ", gold AS (SELECT query_id, chunk_id FROM q JOIN chunks c ON c.book_id = q.book_id AND contains(c.content, left(q.text, 40))), hit AS (SELECT bm.query_id, bm.rank::INT AS rank, bm.chunk_id, bm.chapter, c.content AS text, c.page_idx FROM bm JOIN chunks c USING (chunk_id))"
+# evaluation of the lexical run: gold are the chunks of any book that hold the whole passage
+GOLD_SQL = BM25_SQL + ", gold AS (SELECT query_id, chunk_id FROM q JOIN chunks c ON contains(c.content, q.text)), hit AS (SELECT bm.query_id, bm.rank::INT AS rank, bm.chunk_id, bm.chapter, c.content AS text, c.page_idx FROM bm JOIN chunks c USING (chunk_id))"
 
 
 def _gold(spark, sf_dir):
-    q = _queries(spark, sf_dir)
-    return study.chunks(spark, sf_dir).join(F.broadcast(q) if q.count() <= 10_000 else q, "book_id").where(F.contains("content", F.substring("text", 1, 40))).select("query_id", "chunk_id")
+    return op.gold_chunks(_queries(spark, sf_dir), study.chunks(spark, sf_dir))
 
 
 def _hits(spark, sf_dir):
     return _bm25(spark, sf_dir).join(study.chunks(spark, sf_dir).select("chunk_id", "page_idx", F.col("content").alias("text")), "chunk_id").select("query_id", "rank", "chunk_id", "chapter", "text", "page_idx")
 
 
-POINTS_SQL = ", cs AS (SELECT query_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: length(x) >= 5)[1:4] AS points, query_id % 3 <> 0 AS answerable FROM q)"
+POINTS_SQL = ", cs AS (SELECT query_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: length(x) >= 5) AS points, query_id % 3 <> 0 AS answerable FROM q)"
 
 
 @query(GOLD_SQL + POINTS_SQL + """, hl AS (SELECT query_id, list({'rank': rank, 'text': text} ORDER BY rank) AS hs FROM hit GROUP BY query_id), d AS (SELECT cs.*, coalesce(hs, []) AS hs, coalesce(array_to_string(list_transform(hs, lambda h: h.text), chr(10)), '') AS a FROM cs LEFT JOIN hl USING (query_id)),
 e AS (SELECT *, len(list_filter(points, lambda p: contains(a, p))) AS f, list_min(list_transform(list_filter(hs, lambda h: len(list_filter(points, lambda p: NOT contains(h.text, p))) = 0), lambda h: h.rank)) AS r FROM d)
 SELECT query_id, CASE WHEN answerable THEN (f = len(points))::INT ELSE (len(hs) = 0)::INT END::DOUBLE AS recall, round(CASE WHEN answerable THEN CASE WHEN len(points) > 0 THEN f / len(points) ELSE 0 END ELSE (len(hs) = 0)::INT END, 6)::DOUBLE AS point_recall, round(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / r, 0) ELSE (len(hs) = 0)::INT END, 6)::DOUBLE AS reciprocal FROM e""")
 def ev1_point_recall(spark, sf_dir):
-    c = _queries(spark, sf_dir).select("query_id", F.slice(F.filter(F.split("text", "[ \n]+"), lambda x: F.length(x) >= 5), 1, 4).alias("points"), (F.col("query_id") % 3 != 0).alias("answerable"))
+    c = _queries(spark, sf_dir).select("query_id", F.filter(F.split("text", "[ \n]+"), lambda x: F.length(x) >= 5).alias("points"), (F.col("query_id") % 3 != 0).alias("answerable"))
     return ev.point_recall(c, _hits(spark, sf_dir))
 
 
@@ -346,7 +345,7 @@ def le16_latex_issues(spark, sf_dir):
     k = F.col("doc_id") % 4
     t = F.when(k == 0, F.concat(F.lit("$"), "text")).when(k == 1, F.concat(F.lit(r"\(x\) $$ "), "text")).when(k == 2, F.concat(F.lit("$$  $$ "), "text")).otherwise(F.col("text"))
     d = study.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
-    return d.select("doc_id", F.array_join(ft.latex_issues(F.col("t")), ",").alias("issues"), F.array_join(ft.latex_issues(ft.sanitise_latex(F.col("t"))), ",").alias("after"))
+    return d.select("doc_id", F.array_join(latex.latex_issues(F.col("t")), ",").alias("issues"), F.array_join(latex.latex_issues(latex.sanitise_latex(F.col("t"))), ",").alias("after"))
 
 
 @query("WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, 'é', 'Ã©') ELSE replace(text, ' the ', ' ???? ') END AS t FROM documents), c AS (SELECT doc_id, (" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in ft.MOJIBAKE) + r")::INT AS hits, len(regexp_extract_all(t, '\?{3,}')) AS question_runs, len(regexp_extract_all(t, '\x{FFFD}')) AS replacements, len(regexp_extract_all(t, '(?:â[\x{80}-\x{bf}]|Ã[\x{80}-\x{bf}]|ä¸|å[\x{80}-\x{bf}]|ç[\x{80}-\x{bf}])')) AS cp1252 FROM t) SELECT *, hits + question_runs * 8 + replacements * 20 + cp1252 * 5 AS score FROM c")

@@ -26,17 +26,18 @@ def io1_read_ocr_content(spark, sf_dir):
     return d.groupBy("book").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT source, count(*) AS lines, sum(length(x))::BIGINT AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY source")
+@query("SELECT source, count(*) AS lines, sum(length(trim(x)))::BIGINT AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY source")
 def io2_read_ocr_middle(spark, sf_dir):
-    """Documents as page trees (a line a span), flattened again."""
-    d = study.table(spark, sf_dir, "documents")
-    tree = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("page_idx"), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("text").alias("type"), F.array(F.struct(F.array(F.struct(x.alias("content"))).alias("spans"))).alias("lines"))).alias("para_blocks"))).alias("pdf_info")))
+    """Documents as page trees, a file each (a line a span; every other line in a nested block), flattened again."""
+    d = study.table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id())
+    span = lambda x: F.array(F.struct(F.array(F.struct(x.alias("content"))).alias("spans")))
+    none = F.array().cast("array<struct<spans:array<struct<content:string>>>>")
+    block = lambda x, i: F.struct(F.lit("text").alias("type"), F.when(i % 2 == 0, span(x)).otherwise(none).alias("lines"), F.when(i % 2 == 1, F.array(F.struct(F.lit("list").alias("type"), span(x).alias("lines")))).alias("blocks"))
+    page = F.struct(F.lit(0).alias("page_idx"), F.transform(F.split("text", "\n"), block).alias("para_blocks"))
     path = tables.scratch(spark, "ocr-middle")
-    d.select("source", tree.alias("value")).write.partitionBy("source").text(path)
-    m = spark.read.schema("value string, source string").text(path).select("source", F.from_json("value", tables.MIDDLE).alias("m"))
-    b = m.select("source", F.explode(F.flatten(F.transform("m.pdf_info", lambda p: p["para_blocks"]))).alias("b"))
-    text = F.array_join(F.flatten(F.transform("b.lines", lambda x: F.transform(x["spans"], lambda s: s["content"]))), " ")
-    return b.select("source", text.alias("t")).where(F.trim("t") != "").groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("t")).alias("chars"))
+    d.select("source", F.to_json(F.struct(F.array(page).alias("pdf_info"))).alias("value")).write.partitionBy("source").option("lineSep", "\n").text(path)
+    b = tables.read_ocr_middle(spark, path, whole_files=False)
+    return b.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(with_study("chunks") + " SELECT chunk_id, book_id, CASE chunk_index % 2 WHEN 0 THEN 'derivation' ELSE 'reference' END AS role, -1 AS page_idx, 1.0::DOUBLE AS rag_priority, length(content) AS chars FROM chunks")

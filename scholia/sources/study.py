@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31"
-N_CONCEPTS = 200
+CONCEPT_DOCS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +42,14 @@ def words6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that most documents have."""
-    df = words6(spark, sf_dir).select("chapter", "word").distinct().groupBy("word").count()
-    top = df.orderBy(F.desc("count"), "word").limit(N_CONCEPTS)
-    n = F.row_number().over(Window.orderBy(F.desc("count"), "word"))
-    return top.select(F.concat(F.lit("c"), n).alias("concept_id"), F.col("word").alias("canonical_name"), F.array(F.col("word"), F.concat("word", F.lit("s"))).alias("aliases"))
+    """Every word that CONCEPT_DOCS documents or more have; the id follows from the word."""
+    df = words6(spark, sf_dir).select("chapter", "word").distinct().groupBy("word").count().where(F.col("count") >= CONCEPT_DOCS)
+    return df.select(F.concat(F.lit("c"), F.substring(F.md5("word"), 1, 12)).alias("concept_id"), F.col("word").alias("canonical_name"), F.array(F.col("word"), F.concat("word", F.lit("s"))).alias("aliases"))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a chunk has a concept's name as a word; the role is by position in the page."""
-    c = F.broadcast(concepts(spark, sf_dir).select("concept_id", "canonical_name"))  # N_CONCEPTS rows
+    c = concepts(spark, sf_dir).select("concept_id", "canonical_name")
     w = words6(spark, sf_dir).select("book_id", "chapter", "chunk_id", "chunk_index", "page_idx", "word").distinct()
     roles = F.array(*map(F.lit, ("definition", "theorem", "example", "exercise", "reference")))
     return w.join(c, w["word"] == c["canonical_name"]).select("concept_id", "canonical_name", "book_id", "chapter", "chunk_id", "chunk_index", "page_idx", F.element_at(roles, F.col("chunk_index") % 5 + 1).alias("role"))
@@ -130,8 +128,8 @@ STUDY_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "sections": (("chunks",), "SELECT DISTINCT book_id, chapter, page_idx // 2 AS section_no, page_idx // 2 * 2 AS start_page, page_idx // 2 * 2 + 1 AS end_page FROM chunks"),
     "queries": ((), "SELECT item_id AS query_id, text FROM benchmark"),
     "words6": (("chunks",), "SELECT *, unnest(regexp_extract_all(lower(content), '[a-z]{6,}')) AS word FROM chunks"),
-    "concepts": (("words6",), f"""SELECT 'c' || row_number() OVER (ORDER BY n DESC, word) AS concept_id, word AS canonical_name, [word, word || 's'] AS aliases
-        FROM (SELECT word, count(DISTINCT chapter) AS n FROM words6 GROUP BY word ORDER BY n DESC, word LIMIT {N_CONCEPTS})"""),
+    "concepts": (("words6",), f"""SELECT 'c' || substr(md5(word), 1, 12) AS concept_id, word AS canonical_name, [word, word || 's'] AS aliases
+        FROM (SELECT word FROM words6 GROUP BY word HAVING count(DISTINCT chapter) >= {CONCEPT_DOCS})"""),
     "occurrences": (("words6", "concepts"), """SELECT DISTINCT concept_id, canonical_name, book_id, chapter, chunk_id, chunk_index, page_idx, ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] AS role
         FROM words6 JOIN concepts ON word = canonical_name"""),
     "relations": ((), """SELECT source_id, 'depends_on' AS relation, target_id, evidence FROM (SELECT l_partkey AS source_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target_id, l_orderkey AS evidence FROM lineitem)

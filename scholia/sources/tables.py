@@ -59,14 +59,19 @@ def read_ocr_content(spark: SparkSession, path: str) -> DataFrame:
     return d.select("book_id", *own, "pos", "type", "text_level", "page_idx", "bbox", item_text(parts).alias("text"))
 
 
-def read_ocr_middle(spark: SparkSession, path: str) -> DataFrame:
-    """Text items of page trees: spans of a line joined by blanks, lines by line feeds; nested blocks one level deep."""
-    raw = spark.read.schema("value string").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", MIDDLE).alias("m"))
-    pages = raw.select("file", F.posexplode("m.pdf_info").alias("page_no", "p"))
-    blocks = pages.select("file", F.coalesce("p.page_idx", "page_no").alias("page_idx"), "page_no", F.posexplode("p.para_blocks").alias("block_no", "b"))
+def read_ocr_middle(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Text items of page trees: spans of a line joined by blanks, lines by line feeds; nested blocks one level deep.
+
+    A file is one tree or, with ``whole_files`` off, has one in each line and can be split.
+    """
+    raw = spark.read.text(path, wholetext=whole_files)
+    own = [c for c in raw.columns if c != "value"]  # folders named key=value give columns
+    raw = raw.select(F.col("_metadata.file_name").alias("file"), *own, F.from_json("value", MIDDLE).alias("m"))
+    pages = raw.select("file", *own, F.posexplode("m.pdf_info").alias("page_no", "p"))
+    blocks = pages.select("file", *own, F.coalesce("p.page_idx", "page_no").alias("page_idx"), "page_no", F.posexplode("p.para_blocks").alias("block_no", "b"))
     lines = F.concat(F.coalesce("b.lines", F.array().cast(T.ArrayType(LINE))), F.flatten(F.transform(F.coalesce("b.blocks", F.array().cast(T.ArrayType(_LEAF))), lambda x: F.coalesce(x["lines"], F.array().cast(T.ArrayType(LINE))))))
     text = F.array_join(F.filter(F.transform(lines, lambda ln: F.trim(F.array_join(F.transform(ln["spans"], lambda s: s["content"]), " "))), lambda x: x != ""), "\n")
-    d = blocks.select(F.regexp_replace("file", r"\.json$", "").alias("book_id"), "page_idx", "page_no", "block_no", F.col("b.type").alias("type"), text.alias("text"))
+    d = blocks.select(F.regexp_replace("file", r"\.json$", "").alias("book_id"), *own, "page_idx", "page_no", "block_no", F.col("b.type").alias("type"), text.alias("text"))
     return d.where("text <> ''")
 
 

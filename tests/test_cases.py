@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scholia.functions import questions, roles, text
+from scholia.functions import latex, questions, roles, text
 from scholia.functions import review as fr
 from scholia.operators import evaluate, exercises, graph, ingest, retrieve
 from scholia.streaming.reviews import advance
@@ -80,9 +80,25 @@ def test_thinking(spark, raw, clean):
     assert one(spark, text.strip_thinking(F.col("t")), t=raw) == clean
 
 
-@pytest.mark.parametrize(("raw", "out"), [(r"\(x\)", "$x$"), (r"\[x\]", "$$x$$"), ("$x", "$x$"), ("$$x", "$$x\n$$"), ("$$ $$a", "a")])
+SPACED = r"$$\begin{aligned} a&=b\\[4pt] c&=d \end{aligned}$$"
+KEPT = ["函数 $f(x) = x^2$ 在 $x=0$ 处取极小值。", r"$$\begin{bmatrix}1 & 2\\3 & 4\end{bmatrix}$$", r"`$x` ```$$``` \$5 a", r"\(x", "", r"\end{cases} $a$"]
+
+
+@pytest.mark.parametrize(("raw", "out"), [
+    (r"\(x\)", "$x$"), (r"\[x\]", "$$x$$"), (r"\\(x\\)", "$x$"), ("$x", "$x$"), ("$$x", "$$x$$"), ("$$ $$a $ $", "a "), ("＄x=1＄", "$x=1$"), (SPACED, SPACED.replace("[4pt]", "")),
+    (r"$\nabla f(X) 是", r"$\nabla f(X)$ 是"), ("$$f = 0\n后续", "$$f = 0$$\n后续"), (r"s \begin{aligned}a\\b\end{aligned} d", "s $$\n\\begin{aligned}a\\\\b\\end{aligned}\n$$ d"), (None, None), *((x, x) for x in KEPT),
+])
 def test_latex(spark, raw, out):
-    assert one(spark, text.sanitise_latex(F.col("t")), t=raw) == out
+    assert latex.sanitised(raw) == out
+    assert latex.sanitised(out) == out
+
+
+def test_latex_issues(spark):
+    d = spark.createDataFrame([(1, "$$ $$ $a 中$ $b\n$$x\n\\begin{cases}1\\end{cases}"), (2, r"$x$ \$ $\text{中}$"), (3, None)], "i long, t string")
+    got = {r.i: r.x for r in d.select("i", latex.latex_issues(F.col("t")).alias("x")).collect()}
+    assert got == {1: ["bare_environment", "bare_words", "empty_display", "odd_display", "odd_inline"], 2: [], 3: []}
+    assert one(spark, latex.sanitise_latex(F.col("t")), t=r"\(x\)") == "$x$"
+    assert len(latex.parse(r"\(" * 20_000 + "$" * 3)) <= 4
 
 
 def test_intents(spark):
