@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # fixed values: patterns and word lists that decide results
 QUESTION_START = r"(?m)^\s*(?:第\s*\d+\s*题|\d+\s*[\.、．\)]|[一二三四五六七八九十]+\s*[、．\.])\s*"
 OPTION = r"(?i)(?:^|\s|[（(])[A-D]\s*[\.、．\)]"
@@ -71,17 +73,18 @@ def split_confidence(text: Column, numbered: Column) -> Column:
 
 
 def question_type(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.when(count(text, OPTION) >= 3, CHOICE)
-    for name, needles in TYPES:
-        out = out.when(any_of(low, needles), name)
-    return out.when(count(text, SUBQUESTION) >= 2, COMPOSITE).otherwise(UNKNOWN)
+    def of(low: Column) -> Column:
+        out = F.when(count(low, OPTION) >= 3, CHOICE)  # the pattern reads either case
+        for name, needles in TYPES:
+            out = out.when(any_of(low, needles), name)
+        return out.when(count(low, SUBQUESTION) >= 2, COMPOSITE).otherwise(UNKNOWN)
+
+    return let(F.lower(text), of)
 
 
 def concept_tags(text: Column, most: int = 5) -> Column:
     """The concepts with most keyword hits, in list order on ties."""
-    low = F.lower(text)
-    scored = F.array(*(F.struct((-hits(low, ks)).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (c, ks) in enumerate(CONCEPT_WORDS)))
+    scored = let(F.lower(text), lambda low: F.array(*(F.struct((-hits(low, ks)).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (c, ks) in enumerate(CONCEPT_WORDS))))
     return F.slice(F.transform(F.sort_array(F.filter(scored, lambda x: x["s"] < 0)), lambda x: x["c"]), 1, most)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # fixed values: role order, aliases and patterns decide results
 PRIORITY = ("definition", "theorem", "property", "formula", "derivation", "proof", "algorithm", "example", "exercise")
 ALIASES = {"axiom": "theorem", "lemma": "theorem", "corollary": "theorem", "proposition": "theorem", "method": "algorithm", "remark": "reference", "mention": "reference"}
@@ -25,14 +29,26 @@ EQUATION = r"[A-Za-z]\s*=\s*[-+]?\w"
 
 def classify(text: Column) -> Column:
     """The role with most pattern hits, in order of PRIORITY on ties; none gives ``reference``."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    n = {r: sum((F.regexp_count(t, F.lit(f"(?im){p}")) for p in ps), F.lit(0)) for r, ps in PATTERNS.items()}
-    marks = sum(((F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m) for m in MATH_MARKS), F.lit(0))
-    n["formula"] = n["formula"] + F.when((marks >= 3) | (t.rlike(EQUATION) & (F.length(t) < 1200)), 1).otherwise(0)
-    n["theorem"] = n["theorem"] + F.when((n["theorem"] > 0) & (n["proof"] > 0), 1).otherwise(0)
-    scored = F.array(*(F.struct((-n[r]).alias("s"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(PRIORITY)))
-    best = F.array_min(scored)
-    return F.when(best["s"] < 0, best["r"]).otherwise("reference")
+    def maybe(t: Column) -> Column:
+        """False where no pattern can match: no CJK character and none of the patterns' Latin words, a cheap test for most texts."""
+        low, hit = F.lower(t), t.rlike(r"[\x{4e00}-\x{9fff}]")
+        for word in sorted({w for ps in PATTERNS.values() for p in ps for w in re.findall("[a-z]{5,}", p)}):
+            hit = hit | F.contains(low, F.lit(word))
+        return hit
+
+    def counted(t: Column) -> Column:
+        n = let(maybe(t), lambda hit: F.struct(*(F.when(hit, sum((F.regexp_count(t, F.lit(f"(?im){p}")) for p in ps), F.lit(0))).otherwise(0).alias(r) for r, ps in PATTERNS.items())))
+        marks = sum(((F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m) for m in MATH_MARKS), F.lit(0))
+        formula = F.when((marks >= 3) | ((F.length(t) < 1200) & t.rlike(EQUATION)), 1).otherwise(0)
+        return F.struct(n.alias("n"), formula.alias("equation"))
+
+    def best(c: Column) -> Column:
+        n, more = c["n"], {"formula": c["equation"]}
+        more["theorem"] = F.when((n["theorem"] > 0) & (n["proof"] > 0), 1).otherwise(0)
+        return F.array_min(F.array(*(F.struct((-(n[r] + more.get(r, F.lit(0)))).alias("s"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(PRIORITY))))
+
+    scored = let(let(F.trim(F.coalesce(text, F.lit(""))), counted), best)
+    return let(scored, lambda b: F.when(b["s"] < 0, b["r"]).otherwise("reference"))
 
 
 def normalise(role: Column) -> Column:

@@ -161,7 +161,7 @@ def captions(items: DataFrame, keys: list[str], order: str = "pos", pattern: str
 def dedupe_blocks(docs: DataFrame, key: str = "doc_id", sep: str = r"\n\s*\n", join: str = "\n\n") -> DataFrame:
     """Repeated blocks of a text drop, the first stays; white space doesn't count."""
     norm = lambda x: F.regexp_replace(x, r"\s+", "")
-    blocks = F.filter(F.transform(F.split("text", sep), F.trim), lambda x: x != "")
+    blocks = F.filter(F.transform(F.split("text", sep), lambda x: F.trim(x)), lambda x: x != "")
     # in the array: a block stays if its normal form stands first there
     xs = F.transform(blocks, lambda x: F.struct(norm(x).alias("n"), x.alias("t")))
     d = docs.select(key, xs.alias("xs")).withColumn("ns", F.transform("xs", lambda x: x["n"]))

@@ -17,7 +17,7 @@ def full_days(as_of: str, ts: Column) -> Column:
 
 def clean_names(names: Column, most: int = 20) -> Column:
     """Trimmed, non-empty, distinct in order, at most ``most``."""
-    return F.slice(F.array_distinct(F.filter(F.transform(names, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def append_events(new: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:

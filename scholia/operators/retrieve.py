@@ -312,7 +312,7 @@ def concept_chunks(concepts: DataFrame, occurrences: DataFrame, chunks: DataFram
 
 def toc_like(title: Column, text: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     chapters = F.size(F.filter(F.slice(lines, 1, 14), lambda x: F.contains(x, F.lit("第")) & (F.contains(x, F.lit("章")) | F.contains(x, F.lit("节")))))
     pages = F.regexp_count(F.array_join(F.slice(lines, 1, 8), " "), F.lit(r"\s\d{1,3}(\s|$)"))
     named = t.isin(*TOC_TITLES)

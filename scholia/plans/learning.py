@@ -43,7 +43,7 @@ def le1_append_events(spark, sf_dir):
     return op.append_events(e.union(e), e.where("id % 3 = 0")).select("id", "event_type", "user_id")
 
 
-@query("WITH n AS (SELECT doc_id, unnest(ns) AS name, generate_subscripts(ns, 1) AS pos FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ ]+'), lambda x: trim(x)) AS ns FROM documents)), d AS (SELECT doc_id, name, min(pos) AS pos FROM n WHERE name <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM d) SELECT documents.doc_id, coalesce(md5(string_agg(name, ',' ORDER BY pos) FILTER (r <= 20)), md5('')) AS names FROM documents LEFT JOIN r USING (doc_id) GROUP BY documents.doc_id")
+@query("WITH n AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[ ]+'), lambda x: trim(x)), lambda x: x <> '') AS ns FROM documents) SELECT doc_id, md5(array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i)[1:20], ',')) AS names FROM n")
 def le1_clean_names(spark, sf_dir):
     d = study.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(op.clean_names(F.split("text", "[ ]+")), ",")).alias("names"))
