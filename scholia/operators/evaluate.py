@@ -62,9 +62,18 @@ def answer_quality(rows: DataFrame) -> DataFrame:
     return rows.select("id", share(a, overlap_tokens(F.col("context"))).alias("in_context"), share(a, overlap_tokens(F.col("reference"))).alias("in_reference"))
 
 
+STATUSES = ("ok", "error", "skipped")
+
+
 def summarise(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
-    """Means over all rows and for each value of ``by``; nulls don't count."""
-    return rows.rollup(by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in metrics))
+    """Means over all rows and for each value of ``by``; nulls don't count. With a column ``status`` its values are counted, with
+    ``latency_ms`` its mean is given."""
+    more = []
+    if "status" in rows.columns:
+        more += [F.count_if(F.col("status") == x).alias(f"status_{x}") for x in STATUSES]
+    if "latency_ms" in rows.columns:
+        more.append(F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"))
+    return rows.rollup(by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in metrics), *more)
 
 
 def ir_measures(qrels: DataFrame, run: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from scholia.functions import questions as q
 
+from .review import subject_match
+
 MARK = "\x01"
 
 
@@ -78,15 +80,22 @@ def rollback_batch(bank: DataFrame, batches: DataFrame, ids: list) -> DataFrame:
     return bank.join(gone, "exercise_id", "left_anti")
 
 
-def filter_records(df: DataFrame, text: str, tag: str | None = None, status: str | None = None, keyword: str = "", limit: int = 50) -> DataFrame:
-    """Newest first; the keyword may stand in the text or a tag, in either case."""
+def filter_records(df: DataFrame, texts: list[str], tag: str | None = None, status: str | None = None, keyword: str = "", subject: str = "", chapter: str = "", tree: dict[str, list[str]] | None = None, limit: int = 50) -> DataFrame:
+    """Newest first; the keyword may stand in any of the text columns or in a tag, in either case; subjects as ``subject_match`` takes them."""
     if tag:
         df = df.where(F.array_contains("tags", tag))
     if status:
         df = df.where(F.col("status") == status)
+    if subject:
+        df = df.where(subject_match(F.col("subject"), subject, tree or {}))
+    if chapter:
+        df = df.where(F.contains(F.lower("chapter"), F.lit(chapter.lower())))
     if keyword:
         k = keyword.lower()
-        df = df.where(F.contains(F.lower(text), F.lit(k)) | F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(k))))
+        hit = F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(k)))
+        for t in texts:
+            hit = hit | F.coalesce(F.contains(F.lower(t), F.lit(k)), F.lit(False))
+        df = df.where(hit)
     return df.orderBy(F.desc("created_sec"), F.desc("exercise_id")).limit(limit)
 
 
@@ -136,12 +145,18 @@ def session_summary(answers: DataFrame, total: int) -> DataFrame:
 
 
 def exercise_to_mistake(answers: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One mistake for each missed (session, exercise), with a stable id; those already known are left out."""
+    """One mistake for each missed (session, exercise), with a stable id; those already known are left out (see ``mistake_conflicts``)."""
     key = F.concat_ws("\x1f", F.col("book_id"), F.col("session_id").cast("string"), F.col("exercise_id").cast("string"))
-    m = answers.where("quality < 3").select(F.concat(F.lit("ps_"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), "session_id", "exercise_id").dropDuplicates(["id"])
+    m = answers.where("quality < 3").select(F.concat(F.lit("ps_"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), "session_id", "exercise_id", *(c for c in ("question_text",) if c in answers.columns)).dropDuplicates(["id"])
     return m.join(known.select("id"), "id", "left_anti") if known is not None else m
 
 
+def mistake_conflicts(new: DataFrame, known: DataFrame) -> DataFrame:
+    """New mistakes whose id is known with another text: an error that the caller must settle before they are stored."""
+    k = known.select("id", F.col("question_text").alias("known_text"))
+    return new.join(k, "id").where(~F.col("question_text").eqNullSafe(F.col("known_text"))).select("id", "question_text", "known_text")
+
+
 def mistake_to_exercise(mistakes: DataFrame, bank: DataFrame) -> DataFrame:
     """Mistakes as exercises to review, unless an exercise has that origin."""
     m = mistakes.select(F.col("id").alias("origin_id"), F.lit("mistake").alias("origin_type"), "question_text", F.lit("needs_review").alias("status"))

@@ -12,7 +12,8 @@ from .mentions import names_in
 
 # fixed values
 RELATIONS = ("depends_on", "derived_from", "generalizes", "special_case_of", "equivalent_to", "applies_to", "references", "contrasts_with")
-PREREQUISITE = ("depends_on", "derived_from", "references")
+PREREQUISITE = ("depends_on", "derives_from", "uses")
+EXTENSION = ("depends_on", "derives_from", "contains", "defines", "uses", "satisfies")
 SIMILAR = 0.72
 FORMULA = r"\$([^$]{3,})\$"
 VARIABLE = r"\\?[A-Za-z]+(?:_\{?[A-Za-z0-9]+\}?)?"
@@ -89,15 +90,21 @@ def link_formulas(formulas: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def evidence_graph(candidates: DataFrame, most: int = 20) -> DataFrame:
-    """Per name of a book: chunks and first definition, of candidates (book_id, chunk_id, chunk_index, pos, name, definition, content).
+    """Per name of a book: chunks, first definition, aliases and formulas.
 
-    A name must stand in its chunk word for word; a definition too, else it is dropped; ``most`` names a chunk.
+    candidates: book_id, chunk_id, chunk_index, pos, name, definition, content and, where there are such, arrays ``aliases`` and
+    ``formulas``. A name must stand in its chunk word for word; a definition, an alias or a formula too, else it is dropped;
+    ``most`` names a chunk.
     """
     d = candidates.where((F.length("name") >= 2) & F.contains("content", "name"))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("pos"))).where(F.col("r") <= most)
     d = d.withColumn("definition", F.when(F.contains("content", "definition") & (F.col("definition") != ""), F.col("definition")))
     order = F.struct("chunk_index", "chunk_id", "pos")
-    g = d.groupBy("book_id", "name").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.min_by("definition", F.when(F.col("definition").isNotNull(), order)).alias("definition"))
+    more = [c for c in ("aliases", "formulas") if c in candidates.columns]
+    for c in more:
+        d = d.withColumn(c, F.filter(c, lambda x: (x != "") & F.contains("content", x)))
+    listed = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in more]
+    g = d.groupBy("book_id", "name").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.min_by("definition", F.when(F.col("definition").isNotNull(), order)).alias("definition"), *listed)
     return g.withColumn("concept_id", F.substring(F.sha1(F.concat_ws("|", "book_id", "name")), 1, 16))
 
 
@@ -135,9 +142,18 @@ def candidate_concepts_per_chunk(chunks: DataFrame, concepts: DataFrame, limit:
 
 
 def normalise_candidates(raw: DataFrame, most: int = 10) -> DataFrame:
-    """Confidence within 0 and 1, lists distinct and short, and a status; the review queue is ``needs_review``."""
+    """Confidence within 0 and 1, all lists distinct, without blanks and short, and a status."""
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))))
-    return raw.withColumn("confidence", c).withColumn("aliases", F.slice(F.array_distinct("aliases"), 1, most)).withColumn("status", F.when(c >= SIMILAR, "machine_generated").otherwise("needs_review"))
+    lists = [f.name for f in raw.schema.fields if f.dataType.simpleString() == "array<string>"]
+    for x in lists:
+        raw = raw.withColumn(x, F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")), 1, most))
+    return raw.withColumn("confidence", c).withColumn("status", F.when(c >= SIMILAR, "machine_generated").otherwise("needs_review"))
+
+
+def review_queue(normalised: DataFrame) -> DataFrame:
+    """The candidates a person should look at, least confident first within their chunk."""
+    w = Window.partitionBy("chunk_id").orderBy("confidence", "pos")
+    return normalised.where("status = 'needs_review'").withColumn("rank", F.row_number().over(w))
 
 
 def pending_chunks(chunks: DataFrame, done: DataFrame, least: int = 40) -> DataFrame:
@@ -168,10 +184,16 @@ def infer_chapter(occurrences: DataFrame, noise=("(no title)", "")) -> DataFrame
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """Per node its distinct targets by prerequisite relations and its distinct sources."""
+    """Per node its distinct targets by prerequisite relations, its distinct sources by extending ones, and both together.
+
+    The rest of a node's chapter, which counts as related too, is the chapter's list in ``concept_tree``, kept once and not for
+    each of its nodes.
+    """
     out = edges.where(F.col("relation").isin(*PREREQUISITE)).groupBy(F.col("source_id").alias("node")).agg(F.array_sort(F.collect_set("target_id")).alias("prerequisites"))
-    back = edges.groupBy(F.col("target_id").alias("node")).agg(F.array_sort(F.collect_set("source_id")).alias("extensions"))
-    return out.join(back, "node", "full_outer")
+    back = edges.where(F.col("relation").isin(*EXTENSION)).groupBy(F.col("target_id").alias("node")).agg(F.array_sort(F.collect_set("source_id")).alias("extensions"))
+    none = F.array().cast(back.schema["extensions"].dataType)
+    both = F.array_sort(F.array_union(F.coalesce("prerequisites", none), F.coalesce("extensions", none)))
+    return out.join(back, "node", "full_outer").withColumn("related", both)
 
 
 def learning_path(starts: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:

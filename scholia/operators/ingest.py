@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import roles
 
+# fixed value: what a chapter heading looks like
 HEADING = r"^\s*(第\s*[0-9一二三四五六七八九十百]+\s*[章节篇讲]|\d+(\.\d+)*\s+\S|(?i:chapter)\s*\d+)"
 UNTITLED = "(no title)"
 

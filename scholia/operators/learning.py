@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mentions import names_in
+from .review import normalise_subject
+
 
 def _day(as_of: str) -> Column:
     return F.lit(as_of).cast("date")
@@ -20,32 +23,55 @@ def clean_names(names: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
-def append_events(new: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
-    """The new events whose id the log lacks, one row per id."""
+def append_events(new: DataFrame, log: DataFrame, key: str = "id", tree: dict[str, list[str]] | None = None) -> DataFrame:
+    """The new events whose id the log lacks, one row per id; subjects in full, concept names clean, where there are such columns."""
+    if "subject" in new.columns:
+        new = new.withColumn("subject", normalise_subject(F.col("subject"), tree or {}))
+    if "concepts" in new.columns:
+        new = new.withColumn("concepts", clean_names(F.col("concepts")))
     return new.dropDuplicates([key]).join(log.select(key), key, "left_anti")
 
 
-def recent_events(log: DataFrame, event_type: str | None = None, limit: int = 20) -> DataFrame:
-    if event_type:
-        log = log.where(F.col("event_type") == event_type)
+def recent_events(log: DataFrame, event_type: str | None = None, limit: int = 20, **equal: str) -> DataFrame:
+    """A user's newest events, of a type and of columns (book, subject) with given values where asked for."""
+    for c, v in {"event_type": event_type, **equal}.items():
+        if v:
+            log = log.where(F.col(c) == v)
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("id"))
     return log.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+# fixed values: aliases that name nothing by themselves
+GENERIC = ("方法", "步骤", "迭代", "迭代步骤", "程序框图", "原理", "过程", "算法", "约束", "优化", "优化方法", "最优化方法", "问题", "条件", "method", "step", "steps", "algorithm")
+
+
 def strict_exposures(exposures: DataFrame, least: float = 0.85) -> DataFrame:
-    """Confident exposures whose question names the concept; those from mistakes are exempt of the naming."""
-    named = F.contains(F.lower("question"), F.lower("concept"))
+    """Confident exposures whose question names the concept, or an alias that isn't generic; those from mistakes are exempt of the naming."""
+    q = F.lower("question")
+    named = F.contains(q, F.lower("concept"))
+    if "aliases" in exposures.columns:
+        named = named | F.coalesce(F.exists("aliases", lambda a: (F.trim(a) != "") & ~F.trim(a).isin(*GENERIC) & F.contains(q, F.lower(F.trim(a)))), F.lit(False))
     return exposures.where((F.col("confidence") >= least) & (named | (F.col("source") == "error")))
 
 
 def concept_state(exposures: DataFrame, most: int = 20) -> DataFrame:
-    """Per user and concept: first and last seen, number, sources in order of appearance, weak flag and time."""
-    by_first = F.array_sort(F.collect_list(F.struct("ts", "event_id", "source")))
-    return exposures.groupBy("user_id", "concept").agg(
+    """Per user and concept: first and last seen, number, weak flag with its time and reason, and, each in order of appearance,
+    the distinct sources and, where there are such columns, chapters, subjects and aliases, ``most`` of each.
+
+    For these lists only a value's first row counts, so a group collects no more than its distinct values.
+    """
+    keys = ["user_id", "concept"]
+    base = exposures.groupBy(*keys).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("exposure_count"), F.max("confidence").alias("max_confidence"),
-        F.slice(F.array_distinct(F.transform(by_first, lambda x: x["source"])), 1, most).alias("sources"),
-        F.bool_or("weak").alias("weak"), F.max(F.when(F.col("weak"), F.col("ts"))).alias("weak_since"),
+        F.bool_or("weak").alias("weak"), F.max(F.when(F.col("weak"), F.col("ts"))).alias("weak_since"), F.max_by("source", F.when(F.col("weak"), F.struct("ts", "event_id"))).alias("weak_reason"),
     )
+    for c, many in (("source", "sources"), ("chapter", "chapters"), ("subject", "subjects"), ("aliases", "all_aliases")):
+        if c in exposures.columns:
+            v = exposures.select(*keys, "ts", "event_id", (F.explode(c) if c == "aliases" else F.col(c)).alias("v")).where("v <> ''")
+            v = v.groupBy(*keys, "v").agg(F.min(F.struct("ts", "event_id")).alias("o"))
+            v = v.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "v"))).where(F.col("r") <= most)
+            base = base.join(v.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias(many)), keys, "left")
+    return base
 
 
 def apply_reviews(state: DataFrame, exposures: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -89,11 +115,18 @@ def review_queue(state: DataFrame, as_of: str, limit: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("user_id", "concept", F.when(F.col("o.grp") == 0, "weak").otherwise("forgotten").alias("reason"), "rank")
 
 
-def memory_stats(state: DataFrame, as_of: str) -> DataFrame:
-    return state.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("concepts"), F.sum("exposure_count").alias("exposures"), F.count_if("weak").alias("weak"),
+def memory_stats(state: DataFrame, as_of: str, exposures: DataFrame | None = None, least: float = 0.85) -> DataFrame:
+    """Numbers of a user's memory, the three and twelve concepts met most, and exposures by source where they are given."""
+    counts = state.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("max_confidence") >= least).alias("strict"), F.sum("exposure_count").alias("exposures"), F.count_if("weak").alias("weak"),
         F.count_if((F.col("exposure_count") >= 2) & (full_days(as_of, F.col("last_seen")) >= 7)).alias("forgotten"),
     )
+    top = frequent(state, 12).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "concept"))), lambda x: x["concept"]).alias("top12"))
+    out = counts.join(top, "user_id", "left").withColumn("top3", F.slice("top12", 1, 3))
+    if exposures is not None:
+        by = exposures.groupBy("user_id", "source").count().groupBy("user_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "source", "count"))).alias("by_source"))
+        out = out.join(by, "user_id", "left")
+    return out
 
 
 def daily_activity(exposures: DataFrame, events: DataFrame, latest: int = 14) -> DataFrame:
@@ -110,11 +143,15 @@ def daily_concepts(exposures: DataFrame, as_of: str, days: int = 120, top: int =
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def question_timeline(exposures: DataFrame, mistakes: DataFrame) -> DataFrame:
-    """Questions by source: latest time, weak, number of concepts, and the first mistake of the user with the same tag."""
-    q = exposures.groupBy("user_id", "source", "question").agg(F.max("ts").alias("latest"), F.bool_or("weak").alias("weak"), F.countDistinct("concept").alias("concepts"), F.min("concept").alias("concept"))
-    m = mistakes.groupBy("user_id", F.col("tag").alias("concept")).agg(F.min("id").alias("mistake_id"))
-    return q.join(m, ["user_id", "concept"], "left").withColumn("source", F.when(F.col("mistake_id").isNotNull(), "mistake").otherwise(F.col("source")))
+def question_timeline(exposures: DataFrame, mistakes: DataFrame, events: DataFrame) -> DataFrame:
+    """Questions by source: latest time, weak, number of concepts; questions of events (user_id, question, ts) that no exposure
+    has are added. A question that stands in the text of a mistake of its user takes that mistake's id and source, the least."""
+    q = exposures.groupBy("user_id", "source", "question").agg(F.max("ts").alias("latest"), F.bool_or("weak").alias("weak"), F.countDistinct("concept").alias("concepts"))
+    new = events.join(exposures.select("user_id", "question"), ["user_id", "question"], "left_anti").groupBy("user_id", "question").agg(F.max("ts").alias("latest"))
+    q = q.unionByName(new.select("user_id", F.lit("qa").alias("source"), "question", "latest", F.lit(False).alias("weak"), F.lit(0).cast("long").alias("concepts")))
+    found = names_in(mistakes.select("user_id", "id", F.lower("question_text").alias("low")), "low", q.select(F.lower("question").alias("low")), "low", ["user_id", "id"])
+    m = found.groupBy("user_id", F.col("name").alias("low")).agg(F.min("id").alias("mistake_id"))
+    return q.withColumn("low", F.lower("question")).join(m, ["user_id", "low"], "left").drop("low").withColumn("source", F.when(F.col("mistake_id").isNotNull(), "mistake").otherwise(F.col("source")))
 
 
 def review_plan(state: DataFrame, mistakes: DataFrame, exposures: DataFrame, as_of: str, limit: int = 8) -> DataFrame:
@@ -145,18 +182,25 @@ def combined_plan(due: DataFrame, queue: DataFrame, weak: DataFrame, limit: int
     return rows[0].union(rows[1]).union(rows[2]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def weekly_report(mistakes: DataFrame, practice: DataFrame, exposures: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Counts of each user's last days, the most exposed concept and the weakest tag. Days are held within 1 and 31."""
+def weekly_report(mistakes: DataFrame, practice: DataFrame, exposures: DataFrame, conversations: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Counts of each user's last days (held within 1 and 31), the ten concepts met most and the eight weakest tags.
+
+    Days of all inputs stand in one column. ``reviewed`` counts practised exercises answered twice or more in these days,
+    ``questions`` the user's turns in conversations.
+    """
     start = F.date_sub(_day(as_of), max(1, min(days, 31)))
     at = lambda d, k, v: d.where(F.col("day") >= start).select("user_id", F.lit(k).alias("kind"), v.cast("string").alias("value"))
-    rows = at(mistakes, "mistake", F.col("tag")).union(at(practice, "practice", F.col("exercise_id"))).union(at(exposures, "exposure", F.col("concept")))
+    rows = at(mistakes, "mistake", F.col("tag")).union(at(practice, "practice", F.col("exercise_id"))).union(at(exposures, "exposure", F.col("concept"))).union(at(conversations, "question", F.col("question")))
     c = rows.groupBy("user_id", "kind", "value").count()
-    best = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.struct(F.col("count"), F.col("value"))))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("count"))), F.lit(0))
     r = c.groupBy("user_id").agg(
-        of("mistake").alias("new_mistakes"), F.count_if(F.col("kind") == "practice").alias("practised"), of("exposure").alias("exposures"),
-        best("exposure").alias("top_concept"), best("mistake").alias("weak_point"),
+        of("mistake").alias("new_mistakes"), F.count_if(F.col("kind") == "practice").alias("practised"), F.count_if((F.col("kind") == "practice") & (F.col("count") >= 2)).alias("reviewed"),
+        of("exposure").alias("exposures"), of("question").alias("questions"),
     )
+    w = Window.partitionBy("user_id", "kind").orderBy(F.desc("count"), "value")
+    top = c.where("kind in ('exposure', 'mistake')").withColumn("r", F.row_number().over(w)).where((F.col("r") <= 8) | (F.col("kind") == "exposure") & (F.col("r") <= 10))
+    listed = lambda k, name: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("r", "value")))), lambda x: x["value"]).alias(name)
+    r = r.join(top.groupBy("user_id").agg(listed("exposure", "top_concepts"), listed("mistake", "weak_points")), "user_id", "left")
     return r.withColumn("suggestion", F.when(F.col("new_mistakes") > 0, "review mistakes").when(F.col("practised") == 0, "practise").otherwise("go on"))
 
 

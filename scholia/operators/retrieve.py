@@ -17,6 +17,7 @@ from scholia.functions import text as ft
 from .mentions import names_in
 
 K1, B = 1.2, 0.75
+# fixed values: titles of tables of contents
 TOC_TITLES = ("(no title)", "目录", "本章学习要点", "习题", "思考题", "参考文献", "附录", "table of contents", "toc")
 TOC_PARTS = ("目录", "本章学习要点", "习题", "table of contents")
 
@@ -277,9 +278,13 @@ def rank_concepts(matches: DataFrame, keep: int = 3, least: float = 30) -> DataF
     """Adjusts matches (query_id, text, canonical_name, aliases, roles, occurrence_count, score) and keeps the best.
 
     +60 if the query is a name, +35 if it contains one, +40 if a core term is the name, -1.5 for each character the name
-    has beyond the longest term inside it, +12 if a role suits the intent.
+    has beyond the longest term inside it, +12 if a role suits the question's intent (column ``intent``, else that of a plain question).
     """
     q, name = F.lower(F.trim("text")), F.col("canonical_name")
+    wanted = F.array(*map(F.lit, ft.ROLES_OF_INTENT["qa"]))
+    if "intent" in matches.columns:
+        for intent, roles in ft.ROLES_OF_INTENT.items():
+            wanted = F.when(F.col("intent") == intent, F.array(*map(F.lit, roles))).otherwise(wanted)
     names = F.array_union(F.array(name), "aliases")
     core = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_.+-]+|[\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
     partial = F.filter(core, lambda t: F.contains(name, t) & (t != name))
@@ -287,7 +292,7 @@ def rank_concepts(matches: DataFrame, keep: int = 3, least: float = 30) -> DataF
         F.col("score") + F.when(F.exists(names, lambda n: F.lower(n) == q), 60).otherwise(0) + F.when(F.exists(names, lambda n: F.contains(q, F.lower(n))), 35).otherwise(0)
         + F.when(F.array_contains(core, name), 40).otherwise(0)
         - F.when(F.size(partial) > 0, 1.5 * (F.length(name) - F.array_max(F.transform(partial, F.length)))).otherwise(0.0)
-        + F.when(F.arrays_overlap("roles", F.array(*map(F.lit, ft.ROLES_OF_INTENT["qa"]))), 12).otherwise(0)
+        + F.when(F.arrays_overlap("roles", wanted), 12).otherwise(0)
     )
     d = matches.withColumn("adjusted", F.round(adj, 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("adjusted"), F.length(name), F.desc("occurrence_count"), name)
@@ -298,16 +303,29 @@ def rank_concepts(matches: DataFrame, keep: int = 3, least: float = 30) -> DataF
 PLACE_ORDER = ("definition", "theorem", "property", "derivation", "proof", "example", "algorithm", "exercise", "reference")
 
 
-def concept_chunks(concepts: DataFrame, occurrences: DataFrame, chunks: DataFrame, window: int = 1, max_hits: int = 3) -> DataFrame:
-    """Chunks where a concept occurs, best roles first, with their neighbours (three to each side of an example)."""
+EXAMPLE = r"(?m)^\s*例\s*(题|\d)"  # fixed value: how an example begins
+
+
+def concept_chunks(concepts: DataFrame, occurrences: DataFrame, chunks: DataFrame, window: int = 1, max_hits: int = 3, back: int = 5) -> DataFrame:
+    """Chunks where a concept occurs, best roles first, with their neighbours (three to each side of an example).
+
+    A hit in an example reaches back to where the example begins, ``back`` chunks at most. Neighbours that look like a table of
+    contents are left out, hits are not.
+    """
     order = F.array_position(F.array(*map(F.lit, PLACE_ORDER)), F.col("role"))
     o = occurrences.join(concepts.select("concept_id"), "concept_id").groupBy("concept_id", "book_id", "chapter", "chunk_id", "chunk_index").agg(F.min_by("role", order).alias("role"), F.min(order).alias("o"))
     w = Window.partitionBy("concept_id", "book_id").orderBy("o", "chapter", "chunk_index")
     o = o.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_hits)
-    span = F.when(F.col("role") == "example", max(window, 3)).otherwise(window)
-    near = o.select("concept_id", "book_id", "chapter", F.col("chunk_index").alias("at"), F.explode(F.sequence(F.col("chunk_index") - span, F.col("chunk_index") + span)).alias("chunk_index"))
+    title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
+    c = chunks.select("book_id", "chapter", "chunk_index", "chunk_id", "page_idx", "content", toc_like(title, F.col("content")).alias("toc"))
+    begins = F.max(F.when(F.col("content").rlike(EXAMPLE), F.col("chunk_index"))).over(Window.partitionBy("book_id", "chapter").orderBy("chunk_index").rangeBetween(-back, -1))
+    starts = c.select("chunk_id", begins.alias("begins")).where("begins is not null")
+    o = o.join(starts, "chunk_id", "left")
+    first = F.when(F.col("role") == "example", F.least(F.col("chunk_index") - max(window, 3), "begins")).otherwise(F.col("chunk_index") - window)
+    last = F.col("chunk_index") + F.when(F.col("role") == "example", max(window, 3)).otherwise(window)
+    near = o.select("concept_id", "book_id", "chapter", F.col("chunk_index").alias("at"), F.explode(F.sequence(first, last)).alias("chunk_index"))
     near = near.groupBy("concept_id", "book_id", "chapter", "chunk_index").agg(F.bool_or(F.col("at") == F.col("chunk_index")).alias("is_direct_hit"))
-    return near.join(chunks.select("book_id", "chapter", "chunk_index", "chunk_id", "page_idx", "content"), ["book_id", "chapter", "chunk_index"])
+    return near.join(c, ["book_id", "chapter", "chunk_index"]).where("is_direct_hit or not toc").drop("toc")
 
 
 def toc_like(title: Column, text: Column) -> Column:
@@ -364,7 +382,8 @@ def refused(queries: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def rewrite_followups(turns: DataFrame, markers=ft.FOLLOW_UPS) -> DataFrame:
-    """User turns that refer back get the last user turn before them in front."""
+    """User turns that refer back get the last user turn before them in front, and before that ``[subject / book]`` where the
+    turns have such columns, the last ones given in the conversation."""
     user = F.when((F.col("role") == "user") & (F.trim("text") != ""), F.col("text"))
     before = F.last(user, True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     clean = F.trim(F.regexp_replace(F.regexp_replace(before, r"(?i)\s*/\s*[a-f0-9]{12,64}(\s*\])", "$1"), r"\s+", " "))
@@ -372,7 +391,11 @@ def rewrite_followups(turns: DataFrame, markers=ft.FOLLOW_UPS) -> DataFrame:
     for m in markers:
         back = back | F.contains(compact, F.lit(m))
     t = F.trim("text")
-    d = turns.withColumn("rewritten", F.when(back & (clean != ""), F.concat(F.substring(clean, 1, 500), F.lit("；"), t)).otherwise(t))
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    place = [F.last(F.when(F.trim(c) != "", F.trim(c)), True).over(upto) for c in ("subject", "book") if c in turns.columns]
+    named = F.concat_ws(" / ", *place) if place else F.lit("")
+    prefix = F.when(named != "", F.concat(F.lit("["), named, F.lit("] "))).otherwise("")
+    d = turns.withColumn("rewritten", F.when(back & (clean != ""), F.concat(prefix, F.substring(clean, 1, 500), F.lit("；"), t)).otherwise(t))
     return d.where("role = 'user'")
 
 

@@ -16,8 +16,12 @@ def sm2_replay(reviews: DataFrame, clamp: bool = True) -> DataFrame:
     return s.select("user_id", "card_id", "s.easiness", "s.interval", "s.repetitions", "last_review", due.alias("next_review"), "n_reviews")
 
 
-def due_reviews(cards: DataFrame, as_of: str, limit: int = 5) -> DataFrame:
-    """Cards due by the day, least easiness first, at most ``limit`` a user."""
+def due_reviews(cards: DataFrame, as_of: str, limit: int = 5, subject: str = "", chapter: str = "", tree: dict[str, list[str]] | None = None) -> DataFrame:
+    """Cards due by the day, of a subject or a chapter where asked for, least easiness first, at most ``limit`` a user."""
+    if subject:
+        cards = cards.where(subject_match(F.col("subject"), subject, tree or {}))
+    if chapter:
+        cards = cards.where(F.contains("chapter", F.lit(chapter)))
     w = Window.partitionBy("user_id").orderBy("easiness", "card_id")
     return cards.where(F.col("next_review") <= F.lit(as_of).cast("date")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

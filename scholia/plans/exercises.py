@@ -99,9 +99,13 @@ def ex10_rollback_batch(spark, sf_dir):
     return op.rollback_batch(e, batches, ["src1", "src2"]).select("exercise_id", "status")
 
 
-@query(with_study("exercises") + " SELECT exercise_id, book_id FROM exercises WHERE list_contains(tags, 'en') AND status = 'new' AND contains(lower(question_text), 'the') ORDER BY created_sec DESC, exercise_id DESC LIMIT 50")
+TREE = {"math": ["src1", "src2", "src3"], "physics": ["src4", "src5"]}
+
+
+@query(with_study("exercises") + " SELECT exercise_id, book_id FROM exercises WHERE list_contains(tags, 'en') AND status = 'new' AND book_id IN ('math', 'src1', 'src2', 'src3') AND contains(exercise_id::VARCHAR, '4') AND (contains(lower(question_text), 'the') OR contains(lower(book_id), 'the') OR contains(lower(tags[1]), 'the')) ORDER BY created_sec DESC, exercise_id DESC LIMIT 50")
 def ex11_filter_records(spark, sf_dir):
-    return op.filter_records(study.exercises(spark, sf_dir), "question_text", "en", "new", "THE").select("exercise_id", "book_id")
+    e = study.exercises(spark, sf_dir).withColumn("subject", F.col("book_id")).withColumn("chapter", F.col("exercise_id").cast("string"))
+    return op.filter_records(e, ["question_text", "book_id"], "en", "new", "THE", "math", "4", TREE).select("exercise_id", "book_id")
 
 
 @query(with_study("exercises") + " SELECT book_id, kind, value, count(*) AS n FROM (SELECT book_id, 'status' AS kind, status AS value FROM exercises UNION ALL SELECT book_id, 'tag', tags[1] FROM exercises UNION ALL SELECT book_id, 'all', 'all' FROM exercises) GROUP BY ALL")
@@ -143,6 +147,14 @@ def ex17_exercise_to_mistake(spark, sf_dir):
     return op.exercise_to_mistake(log, op.exercise_to_mistake(log.where("exercise_id < 10")))
 
 
+@query(with_study("practice_log") + " SELECT DISTINCT 'ps_' || substr(sha256('book' || chr(31) || user_id || chr(31) || exercise_id), 1, 16) AS id, 'q' || exercise_id AS question_text, 'old q' || exercise_id AS known_text FROM practice_log WHERE quality < 3 AND exercise_id < 5")
+def ex17_mistake_conflicts(spark, sf_dir):
+    """Answers under known ids: exercises below 5 were stored with another text, those below 10 with the same."""
+    log = study.practice_log(spark, sf_dir).select(F.lit("book").alias("book_id"), F.col("user_id").alias("session_id"), "exercise_id", "quality", F.concat(F.lit("q"), "exercise_id").alias("question_text"))
+    known = op.exercise_to_mistake(log.where("exercise_id < 10")).withColumn("question_text", F.when(F.col("exercise_id") < 5, F.concat(F.lit("old "), "question_text")).otherwise(F.col("question_text")))
+    return op.mistake_conflicts(op.exercise_to_mistake(log), known)
+
+
 @query(with_study("mistakes") + " SELECT id AS origin_id, question_text, 'needs_review' AS status FROM mistakes WHERE id % 4 <> 0")
 def ex18_mistake_to_exercise(spark, sf_dir):
     m = study.mistakes(spark, sf_dir)

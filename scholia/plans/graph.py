@@ -79,10 +79,10 @@ def kg7_link_formulas(spark, sf_dir):
 
 
 @query(WORDS_SQL + """, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN left(content, 30) ELSE '' END AS definition FROM w WHERE length(word) >= 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS r FROM c) WHERE r <= 20)
-SELECT book_id, word AS name, count(DISTINCT chunk_id) AS n_chunks, min_by(definition, (chunk_index, chunk_id, pos)) FILTER (definition <> '') AS definition, substr(sha1(book_id || '|' || word), 1, 16) AS concept_id FROM k GROUP BY book_id, word""")
+SELECT book_id, word AS name, count(DISTINCT chunk_id) AS n_chunks, min_by(definition, (chunk_index, chunk_id, pos)) FILTER (definition <> '') AS definition, substr(sha1(book_id || '|' || word), 1, 16) AS concept_id, coalesce(array_to_string(list_sort(list_distinct(list(lower(word)) FILTER (contains(content, lower(word))))), ','), '') AS aliases FROM k GROUP BY book_id, word""")
 def kg8_evidence_graph(spark, sf_dir):
-    c = _words(spark, sf_dir).withColumnRenamed("word", "name").withColumn("definition", F.when(F.col("pos") % 2 == 0, F.substring("content", 1, 30)).otherwise(""))
-    return op.evidence_graph(c)
+    c = _words(spark, sf_dir).withColumnRenamed("word", "name").withColumn("definition", F.when(F.col("pos") % 2 == 0, F.substring("content", 1, 30)).otherwise("")).withColumn("aliases", F.array(F.lower("name")))
+    return op.evidence_graph(c).withColumn("aliases", F.array_join("aliases", ","))
 
 
 CAND_SQL = """, cand AS (SELECT lower(word) AS name, chunk_id, pos, CASE pos % 3 WHEN 0 THEN 'definition' ELSE 'example' END AS role, CASE WHEN pos % 2 = 1 THEN left(content, 20) ELSE '' END AS definition, (pos % 10) / 10.0::DOUBLE AS confidence, [lower(word), word] AS aliases, [lower(lead(word) OVER (PARTITION BY chunk_id ORDER BY pos))] AS prerequisites FROM w)"""
@@ -126,6 +126,12 @@ def kg12_normalise_candidates(spark, sf_dir):
     return op.normalise_candidates(raw).select("chunk_id", "pos", "confidence", "status")
 
 
+@query(WORDS_SQL + " SELECT chunk_id, pos, row_number() OVER (PARTITION BY chunk_id ORDER BY c, pos) AS rank FROM (SELECT *, CASE pos % 4 WHEN 0 THEN 0.0 ELSE least(1.0, (pos % 20) / 10.0) END::DOUBLE AS c FROM w) WHERE c < 0.72")
+def kg12_review_queue(spark, sf_dir):
+    raw = _words(spark, sf_dir).select("chunk_id", "pos", F.when(F.col("pos") % 4 == 0, "high").otherwise(((F.col("pos") % 20) / 10.0).cast("string")).alias("confidence"))
+    return op.review_queue(op.normalise_candidates(raw)).select("chunk_id", "pos", "rank")
+
+
 @query(WORDS_SQL + " SELECT chunk_id FROM chunks WHERE length(content) >= 40 AND chunk_index % 3 <> 0")
 def kg13_pending_chunks(spark, sf_dir):
     c = study.chunks(spark, sf_dir)
@@ -150,10 +156,10 @@ def kg15_infer_chapter(spark, sf_dir):
     return op.infer_chapter(study.occurrences(spark, sf_dir))
 
 
-@query(with_study("relations") + ", o AS (SELECT source_id AS node, list_sort(list_distinct(list(target_id))) AS p FROM relations GROUP BY 1), b AS (SELECT target_id AS node, list_sort(list_distinct(list(source_id))) AS e FROM relations GROUP BY 1) SELECT coalesce(o.node, b.node) AS node, array_to_string(p, ',') AS prerequisites, array_to_string(e, ',') AS extensions FROM o FULL JOIN b ON o.node = b.node")
+@query(with_study("relations") + ", o AS (SELECT source_id AS node, list_sort(list_distinct(list(target_id))) AS p FROM relations GROUP BY 1), b AS (SELECT target_id AS node, list_sort(list_distinct(list(source_id))) AS e FROM relations GROUP BY 1) SELECT coalesce(o.node, b.node) AS node, array_to_string(p, ',') AS prerequisites, array_to_string(e, ',') AS extensions, array_to_string(list_sort(list_distinct(coalesce(p, []) || coalesce(e, []))), ',') AS related FROM o FULL JOIN b ON o.node = b.node")
 def kg16_neighbours(spark, sf_dir):
     n = op.neighbours(study.relations(spark, sf_dir))
-    return n.select("node", F.array_join(F.col("prerequisites").cast("array<string>"), ",").alias("prerequisites"), F.array_join(F.col("extensions").cast("array<string>"), ",").alias("extensions"))
+    return n.select("node", F.array_join(F.col("prerequisites").cast("array<string>"), ",").alias("prerequisites"), F.array_join(F.col("extensions").cast("array<string>"), ",").alias("extensions"), F.array_join(F.col("related").cast("array<string>"), ",").alias("related"))
 
 
 @query(with_study("relations") + ", e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM relations), s AS (SELECT DISTINCT a AS node FROM e WHERE a % 20 = 0), d1 AS (SELECT DISTINCT node AS start, b AS node FROM s JOIN e ON a = node), d2 AS (SELECT DISTINCT start, b AS node FROM d1 JOIN e ON a = node), d3 AS (SELECT DISTINCT start, b AS node FROM d2 JOIN e ON a = node), al AS (SELECT node AS start, node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) SELECT start, node, min(depth) AS depth FROM al GROUP BY ALL")

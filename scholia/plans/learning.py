@@ -37,10 +37,16 @@ def _state(spark, sf_dir):
     return op.apply_reviews(op.concept_state(e), e, _creviews(spark, sf_dir))
 
 
-@query(with_study("learning_events") + " SELECT id, event_type, user_id FROM learning_events WHERE id % 3 <> 0")
+SUBJECTS = {"math": ["algebra"], "physics": ["optics"]}
+
+
+@query(with_study("learning_events") + " SELECT id, event_type, user_id, CASE id % 2 WHEN 0 THEN 'math/algebra' ELSE 'physics' END AS subject, 'k' || k || ',' || event_type AS concepts FROM learning_events WHERE id % 3 <> 0")
 def le1_append_events(spark, sf_dir):
-    e = study.learning_events(spark, sf_dir)
-    return op.append_events(e.union(e), e.where("id % 3 = 0")).select("id", "event_type", "user_id")
+    """Events twice over, with bare subjects and names with blanks and repeats."""
+    k = F.concat(F.lit("k"), "k")
+    e = study.learning_events(spark, sf_dir).withColumn("subject", F.when(F.col("id") % 2 == 0, " algebra").otherwise("/physics/"))
+    e = e.withColumn("concepts", F.array(F.concat(k, F.lit(" ")), F.lit("  "), k, F.col("event_type")))
+    return op.append_events(e.union(e), e.where("id % 3 = 0"), tree=SUBJECTS).select("id", "event_type", "user_id", "subject", F.array_join("concepts", ",").alias("concepts"))
 
 
 @query("WITH n AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[ ]+'), lambda x: trim(x)), lambda x: x <> '') AS ns FROM documents) SELECT doc_id, md5(array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i)[1:20], ',')) AS names FROM n")
@@ -54,14 +60,33 @@ def le2_recent_events(spark, sf_dir):
     return op.recent_events(study.learning_events(spark, sf_dir), "error").select("user_id", "id", "rank")
 
 
+@query(with_study("learning_events") + " SELECT user_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rank FROM learning_events WHERE k % 3 = 1) WHERE rank <= 20")
+def le2_recent_of_book(spark, sf_dir):
+    e = study.learning_events(spark, sf_dir).withColumn("book", F.concat(F.lit("b"), F.col("k") % 3))
+    return op.recent_events(e, book="b1").select("user_id", "id", "rank")
+
+
+@query(with_study("exposures") + " SELECT event_id, user_id, concept FROM exposures WHERE confidence >= 0.85 AND event_id % 2 = 0")
+def le3_strict_by_alias(spark, sf_dir):
+    """Questions that don't name the concept; every other exposure has an alias that they name, the rest a generic one."""
+    alias = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("What is "), F.lit("?"))).otherwise(F.array(F.lit("method"), F.lit(" ")))
+    e = study.exposures(spark, sf_dir).withColumn("question", F.lit("what is this method")).withColumn("source", F.lit("view")).withColumn("aliases", alias)
+    return op.strict_exposures(e).select("event_id", "user_id", "concept")
+
+
 @query(with_study("exposures") + " SELECT event_id, user_id, concept FROM exposures WHERE confidence >= 0.85 AND (contains(lower(question), lower(concept)) OR source = 'error')")
 def le3_strict_exposures(spark, sf_dir):
     return op.strict_exposures(study.exposures(spark, sf_dir)).select("event_id", "user_id", "concept")
 
 
-@query(BASE + " SELECT user_id, concept, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, exposure_count, max_confidence, weak FROM state")
+@query(BASE + """ SELECT user_id, concept, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, exposure_count, max_confidence, weak, weak_reason, sources, chapters, aliases FROM state LEFT JOIN (SELECT user_id, concept, max_by(source, (ts, event_id)) FILTER (weak) AS weak_reason FROM exposures GROUP BY ALL) USING (user_id, concept)
+ LEFT JOIN (SELECT user_id, concept, array_to_string(list(source ORDER BY o), ',') AS sources FROM (SELECT user_id, concept, source, min((ts, event_id)) AS o FROM exposures GROUP BY ALL) GROUP BY ALL) USING (user_id, concept)
+ LEFT JOIN (SELECT user_id, concept, array_to_string(list(chapter ORDER BY o)[1:20], ',') AS chapters FROM (SELECT user_id, concept, event_id % 30 AS chapter, min((ts, event_id)) AS o FROM exposures GROUP BY ALL) GROUP BY ALL) USING (user_id, concept)
+ LEFT JOIN (SELECT user_id, concept, array_to_string(list(alias ORDER BY o, alias)[1:20], ',') AS aliases FROM (SELECT user_id, concept, alias, min((ts, event_id)) AS o FROM (SELECT *, unnest([concept, source]) AS alias FROM exposures) GROUP BY ALL) GROUP BY ALL) USING (user_id, concept)""")
 def le4_concept_state(spark, sf_dir):
-    return op.concept_state(study.exposures(spark, sf_dir)).select("user_id", "concept", _stamp("first_seen").alias("first_seen"), _stamp("last_seen").alias("last_seen"), "exposure_count", "max_confidence", "weak")
+    e = study.exposures(spark, sf_dir).withColumn("chapter", (F.col("event_id") % 30).cast("string")).withColumn("aliases", F.array("concept", "source"))
+    lists = [F.array_join(c, ",").alias(n) for c, n in (("sources", "sources"), ("chapters", "chapters"), ("all_aliases", "aliases"))]
+    return op.concept_state(e).select("user_id", "concept", _stamp("first_seen").alias("first_seen"), _stamp("last_seen").alias("last_seen"), "exposure_count", "max_confidence", "weak", "weak_reason", *lists)
 
 
 @query(BASE + " SELECT user_id, concept, weak, mastery, review_count, strftime(last_reviewed, '%Y-%m-%d %H:%M:%S') AS last_reviewed FROM reviewed")
@@ -99,9 +124,13 @@ def le8_review_queue(spark, sf_dir):
     return op.review_queue(_state(spark, sf_dir), AS_OF)
 
 
-@query(BASE + f" SELECT user_id, count(*) AS concepts, sum(exposure_count)::BIGINT AS exposures, count(*) FILTER (weak) AS weak, count(*) FILTER (exposure_count >= 2 AND {DAYS.format('last_seen')} >= 7) AS forgotten FROM reviewed GROUP BY user_id")
+@query(BASE + f""", t AS (SELECT user_id, list(concept ORDER BY r) AS top12 FROM (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY exposure_count DESC, concept) AS r FROM state) WHERE r <= 12 GROUP BY user_id),
+b AS (SELECT user_id, array_to_string(list_sort(list(source || ':' || n)), ',') AS by_source FROM (SELECT user_id, source, count(*) AS n FROM exposures GROUP BY ALL) GROUP BY user_id),
+c AS (SELECT user_id, count(*) AS concepts, count(*) FILTER (s.max_confidence >= 0.85) AS strict, sum(r.exposure_count)::BIGINT AS exposures, count(*) FILTER (r.weak) AS weak, count(*) FILTER (r.exposure_count >= 2 AND {DAYS.format('r.last_seen')} >= 7) AS forgotten FROM reviewed r JOIN state s USING (user_id, concept) GROUP BY user_id)
+SELECT c.*, array_to_string(top12[1:3], ',') AS top3, array_to_string(top12, ',') AS top12, by_source FROM c JOIN t USING (user_id) JOIN b USING (user_id)""")
 def le8_memory_stats(spark, sf_dir):
-    return op.memory_stats(_state(spark, sf_dir), AS_OF)
+    d = op.memory_stats(_state(spark, sf_dir), AS_OF, study.exposures(spark, sf_dir))
+    return d.select("user_id", "concepts", "strict", "exposures", "weak", "forgotten", *(F.array_join(c, ",").alias(c) for c in ("top3", "top12", "by_source")))
 
 
 @query(BASE + """, e AS (SELECT * FROM exposures WHERE event_id % 2 = 0), n AS (SELECT * FROM exposures x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = x.user_id AND e.day = x.day AND e.question = x.question))
@@ -117,10 +146,16 @@ def le9_daily_concepts(spark, sf_dir):
     return op.daily_concepts(study.exposures(spark, sf_dir), AS_OF).withColumn("day", F.col("day").cast("string"))
 
 
-@query(BASE + """, q AS (SELECT user_id, source, question, max(ts) AS latest, bool_or(weak) AS weak, count(DISTINCT concept) AS concepts, min(concept) AS concept FROM exposures GROUP BY ALL)
-SELECT q.user_id, CASE WHEN m.mistake_id IS NOT NULL THEN 'mistake' ELSE source END AS source, question, strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest, weak, concepts, m.mistake_id FROM q LEFT JOIN (SELECT user_id, tag, min(id) AS mistake_id FROM mistakes GROUP BY ALL) m ON m.user_id = q.user_id AND m.tag = q.concept""")
+@query(BASE + """, q AS (SELECT user_id, source, question, max(ts) AS latest, bool_or(weak) AS weak, count(DISTINCT concept) AS concepts FROM exposures GROUP BY ALL),
+ev AS (SELECT user_id, CASE k % 2 WHEN 0 THEN 'what is k' || k ELSE 'about k' || k END AS question, max(ts) AS latest FROM learning_events WHERE id % 3 = 0 GROUP BY ALL),
+a AS (SELECT * FROM q UNION ALL SELECT user_id, 'qa', question, latest, false, 0 FROM ev WHERE (user_id, question) NOT IN (SELECT (user_id, question) FROM exposures)),
+m AS (SELECT a.user_id, a.question, min(m.id) AS mistake_id FROM (SELECT DISTINCT user_id, question FROM a) a JOIN mistakes m ON m.user_id = a.user_id AND contains(lower(m.question_text), lower(a.question)) GROUP BY ALL)
+SELECT a.user_id, CASE WHEN m.mistake_id IS NOT NULL THEN 'mistake' ELSE source END AS source, a.question, strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest, weak, concepts, m.mistake_id FROM a LEFT JOIN m ON m.user_id = a.user_id AND m.question = a.question""")
 def le10_question_timeline(spark, sf_dir):
-    return op.question_timeline(study.exposures(spark, sf_dir), study.mistakes(spark, sf_dir)).select("user_id", "source", "question", _stamp("latest").alias("latest"), "weak", "concepts", "mistake_id")
+    """Events ask about even numbers as exposures do, and about odd ones in words that only mistakes have."""
+    k = F.col("k")
+    e = study.learning_events(spark, sf_dir).where("id % 3 = 0").select("user_id", "ts", F.concat(F.when(k % 2 == 0, "what is k").otherwise("about k"), k).alias("question"))
+    return op.question_timeline(study.exposures(spark, sf_dir), study.mistakes(spark, sf_dir), e).select("user_id", "source", "question", _stamp("latest").alias("latest"), "weak", "concepts", "mistake_id")
 
 
 @query(BASE + f""", related AS (SELECT user_id, tag AS concept, least(count(*), 50) AS related FROM mistakes GROUP BY ALL),
@@ -147,13 +182,17 @@ def le12_combined_plan(spark, sf_dir):
     return op.combined_plan(due, queue, rv.weak_points(study.mistakes(spark, sf_dir)).withColumn("item", F.col("value")))
 
 
-@query(BASE + f""", r AS (SELECT user_id, 'mistake' AS kind, tag AS value FROM mistakes WHERE day >= DATE '{AS_OF}' - 14 UNION ALL SELECT user_id, 'practice', exercise_id::VARCHAR FROM practice_log WHERE day >= DATE '{AS_OF}' - 14 UNION ALL SELECT user_id, 'exposure', concept FROM exposures WHERE day >= DATE '{AS_OF}' - 14),
-c AS (SELECT user_id, kind, value, count(*) AS n FROM r GROUP BY ALL),
-o AS (SELECT user_id, coalesce(sum(n) FILTER (kind = 'mistake'), 0)::BIGINT AS new_mistakes, count(*) FILTER (kind = 'practice') AS practised, coalesce(sum(n) FILTER (kind = 'exposure'), 0)::BIGINT AS exposures,
-  max_by(value, (n, value)) FILTER (kind = 'exposure') AS top_concept, max_by(value, (n, value)) FILTER (kind = 'mistake') AS weak_point FROM c GROUP BY user_id)
+@query(BASE + f""", r AS (SELECT user_id, 'mistake' AS kind, tag AS value FROM mistakes WHERE day >= DATE '{AS_OF}' - 14 UNION ALL SELECT user_id, 'practice', exercise_id::VARCHAR FROM practice_log WHERE day >= DATE '{AS_OF}' - 14 UNION ALL SELECT user_id, 'exposure', concept FROM exposures WHERE day >= DATE '{AS_OF}' - 14
+  UNION ALL SELECT user_id, 'question', 'what is k' || k FROM learning_events WHERE event_type = 'view' AND day >= DATE '{AS_OF}' - 14),
+c AS (SELECT user_id, kind, value, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY n DESC, value) AS r FROM c),
+o AS (SELECT user_id, coalesce(sum(n) FILTER (kind = 'mistake'), 0)::BIGINT AS new_mistakes, count(*) FILTER (kind = 'practice') AS practised, count(*) FILTER (kind = 'practice' AND n >= 2) AS reviewed, coalesce(sum(n) FILTER (kind = 'exposure'), 0)::BIGINT AS exposures, coalesce(sum(n) FILTER (kind = 'question'), 0)::BIGINT AS questions,
+  coalesce(string_agg(value, ',' ORDER BY r) FILTER (kind = 'exposure' AND r <= 10), '') AS top_concepts, coalesce(string_agg(value, ',' ORDER BY r) FILTER (kind = 'mistake' AND r <= 8), '') AS weak_points FROM k GROUP BY user_id)
 SELECT *, CASE WHEN new_mistakes > 0 THEN 'review mistakes' WHEN practised = 0 THEN 'practise' ELSE 'go on' END AS suggestion FROM o""")
 def le13_weekly_report(spark, sf_dir):
-    return op.weekly_report(study.mistakes(spark, sf_dir), study.practice_log(spark, sf_dir), study.exposures(spark, sf_dir), AS_OF, 14)
+    asked = study.learning_events(spark, sf_dir).where("event_type = 'view'").select("user_id", "day", F.concat(F.lit("what is k"), "k").alias("question"))
+    r = op.weekly_report(study.mistakes(spark, sf_dir), study.practice_log(spark, sf_dir), study.exposures(spark, sf_dir), asked, AS_OF, 14)
+    lists = {c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",") for c in ("top_concepts", "weak_points")}
+    return r.withColumns(lists)
 
 
 @query(r"""SELECT conv_id, substr(trim(regexp_replace(min_by(text, turn) FILTER (role = 'user'), '[ \t\n\r]+', ' ', 'g')), 1, 36) AS title, count(*) AS messages, count(*) FILTER (role = 'user') AS questions, least(count(*), 40) AS kept FROM conversations GROUP BY conv_id""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.functions import latex
@@ -230,9 +231,12 @@ def rt13_classify_intent(spark, sf_dir):
 
 @query(r"""WITH b AS (SELECT *, last_value(CASE WHEN role = 'user' AND trim(text) <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM conversations),
 c AS (SELECT *, trim(regexp_replace(regexp_replace(p, '(?i)\s*/\s*[a-f0-9]{12,64}(\s*\])', '\1', 'g'), '\s+', ' ', 'g')) AS cl FROM b)
-SELECT conv_id, turn, md5(CASE WHEN cl <> '' AND (contains(regexp_replace(text, '\s+', '', 'g'), 'dieund') OR contains(regexp_replace(text, '\s+', '', 'g'), 'the')) THEN substr(cl, 1, 500) || '；' || trim(text) ELSE trim(text) END) AS rewritten FROM c WHERE role = 'user'""")
+SELECT conv_id, turn, md5(CASE WHEN cl <> '' AND (contains(regexp_replace(text, '\s+', '', 'g'), 'dieund') OR contains(regexp_replace(text, '\s+', '', 'g'), 'the')) THEN '[math' || CASE WHEN conv_id % 2 = 0 THEN ' / book ' || conv_id % 7 ELSE '' END || '] ' || substr(cl, 1, 500) || '；' || trim(text) ELSE trim(text) END) AS rewritten FROM c WHERE role = 'user'""")
 def rt14_rewrite_followups(spark, sf_dir):
-    return op.rewrite_followups(study.table(spark, sf_dir, "conversations"), ("dieund", "the")).select("conv_id", "turn", F.md5("rewritten").alias("rewritten"))
+    """The subject is given at the first turn, in every other conversation with a book."""
+    c, first = study.table(spark, sf_dir, "conversations"), F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    c = c.withColumn("subject", F.when(first, "math")).withColumn("book", F.when(first & (F.col("conv_id") % 2 == 0), F.concat(F.lit("book "), F.col("conv_id") % 7)))
+    return op.rewrite_followups(c, ("dieund", "the")).select("conv_id", "turn", F.md5("rewritten").alias("rewritten"))
 
 
 @query("WITH k AS (SELECT DISTINCT source AS chapter, lower(w) AS kw FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS w FROM documents)), q AS (SELECT item_id AS query_id, lower(text) AS ql FROM benchmark) SELECT query_id, chapter, count(*) AS score FROM q JOIN k ON contains(ql, kw) OR contains(kw, ql) GROUP BY ALL")
@@ -302,16 +306,16 @@ def ev3_context_quality(spark, sf_dir):
 @query(f"""WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations), d AS (SELECT *, list_distinct({OT.format('answer')}) AS a FROM p WHERE context IS NOT NULL)
 SELECT conv_id || '_' || turn AS id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, {OT.format('context')})) / len(a), 6) END AS in_context, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, {OT.format('reference')})) / len(a), 6) END AS in_reference FROM d""")
 def ev4_answer_quality(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     d = study.table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("answer"), F.lag("text").over(w).alias("context"), F.first("text").over(w).alias("reference"))
     return ev.answer_quality(d.where("context is not null"))
 
 
-@query(METRICS_SQL + " SELECT intent, count(*) AS n, round(avg(hit_3), 6) AS hit_3, round(avg(recall_5), 6) AS recall_5, round(avg(mrr), 6) AS mrr FROM (SELECT *, 'i' || query_id % 3 AS intent FROM cm) GROUP BY ROLLUP (intent)")
+@query(METRICS_SQL + " SELECT intent, count(*) AS n, round(avg(hit_3), 6) AS hit_3, round(avg(recall_5), 6) AS recall_5, round(avg(mrr), 6) AS mrr, count(*) FILTER (s = 0) AS status_ok, count(*) FILTER (s = 1) AS status_error, count(*) FILTER (s > 1) AS status_skipped, round(avg((query_id * 7 % 100)::DOUBLE), 6) AS mean_latency_ms FROM (SELECT *, 'i' || query_id % 3 AS intent, query_id % 4 AS s FROM cm) GROUP BY ROLLUP (intent)")
 def ev5_summarise_eval(spark, sf_dir):
     m = ev.chunk_metrics(_samples(spark, sf_dir), _hits(spark, sf_dir)).withColumn("intent", F.concat(F.lit("i"), F.col("query_id") % 3))
+    status = F.when(F.col("query_id") % 4 == 0, "ok").when(F.col("query_id") % 4 == 1, "error").otherwise("skipped")
+    m = m.withColumn("status", status).withColumn("latency_ms", F.col("query_id") * 7 % 100)
     return ev.summarise(m, "intent", ["hit_3", "recall_5", "mrr"])
 
 

@@ -44,6 +44,14 @@ def sr2_quality_from_score(spark, sf_dir):
     return study.quiz(spark, sf_dir).select("event_id", fr.quality_from_score(F.col("score"), F.lit(100)).alias("quality"), fr.quality_from_rating(r).alias("feedback"), fr.quality_from_rating(r, "node").alias("node"))
 
 
+@query(CARDS_SQL + f""" SELECT user_id, card_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY easiness, card_id) AS rank FROM cards WHERE next_review <= DATE '{AS_OF}' AND card_id % 3 = 1 AND card_id >= 4) WHERE rank <= 5""")
+def sr3_due_of_subject(spark, sf_dir):
+    """Of the cards of one subject and of chapters named 2."""
+    c = cards(spark, sf_dir).withColumn("subject", F.element_at(F.array(F.lit("math/a"), F.lit("a"), F.lit("physics")), (F.col("card_id") % 3 + 1).cast("int")))
+    c = c.withColumn("subject", F.when(F.col("subject") == "math/a", "art").otherwise(F.col("subject"))).withColumn("chapter", F.when(F.col("card_id") >= 4, "chapter 2").otherwise("chapter 1"))
+    return op.due_reviews(c, AS_OF, subject="math/a", chapter="2").select("user_id", "card_id", "rank")
+
+
 @query(CARDS_SQL + f""" SELECT user_id, card_id, rank, round(easiness, 4) AS easiness FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY easiness, card_id) AS rank FROM cards WHERE next_review <= DATE '{AS_OF}') WHERE rank <= 5""")
 def sr3_due_reviews(spark, sf_dir):
     return op.due_reviews(cards(spark, sf_dir), AS_OF).select("user_id", "card_id", "rank", F.round("easiness", 4).alias("easiness"))

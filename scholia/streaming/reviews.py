@@ -1,4 +1,4 @@
-"""Streams of learning events: an idempotent log, daily counts, and review state that advances by one answer.
+"""Streams of learning events: an insert-or-ignore log, daily counts, and review state that advances by one answer.
 
 The same functions work on batches; the batch forms are in ``scholia.operators``.
 """
@@ -16,9 +16,22 @@ STATE = "easiness double, interval long, repetitions int, last_seq long"
 OUT = "user_id long, card_id long, easiness double, interval long, repetitions int, last_seq long"
 
 
-def stream_events(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each event id once; rows later than ``late`` behind the newest event are dropped."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+def append_stream(events: DataFrame, path: str, checkpoint: str, key: str = "id") -> None:
+    """Runs a stream of events into the log at ``path``: an id is inserted once and ignored ever after, however late it comes again.
+
+    Each batch is held against the log's ids; a batch that is run again after a failure overwrites its own folder.
+    """
+
+    def insert(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates([key])
+        if n:
+            before = spark.read.schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") < n).select(key)
+            new = new.join(before, key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = events.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def stream_daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
