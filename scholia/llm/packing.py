@@ -39,7 +39,9 @@ PIECE = "row_key long, doc_id long, piece int, start long, length long, ids_crc3
 
 def _cut(vocabulary: str, end_id: int, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(vocabulary)
+        import zstandard
+
+        code, press = coder(vocabulary), zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b in batches_by_size(whole):
                 ids, starts = code.encode(b["text"], end_id)
@@ -55,16 +57,18 @@ def _cut(vocabulary: str, end_id: int, size: int, with_ids: bool):
                 cols = [b["row_key"].take(at), b["doc_id"].take(at), pa.array(nth.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 names = ["row_key", "doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
+                    stored = ids.astype(code.wide)
+                    packed = [press.compress(stored[a // 4 : a // 4 + k]) for a, k in zip(first, length.tolist())]
+                    cols, names = [*cols, pa.array(np.full(len(doc), stored.itemsize, np.int32)), pa.array(packed, pa.binary())], [*names, "width", "payload"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def cut_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, size: int = SIZE, with_ids: bool = True) -> DataFrame:
-    """One row per piece, written once: row_key, doc_id, piece, start, length, ids_crc32 and, where asked for, ids (little-endian)."""
+    """One row per piece, written once: row_key, doc_id, piece, start, length, ids_crc32 and, where asked for, its packed ids (see ``with_ids``)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return staged(rows.mapInArrow(_cut(vocabulary, end_id, size, with_ids), PIECE + (", ids binary" if with_ids else "")), "pieces")
+    return staged(rows.mapInArrow(_cut(vocabulary, end_id, size, with_ids), PIECE + (", width int, payload binary" if with_ids else "")), "pieces", codec="snappy")
 
 
 def patterns(hist: np.ndarray) -> np.ndarray:
@@ -193,8 +197,20 @@ def place_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def with_ids(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``placed`` with the ids of each piece."""
-    return placed.join(pieces.select("row_key", "piece", "ids"), ["row_key", "piece"])
+    """``placed`` with the ids of each piece, little-endian in 4 bytes each. They are packed until then, as they are shuffled."""
+    both = placed.join(pieces.select("row_key", "piece", "width", "payload"), ["row_key", "piece"])
+    names = [c for c in both.columns if c not in ("width", "payload")]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            raw = ((w, press.decompress(p, max_output_size=4 * SIZE)) for w, p in zip(b["width"].to_pylist(), b["payload"].to_pylist()))
+            ids = [np.frombuffer(r, np.uint16 if w == 2 else np.uint32).astype("<u4").tobytes() for w, r in raw]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
+
+    return both.mapInArrow(unpack, both.select(*names).schema.add("ids", "binary"))
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -215,4 +231,4 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     null; other columns of ``docs``, whatever their names, are left behind; an empty table gives no row.
     """
     pieces = cut_pieces(docs)
-    return with_ids(place_pieces(pieces.drop("ids")), pieces).select("row_key", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    return with_ids(place_pieces(pieces.drop("width", "payload")), pieces).select("row_key", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
