@@ -102,10 +102,10 @@ def ex10_rollback_batch(spark, sf_dir):
 TREE = {"math": ["src1", "src2", "src3"], "physics": ["src4", "src5"]}
 
 
-@query(with_study("exercises") + " SELECT exercise_id, book_id FROM exercises WHERE list_contains(tags, 'en') AND status = 'new' AND book_id IN ('math', 'src1', 'src2', 'src3') AND contains(exercise_id::VARCHAR, '4') AND (contains(lower(question_text), 'the') OR contains(lower(book_id), 'the') OR contains(lower(tags[1]), 'the')) ORDER BY created_sec DESC, exercise_id DESC LIMIT 50")
+@query(with_study("exercises") + " SELECT exercise_id, book_id FROM exercises WHERE list_contains(tags, 'en') AND status = 'practicing' AND book_id IN ('math', 'src1', 'src2', 'src3') AND contains(exercise_id::VARCHAR, '1') AND (contains(lower(question_text), 'the') OR contains(lower(book_id), 'the') OR contains(lower(tags[1]), 'the')) ORDER BY created_sec DESC, exercise_id DESC LIMIT 50")
 def ex11_filter_records(spark, sf_dir):
     e = study.exercises(spark, sf_dir).withColumn("subject", F.col("book_id")).withColumn("chapter", F.col("exercise_id").cast("string"))
-    return op.filter_records(e, ["question_text", "book_id"], "en", "new", "THE", "math", "4", TREE).select("exercise_id", "book_id")
+    return op.filter_records(e, ["question_text", "book_id"], "en", "practicing", "THE", "math", "1", TREE).select("exercise_id", "book_id")
 
 
 @query(with_study("exercises") + " SELECT book_id, kind, value, count(*) AS n FROM (SELECT book_id, 'status' AS kind, status AS value FROM exercises UNION ALL SELECT book_id, 'tag', tags[1] FROM exercises UNION ALL SELECT book_id, 'all', 'all' FROM exercises) GROUP BY ALL")
@@ -129,7 +129,11 @@ def ex14_select_practice(spark, sf_dir):
     return op.select_practice(op.practice_state(study.practice_log(spark, sf_dir))).select("user_id", "exercise_id", "rank")
 
 
-@query()
+@query(PSTATE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, sel AS (SELECT user_id, exercise_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE status WHEN 'needs_review' THEN 0 WHEN 'practicing' THEN 1 ELSE 3 END, practice_count, last_practiced, exercise_id) AS rank FROM ps),
+ses AS (SELECT user_id, list(exercise_id ORDER BY rank) AS ids FROM sel WHERE rank <= 5 GROUP BY user_id), an AS (SELECT user_id, exercise_id, event_id, quality, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM practice_log),
+walk AS (SELECT an.user_id, an.exercise_id, event_id, quality, i, ids, (an.exercise_id = ids[1])::INT AS step, an.exercise_id = ids[1] AS ok FROM an JOIN ses USING (user_id) WHERE i = 1
+  UNION ALL SELECT a.user_id, a.exercise_id, a.event_id, a.quality, a.i, w.ids, w.step + coalesce(a.exercise_id = w.ids[w.step + 1], false)::INT, coalesce(a.exercise_id = w.ids[w.step + 1], false) FROM walk w JOIN an a ON a.user_id = w.user_id AND a.i = w.i + 1)
+SELECT user_id AS session_id, exercise_id, event_id AS seq, quality, ok AS accepted, step AS current_index, step = len(ids) AS completed FROM walk""")
 def ex15_session_progress(spark, sf_dir):
     log = study.practice_log(spark, sf_dir).withColumn("session_id", F.col("user_id"))
     sessions = op.select_practice(op.practice_state(study.practice_log(spark, sf_dir)), 5).groupBy(F.col("user_id").alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "exercise_id"))), lambda x: x["exercise_id"].cast("long")).alias("exercise_ids"))
