@@ -174,7 +174,9 @@ def in17_captions(spark, sf_dir):
     return op.captions(study.chunks(spark, sf_dir), ["chapter"], "chunk_index", "(of|the)").select("chunk_id", F.array_join("captions", "|").alias("captions"))
 
 
-@query()
+@query(with_study("chunks", recursive=True) + """, o AS (SELECT chapter, content, row_number() OVER (PARTITION BY chapter ORDER BY chunk_index) AS i FROM chunks), walk AS (SELECT chapter, content, i, length(content) AS n, 0 AS batch FROM o WHERE i = 1
+  UNION ALL SELECT o.chapter, o.content, o.i, CASE WHEN w.n + length(o.content) + 1 <= 2500 THEN w.n + length(o.content) + 1 ELSE length(o.content) END, w.batch + (w.n + length(o.content) + 1 > 2500)::INT FROM walk w JOIN o ON o.chapter = w.chapter AND o.i = w.i + 1)
+SELECT chapter AS key, batch, string_agg(content, chr(10) ORDER BY i) AS text FROM walk GROUP BY ALL""")
 def in18_pack_text(spark, sf_dir):
     return op.pack_text(study.chunks(spark, sf_dir).select(F.col("chapter").alias("key"), F.col("chunk_index").alias("pos"), F.col("content").alias("text")))
 
@@ -198,7 +200,9 @@ def in20_resolve_resources(spark, sf_dir):
     return op.resolve_resources(b, b.select("book_id"))
 
 
-@query()
+@query(with_study("chunks", "sections") + r""", n AS (SELECT chapter || '_' || (page_idx // 2) AS section_id, chunk_index AS batch, CASE WHEN regexp_matches(content, '^#{1,2}\s') THEN '' ELSE trim(content) END AS t FROM chunks),
+f AS (SELECT *, row_number() OVER (PARTITION BY section_id, regexp_replace(t, '\s+', '', 'g') ORDER BY batch) AS k FROM n WHERE t <> ''), j AS (SELECT section_id, string_agg(t, chr(10) || chr(10) ORDER BY batch) AS text FROM f WHERE k = 1 GROUP BY 1)
+SELECT s.chapter || '_' || s.section_no AS section_id, book_id, coalesce(text, '') AS text FROM sections s LEFT JOIN j ON j.section_id = s.chapter || '_' || s.section_no""")
 def in21_assemble_notes(spark, sf_dir):
     c = study.chunks(spark, sf_dir)
     s = study.sections(spark, sf_dir).select(F.concat_ws("_", "chapter", "section_no").alias("section_id"), "book_id")
