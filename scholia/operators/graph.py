@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mentions import names_in
+from .retrieve import concept_search
 
 # fixed values
 RELATIONS = ("depends_on", "derived_from", "generalizes", "special_case_of", "equivalent_to", "applies_to", "references", "contrasts_with")
@@ -17,6 +19,12 @@ EXTENSION = ("depends_on", "derives_from", "contains", "defines", "uses", "satis
 SIMILAR = 0.72
 FORMULA = r"\$([^$]{3,})\$"
 VARIABLE = r"\\?[A-Za-z]+(?:_\{?[A-Za-z0-9]+\}?)?"
+# what a finding is worth by its source, the sources in their order, and the intents that make a question's concepts likelier
+MATCHED, TAG, ASKED = 1.0, 0.86, 0.9
+MENTIONED = {"question": 0.78, "chunk": 0.68, "answer": 0.58}
+SOURCES = ("kg_matched", "tag", "question", "question_mention", "chunk_mention", "answer_mention")
+WEAK_INTENTS = ("definition", "formula", "property", "derivation", "comparison", "application")
+LEAST_FOUND, EVIDENCE_CHARS = 0.45, 240
 ROLE_ORDER = ("definition", "theorem", "property", "derivation", "proof", "example", "algorithm", "exercise", "reference")
 
 
@@ -161,19 +169,58 @@ def pending_chunks(chunks: DataFrame, done: DataFrame, least: int = 40) -> DataF
     return chunks.where(F.length("content") >= least).join(done.where("error is null").select("chunk_id"), "chunk_id", "left_anti")
 
 
-def link_concepts(texts: DataFrame, concepts: DataFrame, base: float = 0.78, most: int = 20, top: int = 8, radius: int = 80) -> DataFrame:
-    """Mentions of concepts in texts (text_id, text): the longest name found, its confidence and the text around it."""
+def _mentions(texts: DataFrame, concepts: DataFrame, most: int, radius: int) -> DataFrame:
+    """Of each row (text_id, source, base, text) the concepts whose names stand in it, by the longest name, ``most`` at most."""
     a = concepts.select("concept_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("term")).where(F.length("term") >= 2).withColumn("low_term", F.lower("term"))
-    found = names_in(texts.select("text_id", F.lower("text").alias("low")), "low", a, "low_term", ["text_id"])
-    g = found.join(a, found["name"] == a["low_term"]).groupBy("text_id", "concept_id", "canonical_name").agg(F.max(F.struct(F.length("term"), "term"))["term"].alias("term"))
-    g = g.withColumn("n", F.row_number().over(Window.partitionBy("text_id").orderBy("concept_id"))).where(F.col("n") <= most)
-    g = g.join(texts.select("text_id", "text"), "text_id")
-    g = g.withColumn("confidence", F.round(F.least(F.lit(1.0), F.lit(base) + F.least(F.lit(0.12), F.length("term") / 80)), 6))
+    found = names_in(texts.select("text_id", "source", F.lower("text").alias("low")), "low", a, "low_term", ["text_id", "source"])
+    g = found.join(a, found["name"] == a["low_term"]).groupBy("text_id", "source", "concept_id", "canonical_name").agg(F.max(F.struct(F.length("term"), "term"))["term"].alias("term"))
+    g = g.withColumn("n", F.row_number().over(Window.partitionBy("text_id", "source").orderBy("concept_id"))).where(F.col("n") <= most)
+    g = g.join(texts, ["text_id", "source"])
     at = F.position(F.lower("term"), F.lower("text"))
     start = F.greatest(F.lit(1), at - radius)
-    g = g.withColumn("evidence", F.trim(F.substring("text", start, at + F.length("term") + radius - start)))
-    w = Window.partitionBy("text_id").orderBy(F.desc("confidence"), F.desc(F.length("evidence")), F.desc("canonical_name"))
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("text_id", "concept_id", "term", "confidence", "evidence", "rank")
+    confidence = F.least(F.lit(1.0), F.col("base") + F.least(F.lit(0.12), F.length("term") / 80))
+    return g.select("text_id", "concept_id", "canonical_name", "term", confidence.alias("confidence"), "source", F.trim(F.substring("text", start, at + F.length("term") + radius - start)).alias("evidence"))
+
+
+def _searched(asked: DataFrame, concepts: DataFrame, base: float, source: str) -> DataFrame:
+    """Concepts that a search for a row's words (text_id, words) brings up with enough confidence."""
+    hits = concept_search(asked.select(F.col("words").alias("query_id"), F.col("words").alias("text")).distinct(), concepts)
+    d = asked.join(hits, asked["words"] == hits["query_id"])
+    confidence = F.least(F.lit(1.0), base * F.col("score") / 100)
+    return d.where(confidence >= LEAST_FOUND).select("text_id", "concept_id", "canonical_name", F.col("canonical_name").alias("term"), confidence.alias("confidence"), F.lit(source).alias("source"), F.col("words").alias("evidence"))
+
+
+def link_concepts(texts: DataFrame, concepts: DataFrame, most: int = 20, top: int = 8, radius: int = 80) -> DataFrame:
+    """The concepts of each text with the surest finding: its confidence, source and evidence.
+
+    texts: text_id and any of the strings ``question``, ``chunk``, ``answer`` and ``intent`` and the arrays ``matched`` (names found
+    before) and ``tags``. Names found before are sure; tags and the question are searched; all three strings are looked through
+    for names, whole. Of findings alike the one earlier in SOURCES holds. Texts and names that are null or blank find nothing.
+    """
+    have = set(texts.columns)
+    question = F.col("question") if "question" in have else F.lit("")
+    parts = []
+    if "matched" in have:
+        names = concepts.select("concept_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("n"))
+        names = names.groupBy(F.lower(F.trim("n")).alias("known")).agg(F.min(F.struct("concept_id", "canonical_name")).alias("c"))
+        m = texts.select("text_id", question.alias("evidence"), F.explode("matched").alias("m")).withColumn("known", F.lower(F.trim("m")))
+        parts.append(m.join(names, "known").select("text_id", "c.concept_id", "c.canonical_name", F.col("m").alias("term"), F.lit(MATCHED).alias("confidence"), F.lit("kg_matched").alias("source"), F.coalesce("evidence", F.lit("")).alias("evidence")))
+    if "tags" in have:
+        parts.append(_searched(texts.select("text_id", F.explode("tags").alias("words")), concepts, TAG, "tag"))
+    if "question" in have:
+        parts.append(_searched(texts.select("text_id", question.alias("words")), concepts, ASKED, "question"))
+    looked = [texts.select("text_id", F.lit(f"{c}_mention").alias("source"), F.lit(b).alias("base"), F.col(c).alias("text")) for c, b in MENTIONED.items() if c in have]
+    if looked:
+        parts.append(_mentions(reduce(DataFrame.union, looked), concepts, most, radius))
+    d = reduce(DataFrame.union, parts).withColumn("confidence", F.round("confidence", 6)).withColumn("evidence", F.substring("evidence", 1, EVIDENCE_CHARS))
+    order = F.struct(-F.col("confidence"), F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")), "evidence")
+    d = d.groupBy("text_id", "concept_id", "canonical_name").agg(*(F.min_by(c, order).alias(c) for c in ("term", "confidence", "source", "evidence")))
+    if "intent" in have:
+        weak = texts.where(F.col("intent").isin(*WEAK_INTENTS)).select("text_id").distinct().withColumn("weak", F.lit(True))
+        likelier = F.col("weak") & F.col("source").isin("kg_matched", "question", "question_mention")
+        d = d.join(weak, "text_id", "left").withColumn("confidence", F.when(likelier, F.round(F.least(F.lit(1.0), F.col("confidence") + 0.05), 6)).otherwise(F.col("confidence")))
+    w = Window.partitionBy("text_id").orderBy(F.desc("confidence"), F.desc(F.length("evidence")), F.desc("canonical_name"), "concept_id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("text_id", "concept_id", "term", "confidence", "source", "evidence", "rank")
 
 
 def infer_chapter(occurrences: DataFrame, noise=("(no title)", "")) -> DataFrame:
@@ -208,8 +255,14 @@ def learning_path(starts: DataFrame, edges: DataFrame, max_depth: int = 3) -> Da
     return seen
 
 
-def concept_card(concepts: DataFrame, occurrences: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per concept up to three defining and three example chunks, a definition of 800 characters and up to eight chapters."""
+def concept_card(concepts: DataFrame, occurrences: DataFrame, chunks: DataFrame, formulas: DataFrame | None = None, role: str | None = None, most_formulas: int = 5) -> DataFrame:
+    """Per concept up to three defining and three example chunks, a definition of 800 characters and up to eight chapters.
+
+    ``role`` keeps occurrences of one role only; formulas (latex, concepts), as ``link_formulas`` gives them, add up to
+    ``most_formulas`` of a concept, in order.
+    """
+    if role is not None:
+        occurrences = occurrences.where(F.col("role") == role)
     kind = F.when(F.col("role").isin("definition", "theorem", "property"), "def").when(F.col("role").isin("example", "exercise"), "ex").otherwise("other")
     order = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
     o = occurrences.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("kind", kind).withColumn("o", order)
@@ -218,7 +271,12 @@ def concept_card(concepts: DataFrame, occurrences: DataFrame, chunks: DataFrame)
     pick = lambda k: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("r") <= 3), F.struct("r", "chunk_id")))), lambda x: x["chunk_id"])
     best = F.min_by(F.substring("content", 1, 800), F.struct(F.when(F.col("kind") == "def", 0).otherwise(1), "o", "book_id", "chapter", "chunk_index"))
     g = o.groupBy("concept_id").agg(best.alias("definition"), pick("def").alias("definitions"), pick("ex").alias("examples"), F.slice(F.array_sort(F.collect_set("chapter")), 1, 8).alias("chapters"))
-    return concepts.select("concept_id", "canonical_name").join(g, "concept_id", "left")
+    out = concepts.select("concept_id", "canonical_name").join(g, "concept_id", "left")
+    if formulas is None:
+        return out
+    f = formulas.select(F.explode("concepts").alias("concept_id"), "latex").distinct()
+    f = f.withColumn("r", F.row_number().over(Window.partitionBy("concept_id").orderBy("latex"))).where(F.col("r") <= most_formulas)
+    return out.join(f.groupBy("concept_id").agg(F.array_sort(F.collect_list("latex")).alias("formulas")), "concept_id", "left")
 
 
 def mine_definitions(concepts: DataFrame, chunks: DataFrame, verbs: str = "(是|称为|定义为|指|表示)", seps: str = "[。；;\n]") -> DataFrame:
@@ -239,6 +297,18 @@ def concept_tree(concepts: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def link_mistakes(mistakes: DataFrame, concepts: DataFrame, most: int = 3) -> DataFrame:
-    """A mistake's linked concepts, sure ones, at most ``most``; each is a weak exposure."""
-    d = link_concepts(mistakes, concepts, top=most)
+    """A mistake's linked concepts, sure ones, at most ``most``; each is a weak exposure.
+
+    mistakes: text_id and any of question, correct_answer, explanation and tags; question and correct answer are asked together.
+    """
+    have = set(mistakes.columns)
+    cols = {}
+    asked = [F.when(F.col(c) != "", F.col(c)) for c in ("question", "correct_answer") if c in have]
+    if asked:
+        cols["question"] = F.concat_ws("\n", *asked)
+    if "explanation" in have:
+        cols["answer"] = F.col("explanation")
+    if "tags" in have:
+        cols["tags"] = F.col("tags")
+    d = link_concepts(mistakes.select("text_id", *(c.alias(n) for n, c in cols.items())), concepts, top=most)
     return d.select(F.col("text_id").alias("mistake_id"), "concept_id", F.greatest("confidence", F.lit(0.999)).alias("confidence"), F.lit(True).alias("weak"))

@@ -257,10 +257,12 @@ def _term_score(q: Column, term: Column, exact: Column) -> Column:
 
 
 def _either_way(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """(key, term) of the terms that a row's text contains or that contain it."""
+    """(key, term) of the terms that a row's text contains or that contain it; only texts no longer than some term can be contained."""
     inside = names_in(texts, text, terms, term, [key]).select(key, F.col("name").alias(term))
-    around = names_in(terms.select(term).distinct(), term, texts, text, [term])
-    return inside.union(around.join(texts.select(key, F.col(text).alias("name")), "name").select(key, term)).distinct()
+    longest = terms.agg(F.max(F.length(term))).first()[0] or 0
+    short = texts.where(F.length(text) <= longest)
+    around = names_in(terms.select(term).distinct(), term, short, text, [term])
+    return inside.union(around.join(short.select(key, F.col(text).alias("name")), "name").select(key, term)).distinct()
 
 
 def concept_search(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:

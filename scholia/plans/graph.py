@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.operators import graph as op
-from scholia.sources import study
+from scholia.sources import study, tables
 from scholia.sources.study import with_study
 
 from .registry import query
@@ -22,6 +23,13 @@ def _all(spark, sf_dir):
     return study.concepts(spark, sf_dir), study.occurrences(spark, sf_dir), study.chunks(spark, sf_dir)
 
 
+def _written(spark, df, name):
+    """``df`` written once, as several steps read it."""
+    path = tables.scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query(WORDS_SQL + f" SELECT DISTINCT book_id, {NORM.format('word')} AS name FROM w")
 def kg1_normalise_name(spark, sf_dir):
     return _words(spark, sf_dir).select("book_id", op.normalise_name(F.col("word")).alias("name")).distinct()
@@ -60,8 +68,6 @@ REL_SQL = ", r AS (SELECT DISTINCT word AS source, CASE WHEN pos % 7 = 0 THEN 'n
 
 
 def _rel(spark, sf_dir):
-    from pyspark.sql import Window
-
     nxt = F.lead("word").over(Window.partitionBy("chunk_id").orderBy("pos"))
     return _words(spark, sf_dir).select(F.col("word").alias("source"), F.when(F.col("pos") % 7 == 0, "noise").otherwise("depends_on").alias("relation"), nxt.alias("target"), F.col("chunk_id").alias("evidence")).where("target is not null")
 
@@ -89,8 +95,6 @@ CAND_SQL = """, cand AS (SELECT lower(word) AS name, chunk_id, pos, CASE pos % 3
 
 
 def _cand(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = F.col("pos")
     return _words(spark, sf_dir).select(
         F.lower("word").alias("name"), "chunk_id", "pos", F.when(p % 3 == 0, "definition").otherwise("example").alias("role"), F.when(p % 2 == 1, F.substring("content", 1, 20)).otherwise("").alias("definition"),
@@ -139,16 +143,40 @@ def kg13_pending_chunks(spark, sf_dir):
     return op.pending_chunks(c, done).select("chunk_id")
 
 
-LINK_SQL = """, a AS (SELECT concept_id, canonical_name, unnest([canonical_name, canonical_name || 's']) AS term FROM concepts), txt AS (SELECT chunk_id AS text_id, content AS text FROM chunks),
-g AS (SELECT text_id, text, concept_id, canonical_name, max_by(term, (length(term), term)) AS term FROM txt JOIN a ON contains(lower(text), lower(term)) GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY concept_id) AS n FROM g), p AS (SELECT *, round(least(1.0, 0.78::DOUBLE + least(0.12::DOUBLE, length(term) / 80)), 6) AS confidence, strpos(lower(text), lower(term)) AS place FROM n WHERE n <= 20),
-ev AS (SELECT *, trim(substr(text, greatest(1, place - 80)::INT, (place + length(term) + 80 - greatest(1, place - 80))::INT)) AS evidence FROM p)"""
-
-
-@query(WORDS_SQL + LINK_SQL + " SELECT text_id, concept_id, confidence, length(evidence) AS evidence_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, length(evidence) DESC, canonical_name DESC) AS rank FROM ev) WHERE rank <= 8")
+TERM_SCORE = "CASE WHEN ql = term THEN exact WHEN length(ql) >= 2 AND contains(term, ql) THEN 50 + length(ql) / length(term) * 50 WHEN length(term) >= 2 AND contains(ql, term) THEN least(exact - 5, 70 + length(term) / length(ql) * 20) ELSE 0 END"
+# txt: text_id, question, chunk, answer, matched, tags, intent. Texts are looked through once, each distinct one.
+LINK_SQL = f""", a AS (SELECT concept_id, canonical_name, unnest([canonical_name, canonical_name || 's']) AS term, unnest([100.0::DOUBLE, 90.0::DOUBLE]) AS exact FROM concepts),
+spoken AS (SELECT text_id, 4 AS o, 0.78::DOUBLE AS base, question AS text FROM txt UNION ALL SELECT text_id, 5, 0.68, chunk FROM txt UNION ALL SELECT text_id, 6, 0.58, answer FROM txt),
+g AS (SELECT text, concept_id, canonical_name, max_by(term, (length(term), term)) AS term FROM (SELECT DISTINCT text FROM spoken) JOIN a ON contains(lower(text), term) GROUP BY ALL),
+mn AS (SELECT *, row_number() OVER (PARTITION BY text_id, o ORDER BY concept_id) AS n, strpos(lower(text), term) AS place FROM spoken JOIN g USING (text)),
+asked AS (SELECT text_id, 2 AS o, 0.86::DOUBLE AS base, unnest(tags) AS words FROM txt UNION ALL SELECT text_id, 3, 0.9, question FROM txt),
+sm AS (SELECT words, concept_id, canonical_name, round(max({TERM_SCORE}), 6) AS score FROM (SELECT DISTINCT words, lower(trim(words)) AS ql FROM asked) JOIN a ON ql <> '' AND (contains(ql, term) OR contains(term, ql)) GROUP BY ALL),
+sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, canonical_name) AS r FROM sm WHERE score > 0) WHERE r <= 5),
+kn AS (SELECT known, min((concept_id, canonical_name)) AS c FROM (SELECT concept_id, canonical_name, term AS known FROM a) GROUP BY known),
+fd AS (SELECT text_id, c[1] AS concept_id, c[2] AS canonical_name, 1 AS o, 1.0::DOUBLE AS confidence, coalesce(question, '') AS evidence FROM (SELECT text_id, question, lower(trim(unnest(matched))) AS known FROM txt) JOIN kn USING (known)
+  UNION ALL SELECT text_id, concept_id, canonical_name, o, least(1.0, base * score / 100), words FROM asked JOIN sc USING (words) WHERE least(1.0, base * score / 100) >= 0.45
+  UNION ALL SELECT text_id, concept_id, canonical_name, o, least(1.0, base + least(0.12::DOUBLE, length(term) / 80)), trim(substr(text, greatest(1, place - 80)::INT, (place + length(term) + 80 - greatest(1, place - 80))::INT)) FROM mn WHERE n <= 20),
+bf AS (SELECT text_id, concept_id, canonical_name, o, round(confidence, 6) AS confidence, substr(evidence, 1, 240) AS evidence FROM fd),
+one AS (SELECT text_id, concept_id, canonical_name, min((-confidence, o, evidence)) AS b FROM bf GROUP BY ALL),
+ev AS (SELECT text_id, concept_id, canonical_name, b[2] AS o, b[3] AS evidence, CASE WHEN intent IN ('definition', 'formula', 'property', 'derivation', 'comparison', 'application') AND b[2] IN (1, 3, 4) THEN round(least(1.0, 0.05::DOUBLE - b[1]), 6) ELSE -b[1] END AS confidence FROM one JOIN txt USING (text_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, length(evidence) DESC, canonical_name DESC, concept_id) AS rank FROM ev)"""
+# a chunk is asked about; the chunk before it is the passage, the one after it the answer; long words of it are tags and names found before
+AROUND_SQL = ", around AS (SELECT chunk_id, chunk_index, content, lag(content) OVER w AS before, lead(content) OVER w AS after, regexp_extract_all(content, '[A-Z]?[a-z]{11,}') AS longest FROM chunks WINDOW w AS (PARTITION BY book_id, chapter ORDER BY chunk_index))"
+
+
+def _around(spark, sf_dir):
+    w = Window.partitionBy("book_id", "chapter").orderBy("chunk_index")
+    return study.chunks(spark, sf_dir).select("chunk_id", "chunk_index", "content", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"), F.regexp_extract_all("content", F.lit("[A-Z]?[a-z]{11,}"), F.lit(0)).alias("longest"))
+
+
+@query(WORDS_SQL + AROUND_SQL + ", txt AS (SELECT chunk_id AS text_id, content AS question, before AS chunk, after AS answer, CASE WHEN chunk_index % 2 = 0 THEN longest ELSE [] END AS matched, CASE WHEN chunk_index % 2 = 1 THEN longest ELSE [] END AS tags, CASE WHEN chunk_index % 3 = 0 THEN 'definition' ELSE 'qa' END AS intent FROM around)" + LINK_SQL
+       + " SELECT text_id, concept_id, confidence, ['kg_matched', 'tag', 'question', 'question_mention', 'chunk_mention', 'answer_mention'][o] AS source, length(evidence) AS evidence_chars, rank FROM rk WHERE rank <= 8")
 def kg14_link_concepts(spark, sf_dir):
-    c, _, ch = _all(spark, sf_dir)
-    return op.link_concepts(ch.select(F.col("chunk_id").alias("text_id"), F.col("content").alias("text")), c).select("text_id", "concept_id", "confidence", F.length("evidence").alias("evidence_chars"), "rank")
+    i, none = F.col("chunk_index"), F.array().cast("array<string>")
+    t = _around(spark, sf_dir).select(
+        F.col("chunk_id").alias("text_id"), F.col("content").alias("question"), F.col("before").alias("chunk"), F.col("after").alias("answer"), F.when(i % 2 == 0, F.col("longest")).otherwise(none).alias("matched"),
+        F.when(i % 2 == 1, F.col("longest")).otherwise(none).alias("tags"), F.when(i % 3 == 0, "definition").otherwise("qa").alias("intent"))
+    return op.link_concepts(_written(spark, t, "texts"), _written(spark, study.concepts(spark, sf_dir), "concepts")).select("text_id", "concept_id", "confidence", "source", F.length("evidence").alias("evidence_chars"), "rank")
 
 
 @query(WORDS_SQL + " SELECT concept_id, chapter, n FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY n DESC, chapter) AS r FROM (SELECT concept_id, chapter, count(*) AS n FROM occurrences GROUP BY ALL)) WHERE r = 1")
@@ -169,11 +197,14 @@ def kg17_learning_path(spark, sf_dir):
     return op.learning_path(r.where("source_id % 20 = 0").select(F.col("source_id").alias("node")).distinct(), r)
 
 
-@query(WORDS_SQL + """, o AS (SELECT o.*, c.content, CASE WHEN role IN ('definition', 'theorem', 'property') THEN 'def' WHEN role IN ('example', 'exercise') THEN 'ex' ELSE 'other' END AS kind, list_position(['definition', 'theorem', 'property', 'derivation', 'proof', 'example', 'algorithm', 'exercise', 'reference'], role) AS o FROM occurrences o JOIN chunks c USING (chunk_id)),
+@query(WORDS_SQL + r""", e AS (SELECT DISTINCT chunk_id, latex FROM (SELECT chunk_id, unnest(regexp_extract_all(content, '([A-Za-z]+ ?= ?[^ ]+)', 1)) AS latex FROM chunks) WHERE length(trim(latex)) >= 3), fm AS (SELECT concept_id, string_agg(latex, ',' ORDER BY latex) AS formulas FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY latex) AS n FROM (SELECT DISTINCT concept_id, latex FROM e JOIN occurrences USING (chunk_id))) WHERE n <= 5 GROUP BY 1),
+o AS (SELECT o.*, c.content, CASE WHEN role IN ('definition', 'theorem', 'property') THEN 'def' WHEN role IN ('example', 'exercise') THEN 'ex' ELSE 'other' END AS kind, list_position(['definition', 'theorem', 'property', 'derivation', 'proof', 'example', 'algorithm', 'exercise', 'reference'], role) AS o FROM occurrences o JOIN chunks c USING (chunk_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY concept_id, kind ORDER BY o, book_id, chapter, chunk_index) AS r FROM o)
-SELECT concept_id, md5(min_by(substr(content, 1, 800), ((kind <> 'def')::INT, o, book_id, chapter, chunk_index))) AS definition, coalesce(string_agg(chunk_id, ',' ORDER BY r) FILTER (kind = 'def' AND r <= 3), '') AS definitions, coalesce(string_agg(chunk_id, ',' ORDER BY r) FILTER (kind = 'ex' AND r <= 3), '') AS examples, array_to_string(list_sort(list_distinct(list(chapter)))[1:8], ',') AS chapters FROM r GROUP BY concept_id""")
+SELECT concept_id, md5(min_by(substr(content, 1, 800), ((kind <> 'def')::INT, o, book_id, chapter, chunk_index))) AS definition, coalesce(string_agg(chunk_id, ',' ORDER BY r) FILTER (kind = 'def' AND r <= 3), '') AS definitions, coalesce(string_agg(chunk_id, ',' ORDER BY r) FILTER (kind = 'ex' AND r <= 3), '') AS examples, array_to_string(list_sort(list_distinct(list(chapter)))[1:8], ',') AS chapters, any_value(formulas) AS formulas FROM r LEFT JOIN fm USING (concept_id) GROUP BY concept_id""")
 def kg18_concept_card(spark, sf_dir):
-    return op.concept_card(*_all(spark, sf_dir)).select("concept_id", F.md5("definition").alias("definition"), *(F.array_join(c, ",").alias(c) for c in ("definitions", "examples", "chapters")))
+    c, o, ch = _all(spark, sf_dir)
+    card = op.concept_card(c, o, ch, op.link_formulas(_formulas(spark, sf_dir), o))
+    return card.select("concept_id", F.md5("definition").alias("definition"), *(F.array_join(c, ",").alias(c) for c in ("definitions", "examples", "chapters", "formulas")))
 
 
 @query(WORDS_SQL + """, s AS (SELECT book_id, chapter, chunk_index, unnest(regexp_split_to_array(content, '[.,;]')) AS s, generate_subscripts(regexp_split_to_array(content, '[.,;]'), 1) AS pos FROM chunks), t AS (SELECT book_id, chapter, chunk_index, pos, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM s)
@@ -191,7 +222,9 @@ def kg20_concept_tree(spark, sf_dir):
     return op.concept_tree(c, first)
 
 
-@query(WORDS_SQL + LINK_SQL + " SELECT text_id AS mistake_id, concept_id, greatest(confidence, 0.999::DOUBLE) AS confidence, true AS weak FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, length(evidence) DESC, canonical_name DESC) AS rank FROM ev) WHERE rank <= 3")
+@query(WORDS_SQL + AROUND_SQL + ", txt AS (SELECT chunk_id AS text_id, concat_ws(chr(10), nullif(content, ''), nullif(after, '')) AS question, NULL::VARCHAR AS chunk, before AS answer, []::VARCHAR[] AS matched, longest AS tags, 'mistake' AS intent FROM around)" + LINK_SQL
+       + " SELECT text_id AS mistake_id, concept_id, greatest(confidence, 0.999::DOUBLE) AS confidence, true AS weak FROM rk WHERE rank <= 3")
 def kg21_link_mistakes(spark, sf_dir):
-    c, _, ch = _all(spark, sf_dir)
-    return op.link_mistakes(ch.select(F.col("chunk_id").alias("text_id"), F.col("content").alias("text")), c)
+    """A chunk as the mistaken question, the next one as its correct answer, the one before as explanation."""
+    m = _around(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), F.col("content").alias("question"), F.col("after").alias("correct_answer"), F.col("before").alias("explanation"), F.col("longest").alias("tags"))
+    return op.link_mistakes(_written(spark, m, "mistakes"), _written(spark, study.concepts(spark, sf_dir), "concepts"))
