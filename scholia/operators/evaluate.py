@@ -104,3 +104,17 @@ def trace_stats(traces: DataFrame, newest: int = 500) -> DataFrame:
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id").orderBy("ts", "request_id"))) / 1e6
     d = traces.withColumn("gap", gap).withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest)
     return d.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.max("ms").alias("max_ms"), F.round(F.avg("gap"), 3).alias("mean_gap"))
+
+
+def request_stats(requests: DataFrame, newest: int = 500, most_evidence: int = 20) -> DataFrame:
+    """By status and intent over each user's newest requests: number, share on the fast path, times and evidence.
+
+    requests: request_id, user_id, ts, status, intent, fast_path, ttft_ms, total_ms, n_evidence. A blank status counts as done;
+    a request lists ``most_evidence`` items at most. Times that are null count in no mean; no request, no row.
+    """
+    d = requests.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("request_id")))).where(F.col("r") <= newest)
+    status = F.when(F.trim("status") != "", F.col("status")).otherwise("done").alias("status")
+    return d.groupBy(status, F.coalesce("intent", F.lit("")).alias("intent")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("fast_path", F.lit(False)).cast("int")), 4).alias("fast_share"), F.round(F.avg("ttft_ms"), 4).alias("mean_ttft_ms"),
+        F.round(F.avg("total_ms"), 4).alias("mean_total_ms"), F.round(F.percentile("total_ms", F.lit(0.95)), 4).alias("p95_total_ms"), F.sum(F.least(F.coalesce("n_evidence", F.lit(0)), F.lit(most_evidence))).alias("n_evidence"),
+    )

@@ -169,17 +169,53 @@ def page_of(page_idx: Column, source_file: Column, source_ref: Column) -> Column
     return F.coalesce(F.when(page_idx >= 0, page_idx + 1), n(source_file), n(source_ref))
 
 
-MODES = {"examples": ("example",), "exercise_sections": ("exercise",), "other": ("example", "exercise")}
+# fixed values: what problems and examples begin with, and titles of exercise sections and of pages before the text
+PROBLEM = r"(^|\n)\s*(?:例\s*\d|例题|习题|练习|复习题|思考题|\d+[-\.、）)]|\(\d+\)|（\d+）)"
+EXAMPLE = r"(^|\n)\s*例\s*\d|(^|\n)\s*例题"
+EXERCISE_TITLES = ("习题", "练习", "复习题", "思考题")
+FRONT_TITLES = ("目录", "前言", "版权", "CIP", "图书在版编目")
+CONTENTS_TITLE, CONTENTS_HEAD = "目次", 600
+
+
+def _has_any(c: Column, parts) -> Column:
+    return F.coalesce(F.greatest(*(F.contains(c, F.lit(p)) for p in parts), F.lit(False)), F.lit(False))
+
+
+def _compact(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{3000}]+", "")
+
+
+def front_matter(title: Column, text: Column) -> Column:
+    """Contents, preface and imprint: by the title, or by a list of the first two chapters at the text's beginning."""
+    t, head = _compact(title), _compact(F.substring(text, 1, CONTENTS_HEAD))
+    listed = F.contains(head, F.lit("目录")) & _has_any(head, ("第一章", "第1章")) & _has_any(head, ("第二章", "第2章"))
+    return (t == CONTENTS_TITLE) | _has_any(t, FRONT_TITLES) | F.coalesce(listed, F.lit(False))
 
 
 def extract_textbook_exercises(chunks: DataFrame, mode: str = "all_pages", first: int | None = None, last: int | None = None, chapter: str = "") -> DataFrame:
-    """Chunks that hold exercises: by chapter and pages, then by role; one row for each text of a book, the earliest."""
-    d = chunks.withColumn("page", F.when(F.col("page_idx") >= 0, F.col("page_idx") + 1))
+    """Chunks that hold exercises: by chapter and pages, then by role, text or section; one row for each text of a book, the earliest.
+
+    chunks: book_id, chapter, chunk_index, chunk_id, page_idx, role, content and, where there are such, ``title`` (of the section)
+    and ``provider`` (a number: of each book only the rows of its least provider that has any count). ``mode``: all_pages takes
+    every text, examples what is or looks like an example, exercise_sections also exercises, problems and all of exercise
+    sections, other what looks like a problem. A chunk without a chapter is in every chapter, one without a page in no range.
+    """
+    title = F.col("title") if "title" in chunks.columns else F.lit("")
+    d = chunks.where(F.trim("content") != "").withColumn("page", F.when(F.col("page_idx") >= 0, F.col("page_idx") + 1))
     if chapter:
-        d = d.where(F.contains("chapter", F.lit(chapter)))
+        c = _compact(F.col("chapter"))
+        d = d.where((c == "") | F.contains(c, F.regexp_replace(F.lit(chapter), r"[\s\x{3000}]+", "")))
     if first is not None:
-        d = d.where((F.col("page") >= first) & (F.col("page") <= last))
+        d = d.where(F.col("page").between(first, last if last is not None else first))
     if mode != "all_pages":
-        d = d.where(F.col("role").isin(*MODES[mode]))
-    first = d.groupBy("book_id", "content").agg(F.min(F.struct("chapter", "chunk_index", "chunk_id", "page_idx", "page", "role")).alias("f"))
-    return first.select("book_id", "content", "f.*")
+        role, text = F.lower(F.trim(F.coalesce("role", F.lit("")))), F.col("content")
+        taken = {
+            "examples": (role == "example") | text.rlike(EXAMPLE),
+            "exercise_sections": role.isin("exercise", "example") | text.rlike(PROBLEM) | _has_any(_compact(title), EXERCISE_TITLES),
+        }.get(mode, text.rlike(PROBLEM))
+        d = d.where(taken & ~front_matter(F.coalesce(F.when(_compact(title) != "", title), "chapter"), text))
+    if "provider" in chunks.columns:
+        best = d.groupBy("book_id").agg(F.min("provider").alias("best")).withColumnRenamed("book_id", "own")
+        d = d.join(best, d["book_id"].eqNullSafe(best["own"]) & (d["provider"] == best["best"])).drop("own", "best")
+    earliest = d.groupBy("book_id", "content").agg(F.min(F.struct("chapter", "chunk_index", "chunk_id", "page_idx", "page", "role")).alias("f"))
+    return earliest.select("book_id", "content", "f.*")

@@ -133,9 +133,36 @@ def stale_scopes(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.join(s, "book_id", "left").where(~F.col("fingerprint").eqNullSafe(F.col("old"))).select("book_id")
 
 
+# fixed values: words in titles that tell the classes of sections, and how problems begin
+STUDY_POINTS = ("学习要点", "本章要点")
+EXERCISE_SECTIONS = ("习题", "练习题", "复习题", "思考题", "例题")
+AUXILIARY = ("本章学习要点", "学习要点", "习题", "复习题", "思考题")
+PROBLEM_START = r"(^|\n)\s*(例\s*\d*|例题|习题|练习|思考题|证明|求解|计算|判断|设\s)"
+
+
+def section_ends(sections: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``end_page``: the page before the next section of the chapter, or the chapter's last page; never before the start.
+
+    sections: book_id, chapter, section_no, start_page; chapters: book_id, chapter, last_page. Books without a name count.
+    """
+    c = chapters.select(F.col("book_id").alias("own_book"), F.col("chapter").alias("own_chapter"), "last_page")
+    d = sections.join(c, sections["book_id"].eqNullSafe(c["own_book"]) & (sections["chapter"] == c["own_chapter"]), "left").drop("own_book", "own_chapter")
+    following = F.lead("start_page").over(Window.partitionBy("book_id", "chapter").orderBy("start_page", "section_no"))
+    return d.withColumn("end_page", F.greatest("start_page", F.coalesce(following - 1, "last_page"))).drop("last_page")
+
+
+def section_class(title: Column) -> Column:
+    """(kind, is_auxiliary): study points, exercises or content by the title's words; auxiliary sections aren't read as text."""
+    t = F.regexp_replace(F.coalesce(title, F.lit("")), r"[\s\x{3000}]+", "")
+    named = lambda words: F.greatest(*(F.contains(t, F.lit(w)) for w in words))
+    return F.struct(F.when(named(STUDY_POINTS), "study_points").when(named(EXERCISE_SECTIONS), "exercise").otherwise("content").alias("kind"), named(AUXILIARY).alias("is_auxiliary"))
+
+
 def sections_by_page(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Chunks with each section of their chapter whose pages hold them."""
-    s = sections.select("book_id", "chapter", "section_no", "start_page", "end_page")
+    """Chunks with each section of their chapter whose pages hold them; with its class where sections have a ``title``."""
+    s = sections.select("book_id", "chapter", "section_no", "start_page", "end_page", *([section_class(F.col("title")).alias("c")] if "title" in sections.columns else []))
+    if "c" in s.columns:
+        s = s.select("book_id", "chapter", "section_no", "start_page", "end_page", F.col("c.kind").alias("section_kind"), F.col("c.is_auxiliary").alias("is_auxiliary"))
     return chunks.join(s, ["book_id", "chapter"]).where(F.col("page_idx").between(F.col("start_page"), F.col("end_page")))
 
 
@@ -181,7 +208,21 @@ def resolve_resources(books: DataFrame, selected: DataFrame) -> DataFrame:
     return d.select("chosen", "book_id", "book_role", "rag_priority", F.row_number().over(w).alias("rank")).withColumn("is_primary", F.col("rank") == 1)
 
 
-def section_examples(chunks: DataFrame, sections: DataFrame, most: int = 12, cap: int = 700) -> DataFrame:
+def section_examples(chunks: DataFrame, sections: DataFrame, cap: int = 5000) -> DataFrame:
+    """A section's examples and exercises, by role or by how they begin, each under its reference; ``cap`` characters at most.
+
+    Only chunks that begin before the cap are gathered, so no section is an unbounded group.
+    """
+    d = sections_by_page(chunks.where(F.col("role").isin("example", "exercise") | F.col("content").rlike(PROBLEM_START)), sections)
+    d = d.withColumn("part", F.concat(F.lit("["), "chunk_id", F.lit("; "), F.coalesce(F.when(F.col("role") != "", F.col("role")), F.lit("problem")), F.lit("]\n"), F.trim("content")))
+    w = Window.partitionBy("book_id", "chapter", "section_no").orderBy("chunk_index")
+    d = d.withColumn("upto", F.sum(F.length("part") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.length("part") - 2)
+    near = F.array_sort(F.collect_list(F.when(F.col("before") < cap, F.struct("chunk_index", "part"))))
+    g = d.groupBy("book_id", "chapter", "section_no").agg(F.array_join(F.transform(near, lambda x: x["part"]), "\n\n").alias("text"), (F.max("upto") - 2).alias("chars"))
+    return g.select("book_id", "chapter", "section_no", F.substring("text", 1, cap).alias("text"), (F.col("chars") > cap).alias("cut"))
+
+
+def practice_appendix(chunks: DataFrame, sections: DataFrame, most: int = 12, cap: int = 700) -> DataFrame:
     """Example and exercise chunks by section: the first ``most`` with shortened text, and how many more there are."""
     d = sections_by_page(chunks.where(F.col("role").isin("example", "exercise")), sections)
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("book_id", "chapter", "section_no").orderBy("chunk_index")))

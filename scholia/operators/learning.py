@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mentions import names_in
-from .review import normalise_subject
+from .review import normalise_subject, subject_match
 
 
 def _day(as_of: str) -> Column:
@@ -204,11 +204,36 @@ def weekly_report(mistakes: DataFrame, practice: DataFrame, exposures: DataFrame
     return r.withColumn("suggestion", F.when(F.col("new_mistakes") > 0, "review mistakes").when(F.col("practised") == 0, "practise").otherwise("go on"))
 
 
-def conversation_index(turns: DataFrame, most: int = 40, title: int = 36) -> DataFrame:
-    """Title (first user turn), counts and the number of messages kept, for each conversation."""
-    user = F.col("role") == "user"
-    words = F.trim(F.regexp_replace(F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))), r"[ \t\n\r]+", " "))
-    return turns.groupBy("conv_id").agg(F.substring(words, 1, title).alias("title"), F.count(F.lit(1)).alias("messages"), F.count_if(user).alias("questions"), F.least(F.count(F.lit(1)), F.lit(most)).alias("kept"))
+UNTITLED = "新会话"  # fixed value: the title of a conversation whose first question is missing or blank
+
+
+def conversation_index(turns: DataFrame, most: int = 40, title: int = 36, subject: str = "", book: str = "", tree: dict[str, list[str]] | None = None, limit: int | None = None) -> DataFrame:
+    """Conversations by their last ``most`` messages: title (the first question there), counts, last subject and book, first and last time.
+
+    turns: conv_id, turn, role, text and, where there are such, subject, book_name, created_at; of these the last that isn't blank
+    counts, of created_at the first too. ``subject`` (as ``subject_match`` takes it) and ``book`` keep those alike; ``limit`` gives
+    the newest ones only, newest first. A conversation without a subject or book has an empty one.
+    """
+    have = set(turns.columns)
+    d = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))))
+    kept, user = F.col("back") <= most, F.col("role") == "user"
+    asked = kept & user
+    words = F.trim(F.regexp_replace(F.min_by(F.when(asked, F.col("text")), F.when(asked, F.col("turn"))), r"[ \t\n\r]+", " "))
+    said = lambda c: kept & (F.trim(F.col(c).cast("string")) != "")
+    last = lambda c: F.min_by(F.when(said(c), F.col(c)), F.when(said(c), F.col("back")))
+    more = [F.coalesce(last(c), F.lit("")).alias(c) for c in ("subject", "book_name") if c in have]
+    if "created_at" in have:
+        more += [F.max_by(F.when(said("created_at"), F.col("created_at")), F.when(said("created_at"), F.col("back"))).alias("created_at"), last("created_at").alias("updated_at")]
+    g = d.groupBy("conv_id").agg(
+        F.coalesce(F.when(words != "", F.substring(words, 1, title)), F.lit(UNTITLED)).alias("title"), F.count(F.lit(1)).alias("messages"), F.count_if(user).alias("questions"), F.count_if(kept).alias("kept"), *more)
+    if subject and "subject" in have:
+        g = g.where(subject_match(F.col("subject"), subject, tree or {}))
+    if book and "book_name" in have:
+        g = g.where(F.col("book_name") == book)
+    if limit is None:
+        return g
+    newest = [F.desc("updated_at")] if "created_at" in have else []
+    return g.orderBy(*newest, F.desc("conv_id")).limit(max(1, min(limit, 200)))
 
 
 def qa_events(turns: DataFrame, exposures: DataFrame) -> DataFrame:

@@ -165,12 +165,41 @@ def ex18_mistake_to_exercise(spark, sf_dir):
     return op.mistake_to_exercise(m, m.where("id % 4 = 0").select(F.lit("mistake").alias("origin_type"), F.col("id").alias("origin_id"))).select("origin_id", "question_text", "status")
 
 
-@query(with_study("chunks") + """ SELECT chunk_id, page FROM (SELECT *, page_idx + 1 AS page, row_number() OVER (PARTITION BY book_id, content ORDER BY chapter, chunk_index) AS nth FROM chunks
-  WHERE ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] IN ('example', 'exercise')) WHERE nth = 1""")
-def ex1_extract_textbook_exercises(spark, sf_dir):
+# every seventh chunk begins as an example, every eleventh as a numbered problem; titles by the chapter's number; two providers in some books
+BOOK_SQL = with_study("chunks") + r""", bk AS (SELECT book_id, chapter, chunk_index, chunk_id, page_idx, ['definition', 'theorem', 'example', 'exercise', 'reference'][chunk_index % 5 + 1] AS role,
+  CASE WHEN chunk_index % 7 = 0 THEN '例 3 ' || content WHEN chunk_index % 11 = 0 THEN '12、' || content ELSE content END AS content, ['一 习题', '前 言', 'text', '目次'][chapter::INT % 4 + 1] AS title, CASE WHEN book_id LIKE '%1' THEN chunk_index % 2 ELSE 2 END AS provider FROM chunks),
+kept AS (SELECT *, contains(title, '习题') AS exercises, regexp_matches(content, '(^|\n)\s*(?:例\s*\d|例题|习题|练习|复习题|思考题|\d+[-\.、）)]|\(\d+\)|（\d+）)') AS problem, regexp_matches(content, '(^|\n)\s*例\s*\d|(^|\n)\s*例题') AS example FROM bk WHERE trim(content) <> '')"""
+EARLIEST_SQL = """ SELECT chunk_id, page FROM (SELECT *, page_idx + 1 AS page, row_number() OVER (PARTITION BY book_id, content ORDER BY chapter, chunk_index) AS nth FROM (SELECT * FROM kept WHERE {0} QUALIFY provider = min(provider) OVER (PARTITION BY book_id))) WHERE nth = 1"""
+
+
+def _book(spark, sf_dir):
+    i, content = F.col("chunk_index"), F.col("content")
     roles = F.array(*map(F.lit, ("definition", "theorem", "example", "exercise", "reference")))
-    c = study.chunks(spark, sf_dir).withColumn("role", F.element_at(roles, F.col("chunk_index") % 5 + 1))
-    return op.extract_textbook_exercises(c, "other").select("chunk_id", "page")
+    titles = F.array(*map(F.lit, ("一 习题", "前 言", "text", "目次")))
+    return study.chunks(spark, sf_dir).withColumns({
+        "role": F.element_at(roles, i % 5 + 1), "content": F.when(i % 7 == 0, F.concat(F.lit("例 3 "), content)).when(i % 11 == 0, F.concat(F.lit("12、"), content)).otherwise(content),
+        "title": F.element_at(titles, F.col("chapter").cast("int") % 4 + 1), "provider": F.when(F.col("book_id").endswith("1"), i % 2).otherwise(2)})
+
+
+@query(BOOK_SQL + EARLIEST_SQL.format("NOT (title IN ('前 言', '目次')) AND (role IN ('example', 'exercise') OR problem OR exercises)"))
+def ex1_extract_textbook_exercises(spark, sf_dir):
+    return op.extract_textbook_exercises(_book(spark, sf_dir), "exercise_sections").select("chunk_id", "page")
+
+
+@query(BOOK_SQL + EARLIEST_SQL.format("NOT (title IN ('前 言', '目次')) AND (role = 'example' OR example)"))
+def ex1_extract_examples(spark, sf_dir):
+    return op.extract_textbook_exercises(_book(spark, sf_dir), "examples").select("chunk_id", "page")
+
+
+@query(BOOK_SQL + EARLIEST_SQL.format("NOT (title IN ('前 言', '目次')) AND problem AND page_idx BETWEEN 0 AND 2 AND contains(chapter, '1')"))
+def ex1_extract_problems(spark, sf_dir):
+    """Problems on the pages and in the chapters asked for."""
+    return op.extract_textbook_exercises(_book(spark, sf_dir), "other", 1, 3, "1").select("chunk_id", "page")
+
+
+@query(BOOK_SQL + EARLIEST_SQL.format("true"))
+def ex1_extract_all_pages(spark, sf_dir):
+    return op.extract_textbook_exercises(_book(spark, sf_dir)).select("chunk_id", "page")
 
 
 @query(with_study("chunks") + r" SELECT chunk_id, CASE WHEN chunk_index % 3 = 0 THEN page_idx + 1 WHEN chunk_index % 3 = 1 THEN chapter::INT ELSE chunk_index END AS page FROM chunks")

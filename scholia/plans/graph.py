@@ -23,13 +23,6 @@ def _all(spark, sf_dir):
     return study.concepts(spark, sf_dir), study.occurrences(spark, sf_dir), study.chunks(spark, sf_dir)
 
 
-def _written(spark, df, name):
-    """``df`` written once, as several steps read it."""
-    path = tables.scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query(WORDS_SQL + f" SELECT DISTINCT book_id, {NORM.format('word')} AS name FROM w")
 def kg1_normalise_name(spark, sf_dir):
     return _words(spark, sf_dir).select("book_id", op.normalise_name(F.col("word")).alias("name")).distinct()
@@ -176,7 +169,7 @@ def kg14_link_concepts(spark, sf_dir):
     t = _around(spark, sf_dir).select(
         F.col("chunk_id").alias("text_id"), F.col("content").alias("question"), F.col("before").alias("chunk"), F.col("after").alias("answer"), F.when(i % 2 == 0, F.col("longest")).otherwise(none).alias("matched"),
         F.when(i % 2 == 1, F.col("longest")).otherwise(none).alias("tags"), F.when(i % 3 == 0, "definition").otherwise("qa").alias("intent"))
-    return op.link_concepts(_written(spark, t, "texts"), _written(spark, study.concepts(spark, sf_dir), "concepts")).select("text_id", "concept_id", "confidence", "source", F.length("evidence").alias("evidence_chars"), "rank")
+    return op.link_concepts(tables.written(t, "texts"), tables.written(study.concepts(spark, sf_dir), "concepts")).select("text_id", "concept_id", "confidence", "source", F.length("evidence").alias("evidence_chars"), "rank")
 
 
 @query(WORDS_SQL + " SELECT concept_id, chapter, n FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY n DESC, chapter) AS r FROM (SELECT concept_id, chapter, count(*) AS n FROM occurrences GROUP BY ALL)) WHERE r = 1")
@@ -227,4 +220,4 @@ def kg20_concept_tree(spark, sf_dir):
 def kg21_link_mistakes(spark, sf_dir):
     """A chunk as the mistaken question, the next one as its correct answer, the one before as explanation."""
     m = _around(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), F.col("content").alias("question"), F.col("after").alias("correct_answer"), F.col("before").alias("explanation"), F.col("longest").alias("tags"))
-    return op.link_mistakes(_written(spark, m, "mistakes"), _written(spark, study.concepts(spark, sf_dir), "concepts"))
+    return op.link_mistakes(tables.written(m, "mistakes"), tables.written(study.concepts(spark, sf_dir), "concepts"))

@@ -150,9 +150,19 @@ def in14_stale_scopes(spark, sf_dir):
     return op.stale_scopes(op.book_fingerprint(c), op.book_fingerprint(c.where("chunk_index <> 40")).where("book_id <> 'src3'"))
 
 
-@query(with_study("chunks", "sections") + " SELECT chunk_id, section_no FROM chunks c JOIN sections s ON s.book_id = c.book_id AND s.chapter = c.chapter AND c.page_idx BETWEEN s.start_page AND s.end_page")
+TITLED_SQL = ", sec AS (SELECT book_id, chapter, section_no, start_page, ['1.1 text', '本章 学习要点', '练习题', '思考 题'][section_no % 4 + 1] AS title FROM sections), last AS (SELECT book_id, chapter, max(page_idx) AS last_page FROM chunks GROUP BY ALL), titled AS (SELECT sec.*, greatest(start_page, coalesce(lead(start_page) OVER (PARTITION BY sec.book_id, sec.chapter ORDER BY start_page, section_no) - 1, last_page)) AS end_page FROM sec LEFT JOIN last ON last.book_id IS NOT DISTINCT FROM sec.book_id AND last.chapter = sec.chapter)"
+
+
+def _titled(spark, sf_dir):
+    """Sections with titles; their ends follow from the next one's start and the chapter's last page."""
+    titles = F.array(*map(F.lit, ("1.1 text", "本章 学习要点", "练习题", "思考 题")))
+    s = study.sections(spark, sf_dir).drop("end_page").withColumn("title", F.element_at(titles, F.col("section_no") % 4 + 1))
+    return op.section_ends(s, study.chunks(spark, sf_dir).groupBy("book_id", "chapter").agg(F.max("page_idx").alias("last_page")))
+
+
+@query(with_study("chunks", "sections") + TITLED_SQL + " SELECT chunk_id, section_no, CASE WHEN regexp_matches(replace(title, ' ', ''), '学习要点|本章要点') THEN 'study_points' WHEN regexp_matches(replace(title, ' ', ''), '习题|练习题|复习题|思考题|例题') THEN 'exercise' ELSE 'content' END AS section_kind, regexp_matches(replace(title, ' ', ''), '本章学习要点|学习要点|习题|复习题|思考题') AS is_auxiliary FROM chunks c JOIN titled s ON s.book_id = c.book_id AND s.chapter = c.chapter AND c.page_idx BETWEEN s.start_page AND s.end_page")
 def in15_sections_by_page(spark, sf_dir):
-    return op.sections_by_page(study.chunks(spark, sf_dir), study.sections(spark, sf_dir)).select("chunk_id", "section_no")
+    return op.sections_by_page(study.chunks(spark, sf_dir), _titled(spark, sf_dir)).select("chunk_id", "section_no", "section_kind", "is_auxiliary")
 
 
 @query(with_study("chunks", "sections") + """, r AS (SELECT chunk_id AS range_id, chapter AS book_id, page_idx AS "start", page_idx + chunk_index % 2 AS "end" FROM chunks)
@@ -212,5 +222,14 @@ def in21_assemble_notes(spark, sf_dir):
 
 @query(with_study("chunks", "sections") + f""", d AS (SELECT c.book_id, c.chapter, section_no, content, chunk_index, row_number() OVER (PARTITION BY c.book_id, c.chapter, section_no ORDER BY chunk_index) AS rank FROM chunks c JOIN sections s ON s.book_id = c.book_id AND s.chapter = c.chapter AND c.page_idx BETWEEN s.start_page AND s.end_page WHERE {PLACE_ROLE} IN ('example', 'exercise'))
 SELECT book_id, chapter, section_no, coalesce(string_agg(substr(content, 1, 700), chr(10) ORDER BY rank) FILTER (rank <= 3), '') AS text, greatest(0, count(*) - 3) AS more FROM d GROUP BY ALL""")
+def in22_practice_appendix(spark, sf_dir):
+    return op.practice_appendix(_place_role(study.chunks(spark, sf_dir)), study.sections(spark, sf_dir), 3)
+
+
+@query(with_study("chunks", "sections") + TITLED_SQL + f""", k AS (SELECT book_id, chapter, chunk_id, chunk_index, page_idx, CASE WHEN chunk_index % 5 = 4 THEN '' ELSE {PLACE_ROLE} END AS role, CASE WHEN chunk_index % 4 = 0 THEN '证明 ' || content ELSE content END AS content FROM chunks),
+d AS (SELECT k.book_id, k.chapter, section_no, chunk_index, '[' || chunk_id || '; ' || coalesce(nullif(role, ''), 'problem') || ']' || chr(10) || trim(content) AS part FROM k JOIN titled s ON s.book_id = k.book_id AND s.chapter = k.chapter AND k.page_idx BETWEEN s.start_page AND s.end_page WHERE role IN ('example', 'exercise') OR starts_with(content, '证明')),
+j AS (SELECT book_id, chapter, section_no, string_agg(part, chr(10) || chr(10) ORDER BY chunk_index) AS t FROM d GROUP BY ALL) SELECT book_id, chapter, section_no, md5(substr(t, 1, 5000)) AS text, length(t) > 5000 AS cut FROM j""")
 def in22_section_examples(spark, sf_dir):
-    return op.section_examples(_place_role(study.chunks(spark, sf_dir)), study.sections(spark, sf_dir), 3)
+    i = F.col("chunk_index")
+    c = _place_role(study.chunks(spark, sf_dir)).withColumn("role", F.when(i % 5 == 4, "").otherwise(F.col("role"))).withColumn("content", F.when(i % 4 == 0, F.concat(F.lit("证明 "), "content")).otherwise(F.col("content")))
+    return op.section_examples(c, _titled(spark, sf_dir)).withColumn("text", F.md5("text"))

@@ -195,9 +195,28 @@ def le13_weekly_report(spark, sf_dir):
     return r.withColumns(lists)
 
 
-@query(r"""SELECT conv_id, substr(trim(regexp_replace(min_by(text, turn) FILTER (role = 'user'), '[ \t\n\r]+', ' ', 'g')), 1, 36) AS title, count(*) AS messages, count(*) FILTER (role = 'user') AS questions, least(count(*), 40) AS kept FROM conversations GROUP BY conv_id""")
+TALK_SQL = r"""WITH c AS (SELECT *, CASE turn % 3 WHEN 0 THEN ['math', 'src1', 'physics', 'art'][conv_id % 4 + 1] ELSE ' ' END AS subject, CASE turn % 4 WHEN 1 THEN 'book ' || conv_id % 7 ELSE '' END AS book_name, conv_id * 1000 + turn AS created_at, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations),
+ix AS (SELECT conv_id, coalesce(nullif(substr(trim(regexp_replace(min_by(text, turn) FILTER (role = 'user' AND back <= 40), '[ \t\n\r]+', ' ', 'g')), 1, 36), ''), '新会话') AS title, count(*) AS messages, count(*) FILTER (role = 'user') AS questions, count(*) FILTER (back <= 40) AS kept,
+  coalesce(min_by(subject, back) FILTER (trim(subject) <> '' AND back <= 40), '') AS subject, coalesce(min_by(book_name, back) FILTER (trim(book_name) <> '' AND back <= 40), '') AS book_name, max_by(created_at, back) FILTER (back <= 40) AS created_at, min_by(created_at, back) AS updated_at FROM c GROUP BY conv_id)"""
+
+
+def _talk(spark, sf_dir):
+    """Turns that name a subject or a book now and then."""
+    i, t = F.col("conv_id"), F.col("turn")
+    subjects = F.array(*map(F.lit, ("math", "src1", "physics", "art")))
+    return study.table(spark, sf_dir, "conversations").withColumns({
+        "subject": F.when(t % 3 == 0, F.element_at(subjects, (i % 4 + 1).cast("int"))).otherwise(" "), "book_name": F.when(t % 4 == 1, F.concat(F.lit("book "), i % 7)).otherwise(""), "created_at": i * 1000 + t})
+
+
+@query(TALK_SQL + " SELECT * FROM ix")
 def le14_conversation_index(spark, sf_dir):
-    return op.conversation_index(study.table(spark, sf_dir, "conversations"))
+    return op.conversation_index(_talk(spark, sf_dir))
+
+
+@query(TALK_SQL + " SELECT conv_id, title, updated_at FROM ix WHERE subject IN ('math', 'src1') ORDER BY updated_at DESC, conv_id DESC LIMIT 20")
+def le14_newest_conversations(spark, sf_dir):
+    """The newest conversations on a subject or one below it."""
+    return op.conversation_index(_talk(spark, sf_dir), subject="math", tree={"math": ["src1"]}, limit=20).select("conv_id", "title", "updated_at")
 
 
 @query(BASE + " SELECT conv_id AS owner, 'chat_qa' AS event_type, turn::VARCHAR AS ref FROM conversations WHERE role = 'user' UNION ALL SELECT DISTINCT user_id, 'concept_exposure', concept FROM exposures WHERE confidence >= 0.85 UNION ALL SELECT DISTINCT user_id, 'concept_candidates', '' FROM exposures WHERE confidence < 0.85")

@@ -16,13 +16,14 @@ from .registry import query
 
 TOKENS_SQL = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_.+-]+')"
 # each benchmark passage is asked of every book
-BM25_SQL = with_study("chunks") + f""", q AS (SELECT item_id AS query_id, text FROM benchmark),
+BM25_STEPS = f""", q AS (SELECT item_id AS query_id, text FROM benchmark),
 t AS (SELECT book_id, chapter, chunk_id, chunk_index, {TOKENS_SQL.format('content')} AS ts FROM chunks), stats AS (SELECT book_id, count(*) AS n, avg(len(ts)) AS avgdl FROM t GROUP BY book_id),
 post AS (SELECT book_id, term, chapter, chunk_id, chunk_index, dl, count(*) AS tf FROM (SELECT book_id, chapter, chunk_id, chunk_index, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
 df AS (SELECT book_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, p.book_id, p.chapter, chunk_id, chunk_index, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))), 6) AS score
   FROM qt JOIN df USING (term) JOIN stats ON stats.book_id IS NOT DISTINCT FROM df.book_id JOIN post p ON p.book_id IS NOT DISTINCT FROM df.book_id AND p.term = qt.term GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter DESC, chunk_index DESC) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
+BM25_SQL = with_study("chunks") + BM25_STEPS
 
 
 def _queries(spark, sf_dir):
@@ -30,20 +31,13 @@ def _queries(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    """The best chunks of all books for each question, written once, as several steps read them."""
-    path, best = tables.scratch(spark, "bm25"), op.bm25_search_all(_queries(spark, sf_dir), study.chunks(spark, sf_dir))
-    best.write.parquet(path)
-    return spark.read.schema(best.schema).parquet(path)
+    """The best chunks of all books for each question."""
+    return tables.written(op.bm25_search_all(_queries(spark, sf_dir), study.chunks(spark, sf_dir)), "bm25")
 
 
 def _index(spark, sf_dir):
     """The lexical index, written once: each search reads it instead of the texts."""
-    written = []
-    for name, d in zip(("postings", "book-stats"), op.build_postings(study.chunks(spark, sf_dir))):
-        path = tables.scratch(spark, name)
-        d.write.parquet(path)
-        written.append(spark.read.schema(d.schema).parquet(path))
-    return written
+    return [tables.written(d, name) for name, d in zip(("postings", "book-stats"), op.build_postings(study.chunks(spark, sf_dir)))]
 
 
 @query(f"SELECT doc_id, len(ts) AS n, len(list_distinct(ts)) AS distinct_n, coalesce(array_to_string(ts[1:5], ' '), '') AS head FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS ts FROM documents)")
@@ -113,7 +107,8 @@ def rt5_vector_search_by_chapter(spark, sf_dir):
     return op.vector_search_by_chapter(*_vectors(spark, sf_dir))
 
 
-NEAR_SQL = BM25_SQL + """, near AS (SELECT query_id, book_id, chapter, place + o AS chunk_index, min(rank) AS rank, bool_or(o = 0) AS is_direct_hit FROM (SELECT query_id, book_id, chapter, chunk_index AS place, rank FROM bm WHERE rank <= 3), (SELECT unnest([-1, 0, 1]) AS o) GROUP BY ALL)"""
+NEAR_STEP = """, near AS (SELECT query_id, book_id, chapter, place + o AS chunk_index, min(rank) AS rank, bool_or(o = 0) AS is_direct_hit FROM (SELECT query_id, book_id, chapter, chunk_index AS place, rank FROM bm WHERE rank <= 3), (SELECT unnest([-1, 0, 1]) AS o) GROUP BY ALL)"""
+NEAR_SQL = BM25_SQL + NEAR_STEP
 
 
 @query(NEAR_SQL + " SELECT query_id, chunk_id, n.rank, is_direct_hit FROM near n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index")
@@ -122,8 +117,8 @@ def rt6_expand_neighbors(spark, sf_dir):
 
 
 TERM_SCORE = "CASE WHEN ql = term THEN exact WHEN length(ql) >= 2 AND contains(term, ql) THEN 50 + length(ql) / length(term) * 50 WHEN length(term) >= 2 AND contains(ql, term) THEN least(exact - 5, 70 + length(term) / length(ql) * 20) ELSE 0 END"
-CS_SQL = with_study("concepts", "occurrences") + f""", t AS (SELECT concept_id, canonical_name, lower(unnest([canonical_name, canonical_name || 's'])) AS term, unnest([100.0::DOUBLE, 90.0::DOUBLE]) AS exact FROM concepts), q AS (SELECT item_id AS query_id, text, lower(trim(text)) AS ql FROM benchmark),
-m AS (SELECT query_id, text, concept_id, canonical_name, round(max({TERM_SCORE}), 6) AS score FROM q JOIN t ON contains(ql, term) OR contains(term, ql) GROUP BY ALL), cs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_name) AS rank FROM m WHERE score > 0) WHERE rank <= 8)"""
+CS_SQL = with_study("concepts", "occurrences") + f""", ct AS (SELECT concept_id, canonical_name, lower(unnest([canonical_name, canonical_name || 's'])) AS term, unnest([100.0::DOUBLE, 90.0::DOUBLE]) AS exact FROM concepts), cq AS (SELECT item_id AS query_id, text, lower(trim(text)) AS ql FROM benchmark),
+m AS (SELECT query_id, text, concept_id, canonical_name, round(max({TERM_SCORE}), 6) AS score FROM cq JOIN ct ON contains(ql, term) OR contains(term, ql) GROUP BY ALL), cs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_name) AS rank FROM m WHERE score > 0) WHERE rank <= 8)"""
 
 
 @query(CS_SQL + " SELECT query_id, concept_id, score, rank FROM cs")
@@ -139,11 +134,11 @@ rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _ranked(spark, sf_dir):
-    c = study.concepts(spark, sf_dir)
+    c = tables.written(study.concepts(spark, sf_dir), "concepts")
     oc = study.occurrences(spark, sf_dir).groupBy("concept_id").agg(F.count(F.lit(1)).alias("occurrence_count"), F.collect_set("role").alias("roles"))
     q = _queries(spark, sf_dir)
     m = op.concept_search(q, c, 8).drop("rank").join(q.select("query_id", "text"), "query_id").join(c.select("concept_id", "aliases"), "concept_id").join(oc, "concept_id")
-    return op.rank_concepts(m)
+    return tables.written(op.rank_concepts(m), "ranked-concepts")
 
 
 @query(RANKED_SQL + " SELECT query_id, concept_id, adjusted, rank FROM rc")
@@ -174,32 +169,57 @@ def rt10_toc_like(spark, sf_dir):
     return d.select("doc_id", op.toc_like(F.when(F.col("source") == "src7", "目录").otherwise(F.col("source")), t).alias("toc"))
 
 
-HITS_SQL = """, hits AS (
- SELECT query_id, 2 AS list_no, rank AS position, rank, 'bm25' AS source, b.chunk_id, b.chapter, c.page_idx, c.content AS text, false AS direct FROM bm b JOIN chunks c USING (chunk_id)
- UNION ALL SELECT query_id, 3, 100 + n.rank, NULL, 'neighbor', c.chunk_id, c.chapter, c.page_idx, c.content, false FROM near n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index),
-h AS (SELECT *, CASE WHEN source = 'bm25' THEN 'bm25' ELSE 'dense' END AS kind, coalesce(rank, position) AS r FROM hits WHERE trim(text) <> ''),
-one AS (SELECT query_id, chunk_id, min_by(chapter, (list_no, position)) AS chapter, min_by(page_idx, (list_no, position)) AS page_idx, min_by(text, (list_no, position)) AS text, min_by(source, (list_no, position)) AS source, bool_or(direct) AS direct, min(r) FILTER (kind = 'dense') AS rd, min(r) FILTER (kind = 'bm25') AS rb FROM h GROUP BY ALL),
+# lists: concepts' places in the book that answers best, vectors, lexical hits, their neighbours. A vector stands for the first chunk of the document of its number,
+# and for the question of its number; roles go by the place in the page
+FUSE_SQL = RANKED_SQL + CC_SQL + BM25_STEPS + NEAR_STEP + """,
+ve AS (SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM q)),
+vt AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM ve) WHERE rank <= 20),
+kgh AS (SELECT b.query_id, c.chunk_id, bool_or(is_direct_hit) AS direct, any_value(c.book_id) AS book_id, any_value(c.chapter) AS chapter, any_value(c.chunk_index) AS chunk_index, any_value(c.page_idx) AS page_idx, any_value(c.content) AS text FROM cc c JOIN rc USING (concept_id) JOIN bm b ON b.query_id = rc.query_id AND b.rank = 1 AND b.book_id IS NOT DISTINCT FROM c.book_id GROUP BY ALL),
+hits AS (SELECT query_id, 1 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY chapter, chunk_index) AS position, NULL AS rank, 'kg' AS source, chunk_id, chapter, page_idx, chunk_index, text, direct FROM kgh
+ UNION ALL SELECT query_id, 2, v.rank, v.rank, 'dense', c.chunk_id, c.chapter, c.page_idx, c.chunk_index, c.content, false FROM vt v JOIN chunks c ON c.chapter = v.vec_id::VARCHAR AND c.chunk_index = 0
+ UNION ALL SELECT query_id, 3, b.rank, b.rank, 'bm25', b.chunk_id, b.chapter, c.page_idx, c.chunk_index, c.content, false FROM bm b JOIN chunks c USING (chunk_id)
+ UNION ALL SELECT query_id, 4, 100 + n.rank, NULL, 'neighbor', c.chunk_id, c.chapter, c.page_idx, c.chunk_index, c.content, false FROM near n JOIN chunks c ON c.book_id IS NOT DISTINCT FROM n.book_id AND c.chapter = n.chapter AND c.chunk_index = n.chunk_index),
+h AS (SELECT *, CASE WHEN source IN ('bm25', 'kg') THEN source ELSE 'dense' END AS kind, coalesce(rank, position) AS r FROM hits WHERE trim(text) <> ''),
+one AS (SELECT query_id, chunk_id, min_by(chapter, (list_no, position)) AS chapter, min_by(page_idx, (list_no, position)) AS page_idx, min(chunk_index) % 5 AS role_no, min_by(text, (list_no, position)) AS text, min_by(source, (list_no, position)) AS source, bool_or(direct) AS direct, min(r) FILTER (kind = 'dense') AS rd, min(r) FILTER (kind = 'bm25') AS rb, min(r) FILTER (kind = 'kg') AS rg FROM h GROUP BY ALL),
 sc AS (SELECT one.*, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9_.+-]+')) AS qt, list_distinct(regexp_extract_all(lower(one.text), '[a-z0-9_.+-]+')) AS tt FROM one JOIN q USING (query_id)),
-fs AS (SELECT *, round(len(list_intersect(qt, tt)) / len(qt), 6) AS coverage, round(coalesce(1.0::DOUBLE / (60 + rd), 0) + coalesce(1.0::DOUBLE / (60 + rb), 0) + 0.08::DOUBLE * (len(list_intersect(qt, tt)) / len(qt)) - CASE WHEN source = 'neighbor' THEN 0.004::DOUBLE ELSE 0 END, 6) AS score FROM sc),
+fs AS (SELECT *, round(len(list_intersect(qt, tt)) / len(qt), 6) AS coverage, round(coalesce(1.0::DOUBLE / (60 + rg), 0) + coalesce(1.0::DOUBLE / (60 + rd), 0) + coalesce(1.0::DOUBLE / (60 + rb), 0) + CASE WHEN direct THEN 0.05::DOUBLE ELSE 0 END + 0.08::DOUBLE * (len(list_intersect(qt, tt)) / len(qt))
+  + coalesce(0.012::DOUBLE * (6 - list_position(['definition', 'theorem', 'property', 'example', 'derivation'], ['definition', 'theorem', 'example', 'exercise', 'reference'][role_no + 1])) / 5, 0) - CASE WHEN source = 'neighbor' THEN 0.004::DOUBLE ELSE 0 END, 6) AS score FROM sc),
 f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chapter ORDER BY score DESC, page_idx, chunk_id) AS ic FROM fs) WHERE ic <= 6),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_idx, chunk_id) AS rank FROM f1) WHERE rank <= 10)"""
 
 
-def _fused(spark, sf_dir):
-    c, b = study.chunks(spark, sf_dir), _bm25(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    tail = [F.lit("").alias("role"), F.lit("").alias("book_role"), F.lit(False).alias("is_direct_hit"), none.alias("section_title")]
-    lex = b.join(c.select("chunk_id", "page_idx", F.col("content").alias("text")), "chunk_id").select("query_id", F.lit(2).alias("list_no"), F.col("rank").alias("position"), "rank", F.lit("bm25").alias("source"), "chunk_id", "chapter", "page_idx", "text", *tail)
-    near = op.expand_neighbors(b.where("rank <= 3"), c).select("query_id", F.lit(3).alias("list_no"), (F.col("rank") + 100).alias("position"), F.lit(None).cast("int").alias("rank"), F.lit("neighbor").alias("source"), "chunk_id", "chapter", "page_idx", F.col("content").alias("text"), *tail)
-    return op.fuse_and_rerank(lex.union(near), _queries(spark, sf_dir))
+def _listed(d, list_no: int, source: str, position, rank, direct):
+    """Hits of one list in the columns that ``fuse_and_rerank`` takes."""
+    role = F.element_at(F.array(*map(F.lit, ("definition", "theorem", "example", "exercise", "reference"))), F.col("chunk_index") % 5 + 1)
+    return d.select(
+        "query_id", F.lit(list_no).alias("list_no"), position.alias("position"), rank.alias("rank"), F.lit(source).alias("source"), "chunk_id", "chapter", "page_idx", F.col("content").alias("text"),
+        role.alias("role"), F.lit("").alias("book_role"), direct.alias("is_direct_hit"), F.lit(None).cast("string").alias("section_title"))
 
 
-@query(NEAR_SQL + HITS_SQL + " SELECT query_id, rank, chunk_id, score, coverage FROM fused")
+def _fused(spark, sf_dir):
+    c, b, q = study.chunks(spark, sf_dir), _bm25(spark, sf_dir), _queries(spark, sf_dir)
+    none, no, rank = F.lit(None).cast("int"), F.lit(False), F.col("rank")
+    book = b.where("rank = 1").select("query_id", F.col("book_id").alias("answering"))
+    ranked = _ranked(spark, sf_dir).select("query_id", "concept_id")
+    places = op.concept_chunks(ranked.select("concept_id").distinct(), study.occurrences(spark, sf_dir), c)
+    kg = places.join(ranked, "concept_id").join(book, "query_id").where(F.col("book_id").eqNullSafe(F.col("answering")))
+    kg = kg.groupBy("query_id", "chunk_id", "chapter", "chunk_index", "page_idx", "content").agg(F.bool_or("is_direct_hit").alias("direct"))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("chapter", "chunk_index"))
+    _, vectors = _vectors(spark, sf_dir)
+    asked = vectors.join(q.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "book_id", F.col("embedding").alias("q"))
+    near_by = op.vector_topk_fast(asked, vectors).select("query_id", "rank", F.col("vec_id").cast("string").alias("chapter")).join(c.where("chunk_index = 0"), "chapter")
+    lex = b.join(c.select("chunk_id", "page_idx", "content"), "chunk_id")
+    near = op.expand_neighbors(b.where("rank <= 3"), c)
+    lists = [_listed(kg, 1, "kg", at, none, F.col("direct")), _listed(near_by, 2, "dense", rank, rank, no), _listed(lex, 3, "bm25", rank, rank, no), _listed(near, 4, "neighbor", rank + 100, none, no)]
+    return op.fuse_and_rerank(lists[0].union(lists[1]).union(lists[2]).union(lists[3]), q)
+
+
+@query(FUSE_SQL + " SELECT query_id, rank, chunk_id, score, coverage FROM fused")
 def rt11_fuse_and_rerank(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "rank", "chunk_id", "score", "coverage")
 
 
-GATE_SQL = NEAR_SQL + HITS_SQL + r", gate AS (SELECT f.query_id, f.rank, f.chunk_id FROM fused f JOIN q USING (query_id) WHERE f.rank <= 6 AND len(list_filter(regexp_extract_all(q.text, '[A-Za-z]+\d*|\d{2,}'), lambda x: NOT contains(lower(f.text), lower(x)))) = 0 AND (direct OR coverage >= 0.2))"
+GATE_SQL = FUSE_SQL + r", gate AS (SELECT f.query_id, f.rank, f.chunk_id FROM fused f JOIN q USING (query_id) WHERE f.rank <= 6 AND len(list_filter(regexp_extract_all(q.text, '[A-Za-z]+\d*|\d{2,}'), lambda x: NOT contains(lower(f.text), lower(x)))) = 0 AND (direct OR coverage >= 0.2))"
 
 
 @query(GATE_SQL + " SELECT query_id, rank, chunk_id FROM gate")
@@ -337,6 +357,17 @@ def ev8_trace_stats(spark, sf_dir):
     return ev.trace_stats(study.traces(spark, sf_dir))
 
 
+@query(with_study("traces") + """, rq AS (SELECT request_id, CASE stage WHEN 'error' THEN 'error' WHEN 'view' THEN '' ELSE 'done' END AS status, ['qa', 'proof', NULL][request_id % 3 + 1] AS intent, request_id % 4 = 0 AS fast_path, CASE WHEN request_id % 5 <> 0 THEN ms / 4 END AS ttft_ms, ms AS total_ms, request_id % 30 AS n_evidence, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) AS r FROM traces)
+SELECT coalesce(nullif(status, ''), 'done') AS status, coalesce(intent, '') AS intent, count(*) AS n, round(avg(fast_path::INT), 4) AS fast_share, round(avg(ttft_ms), 4) AS mean_ttft_ms, round(avg(total_ms), 4) AS mean_total_ms, round(quantile_cont(total_ms, 0.95), 4) AS p95_total_ms, sum(least(n_evidence, 20))::BIGINT AS n_evidence FROM rq WHERE r <= 500 GROUP BY 1, 2""")
+def ev8_request_stats(spark, sf_dir):
+    i = F.col("request_id")
+    stage, ms = F.col("stage"), F.col("ms")
+    t = study.traces(spark, sf_dir).withColumns({
+        "status": F.when(stage == "error", "error").when(stage == "view", "").otherwise("done"), "intent": F.when(i % 3 == 0, "qa").when(i % 3 == 1, "proof"), "fast_path": i % 4 == 0,
+        "ttft_ms": F.when(i % 5 != 0, ms / 4), "total_ms": ms, "n_evidence": i % 30})
+    return ev.request_stats(t)
+
+
 @query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*\z', ''), '(?i)<(t(h(i(n(k)?)?)?)?)?\z', ''))) AS clean FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>' || text || '</THINK>' || text WHEN 1 THEN text || ' <think>' || text WHEN 2 THEN text || ' <thi' ELSE text END AS t FROM conversations)""")
 def le15_clean_answers(spark, sf_dir):
     k = F.col("turn") % 4

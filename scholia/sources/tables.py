@@ -35,6 +35,14 @@ def scratch(spark, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, for what several steps read."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _caption(c: Column) -> Column:
     """Captions come as a string or as a list in JSON; both give lines."""
     listed = F.from_json(F.when(F.startswith(F.trim(c), F.lit("[")), c), TEXTS)
