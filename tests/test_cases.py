@@ -152,3 +152,74 @@ def test_sm2_fold_matches_stepwise(spark, qs):
     arr = F.array(*(F.struct(F.lit(q).alias("quality")) for q in qs)) if qs else F.array().cast("array<struct<quality:int>>")
     r = spark.range(1).select(fr.sm2_fold(arr).alias("s")).first().s
     assert (round(r.easiness, 9), r.interval, r.repetitions) == (round(s[0], 9), s[1], s[2])
+
+
+def concept_table(spark):
+    return spark.createDataFrame([("c1", "limit", ["limit", "limits"]), ("c2", "integral", ["integral"]), ("c3", "matrix", ["matrix", "array"])], "concept_id string, canonical_name string, aliases array<string>")
+
+
+def test_link_concepts_by_source(spark):
+    t = spark.createDataFrame(
+        [(1, "the limits hold", "an Integral", "a matrix", [], [], "qa"), (2, "no name", None, None, ["Array", "", None], ["integral"], "definition"), (3, "limit", None, "", None, None, "formula"), (4, None, None, None, None, None, None)],
+        "text_id long, question string, chunk string, answer string, matched array<string>, tags array<string>, intent string")
+    r = {(x.text_id, x.concept_id): (x.source, round(x.confidence, 4)) for x in graph.link_concepts(t, concept_table(spark)).collect()}
+    assert r == {
+        (1, "c1"): ("question_mention", 0.855), (1, "c2"): ("chunk_mention", 0.78), (1, "c3"): ("answer_mention", 0.655),
+        (2, "c3"): ("kg_matched", 1.0), (2, "c2"): ("tag", 0.86), (3, "c1"): ("question", 0.95),
+    }
+
+
+def test_link_mistakes_asks_question_and_answer(spark):
+    m = spark.createDataFrame([(1, "what", "the limit", "by the matrix", ["integral"])], "text_id long, question string, correct_answer string, explanation string, tags array<string>")
+    r = graph.link_mistakes(m, concept_table(spark)).collect()
+    assert {(x.concept_id, x.confidence, x.weak) for x in r} == {("c1", 0.999, True), ("c2", 0.999, True), ("c3", 0.999, True)}
+    assert graph.link_mistakes(m.limit(0), concept_table(spark)).count() == 0
+
+
+BOOK = "book_id string, chapter string, chunk_index int, chunk_id string, page_idx int, role string, content string, title string, provider int"
+
+
+def test_textbook_exercises(spark):
+    rows = [
+        ("b", "一", 0, "c0", 0, "text", "例 1 求", "正文", 1), ("b", "一", 1, "c1", 1, "Example", "text", "正文", 1), ("b", "二", 2, "c2", 2, "text", "12、 算", "正文", 1), ("b", "二", 3, "c3", -1, None, "all of it", "习 题", 1),
+        ("b", "", 4, "c4", 4, "exercise", "(3) x", "目录", 1), ("b", "二", 5, "c5", 5, "exercise", "12、 算", "正文", 1), ("b", "二", 6, "c6", 6, "exercise", "1. other", "正文", 2), (None, None, 0, "n0", 0, None, "例题", None, 2),
+    ]
+    c = spark.createDataFrame(rows, BOOK)
+    ids = lambda *a: {x.chunk_id for x in exercises.extract_textbook_exercises(c, *a).collect()}
+    assert ids("examples") == {"c0", "c1", "n0"}
+    assert ids("exercise_sections") == {"c0", "c1", "c2", "c3", "n0"}
+    assert ids("other") == {"c0", "c2", "n0"}
+    assert ids("all_pages") == {"c0", "c1", "c2", "c3", "c4", "n0"}
+    assert ids("all_pages", 2, 3) == {"c1", "c2"}
+    assert ids("all_pages", None, None, " 二") == {"c2", "c3", "c4", "n0"}
+    assert exercises.extract_textbook_exercises(c.limit(0), "other").count() == 0
+
+
+def test_sections_end_and_class(spark):
+    s = spark.createDataFrame([("b", "1", 0, 1, "1.1"), ("b", "1", 1, 3, "习题"), ("b", "1", 2, 3, "本章要点"), (None, "1", 0, 2, None)], "book_id string, chapter string, section_no int, start_page int, title string")
+    c = spark.createDataFrame([("b", "1", 9), (None, "1", 4)], "book_id string, chapter string, last_page int")
+    d = ingest.section_ends(s, c)
+    assert {(x.book_id, x.section_no): x.end_page for x in d.collect()} == {("b", 0): 2, ("b", 1): 3, ("b", 2): 9, (None, 0): 4}
+    k = {(x.book_id, x.section_no): (x.c.kind, x.c.is_auxiliary) for x in s.select("book_id", "section_no", ingest.section_class(F.col("title")).alias("c")).collect()}
+    assert k == {("b", 0): ("content", False), ("b", 1): ("exercise", True), ("b", 2): ("study_points", False), (None, 0): ("content", False)}
+
+
+def test_section_examples_are_cut(spark):
+    s = spark.createDataFrame([("b", "1", 0, 0, 9)], "book_id string, chapter string, section_no int, start_page int, end_page int")
+    c = spark.createDataFrame([("b", "1", i, f"c{i}", 0, "example", "x" * 30) for i in range(50)], "book_id string, chapter string, chunk_index int, chunk_id string, page_idx int, role string, content string")
+    r = ingest.section_examples(c, s, 100).first()
+    whole = "\n\n".join(f"[c{i}; example]\n" + "x" * 30 for i in range(50))
+    assert (r.text, r.cut) == (whole[:100], True)
+    short = ingest.section_examples(c.limit(1), s, 100).first()
+    assert (short.text, short.cut) == ("[c0; example]\n" + "x" * 30, False)
+
+
+def test_conversation_index_keeps_the_last(spark):
+    from scholia.operators import learning
+
+    rows = [(1, i, "user", f"question {i}", "math" if i == 3 else " ", None, i) for i in range(50)] + [(2, 0, "assistant", "hello", None, "b", 7), (3, 0, "user", "  ", "art", "b", None)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, subject string, book_name string, created_at long")
+    r = {x.conv_id: x for x in learning.conversation_index(t).collect()}
+    assert (r[1].title, r[1].messages, r[1].kept, r[1].subject, r[1].created_at, r[1].updated_at) == ("question 10", 50, 40, "", 10, 49)
+    assert (r[2].title, r[2].book_name, r[3].title, r[3].updated_at) == ("新会话", "b", "新会话", None)
+    assert [x.conv_id for x in learning.conversation_index(t, book="b", limit=5).collect()] == [2, 3]
