@@ -194,10 +194,15 @@ def link_concepts(texts: DataFrame, concepts: DataFrame, most: int = 20, top: in
     """The concepts of each text with the surest finding: its confidence, source and evidence.
 
     texts: text_id and any of the strings ``question``, ``chunk``, ``answer`` and ``intent`` and the arrays ``matched`` (names found
-    before) and ``tags``. Names found before are sure; tags and the question are searched; all three strings are looked through
-    for names, whole. Of findings alike the one earlier in SOURCES holds. Texts and names that are null or blank find nothing.
+    before) and ``tags``; or ``text`` in place of ``question``, which is looked through but not searched. Names
+    found before are sure; tags and the question are searched; all strings are looked through for names, whole. Of findings alike the one earlier in SOURCES holds. Texts and names that are null or blank find nothing.
     """
     have = set(texts.columns)
+    read = {c: (c, b) for c, b in MENTIONED.items() if c in have}
+    if "text" in have and "question" not in have:
+        read["question"] = ("text", MENTIONED["question"])
+    if not read and not have & {"matched", "tags"}:
+        raise ValueError("texts have none of the columns that links are found in")
     question = F.col("question") if "question" in have else F.lit("")
     parts = []
     if "matched" in have:
@@ -209,7 +214,7 @@ def link_concepts(texts: DataFrame, concepts: DataFrame, most: int = 20, top: in
         parts.append(_searched(texts.select("text_id", F.explode("tags").alias("words")), concepts, TAG, "tag"))
     if "question" in have:
         parts.append(_searched(texts.select("text_id", question.alias("words")), concepts, ASKED, "question"))
-    looked = [texts.select("text_id", F.lit(f"{c}_mention").alias("source"), F.lit(b).alias("base"), F.col(c).alias("text")) for c, b in MENTIONED.items() if c in have]
+    looked = [texts.select("text_id", F.lit(f"{name}_mention").alias("source"), F.lit(b).alias("base"), F.col(c).alias("text")) for name, (c, b) in read.items()]
     if looked:
         parts.append(_mentions(reduce(DataFrame.union, looked), concepts, most, radius))
     d = reduce(DataFrame.union, parts).withColumn("confidence", F.round("confidence", 6)).withColumn("evidence", F.substring("evidence", 1, EVIDENCE_CHARS))
