@@ -1,6 +1,6 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
+from . import byte_bpe, chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         mixing.op8_mixing,
         simhash.op9_simhash,
         language_id.op10_language_id,
+        byte_bpe.op11_byte_bpe,
     )
 }
 
