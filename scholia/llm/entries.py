@@ -1,6 +1,6 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import byte_bpe, chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
+from . import byte_bpe, chat_format, collocations, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         simhash.op9_simhash,
         language_id.op10_language_id,
         byte_bpe.op11_byte_bpe,
+        collocations.op12_collocations,
     )
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
