@@ -1,6 +1,6 @@
 """The numbered queries by name, and the SQL of those that SQL can express."""
 
-from . import byte_bpe, chat_format, collocations, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
+from . import byte_bpe, chat_format, chat_repair, collocations, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, token_store
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         language_id.op10_language_id,
         byte_bpe.op11_byte_bpe,
         collocations.op12_collocations,
+        chat_repair.op13_chat_repair,
     )
 }
 
@@ -27,4 +28,5 @@ SQL = {
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_chat_repair": chat_repair.OP13_SQL,
 }
