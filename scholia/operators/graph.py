@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .mentions import names_in
 from .retrieve import concept_search
+from .similar import similar_names
 
 # fixed values
 RELATIONS = ("depends_on", "derived_from", "generalizes", "special_case_of", "equivalent_to", "applies_to", "references", "contrasts_with")
@@ -68,11 +69,19 @@ def extract_formulas(chunks: DataFrame, pattern: str = FORMULA) -> DataFrame:
     return d.withColumn("variables", F.array_sort(F.array_distinct(F.regexp_extract_all("latex", F.lit(VARIABLE), F.lit(0)))))
 
 
-def build_occurrences(contexts: DataFrame, concepts: DataFrame, known_roles=ROLE_ORDER) -> DataFrame:
-    """contexts (chunk_id, name, content_type) joined by exact alias; of concepts with one alias the first holds."""
-    a = concepts.select("concept_id", F.explode("aliases").alias("alias")).groupBy(normalise_name(F.col("alias")).alias("alias")).agg(F.min("concept_id").alias("concept_id"))
+def build_occurrences(contexts: DataFrame, concepts: DataFrame, known_roles=ROLE_ORDER, threshold: float | None = None) -> DataFrame:
+    """contexts (chunk_id, name, content_type) joined by alias; of concepts with one alias the first holds.
+
+    With a ``threshold`` a name of two characters or more without an equal alias goes to the concept with the most similar one.
+    """
+    a = concepts.select("concept_id", F.explode("aliases").alias("alias")).select("concept_id", normalise_name(F.col("alias")).alias("alias"))
+    named = contexts.withColumn("alias", normalise_name(F.col("name")))
+    if threshold is None:
+        known = a.groupBy("alias").agg(F.min("concept_id").alias("concept_id"))
+    else:
+        known = similar_names(named.where(F.length("alias") >= 2).select(F.col("alias").alias("name")), a, threshold).select(F.col("name").alias("alias"), "concept_id")
     role = F.when(F.col("content_type").isin(*known_roles), F.col("content_type")).otherwise("reference")
-    return contexts.withColumn("alias", normalise_name(F.col("name"))).join(a, "alias").select("chunk_id", "concept_id", role.alias("role")).distinct()
+    return named.join(known, "alias").select("chunk_id", "concept_id", role.alias("role")).distinct()
 
 
 def merge_concepts(concepts: DataFrame, occurrences: DataFrame) -> DataFrame:

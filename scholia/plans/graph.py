@@ -50,6 +50,14 @@ def kg4_build_occurrences(spark, sf_dir):
     return op.build_occurrences(_words(spark, sf_dir).select("chunk_id", F.col("word").alias("name"), t.alias("content_type")), study.concepts(spark, sf_dir))
 
 
+@query()
+def kg4_similar_occurrences(spark, sf_dir):
+    """As above, with the most similar concept for words that are no alias. Held against all pairs in the tests."""
+    t = F.when(F.col("chunk_index") % 3 == 0, "definition").when(F.col("chunk_index") % 3 == 1, "overview").otherwise("proof")
+    words = _words(spark, sf_dir).select("chunk_id", F.lower("word").alias("name"), t.alias("content_type"))
+    return op.build_occurrences(words, study.concepts(spark, sf_dir), threshold=op.SIMILAR)
+
+
 @query(WORDS_SQL + """, o AS (SELECT concept_id, count(*) AS n, list_sort(list_distinct(list(role))) AS roles FROM occurrences GROUP BY ALL)
 SELECT c.concept_id, coalesce(n, 0) AS n, coalesce(array_to_string(roles, ','), '') AS roles, CASE WHEN coalesce(n, 0) >= 3 AND list_contains(roles, 'definition') THEN 0.9 WHEN coalesce(n, 0) >= 2 THEN 0.7 WHEN coalesce(n, 0) = 1 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM concepts c LEFT JOIN o USING (concept_id)""")
 def kg5_merge_concepts(spark, sf_dir):
