@@ -6,11 +6,14 @@ A gram that a piece's end cuts short is an edge to the end. The count of a short
 edges that begin with it, plus those that end there (the piece-end corrections). So only one shuffle carries grams, and
 sorted edges give the counts of every prefix as sums of runs.
 
-Words below the least count can't be in a frequent phrase. A first pass counts all words exactly; a table of bits of fixed size
-then tells the second pass which words may be frequent, and other words end a run as a piece's end does. False positives of
-the bits cost rows and change no count. Edges meet by the hash of their first words: two, and one more for each of the leading words
-that makes up a thousandth of all words, so that no such group holds more than a thousandth of the edges. Sums of prefixes
-that several groups or batches share are added up afterwards.
+Words below the least count can't be in a frequent phrase. A first pass counts all words exactly; in the second, words that aren't
+frequent end a run as a piece's end does. Frequent words go by numbers in falling order of their counts, so that an edge is
+one to three integers. Beyond LISTED frequent words their list isn't sent to the tasks: a table of bits of fixed size then tells
+which words may be frequent, and edges hold hashes. False positives of the bits cost rows and change no count.
+
+Edges meet by the hash of their first words: two, and one more for each of the leading words that makes up a thousandth of all
+words, so that no such group holds more than a thousandth of the edges. Sums of prefixes that several groups or batches share
+are added up afterwards.
 
 A phrase whose whole flow enters or leaves by one edge lies on a unary path, which is compacted: only its longest phrases
 stay. (A phrase inside a longer one with as many occurrences is also inside one that has one word more and as many.)
@@ -40,12 +43,12 @@ LONGEST = 5
 LEAST_COUNT = 100
 TOP = 2000
 BATCH_CHARS = 4_000_000
+LISTED = 2_000_000  # frequent words whose list is sent to the tasks: 24 MB at most
 BITS = 26  # bits of the table of frequent words: 8 MB, whatever their number
 HOT_SHARE = 1000  # at most so many words have this part of all words
 GRAMS_A_PART = 1_500_000
 SALTS = 128
 SCALE = 1000
-GRAM = ", ".join(f"w{i} long" for i in range(1, LONGEST + 1))
 
 LOWER, KIND = np.arange(256, dtype=np.uint8), np.zeros(256, np.uint8)
 LOWER[65:91] += 32
@@ -74,32 +77,103 @@ def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, doc, piece
 
 
-class Named:
-    """The words of a batch: ``of`` numbers each word's (language, word), which have ``lang``, ``word`` and a hash."""
+def heads(langs: list[str], seed: int) -> list[int]:
+    """Hash seeds of languages, as Spark's ``xxhash64`` chains columns."""
+    from xxhash import xxh64_intdigest
 
-    def __init__(self, batch: pa.RecordBatch, seed: int):
-        from xxhash import xxh64_intdigest
+    start = xxh64_intdigest(str(seed).encode(), 42)
+    return [xxh64_intdigest(x.encode(), start) for x in langs]
+
+
+class Named:
+    """The words of a batch: ``of`` numbers each word's (language, word), which have ``lang`` and ``word``."""
 
+    def __init__(self, batch: pa.RecordBatch):
         words, doc, self.piece = cut_words(batch["text"])
         langs = pc.fill_null(batch["lang"], "und").dictionary_encode()
         coded = words.dictionary_encode()
         many = max(1, len(coded.dictionary))
         pairs, self.of = np.unique(langs.indices.to_numpy()[doc].astype(np.int64) * many + coded.indices.to_numpy(), return_inverse=True)
-        self.lang, self.word = langs.dictionary.take(pa.array(pairs // many)), coded.dictionary.take(pa.array(pairs % many))
-        heads = [x.encode() + b"\0" for x in langs.dictionary.to_pylist()]
-        self.hash = np.fromiter((xxh64_intdigest(heads[i] + w, seed) or 1 for i, w in zip((pairs // many).tolist(), self.word.to_pylist())), np.uint64, len(pairs))
+        self.langs, self.at_lang = langs.dictionary, pairs // many
+        self.lang, self.word = self.langs.take(pa.array(self.at_lang)), coded.dictionary.take(pa.array(pairs % many))
+
+    def hashes(self, seed: int) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        start = heads(self.langs.to_pylist(), seed)
+        return np.fromiter((xxh64_intdigest(w, start[i]) for i, w in zip(self.at_lang.tolist(), self.word.to_pylist())), np.uint64, len(self.at_lang))
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """(lang, word, h, n) of all words."""
+    """(lang, word, n, h) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in batches_by_size(whole, chars=BATCH_CHARS):
-                t = Named(b, seed)
-                yield pa.RecordBatch.from_arrays([t.lang, t.word.cast(pa.large_string()).cast(pa.string()), pa.array(t.hash.view(np.int64)), pa.array(np.bincount(t.of, minlength=len(t.hash)))], ["lang", "word", "h", "n"])
-
-    return docs.select("text", "lang").mapInArrow(run, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
+                t = Named(b)
+                yield pa.RecordBatch.from_arrays([t.lang, t.word.cast(pa.large_string()).cast(pa.string()), pa.array(np.bincount(t.of, minlength=len(t.at_lang)))], ["lang", "word", "n"])
+
+    found = docs.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return found.withColumn("h", F.xxhash64(F.lit(str(seed)), "lang", "word"))
+
+
+class Lexicon:
+    """Frequent words by number, or by hash where there are more than LISTED of them; ``hot`` values stand for the commonest."""
+
+    def __init__(self, names: DataFrame, n_names: int, n_words: int, seed: int):
+        self.seed, common = seed, F.col("n") >= max(1, n_words // HOT_SHARE)
+        hot = sorted((r.h for r in names.where(common).select("h").collect()), key=lambda h: h % (1 << 64))
+        self.listed = n_names <= LISTED
+        if self.listed:
+            ranked = names.orderBy(F.desc("n"), "h").select("h").toArrow()["h"].to_numpy().view(np.uint64)
+            order = np.argsort(ranked)
+            self.known, self.number = ranked[order], (order + 1).astype(np.uint32)
+            self.hot = np.sort(self._numbers(np.array(hot, np.int64).view(np.uint64)))
+            self.bits = max(1, n_names.bit_length())
+        else:
+            self.table, self.hot, self.bits = bit_table(names), np.array(hot, np.int64).view(np.uint64), 64
+        self.each = max(1, 63 // self.bits)  # words that one integer holds
+        self.columns = [f"k{i}" for i in range(-(-LONGEST // self.each))]
+
+    def _numbers(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(h), np.uint64)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.number[at], 0).astype(np.uint64)
+
+    def values(self, t: Named) -> np.ndarray:
+        """Each (language, word) of a batch as its number or hash; 0 for one that isn't frequent."""
+        h = t.hashes(self.seed)
+        if self.listed:
+            return self._numbers(h)
+        at = h >> np.uint64(65 - (8 * len(self.table)).bit_length())
+        may = (np.frombuffer(self.table, np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return np.where(may, h, np.uint64(0))
+
+    def packed(self, w: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, LONGEST, self.each):
+            k = np.zeros(len(w[0]), np.uint64)
+            for j in range(at, at + self.each):
+                k = (k << np.uint64(self.bits) if self.each > 1 else k) | (w[j] if j < LONGEST else np.uint64(0))
+            out.append(k.view(np.int64))
+        return out
+
+    def unpacked(self, keys: list[np.ndarray]) -> np.ndarray:
+        mask = np.uint64((1 << self.bits) - 1)
+        w = [k.view(np.uint64) >> np.uint64(self.bits * (self.each - 1 - j)) & mask for k in keys for j in range(self.each)]
+        return np.stack(w[:LONGEST])
+
+    def numbered(self, names: DataFrame) -> DataFrame:
+        """Adds the value ``v`` of each frequent word."""
+        if not self.listed:
+            return names.withColumn("v", F.col("h"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.append_column("v", pa.array(self._numbers(b["h"].to_numpy().view(np.uint64)).view(np.int64)))
+
+        return names.select("lang", "word", "n", "h").mapInArrow(run, "lang string, word string, n long, h long, v long")
 
 
 def bit_table(names: DataFrame) -> bytes:
@@ -127,28 +201,29 @@ def own_prefix(w: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     return np.clip(lead + 1, 2, len(w))
 
 
-def edges_of(t: Named, may: np.ndarray, hot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The batch's distinct edges as columns of names (0: none), with their hashed place and number."""
-    at = np.flatnonzero(may[t.of])
+def edges_of(t: Named, value: np.ndarray, hot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The batch's distinct edges as columns of values (0: none), with their hashed place and number."""
+    at = np.flatnonzero(value[t.of])
     code, piece = t.of[at] + 1, t.piece[at]
     ends = np.append((np.diff(at) != 1) | (np.diff(piece) != 0), True) if len(at) else np.zeros(0, bool)
     stops = np.flatnonzero(ends)
     left = np.repeat(stops, np.diff(np.append(-1, stops))) - np.arange(len(at)) + 1  # words from here to the run's end
     rows = np.flatnonzero(left > 1)
-    cols = [code[rows]] + [np.where(left[rows] > j, code[np.minimum(rows + j, len(code) - 1)], 0) for j in range(1, LONGEST)] if len(rows) else [rows] * LONGEST
-    bits = int(len(t.hash)).bit_length()
-    if 3 * bits <= 63:  # two sort keys hold five numbers
-        order = np.lexsort([cols[3] << bits | cols[4], (cols[0] << bits | cols[1]) << bits | cols[2]])
+    value = np.append(np.uint64(0), value)
+    w = [value[np.where(left[rows] > j, code[np.minimum(rows + j, len(code) - 1)], 0)] for j in range(LONGEST)] if len(rows) else [np.zeros(0, np.uint64)] * LONGEST
+    bits = int(value.max()).bit_length()
+    if 3 * bits <= 64:  # two sort keys hold five values
+        b = np.uint64(bits)
+        order = np.lexsort([w[3] << b | w[4], (w[0] << b | w[1]) << b | w[2]])
     else:
-        order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
+        order = np.lexsort(w[::-1])
+    w = [x[order] for x in w]
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
+    for x in w:
+        new[1:] |= x[1:] != x[:-1]
     start = np.flatnonzero(new)
-    names = np.append(np.uint64(0), t.hash)
-    w = [names[c[start]] for c in cols]
+    w = [x[start] for x in w]
     m = own_prefix(w, hot)
     place = mixed(w[0])
     for j in range(1, LONGEST):
@@ -157,7 +232,7 @@ def edges_of(t: Named, may: np.ndarray, hot: np.ndarray) -> tuple[list[np.ndarra
 
 
 def flows(w: np.ndarray, n: np.ndarray, hot: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Counts of all prefixes of a batch of sorted edges: (phrases of one length, numbers).
+    """Counts of all prefixes of a batch of sorted edges, a row of values for each place: (phrases of one length, numbers).
 
     A run that others may continue (the batch's first and last, and a prefix shorter than the one that placed it) is given
     whatever its number; a whole one only if it is frequent.
@@ -176,33 +251,32 @@ def flows(w: np.ndarray, n: np.ndarray, hot: np.ndarray, least: int) -> Iterator
             yield w[: j + 1, start[keep]], total[keep]
 
 
-def phrase_counts(docs: DataFrame, names: DataFrame, n_words: int, seed: int, least: int) -> DataFrame:
-    """(w, a): frequent phrases of two or more words, as arrays of names, with their counts. ``names`` are the frequent words."""
+def phrase_counts(docs: DataFrame, lexicon: Lexicon, n_words: int, least: int) -> DataFrame:
+    """(w, a): frequent phrases of two or more words, as arrays of the lexicon's values, with their counts."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bit_table(names))
-    hot = np.sort(np.array([r.h for r in names.where(F.col("n") >= max(1, n_words // HOT_SHARE)).select("h").collect()], np.int64).view(np.uint64))
+    sent = spark.sparkContext.broadcast(lexicon)
+    keys = lexicon.columns
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // GRAMS_A_PART))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint64)
+        known = sent.value
         for whole in batches:
             for b in batches_by_size(whole, chars=BATCH_CHARS):
-                t = Named(b, seed)
-                at = t.hash >> np.uint64(64 - BITS)
-                may = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                w, place, n = edges_of(t, may, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (place, *w)] + [pa.array(n)], ["place", *(f"w{i}" for i in range(1, LONGEST + 1)), "n"])
+                t = Named(b)
+                w, place, n = edges_of(t, known.values(t), known.hot)
+                part = (place % np.uint64(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, known.packed(w)), pa.array(n)], ["part", *keys, "n"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for b in batches:
             if b.num_rows:
-                for w, n in flows(np.stack([b[f"w{i}"].to_numpy().view(np.uint64) for i in range(1, LONGEST + 1)]), b["n"].to_numpy(), hot, least):
+                for w, n in flows(known.unpacked([b[k].to_numpy() for k in keys]), b["n"].to_numpy(), known.hot, least):
                     flat = pa.array(np.ascontiguousarray(w.T).ravel().view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(w), pa.int32()), flat), pa.array(n)], ["w", "a"])
 
-    order = [f"w{i}" for i in range(1, LONGEST + 1)]
-    edges = docs.select("text", "lang").mapInArrow(grams, f"place long, {GRAM}, n long")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // GRAMS_A_PART))
-    met = edges.repartition(parts, "place").sortWithinPartitions("place", *order)
+    edges = docs.select("text", "lang").mapInArrow(grams, f"part int, {', '.join(f'{k} long' for k in keys)}, n long")
+    met = edges.repartitionById(parts, "part").sortWithinPartitions(*keys)
     return met.mapInArrow(sums, "w array<long>, a long").groupBy("w").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -224,16 +298,18 @@ def mine_collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP,
     """
     every, names, seed = counted_words(docs, least)
     sizes = every.groupBy("lang").agg(F.sum("n").alias("n"))
-    n_words = names.agg(F.sum("n")).first()[0] or 0
-    phrases = staged(phrase_counts(docs, names, n_words, seed, least), "collocation-phrases")
+    n_names, n_words = names.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lexicon = Lexicon(names, n_names, n_words, seed)
+    names = lexicon.numbered(names).select("v", "lang", "word", "n")
+    phrases = staged(phrase_counts(docs, lexicon, n_words, least), "collocation-phrases")
     size = F.size("w")
     inner = phrases.where(size > 2).select(F.explode(F.array(F.slice("w", 1, size - 1), F.slice("w", F.lit(2), size - 1))).alias("w"), F.col("a").alias("longer"))
     kept = phrases.join(inner.groupBy("w").agg(F.max("longer").alias("longer")), "w", "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * share, F.lit(True))).drop("longer")
     told = (
-        kept.select("w", F.posexplode("w").alias("at", "h")).join(names.select("h", "lang", "word"), "h").groupBy("w")
+        kept.select("w", F.posexplode("w").alias("at", "v")).join(names.select("v", "lang", "word"), "v").groupBy("w")
         .agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     )
-    counts = phrases.union(names.select(F.array("h"), "n"))
+    counts = phrases.union(names.select(F.array("v"), "n"))
     cuts = kept.select("w", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select("w", "a", "k", F.slice("w", F.lit(1), F.col("k")).alias("first"), F.slice("w", F.col("k") + 1, size - F.col("k")).alias("rest"))
     cuts = cuts.join(counts.select(F.col("w").alias("first"), F.col("a").alias("l")), "first").join(counts.select(F.col("w").alias("rest"), F.col("a").alias("r")), "rest").drop("first", "rest")
     wide = lambda c: F.col(c).cast("decimal(19,0)")

@@ -69,6 +69,22 @@ def test_split_groups_and_small_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_hashes_in_place_of_numbers(spark, monkeypatch):
+    """More frequent words than are listed: bits and hashes."""
+    rows = texts(4, 100)
+    monkeypatch.setattr(C, "LISTED", 3)
+    monkeypatch.setattr(C, "BITS", 8)
+    assert Counter(map(tuple, C.mine_collocations(spark.createDataFrame(rows, "text string, lang string"), 2, 10**6).collect())) == wanted(rows, 2, 10**6)
+
+
+def test_packing_of_any_width(spark):
+    lex = C.Lexicon.__new__(C.Lexicon)
+    for bits in (1, 5, 12, 13, 21, 22, 31, 32, 64):
+        lex.bits, lex.each = bits, max(1, 63 // bits)
+        w = [np.random.default_rng(i).integers(0, 2**64, 50, np.uint64) >> np.uint64(64 - bits) for i in range(C.LONGEST)]
+        assert (lex.unpacked(lex.packed(w)) == np.stack(w)).all()
+
+
 def test_words_whose_names_clash(spark, monkeypatch):
     """A seed that gives two words one name is left for the next."""
     d = spark.createDataFrame(texts(3, 40), "text string, lang string")
