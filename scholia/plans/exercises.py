@@ -8,6 +8,7 @@ from scholia.functions import questions as q
 from scholia.operators import exercises as op
 from scholia.sources import study
 from scholia.sources.study import with_study
+from scholia.streaming import sessions
 
 from .registry import query
 
@@ -140,6 +141,27 @@ def ex15_session_progress(spark, sf_dir):
     return op.session_progress(sessions, log.select("session_id", F.col("exercise_id").cast("long").alias("exercise_id"), F.col("event_id").alias("seq"), "quality"))
 
 
+# a user's sessions as a list that each event maps to the next one
+SESSIONS_SQL = with_study("session_events", recursive=True) + """, ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM session_events WHERE session_id IS NOT NULL),
+walk AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::STRUCT(id BIGINT, status VARCHAR, ids INT[], at_ INT, mastered INT, struggling INT, updated BIGINT, ended BIGINT)[] AS ss FROM ev
+  UNION ALL SELECT user_id, i, CASE
+    WHEN kind = 'start' THEN list_transform(ss, lambda x: CASE WHEN x.id = open_id THEN struct_pack(id := x.id, status := 'replaced', ids := x.ids, at_ := x.at_, mastered := x.mastered, struggling := x.struggling, updated := seq, ended := seq) ELSE x END) || [struct_pack(id := session_id, status := 'active', ids := exercise_ids, at_ := 0, mastered := 0, struggling := 0, updated := seq, ended := NULL::BIGINT)]
+    WHEN kind = 'answer' THEN list_transform(ss, lambda x: CASE WHEN x.id = session_id AND x.status = 'active' AND x.ids[x.at_ + 1] = exercise_id THEN struct_pack(id := x.id, status := CASE WHEN x.at_ = 2 THEN 'completed' ELSE 'active' END, ids := x.ids, at_ := x.at_ + 1, mastered := x.mastered + (quality >= 4)::INT, struggling := x.struggling + (quality < 3)::INT, updated := seq, ended := CASE WHEN x.at_ = 2 THEN seq ELSE x.ended END) ELSE x END)
+    ELSE list_transform(ss, lambda x: CASE WHEN x.id = session_id AND x.status <> 'completed' THEN struct_pack(id := x.id, status := kind, ids := x.ids, at_ := x.at_, mastered := x.mastered, struggling := x.struggling, updated := seq, ended := CASE WHEN kind = 'abandoned' THEN seq ELSE x.ended END) ELSE x END) END
+  FROM (SELECT e.*, ss, list_sort(list_transform(list_filter(ss, lambda x: x.status IN ('active', 'paused')), lambda x: [x.updated, x.id]), 'DESC')[1][2] AS open_id FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.i = w.i + 1)),
+st AS (SELECT user_id, s.id AS session_id, s.status AS status, s.at_ AS current_index, s.mastered AS mastered, s.struggling AS struggling, s.updated AS updated, s.ended AS ended FROM (SELECT user_id, unnest(ss) AS s FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1))"""
+
+
+@query(SESSIONS_SQL + " SELECT * FROM st")
+def ex15_session_states(spark, sf_dir):
+    return sessions.session_states(study.session_events(spark, sf_dir)).drop("exercise_ids")
+
+
+@query(SESSIONS_SQL + " SELECT user_id, session_id, status, updated FROM st WHERE status IN ('active', 'paused') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, session_id DESC) = 1")
+def ex15_latest_session(spark, sf_dir):
+    return sessions.latest_open(sessions.session_states(study.session_events(spark, sf_dir))).select("user_id", "session_id", "status", "updated")
+
+
 @query(with_study("practice_log") + " SELECT user_id, 100 AS total, count(*) AS answered, greatest(0, 100 - count(*)) AS remaining, count(*) FILTER (quality >= 4) AS mastered, count(*) FILTER (quality < 3) AS struggling, round(avg(quality), 2) AS mean_quality FROM practice_log GROUP BY user_id")
 def ex16_session_summary(spark, sf_dir):
     return op.session_summary(study.practice_log(spark, sf_dir), 100)

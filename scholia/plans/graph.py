@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.operators import graph as op
+from scholia.operators import order
 from scholia.sources import study, tables
 from scholia.sources.study import with_study
 
@@ -198,6 +199,35 @@ def kg17_learning_path(spark, sf_dir):
     return op.learning_path(r.where("source_id % 20 = 0").select(F.col("source_id").alias("node")).distinct(), r)
 
 
+# a part needs the next part of its order and its supplier; suppliers and customers need their nation, a nation its region
+NEEDS_SQL = with_study("relations", recursive=True) + """, needs AS (SELECT DISTINCT * FROM (SELECT 'part ' || source_id AS a, 'part ' || target_id AS b FROM relations UNION ALL SELECT 'part ' || l_partkey, 'supplier ' || l_suppkey FROM lineitem UNION ALL SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier
+  UNION ALL SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION ALL SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation)),
+nd AS (SELECT a AS node FROM needs UNION SELECT b FROM needs), rc AS (SELECT a, b FROM needs UNION SELECT r.a, n.b FROM rc r JOIN needs n ON n.a = r.b), sc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM rc x JOIN rc y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+comp AS (SELECT node, coalesce(component, node) AS component FROM nd LEFT JOIN sc USING (node)), up AS (SELECT DISTINCT p.component AS a, q.component AS b FROM needs JOIN comp p ON p.node = a JOIN comp q ON q.node = b WHERE p.component <> q.component),
+ly AS (SELECT DISTINCT component, 0 AS d FROM comp UNION SELECT up.a, ly.d + 1 FROM ly JOIN up ON up.b = ly.component), lay AS (SELECT node, component, layer FROM comp JOIN (SELECT component, max(d) AS layer FROM ly GROUP BY 1) USING (component))"""
+
+
+def _needs(spark, sf_dir):
+    t = lambda n: study.table(spark, sf_dir, n)
+    edge = lambda df, x, a, y, b: df.select(F.concat(F.lit(f"{x} "), a).alias("a"), F.concat(F.lit(f"{y} "), b).alias("b"))
+    parts = edge(study.relations(spark, sf_dir), "part", "source_id", "part", "target_id").union(edge(t("lineitem"), "part", "l_partkey", "supplier", "l_suppkey"))
+    people = edge(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey").union(edge(t("customer"), "customer", "c_custkey", "nation", "c_nationkey"))
+    return parts.union(people).union(edge(t("nation"), "nation", "n_nationkey", "region", "n_regionkey"))
+
+
+@query(NEEDS_SQL + " SELECT node, component, layer FROM lay")
+def kg17_study_layers(spark, sf_dir):
+    return order.study_layers(_needs(spark, sf_dir))
+
+
+@query(NEEDS_SQL + ", st AS (SELECT node FROM nd WHERE split_part(node, ' ', 2)::BIGINT % 20 = 0), al AS (SELECT node AS start, node FROM st UNION SELECT a, b FROM rc WHERE a IN (FROM st)) SELECT start, node, layer, row_number() OVER (PARTITION BY start ORDER BY layer, component, node) AS place FROM al JOIN lay USING (node)")
+def kg17_study_order(spark, sf_dir):
+    """Starts are the stated query set, nodes whose number is divisible by 20; all that they need, however far, in order."""
+    needs = tables.written(_needs(spark, sf_dir).distinct(), "needs")
+    starts = needs.select(F.col("a").alias("node")).union(needs.select("b")).where(F.substring_index("node", " ", -1).cast("long") % 20 == 0)
+    return order.study_order(starts, needs)
+
+
 @query(WORDS_SQL + r""", e AS (SELECT DISTINCT chunk_id, latex FROM (SELECT chunk_id, unnest(regexp_extract_all(content, '([A-Za-z]+ ?= ?[^ ]+)', 1)) AS latex FROM chunks) WHERE length(trim(latex)) >= 3), fm AS (SELECT concept_id, string_agg(latex, ',' ORDER BY latex) AS formulas FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY latex) AS n FROM (SELECT DISTINCT concept_id, latex FROM e JOIN occurrences USING (chunk_id))) WHERE n <= 5 GROUP BY 1),
 o AS (SELECT o.*, c.content, CASE WHEN role IN ('definition', 'theorem', 'property') THEN 'def' WHEN role IN ('example', 'exercise') THEN 'ex' ELSE 'other' END AS kind, list_position(['definition', 'theorem', 'property', 'derivation', 'proof', 'example', 'algorithm', 'exercise', 'reference'], role) AS o FROM occurrences o JOIN chunks c USING (chunk_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY concept_id, kind ORDER BY o, book_id, chapter, chunk_index) AS r FROM o)

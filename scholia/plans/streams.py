@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from scholia.sources import study, tables
 from scholia.sources.study import with_study
 from scholia.streaming import reviews as st
+from scholia.streaming import sessions
 
 from .registry import query
+from .exercises import SESSIONS_SQL
 from .review import CARDS_SQL
 
 PAGES_A_FILE = 100
@@ -102,3 +104,16 @@ def st3_stream_reviews(spark, sf_dir):
     d = spark.read.schema(f"{st.OUT}, batch int").parquet(path)
     last = d.groupBy("user_id", "card_id").agg(F.max_by(F.struct("easiness", "interval", "repetitions"), "batch").alias("s"))
     return last.select("user_id", "card_id", F.round("s.easiness", 4).alias("easiness"), "s.interval", "s.repetitions")
+
+
+@query(SESSIONS_SQL + " SELECT * FROM st")
+def st3_stream_sessions(spark, sf_dir):
+    """Session states from a stream in three batches, the last of which brings all events again."""
+    e, path = study.session_events(spark, sf_dir).where("session_id is not null"), tables.scratch(spark, "session-events")
+    half = (e.agg(F.max("seq")).first()[0] or 0) // 2
+    for part in (e.where(F.col("seq") <= half), e.where(F.col("seq") > half), e):  # files are read in the order of their writing
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kept = tables.scratch(spark, "sessions")
+    sessions.run_sessions(stream, kept, tables.scratch(spark, "state"))
+    return sessions.latest_states(spark.read.schema(f"{sessions.STATES}, batch int").parquet(kept)).drop("exercise_ids")

@@ -106,6 +106,20 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases start a session of three exercises; clicks answer in it; views, errors and sign-ups set the status of the last session or, for some, of the first."""
+    e = _events(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    started = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    last, first = F.last(started, True).over(w), F.first(started, True).over(w)
+    kind = F.when(F.col("event_type") == "purchase", "start").when(F.col("event_type") == "click", "answer").when(F.col("event_type") == "error", "paused").when((F.col("event_type") == "signup") & (F.col("k") % 3 == 0), "abandoned").otherwise("active")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: ((F.col("k") + i) % 3).cast("long"))
+    return e.select(
+        "user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.when((kind == "active") & (F.col("k") % 5 == 0), first).otherwise(last).alias("session_id"),
+        F.when(kind == "start", ids).alias("exercise_ids"), (F.col("k") % 3).cast("long").alias("exercise_id"), (F.floor("value") % 6).cast("int").alias("quality"),
+    )
+
+
 def learning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), "event_type", "ts", "day", "user_id", "props", "k", "value")
 
@@ -140,6 +154,10 @@ STUDY_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "quiz": ((), f"SELECT user_id, k % 10 AS chapter, ts, day, event_id, least(floor(value), 100)::INT AS score, least(floor(value), 100) >= 60 AS correct FROM {_EVENTS} WHERE event_type = 'view'"),
     "mistakes": ((), f"SELECT event_id AS id, user_id, ts, day, 'k' || k AS tag, ['concept', 'calculation', 'reading', 'method', 'other'][event_id % 5 + 1] AS mistake_type, (event_id % 5 + 1)::INT AS difficulty, 'question about k' || k AS question_text FROM {_EVENTS} WHERE event_type = 'error'"),
     "exposures": ((), f"SELECT event_id, user_id, 'k' || k AS concept, ts, day, 0.5::DOUBLE + (event_id % 50) / 100::DOUBLE AS confidence, event_type = 'error' AS weak, event_type AS source, 'what is k' || k AS question FROM {_EVENTS}"),
+    "session_events": ((), f"""SELECT user_id, event_id AS seq, kind, CASE WHEN kind = 'active' AND k % 5 = 0 THEN first_one ELSE last_one END AS session_id, CASE WHEN kind = 'start' THEN [k % 3, (k + 1) % 3, (k + 2) % 3] END AS exercise_ids, k % 3 AS exercise_id, floor(value)::INT % 6 AS quality
+        FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN 'start' WHEN event_type = 'click' THEN 'answer' WHEN event_type = 'error' THEN 'paused' WHEN event_type = 'signup' AND k % 3 = 0 THEN 'abandoned' ELSE 'active' END AS kind,
+        last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_one, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS first_one
+        FROM {_EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""),
     "learning_events": ((), f"SELECT event_id AS id, event_type, ts, day, user_id, props, k, value FROM {_EVENTS}"),
     "traces": ((), "SELECT event_id AS request_id, user_id, ts, event_type AS stage, value AS ms FROM events"),
     "pages_items": ((), """SELECT page_id, pos, CASE WHEN raw LIKE '<h1>%' THEN 'title' ELSE 'text' END AS type, regexp_replace(raw, '^<(h1|p)>', '') AS text

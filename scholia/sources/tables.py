@@ -35,6 +35,12 @@ def scratch(spark, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder, for what several steps read."""
     spark = df.sparkSession

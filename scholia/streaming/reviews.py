@@ -8,30 +8,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scholia.sources.tables import exists
+
 STATE = "easiness double, interval long, repetitions int, last_seq long"
 OUT = "user_id long, card_id long, easiness double, interval long, repetitions int, last_seq long"
 
 
-def append_stream(events: DataFrame, path: str, checkpoint: str, key: str = "id") -> None:
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_disk_state(spark: SparkSession) -> None:
+    """State on the executors' disks with changes written to the checkpoint, so it may outgrow memory and survives lost executors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def append_stream(events: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
     """Runs a stream of events into the log at ``path``: an id is inserted once and ignored ever after, however late it comes again.
 
-    Each batch is held against the log's ids; a batch that is run again after a failure overwrites its own folder.
+    Known ids are keyed state: a batch looks up its own ids and reads nothing of the log, however long that is. A log belongs to
+    its checkpoint; one begun under another is refused, as its ids aren't known. A batch that is run again after a failure
+    overwrites its own folder. The first of several rows with one id in a batch stays; null is an id like others.
     """
+    spark = events.sparkSession
+    if exists(spark, path) and not exists(spark, checkpoint):
+        raise ValueError(f"{path} was begun under another checkpoint")
+    use_disk_state(spark)
 
     def insert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if n:
-            before = spark.read.schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") < n).select(key)
-            new = new.join(before, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    q = events.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = events.dropDuplicates([key]).writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 def stream_daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
