@@ -3,8 +3,8 @@
 Method. A pattern cuts a text into pre-tokens, and the distinct ones of an Arrow batch are looked up in two tiers. A minimal
 perfect hash (hash and displace: one slot for each vocabulary entry, none free) finds the pre-tokens that the vocabulary
 holds whole; the slot's bytes are compared, as a hash finds a slot for any word. Each other pre-token is a linked list of its
-bytes with a heap of neighbour pairs by (rank, place), so a pre-token of n bytes takes n log n steps, however long it is. Their
-ids are kept in a cache of bounded size for each worker. Decoding gathers the bytes of all ids of a batch at once.
+bytes with a heap of neighbour pairs by (rank, place), so a pre-token of n bytes takes n log n steps, however long it is. The
+ids of a batch's words last until the next batch; those met in both are kept, in a cache of bounded size for each worker. Decoding gathers the bytes of all ids of a batch at once.
 
 The ids are those of the tiktoken library without special tokens. Letters and numbers that its Unicode tables lack are
 symbols there, so they are symbols here too (``newer``).
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache, cached_property
 
@@ -34,7 +35,7 @@ PACKED = "doc_id long, ids binary"
 LISTED = "doc_id long, ids array<int>"
 CACHE_WORDS = 200_000
 CACHED_BYTES = 64  # longer words are rare and would make the cache's size unbounded
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 KEYS_A_BUCKET, TRIES = 2, 32
 
 
@@ -98,36 +99,52 @@ class PerfectHash:
         return np.where(d < 0, -1 - d, self._slot(h, np.maximum(d, 0)))
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word: the pair of least rank, leftmost among equals, is joined until no pair has a rank."""
-    n = len(word)
-    after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-    for i in range(n - 1):
-        r = ranks.get(word[i : i + 2])
-        if r is not None:
-            heap.append((r, i, i + 2))
-    heapq.heapify(heap)
-    while heap:
-        _, i, z = heapq.heappop(heap)
-        k = after[i]
-        if k < 0 or k == n or after[k] != z:  # i was joined to the left, or its neighbour has changed since
-            continue
-        after[i], after[k] = z, -1
-        if z < n:
-            before[z] = i
-            r = ranks.get(word[i : after[z]])
-            if r is not None:
-                heapq.heappush(heap, (r, i, after[z]))
-        p = before[i]
-        if p >= 0:
-            r = ranks.get(word[p:z])
-            if r is not None:
-                heapq.heappush(heap, (r, p, z))
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[word[i : after[i]]])
-        i = after[i]
-    return ids
+class Merges:
+    """Ids of words by merging: the pair of least rank, leftmost among equals, is joined until no pair has a rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.pair = [-1] * 65536  # ranks of two bytes
+        for x, r in ranks.items():
+            if len(x) == 2:
+                self.pair[x[0] << 8 | x[1]] = r
+
+    def ids(self, word: bytes) -> list[int]:
+        n, get, push, pop, pair = len(word), self.ranks.get, heapq.heappush, heapq.heappop, self.pair
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        # a part is known by its first byte's place: what comes after and before it, its id, and the rank of it with the next part
+        after, before, part = list(range(1, n + 1)), list(range(-1, n - 1)), [self.byte[c] for c in word]
+        rank = [pair[a << 8 | b] for a, b in zip(word, word[1:])]
+        heap = [r << bits | i for i, r in enumerate(rank) if r >= 0]
+        rank.append(-1)
+        heapq.heapify(heap)
+        while heap:
+            key = pop(heap)
+            i, r = key & mask, key >> bits
+            if rank[i] != r:  # the part or its neighbour has changed since
+                continue
+            k = after[i]
+            z = after[i] = after[k]
+            part[i], rank[k] = r, -1
+            if z < n:
+                before[z] = i
+                r = rank[i] = get(word[i : after[z]], -1)
+                if r >= 0:
+                    push(heap, r << bits | i)
+            else:
+                rank[i] = -1
+            p = before[i]
+            if p >= 0:
+                r = rank[p] = get(word[p:z], -1)
+                if r >= 0:
+                    push(heap, r << bits | p)
+        ids, i = [], 0
+        while i < n:
+            ids.append(part[i])
+            i = after[i]
+        return ids
 
 
 @cache
@@ -141,6 +158,35 @@ def newer() -> str:
     return "".join(sorted(set(regex.findall(r"[\p{L}\p{N}]", every)) - set(known.decode_bytes(known.encode_ordinary(every)).decode())))
 
 
+def strung(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists laid end to end in ``flat``, of ``n`` values each: those numbered ``at`` laid end to end, and their sizes."""
+    first, size = (np.cumsum(n) - n)[at], n[at]
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
+
+
+def cut_at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Stretches of the texts, each beginning at a text's start or at a blank between two characters that surely aren't white
+    space: ASCII marks and letters, or characters of two bytes from U+00C0 on. And the number of each text's stretches."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    edge = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if edge[-1] == edge[0]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+    edge = edge - edge[0]
+    blank = np.flatnonzero(data == 32)
+    blank = blank[(blank > 1) & (blank < len(data) - 1)]
+    near, back, back2 = data[blank + 1], data[blank - 1], data[blank - 2]
+    sure = lambda b: (b > 32) & (b < 127)
+    two = lambda b: (b >= 0xC3) & (b < 0xE0)
+    blank = blank[(sure(near) | two(near)) & (sure(back) | (two(back2) & (back >= 0x80) & (back < 0xC0)))]
+    opens = edge[:-1][edge[:-1] < edge[1:]]
+    starts = np.unique(np.append(opens, blank))
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    per = np.searchsorted(starts, edge[1:]) - np.searchsorted(starts, edge[:-1])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]), per
+
+
 class ByteCoder:
     def __init__(self, vocabulary: str = RANKS):
         import public_tokenizers
@@ -150,6 +196,7 @@ class ByteCoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         if any(bytes([i]) not in self.ranks for i in range(256)):
             raise ValueError(f"{vocabulary} lacks single bytes")
+        self.merges = Merges(self.ranks)
         entries = list(self.ranks)
         self.first, self.size = np.zeros(max(self.ranks.values()) + 1, np.int64), np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
@@ -157,7 +204,8 @@ class ByteCoder:
         self.size[ids], self.first[ids] = sizes, np.cumsum(sizes) - sizes
         self.text_pattern = public_tokenizers.PATTERN
         self.pattern = regex.compile(self.text_pattern)
-        self.other: dict[bytes, list[int]] = {}
+        self.kept: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
 
     @cached_property
     def lookup(self) -> tuple[PerfectHash, pa.Array, np.ndarray]:
@@ -181,47 +229,54 @@ class ByteCoder:
         hashed, slot_bytes, slot_id = self.lookup
         slot = hashed.slots(words)
         whole = np.asarray(pc.equal(slot_bytes.take(pa.array(slot)), distinct))
-        rest = np.flatnonzero(~whole).tolist()
-        found, cache = [], self.other
+        rest, kept, recent, new, found, merge = np.flatnonzero(~whole).tolist(), self.kept, self.recent, {}, [], self.merges.ids
         for i in rest:
             w = words[i]
-            ids = cache.get(w)
+            ids = kept.get(w)
             if ids is None:
-                ids = merged(w, self.ranks)
+                ids = recent.get(w)
+                if ids is None:
+                    ids = array("I", merge(w)).tobytes()
+                elif len(kept) < CACHE_WORDS:
+                    kept[w] = ids
                 if len(w) <= CACHED_BYTES:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[w] = ids
+                    new[w] = ids
             found.append(ids)
+        self.recent = new
         n = np.ones(len(words), np.int64)
-        n[rest] = [len(x) for x in found]
+        n[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.empty(int(n.sum()), np.uint32)
         at_whole = np.repeat(whole, n)
         flat[at_whole] = slot_id[slot[whole]]
-        flat[~at_whole] = np.array([i for x in found for i in x], np.uint32)
+        flat[~at_whole] = np.frombuffer(b"".join(found), np.uint32)
         return flat, n
 
+    def _split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all texts, and the number of each text's."""
+        odd, words, ends, plain = newer(), [], np.zeros(len(texts) + 1, np.int64), self.pattern.findall
+        for i, t in enumerate(texts):
+            words += plain(t) if not odd or t.isascii() or max(t) < odd[0] else self.careful.findall(t)
+            ends[i + 1] = len(words)
+        return words, np.diff(ends)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and each text's first place in them (one place more than texts)."""
-        said = [t or "" for t in texts.to_pylist()]
-        odd = newer()
-        per, words = np.zeros(len(said), np.int64), []
-        for i, t in enumerate(said):
-            plain = t.isascii() or not odd or max(t) < odd[0]
-            at = len(words)
-            words += (self.pattern if plain else self.careful).findall(t)
-            per[i] = len(words) - at
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(len(said) + 1, np.int64)
+        """Flat ids of all texts, and each text's first place in them (one place more than texts).
+
+        No pre-token crosses a single blank between two other characters, but for the blank that begins it; so texts are cut there
+        first, and each distinct stretch is split by the pattern once.
+        """
+        stretches, per = cut_at_blanks(texts)
+        if not len(stretches):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        stretches = stretches.dictionary_encode()
+        words, parts = self._split(stretches.dictionary.to_pylist())
         coded = pa.array(words, pa.string()).dictionary_encode()
         del words
         distinct = coded.dictionary.cast(pa.binary())
         flat, n = self._ids_of(distinct.to_pylist(), distinct)
-        at = coded.indices.to_numpy()
-        first, size = (np.cumsum(n) - n)[at], n[at]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))]
-        return ids, np.append(0, ends)[np.append(0, np.cumsum(per))]
+        flat, n = strung(flat, n, coded.indices.to_numpy())
+        flat, n = strung(flat, np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(parts))]), stretches.indices.to_numpy())
+        return flat, np.append(0, np.cumsum(n))[np.append(0, np.cumsum(per))]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of flat ids, and the first byte of each text."""
@@ -244,21 +299,27 @@ def _binaries(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = RANKS, packed: bool = False) -> DataFrame:
-    """(doc_id, ids) of rows (doc_id, text); packed ids are little-endian unsigned 32-bit integers in one binary value."""
+def encode_texts(docs: DataFrame, vocabulary: str = RANKS, packed: bool = False, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of rows (doc_id, text); packed ids are little-endian unsigned 32-bit integers in one binary value.
+
+    ``decoded`` adds the bytes that the ids decode to, worked out in the same pass, so that callers can compare or digest them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = byte_coder(vocabulary)
         for whole in batches:
             for b in batches_by_size(whole, chars=BATCH_CHARS):
                 ids, starts = code.encode(b["text"])
+                columns = [b["doc_id"]]
                 if packed:
-                    out = _binaries(ids.astype("<u4"), 4 * starts)
+                    columns.append(_binaries(ids.astype("<u4"), 4 * starts))
                 else:
-                    out = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], out], ["doc_id", "ids"])
+                    columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32))))
+                if decoded:
+                    columns.append(_binaries(*code.decode(ids, starts)))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED if packed else LISTED)
+    return docs.select("doc_id", "text").mapInArrow(run, (PACKED if packed else LISTED) + ", decoded binary" * decoded)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = RANKS) -> DataFrame:
@@ -281,5 +342,5 @@ def decode_ids(encoded: DataFrame, vocabulary: str = RANKS) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode_ids(encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), packed=True))
+    done = encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), packed=True, decoded=True)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
