@@ -61,23 +61,34 @@ def fingerprint(text: Column) -> Column:
     return F.when(bare != "", F.sha2(bare, 256))
 
 
-def split_confidence(text: Column, numbered: Column) -> Column:
-    """How surely a block is one whole question, 0.05 to 0.98."""
+def marks(text: Column) -> Column:
+    """What the patterns find in a text, each looked for once: counts of options, sub-questions and starts; any marker, any formula."""
+    brackets = F.contains(text, F.lit("(")) | F.contains(text, F.lit("（"))
+    return F.struct(
+        count(text, OPTION).alias("options"), F.when(brackets, count(text, SUBQUESTION)).otherwise(0).alias("parts"), count(text, QUESTION_START).alias("starts"),
+        text.rlike(MARKER).alias("marked"), text.rlike(MATH).alias("math"),
+    )
+
+
+def split_confidence(text: Column, numbered: Column, m: Column) -> Column:
+    """How surely a block is one whole question, 0.05 to 0.98; ``m`` are its ``marks``."""
     score = (
         F.lit(0.25) + F.when(numbered, 0.35).otherwise(0.15) + F.when(F.length(text) >= 30, 0.1).otherwise(-0.12)
-        + F.when(count(text, OPTION) >= 3, 0.12).otherwise(0.0) + F.when(count(text, SUBQUESTION) > 0, 0.05).otherwise(0.0)
-        - F.when(count(text, QUESTION_START) > 1, 0.18).otherwise(0.0) - F.when(F.length(text) > 2500, 0.18).otherwise(0.0)
-        - F.when(count(text, MARKER) == 0, 0.08).otherwise(0.0)
+        + F.when(m["options"] >= 3, 0.12).otherwise(0.0) + F.when(m["parts"] > 0, 0.05).otherwise(0.0)
+        - F.when(m["starts"] > 1, 0.18).otherwise(0.0) - F.when(F.length(text) > 2500, 0.18).otherwise(0.0)
+        - F.when(~m["marked"], 0.08).otherwise(0.0)
     )
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), F.round(score, 6))), 2)
 
 
-def question_type(text: Column) -> Column:
+def question_type(text: Column, m: Column | None = None) -> Column:
+    m = marks(text) if m is None else m
+
     def of(low: Column) -> Column:
-        out = F.when(count(low, OPTION) >= 3, CHOICE)  # the pattern reads either case
+        out = F.when(m["options"] >= 3, CHOICE)
         for name, needles in TYPES:
             out = out.when(any_of(low, needles), name)
-        return out.when(count(low, SUBQUESTION) >= 2, COMPOSITE).otherwise(UNKNOWN)
+        return out.when(m["parts"] >= 2, COMPOSITE).otherwise(UNKNOWN)
 
     return let(F.lower(text), of)
 
@@ -88,6 +99,7 @@ def concept_tags(text: Column, most: int = 5) -> Column:
     return F.slice(F.transform(F.sort_array(F.filter(scored, lambda x: x["s"] < 0)), lambda x: x["c"]), 1, most)
 
 
-def difficulty(text: Column) -> Column:
-    n = F.lit(2) + (F.length(text) > 180).cast("int") + (count(text, SUBQUESTION) >= 2).cast("int") + (count(text, MATH) > 0).cast("int") + any_of(F.lower(text), HARD).cast("int")
+def difficulty(text: Column, m: Column | None = None) -> Column:
+    m = marks(text) if m is None else m
+    n = F.lit(2) + (F.length(text) > 180).cast("int") + (m["parts"] >= 2).cast("int") + m["math"].cast("int") + any_of(F.lower(text), HARD).cast("int")
     return F.greatest(F.lit(1), F.least(F.lit(5), n))

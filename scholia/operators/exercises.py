@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import questions as q
+from scholia.sources.tables import written
 
 from .review import subject_match
 
@@ -27,22 +28,25 @@ def split_questions(texts: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def score_split(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("split_confidence", q.split_confidence(F.col("block"), F.col("numbered")))
+    """Adds ``split_confidence``, and the block's ``marks`` for what else reads them."""
+    d = blocks.withColumn("marks", q.marks(F.col("block")))
+    return d.withColumn("split_confidence", q.split_confidence(F.col("block"), F.col("numbered"), F.col("marks")))
 
 
 def analyse_candidates(blocks: DataFrame) -> DataFrame:
     """Type, tags, difficulty, confidence and whether a model or a person should look at the candidate."""
-    t = F.col("block")
-    d = blocks.withColumn("type", q.question_type(t)).withColumn("tags", q.concept_tags(t)).withColumn("difficulty", q.difficulty(t))
+    t, m = F.col("block"), F.col("marks")
+    d = blocks if "marks" in blocks.columns else blocks.withColumn("marks", q.marks(t))
+    d = d.withColumn("type", q.question_type(t, m)).withColumn("tags", q.concept_tags(t)).withColumn("difficulty", q.difficulty(t, m))
     raw = F.lit(0.25) + F.when(F.col("type") != q.UNKNOWN, 0.25).otherwise(0.0) + F.least(F.lit(0.3), 0.12 * F.size("tags")) + F.when(F.length(t) >= 30, 0.1).otherwise(0.0)
     mixed = F.when(F.col("split_confidence") > 0, raw * 0.75 + F.col("split_confidence") * 0.25).otherwise(raw)
     d = d.withColumn("confidence", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.round(mixed, 6))), 2))
     needs = (F.col("confidence") < 0.65) | (F.size("tags") == 0) | (F.col("type") == q.UNKNOWN) | ((F.col("split_confidence") > 0) & (F.col("split_confidence") < 0.55))
     issues = F.array_compact(F.array(
-        F.when(F.length(t) < 12, "short"), F.when(q.count(t, q.QUESTION_START) > 1, "several"),
+        F.when(F.length(t) < 12, "short"), F.when(m["starts"] > 1, "several"),
         F.when((F.col("split_confidence") > 0) & (F.col("split_confidence") < 0.55), "boundary"), F.when(F.size("tags") == 0, "no_tags"),
     ))
-    return d.withColumn("needs_review", needs).withColumn("issues", issues)
+    return d.withColumn("needs_review", needs).withColumn("issues", issues).drop("marks")
 
 
 def question_number(text: Column) -> Column:
@@ -69,6 +73,7 @@ def mark_duplicates(candidates: DataFrame, bank: DataFrame) -> DataFrame:
 def import_batch(records: DataFrame, bank: DataFrame) -> DataFrame:
     """Each record with the id of its first holder, in the bank or earlier in the batch; null means accepted."""
     marked = mark_duplicates(records, bank)
+    marked = written(marked.select(*records.columns, "fp", "duplicate_of"), "marked")  # each text is read and hashed once
     first = marked.where("fp is not null").groupBy("book_id", "fp").agg(F.min("exercise_id").alias("first"))
     out = marked.join(first, ["book_id", "fp"], "left")
     return out.withColumn("duplicate_of", F.coalesce("duplicate_of", F.when(F.col("first") != F.col("exercise_id"), F.col("first")))).drop("first")

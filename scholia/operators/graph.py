@@ -301,6 +301,13 @@ def mine_definitions(concepts: DataFrame, chunks: DataFrame, verbs: str = "(是|
     return found.join(c, found["name"] == c["canonical_name"]).groupBy("concept_id").agg(F.min_by("s", F.struct("book_id", "chapter", "chunk_index", "pos")).alias("definition"))
 
 
+def definitions(concepts: DataFrame, mined: DataFrame, chapters: DataFrame, most: int = 500) -> DataFrame:
+    """(concept_id, definition, mined): the mined sentence, else a phrase that names the chapter, else one that says there is none."""
+    d = concepts.select("concept_id").join(mined.select("concept_id", "definition"), "concept_id", "left").join(chapters.select("concept_id", "chapter"), "concept_id", "left")
+    named = F.when(F.col("chapter") != "", F.concat(F.lit("《"), "chapter", F.lit("》中的核心概念")))
+    return d.select("concept_id", F.substring(F.coalesce("definition", named, F.lit("（暂无摘要）")), 1, most).alias("definition"), F.col("definition").isNotNull().alias("mined"))
+
+
 def concept_tree(concepts: DataFrame, placed: DataFrame) -> DataFrame:
     """Edges (parent, child, level) root - book - chapter - concept; unplaced concepts hang on ``未分类``."""
     p = concepts.select("concept_id").join(placed, "concept_id", "left").select("concept_id", F.coalesce("book_id", F.lit("未分类")).alias("book_id"), F.coalesce("chapter", F.lit("未分类")).alias("chapter"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources.tables import written
+
 from scholia.functions import roles
 
 # fixed value: what a chapter heading looks like
@@ -310,23 +312,71 @@ def split_chunks(sections: DataFrame, size: int = 700, overlap: int = 80) -> Dat
 
 
 def pack_text(parts: DataFrame, most: int = 2500) -> DataFrame:
-    """(key, batch, text): ordered parts (key, pos, text) packed greedily; a part longer than ``most`` stands alone."""
-
-    def step(a: Column, x: Column) -> Column:
-        fits = F.length(a["cur"]) + F.length(x["text"]) + 1 <= most
-        return F.when(a["cur"] == "", F.struct(x["text"].alias("cur"), a["out"].alias("out"))).when(fits, F.struct(F.concat(a["cur"], F.lit("\n"), x["text"]).alias("cur"), a["out"].alias("out"))).otherwise(
-            F.struct(x["text"].alias("cur"), F.array_append(a["out"], a["cur"]).alias("out")))
+    """(key, batch, text): ordered parts (key, pos, text) packed greedily, joined by line feeds; a part longer than ``most`` stands alone.
 
-    zero = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    packed = F.aggregate(ordered, zero, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.array_append(a["out"], a["cur"])))
-    return parts.groupBy("key").agg(packed.alias("p")).select("key", F.posexplode("p").alias("batch", "text"))
+    Empty parts at a batch's start are left out. No key's parts are gathered: the last part that fits after each possible start
+    comes from running sums; which starts are taken follows from the first one by jumps of 1, 2, 4 and so on batches.
+    """
+    whole = Window.partitionBy("key").orderBy("pos", "text")
+    p = parts.select("key", "pos", "text").where("text is not null").withColumn("i", F.row_number().over(whole)).withColumn("end", F.sum(F.length("text") + 1).over(whole))
+    later = whole.rowsBetween(0, Window.unboundedFollowing)
+    p = written(p.withColumn("full", F.min(F.when(F.col("text") != "", F.col("i"))).over(later)), "parts")  # the first part from here with text
+    ends = p.select("key", F.col("end").alias("at"), F.lit(0).alias("kind"), "i")
+    limits = p.where("text <> ''").select("key", (F.col("end") - F.length("text") + most).alias("at"), F.lit(1).alias("kind"), "i")
+    order = Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    fits = ends.union(limits).withColumn("last", F.max(F.when(F.col("kind") == 0, F.col("i"))).over(order)).where("kind = 1")
+    spans = written(fits.select("key", "i", (F.greatest("i", "last") + 1).alias("stop")), "spans")  # parts i to stop - 1 make a batch
+    jump = written(spans.join(p.select("key", F.col("i").alias("stop"), F.col("full").alias("to")), ["key", "stop"]).where("to is not null").select("key", "i", "to"), "jump")
+    taken = p.groupBy("key").agg(F.min("full").alias("i")).where("i is not null")
+    while not jump.isEmpty():
+        taken = written(taken.union(taken.join(jump, ["key", "i"]).select("key", F.col("to").alias("i"))), "taken")
+        jump = written(jump.join(jump.select("key", F.col("i").alias("to"), F.col("to").alias("far")), ["key", "to"]).select("key", "i", F.col("far").alias("to")), "jump")
+    starts = taken.join(spans, ["key", "i"]).withColumn("batch", F.row_number().over(Window.partitionBy("key").orderBy("i")) - 1)
+    run = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    of = p.join(starts, ["key", "i"], "left").withColumn("batch", F.last("batch", True).over(run)).withColumn("stop", F.last("stop", True).over(run)).where("i < stop")
+    return of.groupBy("key", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+# fixed values: headings of generated notes that go with all that stands below them
+UNWANTED = ("本章重点", "本节重点", "分节重点", "总章节", "章节总览", "整体总结", "本章总结", "本章学习要点参考", "本章学习要点", "学习要点参考", "教材例题与习题资源")
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+
+
+def plain_heading(title: Column) -> Column:
+    """A heading without marks of code, bold type, links, formulas and white space."""
+    for pattern, to in ((r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\$+", ""), (r"\s+", "")):
+        title = F.regexp_replace(title, pattern, to)
+    return title
+
+
+def without_unwanted(notes: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, text): each text without headings of level 1 and 2, and without unwanted headings and their scopes.
+
+    A scope reaches to the next heading of its level or a higher one. A line lies in one if for some level the last unwanted
+    heading of that level is also the last heading of that or a higher level.
+    """
+    lines = notes.select(key, F.posexplode(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"\s+$", ""))).alias("i", "line"))
+    level = F.length(F.regexp_extract("line", HEADING, 1))
+    title = plain_heading(F.regexp_extract("line", HEADING, 2))
+    bad = F.lit(False)
+    for x in UNWANTED:
+        bad = bad | F.contains(title, F.lit(x))
+    lines = lines.withColumn("level", level).withColumn("bad", (F.col("level") > 0) & bad)
+    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    hidden = F.lit(False)
+    for n in range(1, 7):
+        last_bad = F.max(F.when(F.col("bad") & (F.col("level") == n), F.col("i"))).over(w)
+        last = F.max(F.when((F.col("level") > 0) & (F.col("level") <= n), F.col("i"))).over(w)
+        hidden = hidden | F.coalesce(last_bad == last, F.lit(False))
+    kept = lines.withColumn("hidden", hidden).where(~F.col("hidden") & ~F.col("level").isin(1, 2))
+    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias(text))
+    return notes.select(key).distinct().join(joined, key, "left").select(key, F.coalesce(text, F.lit("")).alias(text))
 
 
 def assemble_notes(notes: DataFrame, sections: DataFrame) -> DataFrame:
-    """Notes (section_ids, batch, text) under their first section, by batch, without headings of level 1 and 2."""
-    body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^#{1,2}\s")), "\n")
-    n = notes.select(F.get("section_ids", F.lit(0)).alias("section_id"), "batch", body.alias("text"))
+    """Notes (section_ids, batch, text) under their first section, by batch, without headings of level 1 and 2 and unwanted parts."""
+    told = written(notes.select(F.get("section_ids", F.lit(0)).alias("section_id"), "batch", "text").withColumn("note", F.monotonically_increasing_id()), "notes")
+    n = told.select("section_id", "batch", "note").join(without_unwanted(told, "note"), "note").drop("note")
     joined = n.groupBy("section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     clean = dedupe_blocks(joined, "section_id")
     return sections.join(clean, "section_id", "left").select(*sections.columns, F.coalesce("text", F.lit("")).alias("text"))

@@ -137,9 +137,10 @@ def daily_activity(exposures: DataFrame, events: DataFrame, latest: int = 14) ->
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day")))).where(F.col("rank") <= latest)
 
 
-def daily_concepts(exposures: DataFrame, as_of: str, days: int = 120, top: int = 8) -> DataFrame:
-    c = exposures.where(F.col("day") >= F.date_sub(_day(as_of), days)).groupBy("user_id", "day", "concept").count()
-    w = Window.partitionBy("user_id", "day").orderBy(F.desc("count"), "concept")
+def daily_concepts(exposures: DataFrame, as_of: str, days: int = 120, top: int = 8, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """The concepts met most often on each day; ``by`` may add the book."""
+    c = exposures.where(F.col("day") >= F.date_sub(_day(as_of), days)).groupBy(*by, "day", "concept").count()
+    w = Window.partitionBy(*by, "day").orderBy(F.desc("count"), "concept")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
@@ -154,19 +155,40 @@ def question_timeline(exposures: DataFrame, mistakes: DataFrame, events: DataFra
     return q.withColumn("low", F.lower("question")).join(m, ["user_id", "low"], "left").drop("low").withColumn("source", F.when(F.col("mistake_id").isNotNull(), "mistake").otherwise(F.col("source")))
 
 
-def review_plan(state: DataFrame, mistakes: DataFrame, exposures: DataFrame, as_of: str, limit: int = 8) -> DataFrame:
-    """Priorities from weakness, related mistakes, time unseen, exposures and reviews; the best ``limit`` a user."""
+def mistakes_naming(names: DataFrame, mistakes: DataFrame, texts: list[str], most: int = 50) -> DataFrame:
+    """(user_id, concept, related): how many of a user's mistakes have a name of theirs (user_id, concept) in any of ``texts``.
+
+    Texts and names meet on their user; equal texts of a user are counted first and looked through once.
+    """
+    t = mistakes.select("user_id", F.concat_ws("\n", *texts).alias("said")).groupBy("user_id", "said").count()
+    hit = names.select("user_id", "concept").where(F.length("concept") > 0).distinct().join(t, "user_id").where(F.contains("said", "concept"))
+    return hit.groupBy("user_id", "concept").agg(F.least(F.sum("count"), F.lit(most)).alias("related"))
+
+
+def review_plan(state: DataFrame, mistakes: DataFrame, exposures: DataFrame, as_of: str, limit: int = 8, texts: list[str] | None = None) -> DataFrame:
+    """Priorities from weakness, related mistakes, time unseen, exposures and reviews; the best ``limit`` a user.
+
+    A mistake is related by its tag, or, with ``texts``, if a concept's name stands in one of these columns. Then a concept that no
+    text names but that the mistakes' tags or causes count has 25 points instead.
+    """
     keys = ["user_id", "concept"]
-    related = mistakes.groupBy("user_id", F.col("tag").alias("concept")).agg(F.least(F.count(F.lit(1)), F.lit(50)).alias("related"))
+    tagged = mistakes.groupBy("user_id", F.col("tag").alias("concept")).agg(F.least(F.count(F.lit(1)), F.lit(50)).alias("related"))
     top = frequent(state, 12).select(*keys)
-    names = state.where("weak").select(*keys).union(top).union(related.select(*keys)).distinct()
+    names = state.where("weak").select(*keys).union(top)
+    if texts is None:
+        related, counted = tagged, tagged.select(*keys).limit(0).withColumn("counted", F.lit(True))
+        names = names.union(related.select(*keys)).distinct()
+    else:
+        counted = mistakes.select("user_id", F.col("tag").alias("concept")).union(mistakes.select("user_id", "mistake_type")).where("concept is not null").distinct().withColumn("counted", F.lit(True))
+        names = names.union(counted.select(*keys)).distinct()
+        related = mistakes_naming(names, mistakes, texts)
     asked = exposures.where("question <> ''").select(*keys).distinct().withColumn("asked", F.lit(4))
-    x = names.join(state, keys, "left").join(related, keys, "left").join(asked, keys, "left")
+    x = names.join(state, keys, "left").join(related, keys, "left").join(counted, keys, "left").join(asked, keys, "left")
     unseen, since = full_days(as_of, F.col("last_seen")), full_days(as_of, F.col("last_reviewed"))
     x = x.where(F.coalesce(F.to_date("last_reviewed") != _day(as_of), F.lit(True)))
     n = F.coalesce("exposure_count", F.lit(0))
     priority = (
-        F.when(F.coalesce("weak", F.lit(False)), 45).otherwise(0) + F.when(F.col("related") > 0, 30 + 4 * F.col("related")).otherwise(0)
+        F.when(F.coalesce("weak", F.lit(False)), 45).otherwise(0) + F.when(F.col("related") > 0, 30 + 4 * F.col("related")).when(F.col("counted"), 25).otherwise(0)
         + F.when(unseen >= 7, F.least(F.lit(30), unseen)).otherwise(0) + F.when(n >= 2, F.least(F.lit(15), n * 2)).otherwise(0)
         + F.when(F.col("last_reviewed").isNull(), 8).when(since >= 7, F.least(F.lit(20), since)).otherwise(0) + F.coalesce("asked", F.lit(0))
     )

@@ -49,6 +49,18 @@ def counts_by(df: DataFrame, keys: dict[str, Column], by: list[str]) -> DataFram
     return df.select(*by, F.explode(both).alias("x")).groupBy(*by, "x.kind", "x.value").count().select(*by, "kind", "value", F.col("count").alias("n"))
 
 
+def mistake_stats(mistakes: DataFrame, as_of: str, by: list[str]) -> DataFrame:
+    """Long form (by, kind, value, n): all, due by ``as_of``, causes, tags and names of linked concepts together, difficulties.
+
+    mistakes: ``by``, next_review, and arrays mistake_types, tags, linked (names); null and blank ones don't count.
+    """
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    many = lambda kind, c: F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != ""), lambda x: one(kind, F.trim(x)))
+    due = F.when(F.col("next_review") <= F.lit(as_of).cast("date"), F.array(one("due", F.lit("due")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    rows = F.concat(F.array(one("all", F.lit("all")), one("difficulty", F.col("difficulty"))), due, many("cause", "mistake_types"), many("tag", "tags"), many("tag", "linked"))
+    return mistakes.select(*by, F.explode(rows).alias("x")).groupBy(*by, "x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
 def weak_points(mistakes: DataFrame, top_n: int = 10) -> DataFrame:
     """Tags as knowledge points, then causes, most frequent first."""
     c = counts_by(mistakes, {"point": F.col("tag"), "cause": F.col("mistake_type")}, ["user_id"])

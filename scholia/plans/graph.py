@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.operators import graph as op
-from scholia.operators import order
+from scholia.operators import order, tree
 from scholia.sources import study, tables
 from scholia.sources.study import with_study
 
@@ -259,3 +259,57 @@ def kg21_link_mistakes(spark, sf_dir):
     """A chunk as the mistaken question, the next one as its correct answer, the one before as explanation."""
     m = _around(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), F.col("content").alias("question"), F.col("after").alias("correct_answer"), F.col("before").alias("explanation"), F.col("longest").alias("tags"))
     return op.link_mistakes(tables.written(m, "mistakes"), tables.written(study.concepts(spark, sf_dir), "concepts"))
+
+
+# titles: some numbered in digits, some in Chinese numerals, some not; a few chapters have none or a meaningless one
+_DIGIT = "substr('一二三四五六七八九', ({})::INT, 1)"
+TITLES_SQL = f""", chs AS (SELECT source AS book_id, doc_id::VARCHAR AS chapter, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS pos FROM documents),
+tt AS (SELECT *, CASE WHEN pos % 3 = 2 THEN 'plain ' || chapter ELSE '第' || CASE WHEN pos % 3 = 0 OR pos + 1 > 99 THEN (pos + 1)::VARCHAR WHEN pos + 1 < 10 THEN {_DIGIT.format('pos + 1')} ELSE CASE WHEN pos + 1 < 20 THEN '' ELSE {_DIGIT.format('(pos + 1) // 10')} END || '十' || CASE WHEN (pos + 1) % 10 = 0 THEN '' ELSE {_DIGIT.format('(pos + 1) % 10')} END END || '章 c' || chapter END AS title FROM chs)"""
+
+
+def _titles(spark, sf_dir):
+    d = study.table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("chapter"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("pos"))
+    n, digit = F.col("pos") + 1, lambda x: F.substring(F.lit("一二三四五六七八九"), x.cast("int"), F.lit(1))
+    tens = F.concat(F.when(n < 20, "").otherwise(digit(F.floor(n / 10))), F.lit("十"), F.when(n % 10 == 0, "").otherwise(digit(n % 10)))
+    told = F.when((F.col("pos") % 3 == 0) | (n > 99), n.cast("string")).when(n < 10, digit(n)).otherwise(tens)
+    return d.withColumn("title", F.when(F.col("pos") % 3 == 2, F.concat(F.lit("plain "), "chapter")).otherwise(F.concat(F.lit("第"), told, F.lit("章 c"), "chapter")))
+
+
+@query(WORDS_SQL + TITLES_SQL + """, o AS (SELECT o.concept_id, (o.book_id, o.chapter, chunk_index, chunk_id) AS seen, CASE o.chapter::INT % 7 WHEN 0 THEN NULL WHEN 1 THEN '习题' ELSE title END AS chapter, '第' || page_idx || '节' AS section FROM occurrences o JOIN tt USING (chapter)),
+k AS (SELECT concept_id, seen, 'chapter' AS kind, chapter AS title FROM o WHERE chapter <> '习题' UNION ALL SELECT concept_id, seen, 'section', section FROM o), g AS (SELECT concept_id, kind, title, count(*) AS n, min(seen) AS seen FROM k GROUP BY ALL)
+SELECT concept_id, CASE WHEN kind = 'chapter' AND regexp_matches(title, '第[零〇一二两三四五六七八九十百千0-9]+章') THEN regexp_extract(title, '第[零〇一二两三四五六七八九十百千0-9]+章') ELSE left(title, 30) END AS chapter, kind AS "by" FROM g QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY kind, n DESC, seen) = 1""")
+def kg15_chapter_titles(spark, sf_dir):
+    """Titles of chapters where they have any, else of sections; of equally frequent ones the first seen."""
+    c = F.col("chapter").cast("int") % 7
+    o = study.occurrences(spark, sf_dir).withColumn("doc", F.col("chapter")).join(_titles(spark, sf_dir).select("chapter", "title"), "chapter")
+    o = o.withColumn("section", F.concat(F.lit("第"), "page_idx", F.lit("节"))).withColumn("chapter", F.when(c == 0, None).when(c == 1, "习题").otherwise(F.col("title")))
+    return tree.chapter_of_concept(o, ["book_id", "doc", "chunk_index", "chunk_id"])
+
+
+@query(with_study("chunks", "concepts", "occurrences", "sections") + TITLES_SQL + """, f AS (SELECT concept_id, any_value(canonical_name) AS name, min((book_id, chapter)) AS b FROM occurrences GROUP BY concept_id),
+cc AS (SELECT concept_id, tt.book_id, CASE length(name) % 3 WHEN 0 THEN title WHEN 1 THEN CASE WHEN regexp_matches(title, '^第.+章') THEN regexp_extract(title, '^第.+章') ELSE left(title, 30) END ELSE 'c' || tt.chapter END AS chapter, tt.pos FROM f JOIN tt ON tt.chapter = b[2]),
+ch AS (SELECT book_id, pos, chapter AS doc, title, '第' || (pos + 1) || '章' AS key FROM tt), se AS (SELECT ch.book_id, key, key || '.' || (section_no + 1) AS skey FROM ch JOIN sections s ON s.chapter = doc), fs AS (SELECT book_id, key, min(skey) AS skey FROM se GROUP BY ALL),
+tl AS (SELECT DISTINCT book_id, chapter FROM cc), own AS (SELECT tl.book_id, tl.chapter, ch.pos FROM tl JOIN ch ON ch.book_id = tl.book_id AND (ch.title = tl.chapter OR (starts_with(tl.chapter, '第') AND contains(ch.title, tl.chapter)))),
+oth AS (SELECT tl.book_id, tl.chapter, ch.pos FROM tl JOIN ch ON ch.book_id = tl.book_id AND (contains(ch.title, tl.chapter) OR contains(tl.chapter, ch.title)) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.book_id = tl.book_id AND own.chapter = tl.chapter)),
+pl AS (SELECT book_id, chapter, min(pos) AS pos FROM (SELECT * FROM own UNION ALL SELECT * FROM oth) GROUP BY ALL), wh AS (SELECT concept_id, cc.book_id, skey FROM cc LEFT JOIN pl ON pl.book_id = cc.book_id AND pl.chapter = cc.chapter LEFT JOIN ch ON ch.book_id = pl.book_id AND ch.pos = pl.pos LEFT JOIN fs ON fs.book_id = ch.book_id AND fs.key = ch.key)
+SELECT 'root' AS parent, book_id AS child, 1 AS level FROM ch UNION SELECT book_id, book_id || '/' || key, 2 FROM ch UNION SELECT book_id || '/' || key, book_id || '/' || skey, 3 FROM se UNION SELECT book_id, book_id || '/未分类', 2 FROM wh WHERE skey IS NULL
+UNION SELECT book_id || '/' || coalesce(skey, '未分类'), book_id || '/' || coalesce(skey, '未分类') || '::' || concept_id, CASE WHEN skey IS NULL THEN 3 ELSE 4 END FROM wh""")
+def kg20_section_tree(spark, sf_dir):
+    """Chapters and sections by their numbers, concepts by whole, short and partial titles."""
+    t = tables.written(_titles(spark, sf_dir), "titles")
+    f = study.occurrences(spark, sf_dir).groupBy("concept_id").agg(F.length(F.max("canonical_name")).alias("n"), F.min(F.struct("book_id", "chapter"))["chapter"].alias("chapter"))
+    n = F.col("n") % 3
+    c = f.join(t, "chapter").select("concept_id", "book_id", F.when(n == 0, F.col("title")).when(n == 1, tree.short_title(F.col("title"))).otherwise(F.concat(F.lit("c"), "chapter")).alias("chapter"))
+    s = study.sections(spark, sf_dir).join(t.select("chapter", F.col("pos").alias("chapter_pos")), "chapter")
+    s = s.select("book_id", "chapter_pos", F.col("section_no").alias("pos"), F.concat(F.lit("第"), F.col("section_no") + 1, F.lit("节")).alias("title"))
+    return tree.section_tree(c, t.select("book_id", "pos", "title"), s)
+
+
+@query(WORDS_SQL + """, s AS (SELECT book_id, chapter, chunk_index, unnest(regexp_split_to_array(content, '[.,;]')) AS s, generate_subscripts(regexp_split_to_array(content, '[.,;]'), 1) AS pos FROM chunks), t AS (SELECT book_id, chapter, chunk_index, pos, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM s),
+m AS (SELECT concept_id, min_by(s, (book_id, chapter, chunk_index, pos)) AS definition FROM t JOIN concepts ON contains(s, canonical_name) WHERE length(s) > 10 AND length(s) < 300 AND regexp_matches(s, '(heit|keit)') GROUP BY concept_id),
+c AS (SELECT concept_id, chapter FROM (SELECT concept_id, chapter, count(*) AS n FROM occurrences GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY n DESC, chapter) = 1)
+SELECT concept_id, left(coalesce(definition, CASE WHEN chapter <> '' THEN '《' || chapter || '》中的核心概念' END, '（暂无摘要）'), 500) AS definition, definition IS NOT NULL AS mined FROM concepts LEFT JOIN m USING (concept_id) LEFT JOIN c USING (concept_id)""")
+def kg19_definitions(spark, sf_dir):
+    """Every concept's definition; a rare verb leaves many without a sentence, which get their chapter's."""
+    c, o, ch = _all(spark, sf_dir)
+    return op.definitions(c, op.mine_definitions(c, ch, "(heit|keit)", "[.,;]"), op.infer_chapter(o))

@@ -220,6 +220,18 @@ def in21_assemble_notes(spark, sf_dir):
     return op.assemble_notes(n, s)
 
 
+@query(with_study("chunks") + r""", l AS (SELECT chapter, chunk_index * 2 + 1 AS i, rtrim(content) AS line, 0 AS level, false AS bad FROM chunks UNION ALL
+  SELECT chapter, chunk_index * 2, repeat('#', chunk_index % 4 + 1) || ' ' || CASE WHEN chunk_index % 3 = 0 THEN '**本章 重点** ' ELSE 'part ' END || chunk_index, chunk_index % 4 + 1, chunk_index % 3 = 0 FROM chunks),
+h AS (SELECT *, """ + " OR ".join(f"coalesce(max(CASE WHEN bad AND level = {n} THEN i END) OVER w = max(CASE WHEN level BETWEEN 1 AND {n} THEN i END) OVER w, false)" for n in range(1, 7)) + """ AS hidden FROM l WINDOW w AS (PARTITION BY chapter ORDER BY i))
+SELECT chapter, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hidden AND level NOT IN (1, 2)), '')) AS text FROM h GROUP BY chapter""")
+def in21_heading_scopes(spark, sf_dir):
+    """Chapters with a heading of a level from 1 to 4 before each chunk, every third one unwanted."""
+    i = F.col("chunk_index")
+    head = F.concat(F.expr("repeat('#', chunk_index % 4 + 1)"), F.lit(" "), F.when(i % 3 == 0, "**本章 重点** ").otherwise("part "), i, F.lit("\n"), F.col("content"))
+    t = study.chunks(spark, sf_dir).groupBy("chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), head.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return op.without_unwanted(t, "chapter").withColumn("text", F.md5("text"))
+
+
 @query(with_study("chunks", "sections") + f""", d AS (SELECT c.book_id, c.chapter, section_no, content, chunk_index, row_number() OVER (PARTITION BY c.book_id, c.chapter, section_no ORDER BY chunk_index) AS rank FROM chunks c JOIN sections s ON s.book_id = c.book_id AND s.chapter = c.chapter AND c.page_idx BETWEEN s.start_page AND s.end_page WHERE {PLACE_ROLE} IN ('example', 'exercise'))
 SELECT book_id, chapter, section_no, coalesce(string_agg(substr(content, 1, 700), chr(10) ORDER BY rank) FILTER (rank <= 3), '') AS text, greatest(0, count(*) - 3) AS more FROM d GROUP BY ALL""")
 def in22_practice_appendix(spark, sf_dir):

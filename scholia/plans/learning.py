@@ -146,6 +146,12 @@ def le9_daily_concepts(spark, sf_dir):
     return op.daily_concepts(study.exposures(spark, sf_dir), AS_OF).withColumn("day", F.col("day").cast("string"))
 
 
+@query(BASE + f" SELECT * FROM (SELECT user_id, source AS book_id, strftime(day, '%Y-%m-%d') AS day, concept, count(*) AS count, row_number() OVER (PARTITION BY user_id, source, day ORDER BY count(*) DESC, concept) AS rank FROM exposures WHERE day >= DATE '{AS_OF}' - 120 GROUP BY user_id, source, day, concept) WHERE rank <= 8")
+def le9_daily_book_concepts(spark, sf_dir):
+    e = study.exposures(spark, sf_dir).withColumnRenamed("source", "book_id")
+    return op.daily_concepts(e, AS_OF, by=("user_id", "book_id")).withColumn("day", F.col("day").cast("string"))
+
+
 @query(BASE + """, q AS (SELECT user_id, source, question, max(ts) AS latest, bool_or(weak) AS weak, count(DISTINCT concept) AS concepts FROM exposures GROUP BY ALL),
 ev AS (SELECT user_id, CASE k % 2 WHEN 0 THEN 'what is k' || k ELSE 'about k' || k END AS question, max(ts) AS latest FROM learning_events WHERE id % 3 = 0 GROUP BY ALL),
 a AS (SELECT * FROM q UNION ALL SELECT user_id, 'qa', question, latest, false, 0 FROM ev WHERE (user_id, question) NOT IN (SELECT (user_id, question) FROM exposures)),
@@ -171,6 +177,21 @@ def le11_concept_review_plan(spark, sf_dir):
     return op.review_plan(_state(spark, sf_dir), study.mistakes(spark, sf_dir), study.exposures(spark, sf_dir), AS_OF).select("user_id", "concept", "priority", "rank")
 
 
+@query(BASE + f""", m AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'no name here' ELSE question_text END AS q FROM mistakes), counted AS (SELECT user_id, tag AS concept FROM m UNION SELECT user_id, mistake_type FROM m),
+top AS (SELECT user_id, concept FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY exposure_count DESC, concept) AS r FROM state) WHERE r <= 12),
+names AS (SELECT user_id, concept FROM reviewed WHERE weak UNION SELECT * FROM top UNION SELECT * FROM counted), related AS (SELECT n.user_id, n.concept, least(count(*), 50) AS related FROM names n JOIN m ON m.user_id = n.user_id AND contains(q, concept) GROUP BY ALL),
+x AS (SELECT n.user_id, n.concept, coalesce(exposure_count, 0) AS n,
+  (CASE WHEN weak THEN 45 ELSE 0 END + CASE WHEN related > 0 THEN 30 + 4 * related WHEN (n.user_id, n.concept) IN (SELECT (user_id, concept) FROM counted) THEN 25 ELSE 0 END + CASE WHEN {DAYS.format('last_seen')} >= 7 THEN least(30, {DAYS.format('last_seen')}) ELSE 0 END
+   + CASE WHEN exposure_count >= 2 THEN least(15, exposure_count * 2) ELSE 0 END + CASE WHEN last_reviewed IS NULL THEN 8 WHEN {DAYS.format('last_reviewed')} >= 7 THEN least(20, {DAYS.format('last_reviewed')}) ELSE 0 END
+   + CASE WHEN EXISTS (SELECT 1 FROM exposures e WHERE e.user_id = n.user_id AND e.concept = n.concept AND e.question <> '') THEN 4 ELSE 0 END)::BIGINT AS priority
+  FROM names n LEFT JOIN reviewed USING (user_id, concept) LEFT JOIN related USING (user_id, concept) WHERE coalesce(last_reviewed::DATE <> DATE '{AS_OF}', true))
+SELECT user_id, concept, priority, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, n DESC, concept) AS rank FROM x) WHERE rank <= 8 AND priority > 0""")
+def le11_plan_by_containment(spark, sf_dir):
+    """Mistakes are related by what their texts contain; a third of them name nothing, so their tags and causes only count."""
+    m = study.mistakes(spark, sf_dir).withColumn("q", F.when(F.col("id") % 3 == 0, "no name here").otherwise(F.col("question_text")))
+    return op.review_plan(_state(spark, sf_dir), m, study.exposures(spark, sf_dir), AS_OF, texts=["q"]).select("user_id", "concept", "priority", "rank")
+
+
 @query(CARDS_SQL + ", exposures AS (" + study.STUDY_SQL["exposures"][1] + "), practice_log AS (" + study.STUDY_SQL["practice_log"][1] + "), mistakes AS (" + study.STUDY_SQL["mistakes"][1] + ")" + STATE_SQL + CREVIEWS_SQL + QUEUE_SQL + f""",
 due AS (SELECT user_id, card_id::VARCHAR AS item, row_number() OVER (PARTITION BY user_id ORDER BY easiness, card_id) AS rank FROM cards WHERE next_review <= DATE '{AS_OF}'),
 wp AS (SELECT user_id, value AS item, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, kind DESC, value) AS rank FROM (SELECT user_id, kind, value, count(*) AS n FROM (SELECT user_id, 'point' AS kind, tag AS value FROM mistakes UNION ALL SELECT user_id, 'cause', mistake_type FROM mistakes) GROUP BY ALL)),

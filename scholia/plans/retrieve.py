@@ -387,3 +387,18 @@ def le16_latex_issues(spark, sf_dir):
 def le17_text_damage(spark, sf_dir):
     t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("é"), F.lit("Ã©"))).otherwise(F.replace("text", F.lit(" the "), F.lit(" ???? ")))
     return study.table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", ft.damage(F.col("t")).alias("d")).select("doc_id", "d.*")
+
+
+DAMAGED_SQL = "CASE doc_id % 3 WHEN 0 THEN replace(text, 'é', 'Ã©') ELSE replace(text, ' the ', ' ???? ') END"
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN chr(65279) ELSE '' END || """ + DAMAGED_SQL + r""" AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS text, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM t),
+b AS (SELECT * FROM l WHERE regexp_matches(text, '""" + "|".join((*ft.MOJIBAKE, r"\?{3,}", r"\x{FFFD}", ft.CP1252)) + r"""') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 6)
+SELECT t.doc_id, starts_with(t, chr(65279)) AS bom, coalesce(string_agg(line || ':' || left(text, 220), chr(10) ORDER BY line), '') AS samples FROM t LEFT JOIN b USING (doc_id) WHERE starts_with(t, chr(65279)) OR line IS NOT NULL GROUP BY ALL""")
+def le17_damage_report(spark, sf_dir):
+    """Texts that begin with a byte-order mark or have broken lines, the worst first, with their first six such lines."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("é"), F.lit("Ã©"))).otherwise(F.replace("text", F.lit(" the "), F.lit(" ???? ")))
+    d = study.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, "\ufeff").otherwise(""), t).alias("t"))
+    d = d.select("doc_id", ft.has_mark(F.col("t")).alias("bom"), ft.damaged_lines(F.col("t")).alias("lines"), ft.damage(F.col("t"))["score"].alias("score")).where(F.col("bom") | (F.size("lines") > 0))
+    said = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["line"], x["text"])), "\n")
+    return d.orderBy(F.desc("score"), "doc_id").select("doc_id", "bom", said.alias("samples"))

@@ -74,6 +74,19 @@ def sr6_mistake_stats(spark, sf_dir):
     return op.counts_by(study.mistakes(spark, sf_dir), {"all": F.lit("all"), "cause": F.col("mistake_type"), "tag": F.col("tag"), "difficulty": F.col("difficulty")}, ["user_id"])
 
 
+@query(with_study("mistakes", "exposures") + f""", l AS (SELECT id, user_id, list_distinct(list(concept)) AS linked FROM mistakes m JOIN (SELECT user_id AS u, day AS d, concept FROM exposures WHERE confidence >= 0.9 AND weak) e ON u = user_id AND d = m.day GROUP BY ALL),
+m AS (SELECT mistakes.*, linked, day + difficulty * 5 AS next_review FROM mistakes LEFT JOIN l USING (id, user_id))
+SELECT user_id, kind, value, count(*) AS n FROM (SELECT user_id, 'all' AS kind, 'all' AS value FROM m UNION ALL SELECT user_id, 'due', 'due' FROM m WHERE next_review <= DATE '{AS_OF}' UNION ALL SELECT user_id, 'cause', mistake_type FROM m
+  UNION ALL SELECT user_id, 'tag', tag FROM m UNION ALL SELECT user_id, 'tag', unnest(linked) FROM m UNION ALL SELECT user_id, 'difficulty', difficulty::VARCHAR FROM m) GROUP BY ALL""")
+def sr6_due_and_linked(spark, sf_dir):
+    """A mistake's linked concepts are those that its user was sure about and weak at on its day."""
+    m = study.mistakes(spark, sf_dir)
+    e = study.exposures(spark, sf_dir).where("confidence >= 0.9 and weak").select(F.col("user_id").alias("u"), F.col("day").alias("d"), "concept")
+    linked = m.join(e, (F.col("u") == F.col("user_id")) & (F.col("d") == F.col("day"))).groupBy("id", "user_id").agg(F.collect_set("concept").alias("linked"))
+    m = m.join(linked, ["id", "user_id"], "left").withColumn("next_review", F.expr("date_add(day, difficulty * 5)")).withColumn("mistake_types", F.array("mistake_type")).withColumn("tags", F.array("tag"))
+    return op.mistake_stats(m, AS_OF, ["user_id"])
+
+
 @query(with_study("mistakes") + """ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, kind DESC, value) AS rank FROM (
   SELECT user_id, kind, value, count(*) AS n FROM (SELECT user_id, 'point' AS kind, tag AS value FROM mistakes UNION ALL SELECT user_id, 'cause', mistake_type FROM mistakes) GROUP BY ALL)) WHERE rank <= 10""")
 def sr7_weak_points(spark, sf_dir):
