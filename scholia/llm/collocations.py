@@ -8,7 +8,7 @@ sorted edges give the counts of every prefix as sums of runs.
 
 Words below the least count can't be in a frequent phrase. A first pass counts all words exactly; in the second, words that aren't
 frequent end a run as a piece's end does. Frequent words go by numbers in falling order of their counts, so that an edge is
-one to three integers. Beyond LISTED frequent words their list isn't sent to the tasks: a table of bits of fixed size then tells
+two integers. Beyond LISTED frequent words their list isn't sent to the tasks: a table of bits of fixed size then tells
 which words may be frequent, and edges hold hashes. False positives of the bits cost rows and change no count.
 
 Edges meet by the hash of their first words: two, and one more for each of the leading words that makes up a thousandth of all
@@ -132,8 +132,12 @@ class Lexicon:
             self.bits = max(1, n_names.bit_length())
         else:
             self.table, self.hot, self.bits = bit_table(names), np.array(hot, np.int64).view(np.uint64), 64
-        self.each = max(1, 63 // self.bits)  # words that one integer holds
-        self.columns = [f"k{i}" for i in range(-(-LONGEST // self.each))]
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """How many words each integer of an edge holds: the first two stand apart, as runs of edges share them and compress well."""
+        self.held = (2, 3) if 3 * self.bits <= 63 else (1,) * LONGEST
+        self.columns = [f"k{i}" for i in range(len(self.held))]
 
     def _numbers(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -151,18 +155,18 @@ class Lexicon:
         return np.where(may, h, np.uint64(0))
 
     def packed(self, w: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, LONGEST, self.each):
-            k = np.zeros(len(w[0]), np.uint64)
-            for j in range(at, at + self.each):
-                k = (k << np.uint64(self.bits) if self.each > 1 else k) | (w[j] if j < LONGEST else np.uint64(0))
+        out, at = [], 0
+        for n in self.held:
+            k = w[at]
+            for x in w[at + 1 : at + n]:
+                k = k << np.uint64(self.bits) | x
             out.append(k.view(np.int64))
+            at += n
         return out
 
     def unpacked(self, keys: list[np.ndarray]) -> np.ndarray:
         mask = np.uint64((1 << self.bits) - 1)
-        w = [k.view(np.uint64) >> np.uint64(self.bits * (self.each - 1 - j)) & mask for k in keys for j in range(self.each)]
-        return np.stack(w[:LONGEST])
+        return np.stack([k.view(np.uint64) >> np.uint64(self.bits * j) & mask for k, n in zip(keys, self.held) for j in range(n - 1, -1, -1)])
 
     def numbered(self, names: DataFrame) -> DataFrame:
         """Adds the value ``v`` of each frequent word."""

@@ -80,7 +80,8 @@ def test_hashes_in_place_of_numbers(spark, monkeypatch):
 def test_packing_of_any_width(spark):
     lex = C.Lexicon.__new__(C.Lexicon)
     for bits in (1, 5, 12, 13, 21, 22, 31, 32, 64):
-        lex.bits, lex.each = bits, max(1, 63 // bits)
+        lex.bits = bits
+        lex._lay_out()
         w = [np.random.default_rng(i).integers(0, 2**64, 50, np.uint64) >> np.uint64(64 - bits) for i in range(C.LONGEST)]
         assert (lex.unpacked(lex.packed(w)) == np.stack(w)).all()
 
