@@ -3,9 +3,9 @@
 Method. Equal vectors of one label are one class. A class's vector is turned by three rounds of random signs and a fast
 Hadamard transform; the index and sign of its largest coordinate is one hash, and some hashes together make its bucket in one
 of several tables. Each class also asks in the bucket that its nearest second choice gives (multiprobe). Classes that meet
-are verified by their cosine in double precision. A pair may meet in several buckets and counts in the first of them
-alone, which each task works out from the two vectors, so links are counted without a table of pairs; spanning links
-give the components. More hashes to a table are used as labels grow, to keep buckets small, and with them more tables, so that
+are verified by their cosine in double precision, some hundred rows against a part at a time. A pair may meet in several buckets
+and counts in the first of them alone, which each task works out from the two vectors, so links are counted without a table or
+a list of all pairs; spanning links give the components. More hashes to a table are used as labels grow, to keep buckets small, and with them more tables, so that
 pairs at the threshold still meet with a chance of RECALL (see ``tables_for``).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or id,
@@ -31,7 +31,8 @@ LEAST_TABLES = 12
 RECALL = 0.97
 BUCKET = 32
 PART = 4096
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256  # rows that are compared with a whole part at once; only such a block's pairs are in memory
+LEAST_ROWS = 8192
 SEED = 20
 
 
@@ -47,13 +48,14 @@ def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and table its bucket, and the bucket that its nearest second choice gives."""
+def codes(x: np.ndarray, hashes: int, tables: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and table (or the ``first`` tables only) its bucket, and the bucket that its nearest second choice gives."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - x.shape[1])))
     signs = np.random.default_rng([SEED, width]).choice([-1.0, 1.0], (tables, hashes, 3, width))
-    base, probe = (np.zeros((len(x), tables), np.int64) for _ in range(2))
-    for t in range(tables):
+    some = tables if first is None else first
+    base, probe = (np.zeros((len(x), some), np.int64) for _ in range(2))
+    for t in range(some):
         firsts, seconds, losses = [], [], []
         for k in range(hashes):
             y = _turned(x, signs[t, k])
@@ -107,55 +109,69 @@ def _hashed(hashes: int, tables: int):
     return run
 
 
-def _first_meeting(base: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table and bucket in which the pairs (i, j) of rows, i having the lesser node, meet first."""
-    same, asks, asked = base[i] == base[j], probe[i] == base[j], base[i] == probe[j]
-    t = (same | asks | asked).argmax(1)
-    r = np.arange(len(i))
-    return t, np.where(same[r, t], base[i, t], np.where(asks[r, t], base[j, t], base[i, t]))
+def _first_here(base: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of rows, i having the lesser node, that meet first in this bucket of this table.
+
+    Pairs that met in an earlier table drop out table by table, most of them after the first.
+    """
+    for t in range(table):
+        x, y = base[i, t], base[j, t]
+        new = (x != y) & (probe[i, t] != y) & (x != probe[j, t])
+        i, j = i[new], j[new]
+        if not len(i):
+            return i, j
+    x, y = base[i, table], base[j, table]
+    here = np.where(x == y, x, np.where(probe[i, table] == y, y, x)) == bucket
+    return i[here], j[here]
+
+
+def _group_links(x: np.ndarray, node: np.ndarray, copies: np.ndarray, is_base: np.ndarray, ask: np.ndarray, told: np.ndarray, one: bool, code, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of a group (or pair of parts), and the least node that its pairs lead to; pairs live for a block only.
+
+    ``one`` tells that ask and told are the same rows; ``code`` gives the pairs of (base, probe) that count here.
+    """
+    n = len(node)
+    links, rep = np.zeros(n, np.int64), np.arange(n)
+    order = np.argsort(node, kind="stable")
+    norm = np.linalg.norm(x, axis=1)
+    for s in range(0, len(ask), ROWS_AT_ONCE):
+        some = ask[s : s + ROWS_AT_ONCE]
+        near = x[some] @ x[told].T
+        near /= norm[some][:, None]
+        near /= norm[told]
+        i, j = np.nonzero(near >= threshold)
+        del near
+        i, j = some[i], told[j]
+        ok = (is_base[i] | is_base[j]) & ((i < j) if one else (i != j)) & (node[i] != node[j])
+        i, j = i[ok], j[ok]
+        swap = node[i] > node[j]
+        i, j = code(np.where(swap, j, i), np.where(swap, i, j))
+        if len(i):
+            links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
+            label = least_labels(n, np.concatenate([i, np.arange(n)]), np.concatenate([j, rep]), node)
+            rep = order[np.searchsorted(node[order], label)]
+    return links, node[rep]
 
 
 def _verified(hashes: int, tables: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["label", "dim", "tab", "bucket", "lo", "hi"]):
-            node, copies, is_base = (t[c].to_numpy() for c in ("node", "copies", "base"))
-            own, lo, hi, dim, tab, bucket = (t[c].to_numpy() for c in ("own", "lo", "hi", "dim", "tab", "bucket"))
-            links = np.zeros(len(node), np.int64)
-            least = node.copy()
-            edges = np.append(np.flatnonzero(np.append(True, dim[1:] != dim[:-1])), len(dim))
-            for d0, d1 in zip(edges[:-1].tolist(), edges[1:].tolist()):  # rows of one width
-                x = _matrix(t.slice(d0, d1 - d0))
-                norm = np.linalg.norm(x, axis=1)
-                pi, pj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                    if not d0 <= a < d1:
-                        continue
-                    r = np.arange(a - d0, z - d0)
-                    ask, told = (r, r) if lo[a] == hi[a] else (r[own[a:z] == lo[a]], r[own[a:z] == hi[a]])
-                    for s in range(0, len(ask), ROWS_AT_ONCE):  # ROWS_AT_ONCE * PART cosines at a time
-                        some = ask[s : s + ROWS_AT_ONCE]
-                        i, j = np.nonzero(x[some] @ x[told].T / np.outer(norm[some], norm[told]) >= threshold)
-                        i, j = some[i], told[j]
-                        ok = (is_base[i + d0] | is_base[j + d0]) & ((i < j) if lo[a] == hi[a] else (i != j)) & (node[i + d0] != node[j + d0])
-                        pi.append(i[ok])
-                        pj.append(j[ok])
-                i, j = np.concatenate(pi), np.concatenate(pj)
-                if not len(i):
-                    continue
-                swap = node[i + d0] > node[j + d0]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                used = np.unique(np.concatenate([i, j]))
-                base, probe = codes(x[used], hashes, tables)
-                for s in range(0, len(i), 200_000):
-                    si, sj = i[s : s + 200_000], j[s : s + 200_000]
-                    ft, fb = _first_meeting(base, probe, np.searchsorted(used, si), np.searchsorted(used, sj))
-                    count = (ft == tab[si + d0]) & (fb == bucket[si + d0])
-                    np.add.at(links, si[count] + d0, copies[sj[count] + d0])
-                    np.add.at(links, sj[count] + d0, copies[si[count] + d0])
-                least[d0:d1] = least_labels(d1 - d0, i, j, node[d0:d1])
-            on = (links > 0) | (least != node)
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), pa.array(least[on])], ["node", "links", "least"])
+        for t, at in whole_groups(batches, ["label", "dim", "tab", "bucket", "lo", "hi"], LEAST_ROWS):
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                g = t.slice(a, z - a)
+                node, copies, is_base, own = (g[c].to_numpy() for c in ("node", "copies", "base", "own"))
+                table, bucket, lo, hi = (g[c][0].as_py() for c in ("tab", "bucket", "lo", "hi"))
+                x, r, known = _matrix(g), np.arange(z - a), []
+
+                def code(i: np.ndarray, j: np.ndarray, x=x, known=known, table=table, bucket=bucket) -> tuple[np.ndarray, np.ndarray]:
+                    if len(i) and not known:
+                        known.append(codes(x, hashes, tables, table + 1))
+                    return _first_here(*known[0], i, j, table, bucket) if len(i) else (i, j)
+
+                ask, told = (r, r) if lo == hi else (r[own == lo], r[own == hi])
+                links, least = _group_links(x, node, copies, is_base, ask, told, lo == hi, code, threshold)
+                on = (links > 0) | (least != node)
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), pa.array(least[on])], ["node", "links", "least"])
 
     return run
 
