@@ -2,8 +2,8 @@
 
 Method. A text's features are hashed byte trigrams of its lower-cased letters over the whole text, as the square root
 of their frequencies. A family classifier picks the language family; within it, one-versus-one machines, one for each
-pair of its languages, vote by their margins. All are linear machines with a squared hinge loss, trained on at most
-TRAIN_ROWS documents drawn by a hash of the id, evenly by language. Prediction runs in Arrow batches over all rows.
+pair of its languages, vote by their margins. All are linear machines with a squared hinge loss, trained on some
+TRAIN_ROWS documents, at most twice as many, drawn by a hash of the id, evenly by language. Prediction runs in Arrow batches over all rows.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; without any labelled row all give
 ``und``; rows with null ids count as id ''; repeated rows are predicted each; an empty table gives an empty result.
