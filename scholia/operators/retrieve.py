@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.functions import text as ft
+from scholia.sources.tables import written
 
 from .mentions import names_in
 
@@ -53,11 +54,11 @@ def bm25_search_all(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: st
     """Best ``k`` chunks of each query (query_id, text) over the chunks of every book, those without a name included.
 
     Blocks of QUERY_BLOCK queries go over the chunks, and over blocks of books where their words' weights are more than
-    WEIGHTS. A task scores its chunks against the block's queries and gives each query's best; all books are ranked together.
+    WEIGHTS. Texts are cut into tokens once; statistics, document frequencies and scores read the tokens. A task scores its chunks against the block's queries and gives each query's best; all books are ranked together.
     """
     sc = queries.sparkSession.sparkContext
     q = queries.select("query_id", F.explode(ft.tokens(F.col("text"), mode)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    t = chunks.select("book_id", "chapter", "chunk_id", "chunk_index", ft.tokens(F.col("content"), mode).alias("ts"))
+    t = written(chunks.select("book_id", "chapter", "chunk_id", "chunk_index", ft.tokens(F.col("content"), mode).alias("ts")), "tokens")  # each text is cut once
     stats = t.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     n_books = stats.count()
     out = "query_id long, book_id string, chapter string, chunk_id string, chunk_index int, s double"

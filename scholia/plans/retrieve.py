@@ -30,9 +30,9 @@ def _queries(spark, sf_dir):
     return study.queries(spark, sf_dir)
 
 
-def _bm25(spark, sf_dir):
+def _bm25(spark, sf_dir, chunks=None):
     """The best chunks of all books for each question."""
-    return tables.written(op.bm25_search_all(_queries(spark, sf_dir), study.chunks(spark, sf_dir)), "bm25")
+    return tables.written(op.bm25_search_all(_queries(spark, sf_dir), study.chunks(spark, sf_dir) if chunks is None else chunks), "bm25")
 
 
 def _index(spark, sf_dir):
@@ -133,9 +133,10 @@ rk AS (SELECT *, round(score + CASE WHEN ql = canonical_name OR ql = canonical_n
 rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, length(canonical_name), occurrence_count DESC, canonical_name) AS rank FROM rk) WHERE rank <= 3 AND score >= 30)"""
 
 
-def _ranked(spark, sf_dir):
-    c = tables.written(study.concepts(spark, sf_dir), "concepts")
-    oc = study.occurrences(spark, sf_dir).groupBy("concept_id").agg(F.count(F.lit(1)).alias("occurrence_count"), F.collect_set("role").alias("roles"))
+def _ranked(spark, sf_dir, concepts=None, occurrences=None):
+    c = tables.written(study.concepts(spark, sf_dir), "concepts") if concepts is None else concepts
+    o = study.occurrences(spark, sf_dir, c) if occurrences is None else occurrences
+    oc = o.groupBy("concept_id").agg(F.count(F.lit(1)).alias("occurrence_count"), F.collect_set("role").alias("roles"))
     q = _queries(spark, sf_dir)
     m = op.concept_search(q, c, 8).drop("rank").join(q.select("query_id", "text"), "query_id").join(c.select("concept_id", "aliases"), "concept_id").join(oc, "concept_id")
     return tables.written(op.rank_concepts(m), "ranked-concepts")
@@ -197,11 +198,13 @@ def _listed(d, list_no: int, source: str, position, rank, direct):
 
 
 def _fused(spark, sf_dir):
-    c, b, q = study.chunks(spark, sf_dir), _bm25(spark, sf_dir), _queries(spark, sf_dir)
+    c, q = tables.written(study.chunks(spark, sf_dir), "chunks"), _queries(spark, sf_dir)
+    b, concepts = _bm25(spark, sf_dir, c), tables.written(study.concepts(spark, sf_dir), "concepts")
+    occurrences = tables.written(study.occurrences(spark, sf_dir, concepts), "occurrences")
     none, no, rank = F.lit(None).cast("int"), F.lit(False), F.col("rank")
     book = b.where("rank = 1").select("query_id", F.col("book_id").alias("answering"))
-    ranked = _ranked(spark, sf_dir).select("query_id", "concept_id")
-    places = op.concept_chunks(ranked.select("concept_id").distinct(), study.occurrences(spark, sf_dir), c)
+    ranked = _ranked(spark, sf_dir, concepts, occurrences).select("query_id", "concept_id")
+    places = op.concept_chunks(ranked.select("concept_id").distinct(), occurrences, c)
     kg = places.join(ranked, "concept_id").join(book, "query_id").where(F.col("book_id").eqNullSafe(F.col("answering")))
     kg = kg.groupBy("query_id", "chunk_id", "chapter", "chunk_index", "page_idx", "content").agg(F.bool_or("is_direct_hit").alias("direct"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("chapter", "chunk_index"))

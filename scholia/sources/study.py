@@ -47,9 +47,9 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.concat(F.lit("c"), F.substring(F.md5("word"), 1, 12)).alias("concept_id"), F.col("word").alias("canonical_name"), F.array(F.col("word"), F.concat("word", F.lit("s"))).alias("aliases"))
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a chunk has a concept's name as a word; the role is by position in the page."""
-    c = concepts(spark, sf_dir).select("concept_id", "canonical_name")
+def occurrences(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Where a chunk has a concept's name as a word; the role is by position in the page. ``known`` concepts needn't be worked out again."""
+    c = (concepts(spark, sf_dir) if known is None else known).select("concept_id", "canonical_name")
     w = words6(spark, sf_dir).select("book_id", "chapter", "chunk_id", "chunk_index", "page_idx", "word").distinct()
     roles = F.array(*map(F.lit, ("definition", "theorem", "example", "exercise", "reference")))
     return w.join(c, w["word"] == c["canonical_name"]).select("concept_id", "canonical_name", "book_id", "chapter", "chunk_id", "chunk_index", "page_idx", F.element_at(roles, F.col("chunk_index") % 5 + 1).alias("role"))
