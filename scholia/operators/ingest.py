@@ -175,10 +175,22 @@ def chapter_of_page_range(ranges: DataFrame, chapters: DataFrame) -> DataFrame:
     return ranges.join(hit.groupBy("range_id").agg(F.min("chapter_no").alias("chapter_no")), "range_id", "left")
 
 
-def images_in_sections(images: DataFrame, sections: DataFrame) -> DataFrame:
-    """Images whose page lies in a section, one row per path, the earliest."""
-    s = sections.select("book_id", "chapter", "start_page", "end_page")
-    inside = images.alias("i").join(s.alias("s"), (F.col("i.book_id") == F.col("s.book_id")) & (F.col("i.chapter") == F.col("s.chapter")) & F.col("i.page_idx").between(F.col("s.start_page"), F.col("s.end_page")), "left_semi")
+def images_in_sections(images: DataFrame, sections: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Images whose page lies in a section, one row per path, the earliest.
+
+    With ``chunks`` (book_id, chapter, page_idx), an image also stays whose page one of them is on, and a chapter that has neither
+    chunks with a page nor sections that begin on one keeps all its images. A section without an end ends where it begins.
+    """
+    s = sections.select("book_id", "chapter", "start_page", F.greatest("start_page", F.coalesce("end_page", "start_page")).alias("end_page")).where("start_page is not null")
+    own = (F.col("i.book_id") == F.col("s.book_id")) & (F.col("i.chapter") == F.col("s.chapter"))
+    i = images.alias("i")
+    inside = i.join(s.alias("s"), own & F.col("i.page_idx").between(F.col("s.start_page"), F.col("s.end_page")), "left_semi")
+    if chunks is not None:
+        keys = ["book_id", "chapter"]
+        pages = chunks.where("page_idx >= 0").select(*keys, "page_idx").distinct()
+        on_page = images.join(pages, [*keys, "page_idx"], "left_semi")
+        free = images.join(pages.select(*keys).union(s.select(*keys)).distinct(), keys, "left_anti")
+        inside = inside.unionByName(on_page).unionByName(free)
     return inside.groupBy("book_id", "path").agg(F.min("page_idx").alias("page_idx"), F.min("pos").alias("pos"))
 
 

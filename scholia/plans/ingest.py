@@ -179,6 +179,16 @@ def in17_images_in_sections(spark, sf_dir):
     return op.images_in_sections(i, study.sections(spark, sf_dir).where("section_no % 2 = 0"))
 
 
+@query(with_study("chunks", "sections") + """, i AS (SELECT *, 'img' || chunk_index % 50 AS path FROM chunks), pg AS (SELECT DISTINCT chapter, page_idx FROM chunks WHERE chunk_index % 7 = 0 AND chapter::INT % 3 > 0), sc AS (SELECT * FROM sections WHERE section_no % 3 = 1 AND chapter::INT % 5 > 0)
+SELECT book_id, path, min(page_idx) AS page_idx, min(chunk_index) AS pos FROM i WHERE (chapter, page_idx) IN (SELECT (chapter, page_idx) FROM pg) OR EXISTS (SELECT 1 FROM sc WHERE sc.chapter = i.chapter AND i.page_idx BETWEEN sc.start_page AND sc.end_page)
+ OR NOT (chapter IN (SELECT chapter FROM pg) OR chapter IN (SELECT chapter FROM sc)) GROUP BY book_id, path""")
+def in17_images_by_pages(spark, sf_dir):
+    """Some chapters have chunks with pages, some sections, some both or neither."""
+    c, n = study.chunks(spark, sf_dir), F.col("chapter").cast("int")
+    i = c.select("book_id", "chapter", "page_idx", F.col("chunk_index").alias("pos"), F.concat(F.lit("img"), F.col("chunk_index") % 50).alias("path"))
+    return op.images_in_sections(i, study.sections(spark, sf_dir).where((F.col("section_no") % 3 == 1) & (n % 5 > 0)), c.where((F.col("chunk_index") % 7 == 0) & (n % 3 > 0)))
+
+
 @query(with_study("chunks") + """ SELECT chunk_id, array_to_string(list_filter(list(content) OVER (PARTITION BY chapter, page_idx ORDER BY chunk_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), lambda x: regexp_matches(x, '(of|the)'))[1:2], '|') AS captions FROM chunks""")
 def in17_captions(spark, sf_dir):
     return op.captions(study.chunks(spark, sf_dir), ["chapter"], "chunk_index", "(of|the)").select("chunk_id", F.array_join("captions", "|").alias("captions"))
