@@ -86,20 +86,20 @@ def kg7_link_formulas(spark, sf_dir):
     return op.link_formulas(_formulas(spark, sf_dir), study.occurrences(spark, sf_dir)).select("book_id", "latex", F.array_join("concepts", ",").alias("concepts"))
 
 
-@query(WORDS_SQL + """, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN left(content, 30) ELSE '' END AS definition FROM w WHERE length(word) >= 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS r FROM c) WHERE r <= 20)
+@query(WORDS_SQL + """, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN string_split(content, '.')[1] ELSE '' END AS definition FROM w WHERE length(word) >= 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS r FROM c) WHERE r <= 20)
 SELECT book_id, word AS name, count(DISTINCT chunk_id) AS n_chunks, min_by(definition, (chunk_index, chunk_id, pos)) FILTER (definition <> '') AS definition, substr(sha1(book_id || '|' || word), 1, 16) AS concept_id, coalesce(array_to_string(list_sort(list_distinct(list(lower(word)) FILTER (contains(content, lower(word))))), ','), '') AS aliases FROM k GROUP BY book_id, word""")
 def kg8_evidence_graph(spark, sf_dir):
-    c = _words(spark, sf_dir).withColumnRenamed("word", "name").withColumn("definition", F.when(F.col("pos") % 2 == 0, F.substring("content", 1, 30)).otherwise("")).withColumn("aliases", F.array(F.lower("name")))
+    c = _words(spark, sf_dir).withColumnRenamed("word", "name").withColumn("definition", F.when(F.col("pos") % 2 == 0, F.substring_index("content", ".", 1)).otherwise("")).withColumn("aliases", F.array(F.lower("name")))
     return op.evidence_graph(c).withColumn("aliases", F.array_join("aliases", ","))
 
 
-CAND_SQL = """, cand AS (SELECT lower(word) AS name, chunk_id, pos, CASE pos % 3 WHEN 0 THEN 'definition' ELSE 'example' END AS role, CASE WHEN pos % 2 = 1 THEN left(content, 20) ELSE '' END AS definition, (pos % 10) / 10.0::DOUBLE AS confidence, [lower(word), word] AS aliases, [lower(lead(word) OVER (PARTITION BY chunk_id ORDER BY pos))] AS prerequisites FROM w)"""
+CAND_SQL = """, cand AS (SELECT lower(word) AS name, chunk_id, pos, CASE pos % 3 WHEN 0 THEN 'definition' ELSE 'example' END AS role, CASE WHEN pos % 2 = 1 THEN string_split(content, '.')[1] ELSE '' END AS definition, (pos % 10) / 10.0::DOUBLE AS confidence, [lower(word), word] AS aliases, [lower(lead(word) OVER (PARTITION BY chunk_id ORDER BY pos))] AS prerequisites FROM w)"""
 
 
 def _cand(spark, sf_dir):
     p = F.col("pos")
     return _words(spark, sf_dir).select(
-        F.lower("word").alias("name"), "chunk_id", "pos", F.when(p % 3 == 0, "definition").otherwise("example").alias("role"), F.when(p % 2 == 1, F.substring("content", 1, 20)).otherwise("").alias("definition"),
+        F.lower("word").alias("name"), "chunk_id", "pos", F.when(p % 3 == 0, "definition").otherwise("example").alias("role"), F.when(p % 2 == 1, F.substring_index("content", ".", 1)).otherwise("").alias("definition"),
         ((p % 10) / 10.0).alias("confidence"), F.array(F.lower("word"), F.col("word")).alias("aliases"), F.array(F.lower(F.lead("word").over(Window.partitionBy("chunk_id").orderBy("pos")))).alias("prerequisites"))
 
 

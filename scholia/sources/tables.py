@@ -32,7 +32,22 @@ def scratch(spark, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scholia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+_made: list[tuple[str, str]] = []  # scratch paths by application
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the scratch folders that this application made so far; results that read them must have been written. How many."""
+    own = [p for app, p in _made if app == spark.sparkContext.applicationId]
+    for p in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [x for x in _made if x[1] not in set(own)]
+    return len(own)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholia.functions import numerals
 from scholia.functions import text as ft
 from scholia.operators import graph, ingest, learning, review, tree
+from scholia.sources import tables
 
 
 def chinese(n):
@@ -128,3 +129,11 @@ def test_definitions_fall_back(spark):
     chapters = spark.createDataFrame([("a", "第一章"), ("b", "第二章"), ("c", "")], "concept_id string, chapter string")
     got = {r.concept_id: (r.definition, r.mined) for r in graph.definitions(c, mined, chapters).collect()}
     assert got == {"a": ("x" * 500, True), "b": ("《第二章》中的核心概念", False), "c": ("（暂无摘要）", False)}
+
+
+def test_scratch_is_cleared(spark):
+    df = tables.written(spark.range(5), "cleared")
+    path = next(p for _, p in tables._made if "/cleared-" in p)
+    assert df.count() == 5 and tables.exists(spark, path)
+    assert tables.clear_scratch(spark) >= 1
+    assert not tables.exists(spark, path) and tables.clear_scratch(spark) == 0
