@@ -31,8 +31,8 @@ LEAST_TABLES = 12
 RECALL = 0.97
 BUCKET = 32
 PART = 4096
-ROWS_AT_ONCE = 256  # rows that are compared with a whole part at once; only such a block's pairs are in memory
-LEAST_ROWS = 8192
+ROWS_AT_ONCE = 256  # rows that are compared with a whole part at once
+PAIRS = 500_000  # linked pairs that wait to be counted, beside those of one block
 SEED = 20
 
 
@@ -48,14 +48,13 @@ def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, hashes: int, tables: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and table (or the ``first`` tables only) its bucket, and the bucket that its nearest second choice gives."""
+def codes(x: np.ndarray, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and table its bucket, and the bucket that its nearest second choice gives."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - x.shape[1])))
     signs = np.random.default_rng([SEED, width]).choice([-1.0, 1.0], (tables, hashes, 3, width))
-    some = tables if first is None else first
-    base, probe = (np.zeros((len(x), some), np.int64) for _ in range(2))
-    for t in range(some):
+    base, probe = (np.zeros((len(x), tables), np.int64) for _ in range(2))
+    for t in range(tables):
         firsts, seconds, losses = [], [], []
         for k in range(hashes):
             y = _turned(x, signs[t, k])
@@ -109,66 +108,83 @@ def _hashed(hashes: int, tables: int):
     return run
 
 
-def _first_here(base: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs (i, j) of rows, i having the lesser node, that meet first in this bucket of this table.
-
-    Pairs that met in an earlier table drop out table by table, most of them after the first.
-    """
-    for t in range(table):
-        x, y = base[i, t], base[j, t]
-        new = (x != y) & (probe[i, t] != y) & (x != probe[j, t])
-        i, j = i[new], j[new]
-        if not len(i):
-            return i, j
-    x, y = base[i, table], base[j, table]
-    here = np.where(x == y, x, np.where(probe[i, table] == y, y, x)) == bucket
-    return i[here], j[here]
-
-
-def _group_links(x: np.ndarray, node: np.ndarray, copies: np.ndarray, is_base: np.ndarray, ask: np.ndarray, told: np.ndarray, one: bool, code, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows of a group (or pair of parts), and the least node that its pairs lead to; pairs live for a block only.
-
-    ``one`` tells that ask and told are the same rows; ``code`` gives the pairs of (base, probe) that count here.
-    """
-    n = len(node)
-    links, rep = np.zeros(n, np.int64), np.arange(n)
-    order = np.argsort(node, kind="stable")
-    norm = np.linalg.norm(x, axis=1)
-    for s in range(0, len(ask), ROWS_AT_ONCE):
-        some = ask[s : s + ROWS_AT_ONCE]
-        near = x[some] @ x[told].T
-        near /= norm[some][:, None]
-        near /= norm[told]
-        i, j = np.nonzero(near >= threshold)
-        del near
-        i, j = some[i], told[j]
-        ok = (is_base[i] | is_base[j]) & ((i < j) if one else (i != j)) & (node[i] != node[j])
-        i, j = i[ok], j[ok]
-        swap = node[i] > node[j]
-        i, j = code(np.where(swap, j, i), np.where(swap, i, j))
+class _Links:
+    """Links of a table's rows, from pairs of rows that come in bounded numbers; hashes are worked out once a row that has a pair."""
+
+    def __init__(self, x: np.ndarray, node: np.ndarray, copies: np.ndarray, table: np.ndarray, bucket: np.ndarray, hashes: int, tables: int):
+        self.x, self.node, self.copies, self.table, self.bucket, self.hashes, self.tables = x, node, copies, table, bucket, hashes, tables
+        n = len(node)
+        self.links, self.rep, self.order = np.zeros(n, np.int64), np.arange(n), np.argsort(node, kind="stable")
+        self.known, self.code_of, self.base, self.probe = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros((0, tables), np.int64), np.zeros((0, tables), np.int64)
+
+    def _first_here(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs, i having the lesser node, that meet first in the bucket and table that their rows are in.
+
+        Pairs that met in an earlier table drop out table by table, most of them after the first.
+        """
+        some = np.unique(np.concatenate([i, j]))
+        new = some[~self.known[some]]
+        if len(new):
+            more = codes(self.x[new], self.hashes, self.tables)
+            self.code_of[new], self.known[new] = len(self.base) + np.arange(len(new)), True
+            self.base, self.probe = np.concatenate([self.base, more[0]]), np.concatenate([self.probe, more[1]])
+        ci, cj, table = self.code_of[i], self.code_of[j], self.table[i]
+        for t in range(int(table.max(initial=0))):
+            x, y = self.base[ci, t], self.base[cj, t]
+            new = (table <= t) | (x != y) & (self.probe[ci, t] != y) & (x != self.probe[cj, t])
+            i, j, ci, cj, table = i[new], j[new], ci[new], cj[new], table[new]
+        x, y = self.base[ci, table], self.base[cj, table]
+        here = np.where(x == y, x, np.where(self.probe[ci, table] == y, y, x)) == self.bucket[i]
+        return i[here], j[here]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        swap = self.node[i] > self.node[j]
+        i, j = self._first_here(np.where(swap, j, i), np.where(swap, i, j))
         if len(i):
-            links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
-            label = least_labels(n, np.concatenate([i, np.arange(n)]), np.concatenate([j, rep]), node)
-            rep = order[np.searchsorted(node[order], label)]
-    return links, node[rep]
+            n = len(self.node)
+            self.links += np.bincount(i, self.copies[j], n).astype(np.int64) + np.bincount(j, self.copies[i], n).astype(np.int64)
+            label = least_labels(n, np.concatenate([i, np.arange(n)]), np.concatenate([j, self.rep]), self.node)
+            self.rep = self.order[np.searchsorted(self.node[self.order], label)]
+
+    def least(self) -> np.ndarray:
+        """The least node that each row's pairs lead to."""
+        return self.node[self.rep]
 
 
 def _verified(hashes: int, tables: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["label", "dim", "tab", "bucket", "lo", "hi"], LEAST_ROWS):
-            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                g = t.slice(a, z - a)
-                node, copies, is_base, own = (g[c].to_numpy() for c in ("node", "copies", "base", "own"))
-                table, bucket, lo, hi = (g[c][0].as_py() for c in ("tab", "bucket", "lo", "hi"))
-                x, r, known = _matrix(g), np.arange(z - a), []
-
-                def code(i: np.ndarray, j: np.ndarray, x=x, known=known, table=table, bucket=bucket) -> tuple[np.ndarray, np.ndarray]:
-                    if len(i) and not known:
-                        known.append(codes(x, hashes, tables, table + 1))
-                    return _first_here(*known[0], i, j, table, bucket) if len(i) else (i, j)
-
-                ask, told = (r, r) if lo == hi else (r[own == lo], r[own == hi])
-                links, least = _group_links(x, node, copies, is_base, ask, told, lo == hi, code, threshold)
+        for t, at in whole_groups(batches, ["label", "dim", "tab", "bucket", "lo", "hi"]):
+            dim = t["dim"].to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, dim[1:] != dim[:-1])), len(dim))
+            for d0, d1 in zip(edges[:-1].tolist(), edges[1:].tolist()):  # rows of one width
+                g = t.slice(d0, d1 - d0)
+                node, copies, is_base, own, lo, hi, tab, bucket = (g[c].to_numpy() for c in ("node", "copies", "base", "own", "lo", "hi", "tab", "bucket"))
+                x = _matrix(g)
+                norm = np.linalg.norm(x, axis=1)
+                found, held, n_held = _Links(x, node, copies, tab, bucket, hashes, tables), [], 0
+                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                    if not d0 <= a < d1:
+                        continue
+                    a, z = a - d0, z - d0
+                    r = np.arange(a, z)
+                    one = lo[a] == hi[a]
+                    ask, told = (r, r) if one else (r[own[a:z] == lo[a]], r[own[a:z] == hi[a]])
+                    for s in range(0, len(ask), ROWS_AT_ONCE):
+                        some = ask[s : s + ROWS_AT_ONCE]
+                        near = x[some] @ x[told].T
+                        near /= norm[some][:, None]
+                        near /= norm[told]
+                        i, j = np.nonzero(near >= threshold)
+                        i, j = some[i], told[j]
+                        ok = (is_base[i] | is_base[j]) & ((i < j) if one else (i != j)) & (node[i] != node[j])
+                        held.append((i[ok], j[ok]))
+                        n_held += len(held[-1][0])
+                        if n_held >= PAIRS:
+                            found.add(*map(np.concatenate, zip(*held)))
+                            held, n_held = [], 0
+                if n_held:
+                    found.add(*map(np.concatenate, zip(*held)))
+                links, least = found.links, found.least()
                 on = (links > 0) | (least != node)
                 if on.any():
                     yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), pa.array(least[on])], ["node", "links", "least"])
