@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +116,25 @@ def read_chunk_jsonl(spark: SparkSession, path: str, book: str = "default", subj
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of Markdown files in order of path, with line feeds alone."""
-    raw = spark.read.schema("value string").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("pos", "text"))
+    """Lines of Markdown files (file, pos, text) in order of path, without line ends; after a last line end stands one empty line.
+
+    Files are read in splits and no file is held whole. A line's place is its split's first one and its place in the split; lines
+    are written once for that. A byte order mark is left out.
+    """
+    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_size", "bytes"), ("file_block_start", "start"))]
+    raw = spark.read.schema("value string").option("lineSep", "\n").text(path).select(*meta, "value")
+    own = F.split(F.regexp_replace("value", r"\r\z", ""), "\r")  # line feeds are cut already, other line ends are not
+    raw = raw.select("file", "bytes", "start", (F.octet_length("value") + 1).alias("own_bytes"), F.endswith("value", F.lit("\r")).alias("returned"), F.posexplode(own).alias("at", "text"))
+    lines = written(raw.withColumn("id", F.monotonically_increasing_id()), "lines")  # a split's ids follow each other
+    first = F.col("at") == 0
+    splits = lines.groupBy("file", "bytes", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.sum(F.when(first, F.col("own_bytes"))).alias("read"), F.max_by("returned", "id").alias("returned"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("before", F.coalesce(before, F.lit(0)))
+    body = lines.join(F.broadcast(splits.select("file", "start", "least", "before")), ["file", "start"]).select("file", (F.col("before") + F.col("id") - F.col("least")).cast("int").alias("pos"), "text")
+    # all bytes but a mark's three were lines and their ends: the last line had one
+    ended = F.col("returned") | (F.col("bytes") - F.col("read")).isin(0, 3)
+    last = splits.groupBy("file", "bytes").agg(F.sum("n").cast("int").alias("pos"), F.sum("read").alias("read"), F.max_by("returned", "start").alias("returned"))
+    return body.union(last.where(ended).select("file", "pos", F.lit("").alias("text")))
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:

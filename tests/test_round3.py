@@ -1,5 +1,8 @@
 """What the review of round 3 found."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from scholia.operators import similar
 from scholia.sources import tables
 
@@ -21,3 +24,29 @@ def test_keys_of_names_are_not_broadcast(spark, monkeypatch):
     aliases = spark.createDataFrame([("derivative", "c1"), ("integral", "c2")], "alias string, concept_id string")
     assert {(r.name, r.concept_id) for r in similar.similar_names(names, aliases).collect()} == {("derivativ", "c1"), ("integrals", "c2")}
     assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
+FILES = {"a.md": "one\r\ntwo\rthree\n\nfour", "b.md": "x\n", "c.md": "x\r", "d.md": "\r\n", "e.md": "é\r\r\ny\r\n", "f.md": "no end", "g.md": "".join(f"line {i}\n" for i in range(5000)) + "end"}
+
+
+@pytest.mark.parametrize("most", ["128m", "1000"])
+def test_markdown_is_read_in_splits(spark, tmp_path, most):
+    import re
+
+    for n, t in FILES.items():
+        (tmp_path / n).write_bytes(t.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    try:
+        d = tables.read_markdown(spark, str(tmp_path))
+        got = sorted((r.file.rsplit("/")[-1], r.pos, r.text) for r in d.collect())
+        assert "wholetext" not in d._jdf.queryExecution().logical().toString().lower() and spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= (40 if most == "1000" else 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((n, i, x) for n, t in FILES.items() for i, x in enumerate(re.sub("\r\n?", "\n", t).split("\n")))
+
+
+def test_a_large_markdown_file_is_no_single_row(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.md").write_text("some line of text\n" * 200_000)
+    sizes = []
+    monkeypatch.setattr(tables, "written", lambda df, name, w=tables.written: (sizes.append(df.agg(F.max(F.length("text"))).first()[0]), w(df, name))[1])
+    assert tables.read_markdown(spark, str(tmp_path)).count() == 200_001 and sizes == [17]
