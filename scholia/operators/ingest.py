@@ -229,7 +229,7 @@ def section_examples(chunks: DataFrame, sections: DataFrame, cap: int = 5000) ->
     """
     d = sections_by_page(chunks.where(F.col("role").isin("example", "exercise") | F.col("content").rlike(PROBLEM_START)), sections)
     d = d.withColumn("part", F.concat(F.lit("["), "chunk_id", F.lit("; "), F.coalesce(F.when(F.col("role") != "", F.col("role")), F.lit("problem")), F.lit("]\n"), F.trim("content")))
-    w = Window.partitionBy("book_id", "chapter", "section_no").orderBy("chunk_index")
+    w = Window.partitionBy("book_id", "chapter", "section_no").orderBy("chunk_index", "part")
     d = d.withColumn("upto", F.sum(F.length("part") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.length("part") - 2)
     near = F.array_sort(F.collect_list(F.when(F.col("before") < cap, F.struct("chunk_index", "part"))))
     g = d.groupBy("book_id", "chapter", "section_no").agg(F.array_join(F.transform(near, lambda x: x["part"]), "\n\n").alias("text"), (F.max("upto") - 2).alias("chars"))

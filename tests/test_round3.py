@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import similar
+from scholia.operators import ingest, similar
 from scholia.sources import tables
 
 
@@ -50,3 +50,11 @@ def test_a_large_markdown_file_is_no_single_row(spark, tmp_path, monkeypatch):
     sizes = []
     monkeypatch.setattr(tables, "written", lambda df, name, w=tables.written: (sizes.append(df.agg(F.max(F.length("text"))).first()[0]), w(df, name))[1])
     assert tables.read_markdown(spark, str(tmp_path)).count() == 200_001 and sizes == [17]
+
+
+def test_chunks_of_one_place_are_ordered(spark):
+    chunks = [("b", "1", "1_0", 0, 0, "example", "z" * 6000), ("b", "1", "1_0", 0, 0, "example", "a"), ("b", "1", "1_1", 1, 0, "example", "later")]
+    c = spark.createDataFrame(chunks, "book_id string, chapter string, chunk_id string, chunk_index int, page_idx int, role string, content string").coalesce(1)
+    s = spark.createDataFrame([("b", "1", 0, 0, 1)], "book_id string, chapter string, section_no int, start_page int, end_page int")
+    r = ingest.section_examples(c, s).first()
+    assert r.text == ("[1_0; example]\na\n\n[1_0; example]\n" + "z" * 6000)[:5000] and r.cut
