@@ -1,10 +1,14 @@
 """What the review of round 3 found."""
 
+import re
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import ingest, similar
-from scholia.sources import tables
+from scholia import plans
+from scholia.operators import graph, ingest, similar
+from scholia.sources import study, tables
 
 
 def plan_of(df):
@@ -31,8 +35,6 @@ FILES = {"a.md": "one\r\ntwo\rthree\n\nfour", "b.md": "x\n", "c.md": "x\r", "d.m
 
 @pytest.mark.parametrize("most", ["128m", "1000"])
 def test_markdown_is_read_in_splits(spark, tmp_path, most):
-    import re
-
     for n, t in FILES.items():
         (tmp_path / n).write_bytes(t.encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", most)
@@ -58,3 +60,44 @@ def test_chunks_of_one_place_are_ordered(spark):
     s = spark.createDataFrame([("b", "1", 0, 0, 1)], "book_id string, chapter string, section_no int, start_page int, end_page int")
     r = ingest.section_examples(c, s).first()
     assert r.text == ("[1_0; example]\na\n\n[1_0; example]\n" + "z" * 6000)[:5000] and r.cut
+
+
+def test_words_after_words_need_no_order(spark, sf_dir):
+    for q in ("kg6_resolve_relations", "kg9_graph_from_candidates"):
+        assert "Window" not in plan_of(plans.QUERIES[q](spark, sf_dir))
+
+
+def test_texts_are_not_ranked_with_their_words(spark, sf_dir):
+    p = plans.QUERIES["kg8_evidence_graph"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = re.findall(r"Window \[.*\n(?:.*WindowGroupLimit.*\n)?.*?Project \[(.*)\]", p)
+    assert ranked and not any(re.search(r"(^|, )content#\d+(,|$)", x) for x in ranked)
+
+
+def test_definitions_are_kept_by_name(spark, sf_dir):
+    p = plan_of(plans.QUERIES["kg9_merge_candidates"](spark, sf_dir))
+    keys = re.findall(r"SortAggregate\(key=\[(.*?)\], functions=\[[^\]]*min_by", p)
+    assert keys and all("," not in k for k in keys)
+
+
+def test_only_the_best_places_get_texts(spark, sf_dir):
+    assert "WindowGroupLimit" in plan_of(plans.QUERIES["kg18_concept_card"](spark, sf_dir))
+
+
+def test_cards_of_a_repeated_chunk(spark):
+    o = spark.createDataFrame([("c", "b", "1", "k1", 0, "definition"), ("c", "b", "1", "k2", 1, "definition"), ("c", "b", "2", "k3", 0, "theorem"), ("c", "b", "2", "k4", 1, "example")], "concept_id string, book_id string, chapter string, chunk_id string, chunk_index int, role string")
+    chunks = spark.createDataFrame([("k1", "same"), ("k1", "same"), ("k2", "two"), ("k3", "three"), ("k4", "four")], "chunk_id string, content string")
+    r = graph.concept_card(spark.createDataFrame([("c", "name")], "concept_id string, canonical_name string"), o, chunks).first()
+    assert (r.definition, r.definitions, r.examples, r.chapters) == ("same", ["k1", "k1", "k2"], ["k4"], ["1", "2"])
+
+
+def test_repeated_ids_of_documents(spark, tmp_path):
+    words = [(i, f"shared wordings {i} shared\nshared other", "s1") for i in range(12)]
+    rows = [*words, (3, "shared again\nshared other", "s1"), (3, "shared", "s2"), (None, "shared other", "s1"), (5, None, "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = "concept_id, canonical_name, book_id, chapter, chunk_index, page_idx, role FROM occurrences WHERE chapter IS NOT NULL"
+    want = c.execute(study.with_study("occurrences") + " SELECT " + sql).fetchall()
+    got = study.occurrences(spark, str(tmp_path)).where("chapter is not null").select("concept_id", "canonical_name", "book_id", "chapter", "chunk_index", "page_idx", "role")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "again" in plan_of(got)
