@@ -307,20 +307,31 @@ def split_text(text: str, size: int, overlap: int, seps: tuple[str, ...] = SEPAR
 CHUNK = "key string, part int, idx int, chunk_id string, content string, retrieval_text string, parent_content string"
 
 
+PIECES = 2_000  # so many rows are held at a time, each with its section's head
+
+
 def split_chunks(sections: DataFrame, size: int = 700, overlap: int = 80) -> DataFrame:
     """Bounded chunks of the sections, with ids that follow from their place and text."""
+    return sections.mapInPandas(_split_batches(size, overlap), CHUNK)
+
+
+def _split_batches(size: int, overlap: int):
+    columns = ["key", "part", "idx", "chunk_id", "content", "retrieval_text", "parent_content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples():
-                path = " > ".join(r.section_path)
+                path, head = " > ".join(r.section_path), r.body[:2000]
                 for i, c in enumerate(split_text(r.body, size, overlap)):
                     key = hashlib.md5(f"{r.key}|{path}|{r.part}|{i}|{c[:120]}".encode()).hexdigest()[:16]
-                    rows.append((r.key, r.part, i, key, c, f"{path}\n{c}", r.body[:2000]))
-            yield pd.DataFrame(rows, columns=["key", "part", "idx", "chunk_id", "content", "retrieval_text", "parent_content"])
+                    rows.append((r.key, r.part, i, key, c, f"{path}\n{c}", head))
+                    if len(rows) == PIECES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
-    return sections.mapInPandas(run, CHUNK)
+    return run
 
 
 def pack_text(parts: DataFrame, most: int = 2500) -> DataFrame:
