@@ -36,7 +36,9 @@ from .tokens import VOCABULARY, batches_by_size, coder
 END_ID = 2
 LEAST, MOST, MEAN_BITS = 128, 4096, 9
 BLOCK_DOCS = 4096
-PART_ROWS = "row_key long, doc_id long, seq int, n_ids int, after long, n_tokens long, digest binary, width int, payload binary, root binary"
+# a row has a chunk that its task hasn't met before, a document's recipe (with its first chunk), or both
+PART_ROWS = "row_key long, doc_id long, n_tokens long, root binary, chunks array<struct<seq: int, digest: binary, n_ids: int, after: long>>, digest binary, n_ids int, width int, payload binary"
+_RECIPE = pa.list_(pa.struct([("seq", pa.int32()), ("digest", pa.binary()), ("n_ids", pa.int32()), ("after", pa.int64())]))
 
 
 def merkle_root(digests: list[bytes]) -> bytes:
@@ -89,16 +91,19 @@ def _chunked(vocabulary: str, end_id: int):
                     ends = chunk_bounds(n, cuts[lo[k] : lo[k + 1]] - first)
                     raw = [stored[first + a : first + z].tobytes() for a, z in zip([0, *ends], ends)]
                     digests = [hashlib.sha256(x).digest() for x in raw]
-                    root = merkle_root(digests)
-                    for seq, (x, d, z) in enumerate(zip(raw, digests, ends)):
+                    chunks = [{"seq": seq, "digest": d, "n_ids": len(x) // width, "after": n - z} for seq, (x, d, z) in enumerate(zip(raw, digests, ends))]
+                    told = (key, doc, n, merkle_root(digests), chunks)
+                    for x, d in zip(raw, digests):
                         new = d not in seen
                         seen.add(d)
-                        rows.append((key, doc, seq, len(x) // width, n - z, n, d, width, press.compress(x) if new else None, root))
+                        if new or told[-1] is not None:
+                            rows.append((*told, *((d, len(x) // width, width, press.compress(x)) if new else (None,) * 4)))
+                        told = (None,) * 5
                 if len(seen) > 200_000:
                     seen.clear()
-                cols = list(zip(*rows)) or [()] * 10
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_key", "doc_id", "seq", "n_ids", "after", "n_tokens", "digest", "width", "payload", "root"])
+                cols = list(zip(*rows)) or [()] * 9
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), _RECIPE, pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_key", "doc_id", "n_tokens", "root", "chunks", "digest", "n_ids", "width", "payload"])
 
     return run
 
@@ -155,8 +160,7 @@ def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     parts = staged(rows.mapInArrow(_chunked(vocabulary, end_id), PART_ROWS), "chunked", codec="snappy")
     once = parts.where(F.col("payload").isNotNull()).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n_ids", "width", "payload")))
     once.write.option("compression", "none").parquet(f"{path}/chunks")
-    chunks = F.array_sort(F.collect_list(F.struct("seq", "digest", "n_ids", "after")))
-    recipes = parts.groupBy("row_key", "doc_id", "n_tokens", "root").agg(chunks.alias("chunks"))
+    recipes = parts.where(F.col("chunks").isNotNull()).select("row_key", "doc_id", "n_tokens", "root", "chunks")  # a document's chunks come from one task
     recipes = running_starts(recipes, ["doc_id", "row_key"], "n_tokens")
     recipes.sortWithinPartitions("doc_id", "row_key").write.parquet(f"{path}/recipes")
     manifest_of(docs.sparkSession.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
