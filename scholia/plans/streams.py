@@ -109,11 +109,10 @@ def st3_stream_reviews(spark, sf_dir):
 @query(SESSIONS_SQL + " SELECT * FROM st")
 def st3_stream_sessions(spark, sf_dir):
     """Session states from a stream in three batches, the last of which brings all events again."""
-    e, path = study.session_events(spark, sf_dir).where("session_id is not null"), tables.scratch(spark, "session-events")
+    e, path = tables.written(study.session_events(spark, sf_dir).where("session_id is not null"), "session-events"), tables.scratch(spark, "session-batches")
     half = (e.agg(F.max("seq")).first()[0] or 0) // 2
-    for part in (e.where(F.col("seq") <= half), e.where(F.col("seq") > half), e):  # files are read in the order of their writing
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    kept = tables.scratch(spark, "sessions")
-    sessions.run_sessions(stream, kept, tables.scratch(spark, "state"))
+    kept, state = tables.scratch(spark, "sessions"), tables.scratch(spark, "state")
+    for part in (e.where(F.col("seq") <= half), e.where(F.col("seq") > half), e):  # a run takes all files that came since the one before
+        part.write.mode("append").parquet(path)
+        sessions.run_sessions(spark.readStream.schema(e.schema).parquet(path), kept, state)
     return sessions.latest_states(spark.read.schema(f"{sessions.STATES}, batch int").parquet(kept)).drop("exercise_ids")

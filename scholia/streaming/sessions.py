@@ -100,9 +100,14 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seen = self.last.get()[0] if self.last.exists() else None
+        events = pd.concat(rows)
+        if seen is not None:
+            events = events[events["seq"] > seen]
+            if events.empty:  # a replay changes nothing and needs no sessions
+                return
         sessions = {k[0]: dict(zip(FIELDS, (v[0], list(v[1]), *v[2:]))) for k, v in self.sessions.iterator()}
         changed: set[int] = set()
-        events = pd.concat(rows).sort_values("seq", kind="stable")
+        events = events.sort_values("seq", kind="stable")
         for values in events[list(EVENTS)].astype(object).where(events[list(EVENTS)].notna(), None).itertuples(index=False):
             if seen is None or values.seq > seen:
                 changed.update(advance(sessions, values))
