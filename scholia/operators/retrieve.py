@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from scholia.sources.tables import written
 from .mentions import names_in
 
 K1, B = 1.2, 0.75
+POSTING_ROWS = 2_000  # so many chunks are counted at a time
 # fixed values: titles of tables of contents
 TOC_TITLES = ("(no title)", "目录", "本章学习要点", "习题", "思考题", "参考文献", "附录", "table of contents", "toc")
 TOC_PARTS = ("目录", "本章学习要点", "习题", "table of contents")
@@ -27,8 +29,32 @@ def build_postings(chunks: DataFrame, text: str = "content", mode: str = "word")
     """Postings (book_id, term, chunk_id, pos fields, tf, dl), and book statistics (n, avgdl)."""
     t = chunks.select("book_id", "chapter", "chunk_id", "chunk_index", ft.tokens(F.col(text), mode).alias("ts")).withColumn("dl", F.size("ts"))
     stats = t.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    p = t.select("book_id", "chapter", "chunk_id", "chunk_index", "dl", F.explode("ts").alias("term"))
-    return p.groupBy("book_id", "term", "chapter", "chunk_id", "chunk_index", "dl").agg(F.count(F.lit(1)).alias("tf")), stats
+    key = ["book_id", "chapter", "chunk_id", "chunk_index"]
+    # a line's terms are counted where it stands; only chunks that are there more than once are brought together
+    again = written(chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(c).alias(f"own_{c}") for c in key)), "again")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in key))
+    types = {c: chunks.schema[c].dataType for c in key}
+    schema = T.StructType([*(T.StructField(c, types[c]) for c in key), T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    order = ["book_id", "term", "chapter", "chunk_id", "chunk_index", "dl", "tf"]
+    if again.isEmpty():
+        return t.mapInArrow(_counted, schema).select(*order), stats
+    once = t.join(again, same, "left_anti").mapInArrow(_counted, schema).select(*order)
+    p = t.join(again, same, "left_semi").select(*key, "dl", F.explode("ts").alias("term")).groupBy(*order[:-1]).agg(F.count(F.lit(1)).alias("tf"))
+    return once.union(p), stats
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk and distinct term with its count, the chunk's columns repeated."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, POSTING_ROWS):
+            b = whole.slice(first, POSTING_ROWS)
+            term = b["ts"].flatten().dictionary_encode()
+            n = max(1, len(term.dictionary))
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(b["ts"]), 0).to_numpy(zero_copy_only=False))
+            at, tf = np.unique(row * n + term.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            names = ["book_id", "chapter", "chunk_id", "chunk_index", "dl"]
+            kept = b.select(names).take(pa.array(at // n))
+            yield pa.RecordBatch.from_arrays([*kept.columns, term.dictionary.take(pa.array(at % n)), pa.array(tf.astype(np.int64))], [*names, "term", "tf"])
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int = 20, preferred: DataFrame | None = None, mode: str = "word") -> DataFrame:

@@ -1,5 +1,6 @@
 """What the review of round 3 found about work that one task did alone or that was shuffled without need."""
 
+from scholia.operators import retrieve
 from scholia.plans import streams
 from scholia.sources import study
 from scholia.streaming import sessions
@@ -19,3 +20,18 @@ def test_session_batches_are_spread_over_files(spark, sf_dir, monkeypatch):
     assert len(files) == 3 and len(set(files)) == 1  # three batches, one checkpoint
     want = sessions.session_states(study.session_events(spark, sf_dir)).drop("exercise_ids")
     assert {tuple(r[c] for c in want.columns) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_postings_are_counted_in_their_line(spark):
+    """Only chunks that are there twice are shuffled by term; both give the same counts."""
+    rows = [("b", "1", f"1_{i}", i, " ".join(f"w{j % 5}" for j in range(i))) for i in range(9)] + [("b", "2", "2_0", 0, "x y x")] * 2 + [(None, None, "3_0", 0, "x z")]
+    c = spark.createDataFrame(rows, "book_id string, chapter string, chunk_id string, chunk_index int, content string")
+    p, stats = retrieve.build_postings(c)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.book_id, r.term, r.chunk_id): (r.tf, r.dl) for r in p.collect()}
+    want = {}
+    for b, _, k, _, text in rows:
+        for w in text.split():
+            want[b, w, k] = (want.get((b, w, k), (0, 0))[0] + 1, len(text.split()))
+    assert got == want and p.count() == len(want) and "MapInArrow" in plan
+    assert stats.count() == 2
