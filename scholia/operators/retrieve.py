@@ -173,43 +173,52 @@ def nearest_of(queries: DataFrame, vectors: DataFrame, most: int, by_chapter: bo
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = vectors.sparkSession.createDataFrame([], schema)
     for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "book_id", "q").collect()
-        if rows:
-            sent = vectors.sparkSession.sparkContext.broadcast(rows)
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "book_id", "q").toArrow()
+        if rows.num_rows:
+            book = np.array(rows["book_id"].to_pylist(), object)
+            ids, q = rows["query_id"].to_numpy(), _unit(rows["q"])
+            sent = vectors.sparkSession.sparkContext.broadcast({b: (ids[book == b], q[book == b]) for b in dict.fromkeys(book)})
             part = vectors.select(*fields, "embedding").mapInArrow(_near_batches(sent, most, by_chapter), schema)
             out = part if blocks == 1 else out.union(part)
     return out
 
 
-QUERY_TILE = 256
+CELLS = 250_000  # so many distances are worked out at a time
+
+
+def _unit(lists) -> np.ndarray:
+    """Vectors of an Arrow column in double precision, of length one."""
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return x
+
+
+def _tiles(q: np.ndarray, x: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, distance) of each query's ``most`` nearest, for some queries at a time; ties at the edge stay, the window that follows orders them."""
+    n, step = min(most, len(x)), max(1, CELLS // max(1, len(x)))
+    for s in range(0, len(q) if n else 0, step):
+        d = np.round(1 - q[s : s + step] @ x.T, 6)
+        i, j = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])
+        yield s + i, j, d[i, j]
 
 
 def _near_batches(sent, most: int, by_chapter: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[str, list] = {}
-        for r in sent.value:
-            books.setdefault(r["book_id"], []).append(r)
-        asked = {b: (np.array([r["query_id"] for r in rs]), np.array([r["q"] for r in rs], np.float64)) for b, rs in books.items()}
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            x = _unit(b["embedding"])
             vec = b["vec_id"].to_numpy()
             book = np.array(b["book_id"].to_pylist(), object)
             group = np.unique(np.array([str(c) for c in b["chapter"].to_pylist()]), return_inverse=True)[1] if by_chapter else np.zeros(b.num_rows, int)
             kept = b.select(["book_id", "chapter", "vec_id", "rag_priority"])
-            for name, (ids, q) in asked.items():
+            for name, (ids, q) in sent.value.items():
                 for g in np.unique(group):
                     own = np.flatnonzero((group == g) & (book == name))
                     own = own[np.argsort(vec[own], kind="stable")]
-                    for s in range(0, len(ids) if len(own) else 0, QUERY_TILE):
-                        tile = q[s : s + QUERY_TILE]
-                        d = np.round(1 - (tile / np.maximum(np.linalg.norm(tile, axis=1, keepdims=True), 1e-300)) @ x[own].T, 6)
-                        n = min(most, len(own))
-                        edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                        i, j = np.nonzero(d <= edge)  # ties at the edge stay, the window that follows orders them
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + i]), *kept.take(pa.array(own[j])).columns, pa.array(d[i, j])], ["query_id", *kept.schema.names, "distance"])
+                    for i, j, d in _tiles(q, x[own], most):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *kept.take(pa.array(own[j])).columns, pa.array(d)], ["query_id", *kept.schema.names, "distance"])
 
     return run
 
@@ -237,30 +246,23 @@ def vector_topk_fast(queries: DataFrame, vectors: DataFrame, k: int = 20) -> Dat
     blocks = -(-queries.count() // QUERY_BLOCK)
     part = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").collect()
-        if rows:
-            part = part.union(vectors.select("vec_id", "embedding").mapInPandas(_nearest(rows, k), "query_id long, vec_id long, distance double"))
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").toArrow()
+        if rows.num_rows:
+            sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["q"])))
+            part = part.union(vectors.select("vec_id", "embedding").mapInArrow(_nearest(sent, k), "query_id long, vec_id long, distance double"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest(rows: list, k: int):
-    ids = np.array([r["query_id"] for r in rows])
-    q = np.array([r["q"] for r in rows], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nearest(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            b = b.sort_values("vec_id")
-            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            vec, n = b["vec_id"].to_numpy(), min(k, len(b))
-            for s in range(0, len(ids), QUERY_TILE):
-                d = np.round(1 - q[s : s + QUERY_TILE] @ x.T, 6)
-                i, j = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])  # ties at the edge stay
-                yield pd.DataFrame({"query_id": ids[s + i], "vec_id": vec[j], "distance": d[i, j]})
+            if b.num_rows:
+                ids, q = sent.value
+                vec = b["vec_id"].to_numpy()
+                order = np.argsort(vec, kind="stable")
+                for i, j, d in _tiles(q, _unit(b["embedding"])[order], k):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[order][j]), pa.array(d)], ["query_id", "vec_id", "distance"])
 
     return run
 

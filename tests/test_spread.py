@@ -1,5 +1,7 @@
 """What the review of round 3 found about work that one task did alone or that was shuffled without need."""
 
+import numpy as np
+
 from scholia.operators import retrieve
 from scholia.plans import streams
 from scholia.sources import study
@@ -35,3 +37,15 @@ def test_postings_are_counted_in_their_line(spark):
             want[b, w, k] = (want.get((b, w, k), (0, 0))[0] + 1, len(text.split()))
     assert got == want and p.count() == len(want) and "MapInArrow" in plan
     assert stats.count() == 2
+
+
+def test_few_distances_are_held_at_a_time(spark, monkeypatch):
+    """Tiles shrink as batches of vectors grow; the nearest are the same."""
+    sizes = []
+    monkeypatch.setattr(np, "partition", lambda d, *a, p=np.partition, **k: (sizes.append(d.size), p(d, *a, **k))[1])
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(300, 8)), rng.normal(size=(4000, 8))
+    found = [set(zip(*(a.tolist() for a in t))) for t in retrieve._tiles(q, x, 5)]
+    assert max(sizes) <= retrieve.CELLS and len(found) > 1
+    d = np.round(1 - q @ x.T, 6)
+    assert set().union(*found) == {(i, j, d[i, j]) for i in range(300) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4]).tolist()}
