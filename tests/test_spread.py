@@ -1,5 +1,8 @@
 """What the review of round 3 found about work that one task did alone or that was shuffled without need."""
 
+import random
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +88,19 @@ def test_names_are_normalised_without_patterns(spark):
     d = spark.createDataFrame([(k,) for k in want], "w string").select("w", graph.normalise_name(F.col("w")).alias("n"))
     assert {r.w: r.n for r in d.collect()} == want
     assert "regexp" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_clusters_equal_plain_comparison_book_by_book(spark):
+    """Bounds are worked out for all seeds at once and books aren't put into one task; clusters are those of comparing one by one."""
+    rng = random.Random(4)
+    rows = [(f"b{k}", "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 9))), i) for k in range(3) for i in range(120)]
+    d = graph.cluster_concepts(spark.createDataFrame(rows, "book_id string, name string, pos long"))
+    want = set()
+    for k in range(3):
+        seeds = []
+        for name in dict.fromkeys(n for b, n, _ in rows if b == f"b{k}"):
+            own = next((s for s in seeds if SequenceMatcher(None, name, s[0]).ratio() >= graph.SIMILAR), None)
+            own.append(name) if own else seeds.append([name])
+        want |= {(f"b{k}", m, min(s, key=lambda x: (-len(x), x))) for s in seeds for m in s}
+    assert {tuple(r) for r in d.collect()} == want
+    assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
