@@ -58,18 +58,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int = 20, preferred: DataFrame | None = None, mode: str = "word") -> DataFrame:
-    """Best ``k`` chunks of each query (query_id, book_id, text); a repeated query term counts again."""
-    df = postings.groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    """Best ``k`` chunks of each query (query_id, book_id, text); a repeated query term counts again.
+
+    Blocks of about QUERY_BLOCK queries go over the postings, of which only those of their words are written. Postings stand by
+    chunk, so a task sums its chunks' scores before any are shuffled.
+    """
     q = queries.select("query_id", "book_id", F.explode(ft.tokens(F.col("text"), mode)).alias("term")).groupBy("query_id", "book_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, ["book_id", "term"]).join(stats, "book_id").select("query_id", "book_id", "term", (F.col("qtf") * idf).alias("w"), F.greatest("avgdl", F.lit(1.0)).alias("avgdl"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = weights.join(postings, ["book_id", "term"]).groupBy("query_id", "book_id", "chapter", "chunk_id", "chunk_index").agg(F.sum(part).alias("s"))
+    q = written(q, "query-terms")
+    blocks, found = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for i in range(blocks):
+        asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        met = written(postings.join(F.broadcast(asked.select("book_id", "term").distinct()), ["book_id", "term"], "left_semi"), "postings-met")
+        df = met.groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("df"))
+        weights = asked.join(df, ["book_id", "term"]).join(stats, "book_id").select("query_id", "book_id", "term", (F.col("qtf") * idf).alias("w"), F.greatest("avgdl", F.lit(1.0)).alias("avgdl"))
+        hits = met.join(F.broadcast(written(weights, "weights")), ["book_id", "term"]).groupBy("query_id", "book_id", "chapter", "chunk_id", "chunk_index").agg(F.sum(part).alias("s"))
+        found = hits if found is None else found.union(hits)
     if preferred is not None:
-        hits = hits.join(preferred.select("query_id", "chapter", F.lit(1.2).alias("boost")), ["query_id", "chapter"], "left").withColumn("s", F.col("s") * F.coalesce("boost", F.lit(1.0))).drop("boost")
-    hits = hits.withColumn("score", F.round("s", 6)).where("score > 0").drop("s")
+        found = found.join(preferred.select("query_id", "chapter", F.lit(1.2).alias("boost")), ["query_id", "chapter"], "left").withColumn("s", F.col("s") * F.coalesce("boost", F.lit(1.0))).drop("boost")
+    found = found.withColumn("score", F.round("s", 6)).where("score > 0").drop("s")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.col("chapter")), F.desc("chunk_index"))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 SCORES = 2_000_000
